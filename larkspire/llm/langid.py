@@ -1,12 +1,13 @@
 """Language identification by compression: the language whose raw-content zstandard dictionary makes a text smallest.
 
 fit() takes a bounded sample of labelled rows, BYTES_PER_LANGUAGE of text for each language, chosen by a hash of the row
-so that it doesn't depend on order or partitions. A text is cut into blocks of BLOCK bytes and every block is
+so that it doesn't depend on order or partitions. Digits, punctuation and case say little: texts and dictionaries are
+reduced to words of letters in lower case. A text is cut into blocks of BLOCK bytes and every block is
 compressed, so the whole text counts and a long one does not become its own dictionary.
 
 The margin is the share of bytes that the best language saves against the second. Margins below min_margin are rejected.
-Null texts and texts without a letter are `und` with score 0 and rejected. Ties go to the language with more sampled
-bytes, then by name. No labelled rows at all: everything is `und`. Extra columns are kept.
+Null texts and texts without a letter are `und` with score 0 and rejected. Ties go to the language with more rows,
+then by name. No labelled rows at all: everything is `und`. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -20,47 +21,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BYTES_PER_LANGUAGE = 112 * 1024
-ROWS_PER_LANGUAGE = 400
-CHARS_PER_ROW = 8000
-BLOCK = 4096
-LEVEL = 3
+ROWS_PER_LANGUAGE = 1024
+BYTES_PER_ROW = 600
+BLOCK = 1024
+LEVEL = 5
 MIN_MARGIN = 0.002
 
+_OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bytes_per_language: int = BYTES_PER_LANGUAGE, rows_per_language: int = ROWS_PER_LANGUAGE, chars_per_row: int = CHARS_PER_ROW) -> dict[str, bytes]:
-    """Raw-content dictionaries from a bounded sample: the rows_per_language rows of least hash, chars_per_row of each.
+def letters(text: str) -> bytes:
+    """What is compressed: the words of letters in lower case, one space around each."""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
 
-    The driver gets rows_per_language rows for each language at most. collect_top_k-style pre-aggregation keeps the
-    shuffle as small: a partial min_by over hash buckets, one row for each bucket and language.
-    """
-    from pyspark.sql import types as T
 
-    h = F.xxhash64(F.col(text))
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bytes_per_language: int = BYTES_PER_LANGUAGE, rows_per_language: int = ROWS_PER_LANGUAGE, bytes_per_row: int = BYTES_PER_ROW) -> dict[str, bytes]:
+    """Raw-content dictionaries from a bounded sample: in each of rows_per_language hash buckets of a language the row of least hash.
+
+    The first bytes_per_row bytes of those rows, in order of hash, fill the dictionary. The driver gets
+    rows_per_language short rows for each language at most, and every task sends as many after its partial aggregate.
+    Languages come back with the one of most rows first.
+    """
     rows = (
         labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-        .select(F.col(lang).cast(T.StringType()).alias("lang"), F.pmod(h, F.lit(rows_per_language)).alias("bucket"), F.xxhash64(F.lit(7), text).alias("h"), F.substring(text, 1, chars_per_row).alias("t"))
+        .select(F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(text), F.lit(rows_per_language)).alias("bucket"), F.xxhash64(F.lit(7), text).alias("h"), F.substring(text, 1, 2 * bytes_per_row).alias("t"))
         .groupBy("lang", "bucket")
-        .agg(F.min(F.struct("h", "t")).alias("least"))
-        .select("lang", "least.h", "least.t")
+        .agg(F.min(F.struct("h", "t")).alias("least"), F.count("*").alias("n"))
+        .select("lang", "n", "least.h", "least.t")
         .collect()
     )
     by: dict[str, list] = {}
+    total: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["t"])):
         by.setdefault(r["lang"], []).append(r["t"])
+        total[r["lang"]] = total.get(r["lang"], 0) + r["n"]
     out = {}
-    for name, texts in by.items():
-        kept, n = [], 0
-        share = max(200, bytes_per_language // max(1, len(texts)))
-        for t in texts:
-            b = t.encode()[: share * 2 if n + share * 2 <= bytes_per_language else bytes_per_language - n]
-            kept.append(b)
-            n += len(b) + 1
-            if n >= bytes_per_language:
-                break
-        out[name] = b"\n".join(kept)
-    return dict(sorted(out.items(), key=lambda x: (-len(x[1]), x[0])))
+    for name in sorted(by, key=lambda x: (-total[x], x)):
+        raw = b"".join(letters(t)[:bytes_per_row] for t in by[name] if not t.isspace())[:bytes_per_language]
+        if len(raw) >= 8:
+            out[name] = raw
+    return out
 
 
 class Classifier:
@@ -72,13 +73,13 @@ class Classifier:
             self.by.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False))
 
     def sizes(self, text: str) -> list[int]:
-        b = text.encode("utf-8", "replace")
+        b = letters(text)
         blocks = [b[i : i + self.block] for i in range(0, len(b), self.block)]
         return [sum(len(c.compress(x)) for x in blocks) for c in self.by]
 
     def predict(self, text: str | None, min_margin: float = MIN_MARGIN) -> tuple[str, float, bool]:
         """(language, score, rejected)"""
-        if not text or not self.by or not _LETTER.search(text):
+        if not text or not self.by or not letters(text).strip():
             return "und", 0.0, True
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
