@@ -52,7 +52,7 @@ def commit_bytes(uri: str, chunks) -> None:
     where, path = filesystem(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
     temp = f"{path}.tmp-{uuid.uuid4().hex}"
-    with where.open_output_stream(temp) as out:
+    with where.open_output_stream(temp, compression=None) as out:
         for c in chunks:
             out.write(c)
     where.move(temp, path)
