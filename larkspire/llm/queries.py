@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspire.llm import fasttok, langid, packing, pii, tokenfile, warc
+from larkspire.llm import fasttok, fingerprint, knn, langid, packing, pii, tokenfile, warc
 from larkspire.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(table(spark, sf_dir, "documents"), fasttok.vocabulary("byte_bpe_50k.json"))
 
@@ -26,13 +30,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_tokens, op4_packing, op5_warc, op9_langid)}
+    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE}
+    return {"op2_knn": knn.ORACLE, "op5_warc": warc.ORACLE}
