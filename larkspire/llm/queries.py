@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspire.llm import fasttok, fingerprint, knn, langid, packing, pii, tokenfile, warc
+from larkspire.llm import extract, fasttok, fingerprint, knn, langid, packing, pii, tokenfile, warc
 from larkspire.llm.common import table
 
 
@@ -34,12 +34,16 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op9_langid)}
+    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op7_extract, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
