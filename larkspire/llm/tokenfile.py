@@ -29,7 +29,7 @@ from larkspire.llm.common import commit_bytes, filesystem, fresh_dir, shuffle_pa
 MAGIC = b"LSTOKENS"
 END_ID = 2
 #: The dictionary is trained on so many documents of least hash, so many characters of each, and has so many bytes.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 8000, 64 * 1024
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 4000, 64 * 1024
 SHARD_BYTES = 64 << 20
 LEVEL = 3
 BATCH_BYTES = 4 << 20
@@ -39,7 +39,9 @@ _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes
 
 def train(docs: DataFrame, vocab: str, end_id: int = END_ID, text: str = "text") -> bytes:
     """A dictionary trained on id arrays of a bounded sample; empty if there is too little to train on."""
-    rows = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    least = F.min(F.struct(F.xxhash64(F.lit(7), text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))).alias("least")
+    # A row for each hash bucket: tasks send what is left of their partial aggregates, the driver gets SAMPLE_DOCS rows.
+    rows = docs.where(F.length(text) > 0).groupBy(F.pmod(F.xxhash64(text), F.lit(SAMPLE_DOCS))).agg(least).select("least.*").orderBy("h", "t").collect()
     enc = fasttok.encoder(fasttok.ByteBpe, vocab)
     samples = [_pack(enc.ids(r["t"]) + struct.pack("<I", end_id), 2) for r in rows]
     samples = [s[i : i + 2048] for s in samples for i in range(0, len(s), 2048)]
