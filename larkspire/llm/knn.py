@@ -73,7 +73,9 @@ def join(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS)
     if not about["n"] or not nq:
         return spark.createDataFrame([], empty)
     dim, m2 = max(about["dim"], qdim, 1), float(about["m2"])
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(pivots, about["n"] // ROWS_PER_PIVOT))).toPandas()
+    wanted = max(1, min(pivots, about["n"] // ROWS_PER_PIVOT))
+    least = F.min(F.struct(F.xxhash64(F.lit(7), "vec_id").alias("h"), "vec_id", "codes")).alias("least")
+    chosen = data.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(wanted))).agg(least).select("least.*").orderBy("h", "vec_id").toPandas()
     P = _lifted(_matrix(chosen["codes"], dim), m2)
     slack = 1e-6 * (1.0 + float(np.sqrt(m2)))
 
