@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspire.llm import extract, fasttok, fingerprint, knn, langid, packing, pii, tokenfile, warc
+from larkspire.llm import extract, fasttok, fingerprint, knn, langid, packing, pii, subword, tokenfile, warc
 from larkspire.llm.common import table
 
 
@@ -42,8 +42,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword.samples(table(spark, sf_dir, "documents"), fasttok.vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op7_extract, op9_langid)}
+    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op7_extract, op9_langid, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
