@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,6 +49,20 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def key(col):
+    """An integer key on its way to Python: as text, since a nullable integer column would become floating point there."""
+    return col.cast("long").cast("string")
+
+
+def keyed(x: str | None) -> int | None:
+    return int(x) if isinstance(x, str) else None
+
+
+def ints(values) -> pd.api.extensions.ExtensionArray:
+    """A nullable integer column on its way back."""
+    return pd.array(list(values), dtype="Int64")
+
+
 def commit_bytes(uri: str, chunks) -> None:
     """Writes chunks under a temporary name of this attempt and then renames: readers see whole files only, retries replace them."""
     where, path = filesystem(uri)

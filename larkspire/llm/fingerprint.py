@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspire.llm.common import shuffle_partitions
+from larkspire.llm.common import ints, key, keyed, shuffle_partitions
 
 SAMPLES = 64
 TABLE_ROWS = 200_000
@@ -154,7 +154,7 @@ def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         s, held, at = Sampler(samples), None, None
         for pdf in batches:
             out = []
-            for doc_id, text, bucket, peek in zip(pdf["doc_id"].astype(object), pdf["text"], pdf["bucket"], pdf["peek"], strict=True):
+            for doc_id, text, bucket, peek in zip(map(keyed, pdf["doc_id"]), pdf["text"], pdf["bucket"], pdf["peek"], strict=True):
                 if bucket != at and held is not None:
                     raise ValueError("a range has no row after its last")
                 at = bucket
@@ -165,9 +165,9 @@ def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                     before, mine, own = held
                     new = edited(mine, text)
                     other = s.text(new)
-                    out.append((None if pd.isna(before) else int(before), len(mine), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), hexed(own), hexed(other), likeness(own, other), likeness(own, mark)))
+                    out.append((before, len(mine), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), hexed(own), hexed(other), likeness(own, other), likeness(own, mark)))
                 held = None if peek else (doc_id, text, mark)
             frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            yield frame.assign(doc_id=ints(r[0] for r in out))
 
-    return ordered.select("doc_id", "text", "bucket", "peek").mapInPandas(run, schema)
+    return ordered.select(key(F.col("doc_id")).alias("doc_id"), "text", "bucket", "peek").mapInPandas(run, schema)

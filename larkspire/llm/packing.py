@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspire.llm import fasttok
-from larkspire.llm.common import shuffle_partitions, stored
+from larkspire.llm.common import ints, key, keyed, shuffle_partitions, stored
 
 CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,15 +39,15 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int =
         step = 4 * capacity
         for pdf in batches:
             rows = []
-            for d, t in zip(pdf["d"].astype(object), pdf["t"], strict=True):
+            for d, t in zip(pdf["d"], pdf["t"], strict=True):
                 ids = (enc.ids(t) if isinstance(t, str) else b"") + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    rows.append((None if pd.isna(d) else int(d), k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((keyed(d), k, at // 4, len(part) // 4, zlib.crc32(part)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield out.assign(doc_id=ints(r[0] for r in rows))
 
-    return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(run, PIECES)
+    return docs.select(key(F.col(doc_id)).alias("d"), F.col(text).alias("t")).mapInPandas(run, PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -100,8 +100,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """found (with doc_id, piece and length) with sequence_id and offset."""
     spark = found.sparkSession
     salts = max(8, min(64, shuffle_partitions(spark)))
-    keyed = found.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    by = keyed.groupBy("length", "__salt").count().toArrow()  # at most capacity * salts rows
+    salted_rows = found.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    by = salted_rows.groupBy("length", "__salt").count().toArrow()  # at most capacity * salts rows
     lengths, salted, n = (by.column(i).to_numpy() for i in range(3))
     total = {int(x): int(n[lengths == x].sum()) for x in np.unique(lengths)}
     steps, _ = best_fit(total, capacity)
@@ -122,11 +122,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             rank = base[np.searchsorted(keys, length * salts + pdf["__salt"].to_numpy())] + pdf["__rank"].to_numpy() - 1
             s = steps[np.searchsorted(step_keys, (capacity - length) * big + rank, side="right") - 1]
             q = rank - s[:, 1]
-            yield pdf.drop(columns=["__salt", "__rank"]).assign(sequence_id=s[:, 3] + q % s[:, 2], offset=s[:, 4] + (q // s[:, 2]) * length)
+            yield pdf.drop(columns=["__salt", "__rank"]).assign(doc_id=ints(map(keyed, pdf["doc_id"])), sequence_id=s[:, 3] + q % s[:, 2], offset=s[:, 4] + (q // s[:, 2]) * length)
 
     window = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = keyed.withColumn("__rank", F.row_number().over(window))
-    return ranked.mapInPandas(run, f"{PIECES}, sequence_id long, offset long")
+    ranked = salted_rows.withColumn("__rank", F.row_number().over(window))
+    return ranked.withColumn("doc_id", key(F.col("doc_id"))).mapInPandas(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def digest(docs: DataFrame, vocab: str) -> DataFrame:

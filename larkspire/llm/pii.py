@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspire.llm.common import ints, key, keyed
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 
@@ -166,8 +168,8 @@ def digest(docs: DataFrame) -> DataFrame:
                 found = spans(text if isinstance(text, str) else None)
                 base = [x[:3] for x in found if x[0] in BASE_KINDS]
                 kinds = [x[0] for x in base]
-                rows.append((doc_id, *(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined([x[:3] for x in found]), [x[3] for x in found]))
+                rows.append((keyed(doc_id), *(kinds.count(k) for k in BASE_KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined([x[:3] for x in found]), [x[3] for x in found]))
             out = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield out.assign(doc_id=ints(r[0] for r in rows))
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select(key(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, schema)

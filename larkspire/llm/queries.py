@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspire.llm import extract, fasttok, fingerprint, knn, langid, packing, pii, subword, tokenfile, warc
+from larkspire.llm import extract, fasttok, fingerprint, jaccard, knn, langid, packing, pii, subword, tokenfile, warc
 from larkspire.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op7_extract, op9_langid, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op7_extract, op8_jaccard, op9_langid, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.llm import fasttok
-from larkspire.llm.common import commit_bytes, filesystem, fresh_dir, shuffle_partitions, stored
+from larkspire.llm.common import commit_bytes, filesystem, fresh_dir, ints, key, keyed, shuffle_partitions, stored
 
 MAGIC = b"LSTOKENS"
 END_ID = 2
@@ -101,10 +101,10 @@ def write(docs: DataFrame, out_dir: str, vocab: str, end_id: int = END_ID, doc_i
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(raw), write_checksum=False)
         end, shard, made = struct.pack("<I", end_id), None, []
         for pdf in batches:
-            for d, t in zip(pdf["d"].astype(object), pdf["t"], strict=True):
+            for d, t in zip(pdf["d"], pdf["t"], strict=True):
                 shard = shard or _Shard(f"{out_dir}/part-{part:06d}-{len(made):04d}.tok")
                 ids = (enc.ids(t) if isinstance(t, str) else b"") + end
-                shard.add(None if pd.isna(d) else d, packer.compress(_pack(ids, width)), len(ids) // 4)
+                shard.add(keyed(d), packer.compress(_pack(ids, width)), len(ids) // 4)
                 if shard.at >= shard_bytes:
                     made.append(shard.close(digest, width))
                     shard = None
@@ -115,7 +115,7 @@ def write(docs: DataFrame, out_dir: str, vocab: str, end_id: int = END_ID, doc_i
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "d").sortWithinPartitions("d", F.xxhash64("t"), "t")
     manifest, start = [], 0
-    for r in stored(ordered.mapInPandas(run, _MANIFEST), "token-manifest").orderBy("part", "seq").collect():  # one short row a shard
+    for r in stored(ordered.withColumn("d", key(F.col("d"))).mapInPandas(run, _MANIFEST), "token-manifest").orderBy("part", "seq").collect():  # one short row a shard
         manifest.append(r.asDict() | {"start": start})
         start += r["n_tokens"]
     commit_bytes(f"{out_dir}/manifest.json", [json.dumps({"dictionary": digest, "end_id": end_id, "shards": manifest}).encode()])
@@ -205,7 +205,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"])
-    return out.assign(doc_id=out["doc_id"].astype("Int64"))
+    return out.assign(doc_id=ints(r[0] for r in rows))
 
 
 def digest(docs: DataFrame, vocab: str) -> DataFrame:

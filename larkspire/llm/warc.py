@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspire.llm.common import commit_bytes, filesystem, fresh_dir, shuffle_partitions, stored
+from larkspire.llm.common import commit_bytes, filesystem, fresh_dir, ints, key, keyed, shuffle_partitions, stored
 
 MIN_REVISIT = 100
 ROLL_BYTES = 128 << 20
@@ -110,12 +110,11 @@ def write(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, min_revi
 
         part, made, file, noted, at = TaskContext.get().partitionId(), [], None, {}, None
         for pdf in batches:
-            for page, url, payload, digest, refers_to, kind in zip(pdf["page_id"].astype(object), pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"].astype(object), pdf["kind"], strict=True):
-                page = None if pd.isna(page) else int(page)
+            for page, url, payload, digest, refers_to, kind in zip(map(keyed, pdf["page_id"]), pdf["url"], pdf["payload"], pdf["digest"], map(keyed, pdf["refers_to"]), pdf["kind"], strict=True):
                 if page != at:
                     noted, at = {}, page
                 if kind == 0:
-                    noted[digest] = int(refers_to)
+                    noted[digest] = refers_to
                     continue
                 file = file or _File(f"{out_dir}/part-{part:06d}-{len(made):04d}.warc.gz")
                 payload = bytes(payload)
@@ -128,7 +127,7 @@ def write(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, min_revi
             made.append(file.close())
         yield pd.DataFrame([(part, i, *m) for i, m in enumerate(made)], columns=["part", "seq", "path", "n_records", "n_bytes", "sha256"])
 
-    manifest = [r.asDict() for r in stored(ordered.mapInPandas(run, _MANIFEST), "warc-manifest").orderBy("part", "seq").collect()]  # one short row a file
+    manifest = [r.asDict() for r in stored(ordered.withColumns({c: key(F.col(c)) for c in ("page_id", "refers_to")}).mapInPandas(run, _MANIFEST), "warc-manifest").orderBy("part", "seq").collect()]  # one short row a file
     commit_bytes(f"{out_dir}/manifest.json", [json.dumps(manifest).encode()])
     return manifest
 
@@ -197,7 +196,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
-    return out.assign(page_id=out["page_id"].astype("Int64"), refers_to=out["refers_to"].astype("Int64"))
+    return out.assign(page_id=ints(r[0] for r in rows), refers_to=ints(r[3] for r in rows))
 
 
 def digest(pages: DataFrame) -> DataFrame:
