@@ -20,7 +20,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 NOW_SQL = f"TIMESTAMP '{NOW}'"
-NOW_COL = F.expr(f"timestamp_ntz'{NOW}'")
+
+
+def now_col():
+    return F.expr(f"timestamp_ntz'{NOW}'")
+
 
 #: Tokens of a text as the lexical operators see them (there is no CJK in the driver's tables).
 TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9_\\-]+'), lambda t: lower(t))"
@@ -375,7 +379,7 @@ def snapshot_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {JOBS} SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'dead_lettered') AS dead_lettered, min(created_at) FILTER (WHERE status = 'pending') AS oldest_pending_at, count(*) FILTER (WHERE status = 'running' AND lease_expires_at <= {NOW_SQL}) AS stale_running, count(*) FILTER (WHERE status = 'completed' AND completed_at >= {NOW_SQL} - INTERVAL 24 HOUR) AS completed_24h, count(*) FILTER (WHERE status = 'failed' AND completed_at >= {NOW_SQL} - INTERVAL 24 HOUR) AS failed_24h FROM jobs")
 def catalog_queue_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = catalog.queue_overview(jobs(spark, sf_dir), NOW_COL).toDF("pending", "running", "failed", "dead_lettered", "oldest_pending_at", "stale_running", "completed_24h", "failed_24h")
+    o = catalog.queue_overview(jobs(spark, sf_dir), now_col()).toDF("pending", "running", "failed", "dead_lettered", "oldest_pending_at", "stale_running", "completed_24h", "failed_24h")
     return o
 
 
@@ -413,17 +417,17 @@ def catalog_recent_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {JOBS} SELECT job_id, attempts FROM jobs WHERE status = 'pending' AND coalesce(available_at, created_at) <= {NOW_SQL} AND attempts < 3")
 def queue_claimable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.claimable(jobs(spark, sf_dir), NOW_COL).select("job_id", "attempts")
+    return catalog.claimable(jobs(spark, sf_dir), now_col()).select("job_id", "attempts")
 
 
 @query(f"WITH {JOBS} SELECT job_id, attempts + 1 AS attempts, 'running' AS status, {NOW_SQL} + INTERVAL 60 SECOND AS lease_expires_at FROM jobs WHERE status = 'pending' AND coalesce(available_at, created_at) <= {NOW_SQL} AND attempts < 3 ORDER BY created_at, job_id LIMIT 25")
 def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.claimed(jobs(spark, sf_dir), NOW_COL, "w1", 25).select("job_id", "attempts", "status", "lease_expires_at")
+    return catalog.claimed(jobs(spark, sf_dir), now_col(), "w1", 25).select("job_id", "attempts", "status", "lease_expires_at")
 
 
 @query(f"WITH {JOBS} SELECT t AS transition, count(*) AS n FROM (SELECT CASE WHEN status = 'running' AND lease_expires_at <= {NOW_SQL} AND attempts >= 3 THEN 'dead_lettered_running' WHEN status = 'running' AND lease_expires_at <= {NOW_SQL} THEN 'recovered_running' WHEN status = 'failed' AND attempts < 3 THEN 'recovered_failed' WHEN status IN ('failed', 'pending') AND attempts >= 3 THEN 'dead_lettered_exhausted' ELSE 'kept' END AS t FROM jobs) GROUP BY t")
 def queue_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.reconciled(jobs(spark, sf_dir), NOW_COL).groupBy("transition").agg(F.count("*").alias("n"))
+    return catalog.reconciled(jobs(spark, sf_dir), now_col()).groupBy("transition").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {JOBS} SELECT job_id, least(300, 2.0 * pow(2, attempts - 1))::DOUBLE AS delay FROM jobs WHERE status = 'failed'")
@@ -514,7 +518,7 @@ def catalog_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRIP = "regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+', ''), '\\s+$', '')"
 
 
-@query(f"WITH t AS (SELECT conv_id, turn, lower(trim(role)) AS role, {STRIP} AS c FROM conversations), a AS (SELECT conv_id, coalesce(max(turn) FILTER (WHERE role = 'user' AND c <> ''), max(turn)) AS at FROM t GROUP BY conv_id) SELECT t.conv_id, max(c) FILTER (WHERE turn = at) AS query, array_to_string(list(c ORDER BY turn) FILTER (WHERE role = 'system' AND c <> ''), chr(10) || chr(10)) AS system_prompt, count(*) FILTER (WHERE c <> '' AND role IN ('user', 'assistant') AND turn <> at)::INTEGER AS n_history FROM t JOIN a USING (conv_id) GROUP BY t.conv_id")
+@query(f"WITH t AS (SELECT conv_id, turn, lower(trim(role)) AS role, {STRIP} AS c FROM conversations), a AS (SELECT conv_id, coalesce(max(turn) FILTER (WHERE role = 'user' AND c <> ''), max(turn)) AS asked FROM t GROUP BY conv_id) SELECT t.conv_id, max(c) FILTER (WHERE turn = asked) AS query, array_to_string(list(c ORDER BY turn) FILTER (WHERE role = 'system' AND c <> ''), chr(10) || chr(10)) AS system_prompt, count(*) FILTER (WHERE c <> '' AND role IN ('user', 'assistant') AND turn <> asked)::INTEGER AS n_history FROM t JOIN a USING (conv_id) GROUP BY t.conv_id")
 def chat_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.prepared(table(spark, sf_dir, "conversations")).select("conv_id", "query", "system_prompt", F.size("history").alias("n_history"))
 
