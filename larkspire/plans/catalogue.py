@@ -596,3 +596,71 @@ def _statement(name: str, statement: str) -> None:
 
 for _name, _sql in STATEMENTS.items():
     _statement(_name, _sql)
+
+
+# Evidence, code, lifecycle
+
+from larkspire.operators import code, evidence, lifecycle  # noqa: E402
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, md5(text) ORDER BY turn) AS n FROM conversations) WHERE n = 1")
+def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return evidence.deduplicated(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("position"), "text")).select(F.col("request_id").alias("conv_id"), F.col("position").alias("turn"))
+
+
+@query()
+def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("position"), (F.col("turn") % 3).cast("double").alias("score"), "text")
+    return evidence.compressed(c, 2000, 900).select("request_id", "position", F.length("text").alias("n_chars"))
+
+
+@query(
+    "WITH q AS (SELECT conv_id, list_filter(regexp_extract_all(lower(arg_min(text, turn)), '[A-Za-z0-9_\\-]+'), lambda t: length(t) > 1) AS ks FROM conversations GROUP BY conv_id), "
+    "p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM conversations), "
+    "s AS (SELECT conv_id, turn, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM p), "
+    "g AS (SELECT conv_id, s, max(len(list_filter(ks, lambda k: contains(lower(s), k))) * 2 + least(length(s) // 80, 2)) AS score, min((turn, i)) AS place FROM s JOIN q USING (conv_id) GROUP BY ALL), "
+    "r AS (SELECT conv_id, s, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, place) AS n FROM g) SELECT conv_id, n::INTEGER AS rank, score::INTEGER AS score, s AS sentence FROM r WHERE n <= 3"
+)
+def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    asked = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
+    items = c.join(asked, "conv_id").select(F.col("conv_id").alias("request_id"), "query", F.col("turn").alias("position"), "text")
+    return evidence.summary(items).withColumnRenamed("request_id", "conv_id")
+
+
+@query("SELECT doc_id, i::INTEGER AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE contains(lower(l), 'worthless')")
+def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.search(table(spark, sf_dir, "documents"), "Worthless", "doc_id").select("doc_id", "line")
+
+
+@query("WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'HTTP status ' || (400 + event_id % 110) WHEN 'click' THEN 'Permission denied' WHEN 'view' THEN 'Source is deleted during ingestion' ELSE 'boom' END AS m, event_type, 400 + event_id % 110 AS s FROM events) SELECT c AS failure_class, r AS retryable, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' AND (s < 500 OR s IN (500, 502, 503, 504)) THEN 'http_' || s WHEN event_type = 'click' THEN 'configuration_error' WHEN event_type = 'view' THEN 'source_generation_mismatch' ELSE 'pipeline_failure' END AS c, CASE WHEN event_type = 'error' AND (s < 500 OR s IN (500, 502, 503, 504)) THEN s IN (408, 409, 425, 429, 500, 502, 503, 504) WHEN event_type IN ('click', 'view') THEN false ELSE true END AS r FROM e) GROUP BY ALL")
+def queue_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = "CASE event_type WHEN 'error' THEN concat('HTTP status ', 400 + event_id % 110) WHEN 'click' THEN 'Permission denied' WHEN 'view' THEN 'Source is deleted during ingestion' ELSE 'boom' END"
+    return table(spark, sf_dir, "events").select(lifecycle.failure(F.expr(m)).alias("f")).groupBy("f.failure_class", "f.retryable").agg(F.count("*").alias("n"))
+
+
+SOURCES = "s AS (SELECT 's' || user_id AS source_id, 'active' AS status, user_id % 5 <> 0 AS sync_enabled, date_trunc('second', min(ts)) AS sync_next_at, (3600 + user_id)::BIGINT AS sync_interval FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {JOBS}, {SOURCES} SELECT source_id, 'sync-' || substr(sha256(source_id || ':' || epoch(sync_next_at)::BIGINT), 1, 27) AS job_id, source_id IN (SELECT source_id FROM jobs WHERE status IN ('pending', 'running')) AS blocked, sync_next_at + to_seconds(greatest(1, floor((epoch({NOW_SQL}) - epoch(sync_next_at)) / sync_interval)::BIGINT + 1) * sync_interval) AS sync_next_at FROM s WHERE sync_enabled AND sync_next_at <= {NOW_SQL} ORDER BY s.sync_next_at, source_id LIMIT 100")
+def queue_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.date_trunc("second", F.min("ts")).cast("timestamp_ntz").alias("sync_next_at"))
+    s = s.selectExpr("concat('s', user_id) AS source_id", "'active' AS status", "user_id % 5 <> 0 AS sync_enabled", "sync_next_at", "3600 + user_id AS sync_interval")
+    return lifecycle.due(s, jobs(spark, sf_dir), now_col())
+
+
+@query(f"{HYBRID}, d10 AS (SELECT * FROM dr WHERE rank <= 10), l10 AS (SELECT * FROM lr WHERE rank <= 10) SELECT item_id AS query_id, round((SELECT count(*) FROM d10 JOIN l10 USING (query_id, chunk_id) WHERE query_id = item_id) / 10.0::DOUBLE, 4) AS overlap FROM benchmark JOIN embeddings ON vec_id = item_id")
+def eval_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.shadow(*_branches(spark, sf_dir), 10)
+
+
+@query("SELECT lang, count(*) AS chunks, min(source) AS source FROM documents GROUP BY lang")
+def catalog_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.inventory(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0 AND o_orderdate <= TIMESTAMP '2024-01-30' - INTERVAL 9000 DAY")
+def catalog_deletable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE o_orderstatus WHEN 'F' THEN 'retired' ELSE 'live' END AS state", "o_custkey % 3 AS ref_count", "o_orderdate AS updated_at")
+    return lifecycle.deletable(o, now_col(), 9000).select("o_orderkey")

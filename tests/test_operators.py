@@ -242,3 +242,35 @@ def test_plans(spark, sf):
     lex = plan(retrieval.lexical(q, spark.createDataFrame([(1, "plan")], "chunk_id long, text string"), 3))
     assert "CartesianProduct" not in lex and "WindowGroupLimit" in lex
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan(o.where("o_orderstatus = 'F'"))
+
+
+def test_code(spark):
+    from larkspire.operators import code
+
+    py = "import os\n\nclass A:\n    def f(self):\n        return 1\n\ndef g():\n    pass\n"
+    assert [(s, a, b) for s, a, b, _ in code.symbols(py, "python")] == [("<imports>", 1, 2), ("A", 3, 5), ("f", 4, 5), ("g", 7, 8)]
+    assert [(s, a, b) for s, a, b, _ in code.symbols("// x\nfunc A() {\n}\nfunc (r *R) B() {\n}\n", "go")] == [("<imports>", 1, 1), ("A", 2, 3), ("B", 4, 5)]
+    assert [x[0] for x in code.symbols("def big():\n" + "    x = 1\n" * 20, "python", 60)] == ["big (part 1)", "big (part 2)", "big (part 3)", "big (part 4)"]
+    assert code.symbols("def (", "python") == [(None, 1, 1, "def (")] and code.symbols("", "text") == []
+    f = spark.createDataFrame([("a.py", "python", "one\nTwo\nthree\nfour")], "path string, language string, text string")
+    assert code.chunked(f).count() == 1
+    assert tuple(code.search(f, "two", context=1).first()) == ("a.py", 2, 1, 3, "one\nTwo\nthree")
+    trace = 'File "a.py", line 2, in main\n at run (b.js:3:4)\nx.go:7 (C.java:9)\nValueError: x'
+    got = spark.createDataFrame([(1, trace), (2, "see z.c:5")], "error_id int, text string")
+    assert [[tuple(x) for x in r[0]] for r in got.select(code.locations(F.col("text"))).collect()] == [[("a.py", 2), ("b.js", 3), ("x.go", 7), ("C.java", 9)], [("z.c", 5)]]
+    assert got.select(code.error_names(F.col("text"))).first()[0] == ["ValueError", "main"]
+    assert code.explained(got, f, 1).first()["snippet"] == "one\nTwo\nthree"
+    assert [tuple(one(spark, code.reference(F.col("x")), q)) for q in ("see a/b.py:10-20", "a.py:3", "a.py", "none")] == [("a/b.py", 10, 20), ("a.py", 3, 23), ("a.py", None, None), ("none", None, None)]
+    assert one(spark, code.patch()(F.lit("a\n"), F.lit("b\n"))).splitlines()[-2:] == ["-a", "+b"]
+    assert one(spark, code.glob(F.col("x"), "src/**/*.py"), "src/a/b.py") and not one(spark, code.glob(F.col("x"), "src/*.py"), "src/a/b.py")
+
+
+def test_evidence(spark):
+    from larkspire.operators import evidence
+
+    items = [(1, 0, 0.5, "a" * 50), (1, 1, 0.9, "b" * 200), (1, 2, 0.7, "c" * 90), (1, 3, 0.1, "d" * 5)]
+    df = spark.createDataFrame(items, "request_id int, position int, score double, text string")
+    kept = {r["position"]: len(r["text"]) for r in evidence.compressed(df, 130, 100).collect()}
+    assert kept == {1: 100 + len(evidence.TRUNCATED), 3: 5}
+    lacks = evidence.missing(F.lit("sql"), F.array(F.lit("sql_rows")), F.lit(0))
+    assert one(spark, lacks) == "sql_rows" and one(spark, evidence.next_action(lacks)) == "sql_query" and one(spark, evidence.confidence(F.lit(True), lacks)) == "low"
