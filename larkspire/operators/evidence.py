@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspire.functions.text import strip
+
 MAX_ITEM, MAX_TOTAL, TRUNCATED = 3000, 12_000, "\n... [truncated]"
 
 
@@ -41,7 +43,7 @@ def keywords(query: Column) -> Column:
 
 def summary(items: DataFrame, n: int = 3) -> DataFrame:
     """The n best distinct sentences of a request's texts; ties by place. items: request_id, query, position, text."""
-    parts = F.transform(F.split("text", "[。！？!?.]+"), F.trim)
+    parts = F.transform(F.split("text", "[。！？!?.]+"), strip)
     s = items.select("request_id", "query", "position", F.posexplode(F.filter(parts, lambda x: x != "")).alias("place", "sentence"))
     low = F.lower("sentence")
     score = F.size(F.filter(keywords(F.col("query")), lambda k: F.contains(low, k))) * 2 + F.least(F.floor(F.length("sentence") / 80).cast("int"), F.lit(2))
