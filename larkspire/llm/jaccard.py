@@ -12,9 +12,10 @@ are found with count vectors. The shingles of a set are hashed into groups, and
   of nodes with one signature is the data of one tree. One tree over everything would be right too, but in high
   dimensions its upper boxes overlap so much that it prunes nothing and its cost grows with the square of the corpus.
 
-Runs of near copies would cost the square of their size, so links are found in rounds. In the first rounds each node is
-verified against one node of another component in its runs; what is linked is contracted, and runs within one component
-are done. Only the runs that still hold several components go through the tree, with pairs of one component left out.
+Runs of near copies would cost the square of their size, so links are found in rounds. In the first each node is
+verified against one node of its runs; what is linked is contracted, and runs within one component are done. The runs
+that still hold several components go through the tree, with pairs of one component left out: first a forest of the
+likeliest pairs is verified, which joins most of what belongs together, and in the last round every pair that is left.
 A run of more than BLOCK nodes is dealt in blocks of its most frequent component, each with all nodes of the others, so
 no task holds a whole run. No pair is dropped, capped or sampled on the way: the components are exact.
 
@@ -39,14 +40,17 @@ from larkspire.llm.common import ints, key, keyed, shuffle_partitions, stored
 
 WORDS = 5
 PERCENT = 80
-DIMS = 128
+DIMS = 256
 LEAF = 32
 BLOCK = 4096
-ROUNDS = 2
-FLUSH = 1_500_000
+SLICE = 30_000
+PAIRS = 200_000
+#: After the first: all but the last verify a forest of likely pairs, the last all pairs that are left.
+ROUNDS = 3
+FLUSH = 600_000
 #: Tables of more rows are joined by a shuffle instead of being broadcast.
 BROADCAST_ROWS = 1_000_000
-CACHE = 600_000
+CACHE = 150_000
 
 _U = np.uint64
 
@@ -92,11 +96,12 @@ def node_of(s: np.ndarray) -> int:
 
 def point(s: np.ndarray) -> bytes:
     v = np.bincount((s >> _U(5)).astype(np.int64) % DIMS, minlength=DIMS)
-    return v.astype("<u2" if v.max(initial=0) < 1 << 16 else "<u4").tobytes()
+    most = v.max(initial=0)
+    return v.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def _points(raw) -> np.ndarray:
-    return np.array([np.frombuffer(b, "<u2" if len(b) == 2 * DIMS else "<u4") for b in raw], np.int32).reshape(-1, DIMS)
+    return np.array([np.frombuffer(b, f"<u{len(b) // DIMS}") for b in raw], np.int32).reshape(-1, DIMS)
 
 
 def _differ(n, m, percent: int = PERCENT):
@@ -120,7 +125,13 @@ _BOUNDS = np.array(_classes())
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
-    """One for each group that holds something, in each class in which the set may have a partner."""
+    """Of the first groups that hold two shingles or more, in each class in which the set may have a partner.
+
+    The first groups are as many as it takes for one more than a partner can spoil: of two linked sets the one that
+    needs fewer groups has at least one of them in common with the other. A group of one shingle would do as well, but
+    what it holds is often a passage that many documents share. Sets that have too few groups of two give the signatures
+    of all their groups besides, and if these are too few, those of single shingles: two such sets meet there.
+    """
     n = len(s)
     largest = n * 100 // PERCENT
     if largest < 5 or n < 4:
@@ -128,16 +139,20 @@ def signatures(s: np.ndarray) -> np.ndarray:
     m, out = _mix(s + _U(3)), []
     for c in range(int(np.searchsorted(_BOUNDS, max(n, 5))), int(np.searchsorted(_BOUNDS, largest)) + 1):
         top = int(_BOUNDS[c])
-        groups = -(-26 * top // 100) + 16
+        groups = -(-30 * top // 100) + 4
         g = (s >> _U(13)) % _U(groups)
         order = np.argsort(g, kind="stable")
         g = g[order]
         new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        need = _differ(n, min(largest, top)) + 1
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(m[order], new)
-            out.append(_mix(_mix(sums + _U(c + 1)) ^ _mix(g[new] + _U(1 << 20))))
-            if len(new) <= _differ(n, min(largest, top)):
-                out.append(_mix(m + _mix(np.array([c + (1 << 30)], _U))))  # too few groups hold something: single shingles, of such sets alone
+            found = _mix(_mix(np.add.reduceat(m[order], new) + _U(c + 1)) ^ _mix(g[new] + _U(1 << 20)))
+            several = found[np.diff(np.append(new, n)) > 1]
+            out.append(several[:need])
+            if len(several) < need:
+                out.append(_mix(found[:need] + _U(5)))
+                if len(found) < need:
+                    out.append(_mix(m + _mix(np.array([c + (1 << 30)], _U))))
     return np.concatenate(out)
 
 
@@ -179,9 +194,22 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _passes(docs: DataFrame, parts: int) -> DataFrame:
-    """The one pass over the texts. Rows of kind 0: a document's node, size and point; of kind 1: packed signatures for a part."""
-    schema = "kind int, doc_id long, node long, n long, point binary, part int, packed binary"
+def _owners(docs: DataFrame) -> DataFrame:
+    """Each document's node, number of shingles and point."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingles(t if isinstance(t, str) else None) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "doc_id": ints(map(keyed, pdf["doc_id"])), "node": ints(node_of(s) if len(s) else None for s in sets),
+                "n": np.fromiter(map(len, sets), np.int64, len(sets)), "point": [point(s) if len(s) else None for s in sets],
+            })
+
+    return docs.select(key(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, "doc_id long, node long, n long, point binary")
+
+
+def _signed(docs: DataFrame, parts: int) -> DataFrame:
+    """Signatures with their nodes, packed for each part. A set that a task has met already is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -190,18 +218,16 @@ def _passes(docs: DataFrame, parts: int) -> DataFrame:
         def flush() -> pd.DataFrame:
             counts = np.array([len(x) for x in sigs])
             sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), counts)
-            part = ((sig >> _U(33)) % _U(parts)).astype(np.int64)
+            part = ((sig >> _U(48)) % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             rows = [(p, _pack(sig[order[a:b]], node[order[a:b]])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            return pd.DataFrame({"kind": 1, "part": [r[0] for r in rows], "packed": [r[1] for r in rows]}, columns=_COLUMNS)
+            return pd.DataFrame(rows, columns=["part", "packed"])
 
         for pdf in batches:
-            out = []
-            for doc_id, text in zip(map(keyed, pdf["doc_id"]), pdf["text"], strict=True):
+            for text in pdf["text"]:
                 s = shingles(text if isinstance(text, str) else None)
                 node = node_of(s) if len(s) else None
-                out.append((0, doc_id, node, len(s), point(s) if len(s) else None, None, None))
                 if node is not None and node not in seen:
                     if len(seen) >= 2_000_000:
                         seen.clear()
@@ -214,27 +240,25 @@ def _passes(docs: DataFrame, parts: int) -> DataFrame:
                 if held >= FLUSH:
                     yield flush()
                     nodes, sigs, held = [], [], 0
-            frame = pd.DataFrame(out, columns=_COLUMNS)
-            yield frame.assign(doc_id=ints(r[1] for r in out), node=ints(r[2] for r in out), part=frame["part"].astype("Int32"))
         if held:
             yield flush()
 
-    return docs.select(key(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, schema)
-
-
-_COLUMNS = ["kind", "doc_id", "node", "n", "point", "part", "packed"]
+    return docs.select("text").mapInPandas(run, "part int, packed binary")
 
 
 def _pack(sig: np.ndarray, node: np.ndarray) -> bytes:
-    """Signatures with their nodes, a node once for each stretch of its signatures."""
+    """48 bits of each signature (the part has the rest) and its node, a node once for each stretch of its signatures."""
     new = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
     count = np.diff(np.append(new, len(node))).astype("<u4")
-    return np.array([len(new), len(sig)], "<u8").tobytes() + node[new].astype("<i8").tobytes() + sig.astype("<u8").tobytes() + count.tobytes()
+    low = (sig & _U(0xFFFFFFFF)).astype("<u4").tobytes() + ((sig >> _U(32)) & _U(0xFFFF)).astype("<u2").tobytes()
+    return np.array([len(new), len(sig)], "<u8").tobytes() + node[new].astype("<i8").tobytes() + count.tobytes() + low
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.frombuffer(raw, "<u8", 2).tolist()
-    node, sig, count = np.frombuffer(raw, "<i8", k, 16), np.frombuffer(raw, "<u8", n, 16 + 8 * k), np.frombuffer(raw, "<u4", k, 16 + 8 * (k + n))
+    node, count = np.frombuffer(raw, "<i8", k, 16), np.frombuffer(raw, "<u4", k, 16 + 8 * k)
+    at = 16 + 12 * k
+    sig = np.frombuffer(raw, "<u4", n, at).astype(_U) | (np.frombuffer(raw, "<u2", n, at + 4 * n).astype(_U) << _U(32))
     return sig, np.repeat(node, count)
 
 
@@ -252,7 +276,7 @@ def _sorted_runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _runs(packed: DataFrame, parts: int) -> DataFrame:
-    """Of each part its runs, packed, and the distinct sets of members hashed: equal runs are kept once."""
+    """Of each part its runs, packed; runs of equal members are kept once, with their number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by: dict[int, list] = {}
@@ -268,18 +292,23 @@ def _runs(packed: DataFrame, parts: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 name = np.add.reduceat(_mix(node.view(_U) + _U(17)), starts[:-1])  # runs with equal members have equal names
             size = np.diff(starts)
-            _, first = np.unique(name, return_index=True)
-            keep = np.repeat(np.isin(np.arange(len(size)), first), size)
-            yield pd.DataFrame({"part": [p], "packed": [np.repeat(name, size)[keep].astype("<u8").tobytes() + node[keep].astype("<i8").tobytes()]})
+            _, first, times = np.unique(name, return_index=True, return_counts=True)
+            weight = np.zeros(len(size), "<u4")
+            weight[first] = times
+            weight = np.repeat(weight, size)
+            keep = weight > 0
+            yield pd.DataFrame({"part": [p], "packed": [np.repeat(name, size)[keep].astype("<u8").tobytes() + node[keep].astype("<i8").tobytes() + weight[keep].tobytes()]})
 
     return packed.repartition(parts, "part").mapInPandas(run, "part int, packed binary")
 
 
-def _read_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = len(raw) // 16
+def _read_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each member the run's name, its node and how many runs have these members; then where runs begin (with the end)."""
+    k = len(raw) // 20
+    weight = np.frombuffer(raw, "<u4", k, 16 * k)
     name, node = np.frombuffer(raw, "<u8", k), np.frombuffer(raw, "<i8", k, 8 * k)
     new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if k else np.empty(0, np.int64)
-    return name.view(np.int64), node, np.append(new, k)
+    return name.view(np.int64), node, weight, np.append(new, k)
 
 
 def _open_runs(runs: DataFrame, labels: DataFrame | None, limit: int) -> DataFrame:
@@ -288,14 +317,10 @@ def _open_runs(runs: DataFrame, labels: DataFrame | None, limit: int) -> DataFra
 
     def rows(known, open_only: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            nodes, names = known.value if known is not None else (np.empty(0, np.int64),) * 2
             for pdf in batches:
                 for raw in pdf["packed"]:
-                    name, node, starts = _read_runs(raw)
-                    label = node.copy()
-                    if len(nodes):
-                        at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
-                        label = np.where(nodes[at] == node, names[at], node)
+                    name, node, _, starts = _read_runs(raw)
+                    label = _named(known, node)
                     if open_only:
                         size = np.diff(starts)
                         keep = np.repeat(np.minimum.reduceat(label, starts[:-1]) != np.maximum.reduceat(label, starts[:-1]), size)
@@ -306,72 +331,77 @@ def _open_runs(runs: DataFrame, labels: DataFrame | None, limit: int) -> DataFra
         return run
 
     if labels is None or labels.count() <= limit:
-        known = None
-        if labels is not None:
-            t = labels.select("node", "label").toArrow()
-            nodes, names = (t.column(i).to_numpy() for i in range(2))
-            order = np.argsort(nodes)
-            known = runs.sparkSession.sparkContext.broadcast((nodes[order], names[order]))
-        return runs.mapInPandas(rows(known, True), schema)
+        return runs.mapInPandas(rows(_known(labels), True), schema)
     all_rows = runs.mapInPandas(rows(None, False), schema).drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("run", "node", "label")
     several = all_rows.groupBy("run").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("run")
     return all_rows.join(several, "run", "left_semi")
 
 
 def _neighbours(runs: DataFrame, labels: DataFrame | None, limit: int) -> DataFrame:
-    """A pair for each node that isn't of the smallest label in one of its runs: the smallest node of that label in the run of least label."""
-    schema = "a long, label long, b long"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
-        for pdf in batches:
-            held.append(pdf)
-        if held:
-            pdf = pd.concat(held)
-            if len(pdf):
-                yield from _least(pdf["run"].to_numpy(), pdf["node"].to_numpy(), pdf["label"].to_numpy())
+    """A pair for each node that isn't of the least label in some of its runs: with the first node of that label with which it shares most signatures."""
+    schema = "a long, b long, times long"
 
-    def _least(name, node, label) -> Iterator[pd.DataFrame]:
+    def least(name, node, label, weight) -> pd.DataFrame:
         order = np.lexsort((node, label, name))
-        name, node, label = name[order], node[order], label[order]
-        new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        name, node, label, weight = name[order], node[order], label[order], weight[order]
+        new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
         size = np.diff(np.append(new, len(name)))
-        first_node, first_label = np.repeat(node[new], size), np.repeat(label[new], size)
-        other = label != first_label
-        a, lab, b = node[other], first_label[other], first_node[other]
-        order = np.lexsort((b, lab, a))
-        a, lab, b = a[order], lab[order], b[order]
-        keep = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.empty(0, bool)
-        yield pd.DataFrame({"a": a[keep], "label": lab[keep], "b": b[keep]})
+        other = label != np.repeat(label[new], size)
+        a, b, w = node[other], np.repeat(node[new], size)[other], weight[other].astype(np.int64)
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+        return pd.DataFrame({"a": a[first], "b": b[first], "times": np.add.reduceat(w, first) if len(first) else w})
 
     if labels is None or labels.count() <= limit:
+        known = _known(labels)
 
-        def packed(known):
-            def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                nodes, names = known.value if known is not None else (np.empty(0, np.int64),) * 2
-                for pdf in batches:
-                    for raw in pdf["packed"]:
-                        name, node, _ = _read_runs(raw)
-                        label = node
-                        if len(nodes):
-                            at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
-                            label = np.where(nodes[at] == node, names[at], node)
-                        yield from _least(name, node, label)
-
-            return go
-
-        known = None
-        if labels is not None:
-            t = labels.select("node", "label").toArrow()
-            nodes, names = (t.column(i).to_numpy() for i in range(2))
-            order = np.argsort(nodes)
-            known = runs.sparkSession.sparkContext.broadcast((nodes[order], names[order]))
-        found = runs.mapInPandas(packed(known), schema)
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for raw in pdf["packed"]:
+                    name, node, weight, _ = _read_runs(raw)
+                    yield least(name, node, _named(known, node), weight)
+
+        found = runs.mapInPandas(packed, schema)
     else:
         rows = _open_runs(runs, labels, limit)
         w = Window.partitionBy("run").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        found = rows.withColumn("f", F.first(F.struct("label", "node")).over(w)).where("label <> f.label").select(F.col("node").alias("a"), F.col("f.label").alias("label"), F.col("f.node").alias("b"))
-    return found.groupBy("a").agg(F.min(F.struct("label", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        found = rows.withColumn("f", F.first(F.struct("label", "node")).over(w)).where("label <> f.label").select(F.col("node").alias("a"), F.col("f.node").alias("b"), F.lit(1).cast("long").alias("times"))
+    pairs = found.groupBy("a", "b").agg(F.sum("times").alias("times"))
+    return pairs.groupBy("a").agg(F.max(F.struct("times", F.negative("b").alias("b"))).alias("m")).select("a", F.negative("m.b").alias("b"))
+
+
+def _known(labels: DataFrame | None):
+    """The labels, broadcast as two sorted arrays; their number has been checked."""
+    if labels is None:
+        return None
+    t = labels.select("node", "label").toArrow()
+    nodes, names = (t.column(i).to_numpy() for i in range(2))
+    order = np.argsort(nodes)
+    return labels.sparkSession.sparkContext.broadcast((nodes[order], names[order]))
+
+
+def _named(known, node: np.ndarray) -> np.ndarray:
+    if known is None or not len(known.value[0]):
+        return node
+    nodes, names = known.value
+    at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+    return np.where(nodes[at] == node, names[at], node)
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, limit: int, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose points allow a link."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = _points(pdf["pa"]), _points(pdf["pb"])
+                good = linked(np.minimum(x, y).sum(1), x.sum(1), y.sum(1), percent)
+                yield pdf.loc[good, ["a", "b"]]
+
+    some = points.join(_small(pairs, limit), F.col("node") == F.col("a")).select("a", "b", F.col("point").alias("pa"))
+    some = stored(some, "points-a")
+    return points.join(_small(some, limit // 8), F.col("node") == F.col("b")).select("a", "b", "pa", F.col("point").alias("pb")).mapInPandas(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: int, percent: int = PERCENT) -> DataFrame:
@@ -419,8 +449,8 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _tree_pairs(rows: DataFrame, points: DataFrame, limit: int) -> DataFrame:
-    """Pairs of nodes with different labels that meet in a run and pass the bound."""
+def _tree_pairs(rows: DataFrame, points: DataFrame, limit: int, forest: bool = False) -> DataFrame:
+    """Pairs of nodes with different labels that meet in a run and pass the bound; or of these a forest over the labels, likeliest pairs first."""
     members = stored(rows, "open")
     if members.isEmpty():
         return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -434,24 +464,130 @@ def _tree_pairs(rows: DataFrame, points: DataFrame, limit: int) -> DataFrame:
     some = stored(points.join(_small(wanted, limit), "node", "left_semi"), "open-points")
     full = placed.join(_small(some, limit // 4), "node")
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
-        found = [(node[x], node[y]) for x, y in RTree(_points(pdf["point"])).pairs(label)]
-        if not found:
-            return pd.DataFrame(columns=["a", "b"]).astype("int64")
-        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= SLICE:
+                pdf = pd.concat(held)
+                new = _begins(pdf["run"].to_numpy(), pdf["block"].to_numpy())
+                yield from _run_pairs(pdf.iloc[: new[-1]], forest)
+                held = [pdf.iloc[new[-1] :]]  # the last run may go on
+                size = len(held[0])
+        if held:
+            yield from _run_pairs(pd.concat(held), forest)
+
+    return full.repartition(shuffle_partitions(rows.sparkSession), "run", "block").sortWithinPartitions("run", "block").mapInPandas(run, "a long, b long").distinct()
+
+
+def _begins(run: np.ndarray, block: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (block[1:] != block[:-1])])) if len(run) else np.zeros(1, np.int64)
+
+
+def _run_pairs(pdf: pd.DataFrame, forest: bool) -> Iterator[pd.DataFrame]:
+    """Pairs that the bound leaves in whole runs: one leaf for short ones, all of whose pairs are taken together and once, an R-tree for the others. At most some PAIRS of them are held at a time."""
+    if not len(pdf):
+        return
+    node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
+    names, first, at = np.unique(node, return_index=True, return_inverse=True)
+    points, named = _points(pdf["point"].to_numpy()[first]), label[first]
+    total = points.sum(1)
+    new = _begins(pdf["run"].to_numpy(), pdf["block"].to_numpy())
+    size = np.diff(np.append(new, len(pdf)))
+
+    def short() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        keys = []
+        for k in np.unique(size[size <= 2 * LEAF]).tolist():
+            i, j = np.triu_indices(k, 1)
+            every, step = new[size == k], max(1, PAIRS // max(1, len(i)))
+            for s in range(0, len(every), step):
+                starts = every[s : s + step, None]
+                x, y = at[(starts + i).ravel()], at[(starts + j).ravel()]
+                other = named[x] != named[y]
+                keys.append(np.unique(np.maximum(x, y)[other] * len(names) + np.minimum(x, y)[other]))
+        pairs = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        for i in range(0, len(pairs), 10_000):
+            x, y = np.divmod(pairs[i : i + 10_000], len(names))
+            near = (100 * total[x] >= PERCENT * total[y]) & (100 * total[y] >= PERCENT * total[x])
+            x, y = x[near], y[near]
+            good = linked(np.minimum(points[x], points[y]).sum(1), total[x], total[y])
+            yield x[good], y[good]
+
+    def long() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b, k in zip(new[size > 2 * LEAF].tolist(), size[size > 2 * LEAF].tolist(), strict=True):
+            mine = at[b : b + k]
+            for x, y in RTree(points[mine]).pairs(named[mine]):
+                yield mine[x], mine[y]
+
+    def thinned(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs once; in a forest's round the forest of them, likeliest pairs first."""
+        x, y = np.divmod(np.unique(np.maximum(x, y) * len(names) + np.minimum(x, y)), len(names))
+        if not forest or not len(x):
+            return x, y
+        most = np.concatenate([np.minimum(points[x[a : a + 10_000]], points[y[a : a + 10_000]]).sum(1) for a in range(0, len(x), 10_000)])
+        keep = _forest(named[x], named[y], np.argsort(-most / (total[x] + total[y]), kind="stable"))
+        return x[keep], y[keep]
+
+    held, n = [], 0
+    for found in (short(), long()):
+        for pair in found:
+            held.append(pair)
+            n += len(pair[0])
+            if n >= PAIRS:
+                x, y = thinned(*(np.concatenate(v) for v in zip(*held, strict=True)))
+                if not forest:
+                    yield _named_pairs(names[x], names[y])
+                held, n = ([(x, y)], 0) if forest else ([], 0)
+    if held:
+        x, y = thinned(*(np.concatenate(v) for v in zip(*held, strict=True)))
+        yield _named_pairs(names[x], names[y])
+
+
+def _named_pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
+    """The edges, taken in order, that join two trees."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    out = []
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            out.append(i)
+    return out
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, limit: int) -> DataFrame:
+    """node and items of the nodes in the pairs, made from the texts again. The same set may come from several rows of one doc_id, or of none; that does no harm."""
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+    wanted = stored(reps.join(_small(nodes, limit), "node", "left_semi").select("doc_id").distinct(), "wanted")
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = texts.where("doc_id IS NOT NULL").join(_small(wanted, limit), "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(node_of(s), s.astype("<u8").tobytes()) for s in map(shingles, pdf["text"]) if len(s)]
+            yield pd.DataFrame(found, columns=["node", "items"]).astype({"node": "int64"})
 
-    return full.groupBy("run", "block").applyInPandas(pairs, "a long, b long").distinct()
+    return chosen.select("text").mapInPandas(items, "node long, items binary").join(_small(nodes, limit), "node", "left_semi")
 
 
 def join(docs: DataFrame, limit: int = BROADCAST_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_hash of every row."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    first = stored(_passes(docs, parts), "shingled")
-    owners = first.where("kind = 0").select("doc_id", "node", "n", "point")
-    runs = stored(_runs(first.where("kind = 1").select("part", "packed"), parts), "runs")
+    owners = stored(_owners(docs), "owners")
+    runs = stored(_runs(_signed(docs, parts), parts), "runs")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -461,30 +597,21 @@ def join(docs: DataFrame, limit: int = BROADCAST_ROWS, rounds: int = ROUNDS) ->
     met = stored(runs.mapInPandas(members, "node long").distinct(), "met")
     reps = owners.where("node IS NOT NULL").join(_small(met, limit), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point"))
     reps = stored(reps, "nodes")
+    points = reps.select("node", "point")
 
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(node_of(s), s.astype("<u8").tobytes()) for s in map(shingles, pdf["text"]) if len(s)]
-            yield pd.DataFrame(found, columns=["node", "items"]).astype({"node": "int64"})
-
-    wanted = stored(reps.select("doc_id").distinct(), "wanted")
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = texts.where("doc_id IS NOT NULL").join(_small(wanted, limit), "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
-    sets = chosen.select("text").mapInPandas(items, "node long, items binary")
-    # The same set may come from several rows of one doc_id or of none; each is verified alike, so repeats do no harm.
-    sets = stored(sets.join(_small(met, limit), "node", "left_semi"), "sets")
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        return stored(_verified(pairs, stored(_sets(docs, pairs, reps, limit), "sets"), limit), "links")
 
     edges, labels = None, None
-    for _ in range(rounds):
-        new = stored(_verified(stored(_neighbours(runs, labels, limit), "pairs"), sets, limit), "links")
-        if new.isEmpty():
-            break
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
-    last = _tree_pairs(_open_runs(runs, labels, limit), reps.select("node", "point"), limit)
-    new = stored(_verified(stored(last, "tree-pairs"), sets, limit), "links")
-    if not new.isEmpty():
-        labels = components(new if edges is None else edges.unionByName(new))
+    for k in range(1 + rounds):
+        if k == 0:
+            pairs = _bounded(stored(_neighbours(runs, labels, limit), "neighbours"), points, limit)
+        else:
+            pairs = _tree_pairs(_open_runs(runs, labels, limit), points, limit, forest=k < rounds)
+        new = linked_pairs(stored(pairs, "pairs"))
+        if not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            labels = components(edges)
     mine = owners.select("doc_id", "n", "node")
     if labels is None:
         rooted = mine.withColumn("root", F.col("node"))
