@@ -80,12 +80,12 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Open:
-    """An open element: its tag, token, whether it or what it stands in is left out, and whether it is the article."""
+    """An open element: its tag, token, whether it or what it stands in is left out, whether it is the article, what it stands in, and the characters of text below it."""
 
-    __slots__ = ("tag", "token", "away", "inside")
+    __slots__ = ("tag", "token", "away", "inside", "up", "chars")
 
-    def __init__(self, tag, token, away, inside):
-        self.tag, self.token, self.away, self.inside = tag, token, away, inside
+    def __init__(self, tag, token, away, inside, up=None):
+        self.tag, self.token, self.away, self.inside, self.up, self.chars = tag, token, away, inside, up, 0
 
 
 _ROOT = 0x51ED270B
@@ -134,7 +134,7 @@ def walk(html: str):
                         break
             words = _words(attributes)
             top = stack[-1]
-            e = _Open(what, _token(top.token, what, words), top.away or _away(what, words), False)
+            e = _Open(what, _token(top.token, what, words), top.away or _away(what, words), False, top)
             yield "open", e, words
             if what in VOID:
                 yield "close", e, ()
@@ -151,24 +151,32 @@ def walk(html: str):
 
 
 def tokens(html: str) -> dict[int, list]:
-    """Of each token of a page: its count, rank, whether it is left out, and the characters of text right below it."""
+    """Of each token of a page: its count, rank, whether it is left out, the characters of text (in its whole subtree where it has a rank, else right below it), and its depth."""
     out: dict[int, list] = {}
     for kind, e, what in walk(html):
         if kind == "open":
             got = out.get(e.token)
             if got is None:
-                out[e.token] = [1, rank(e.tag, what), e.away, 0]
+                out[e.token] = [1, rank(e.tag, what), e.away, 0, out[e.up.token][4] + 1 if e.up.up else 1]
             else:
                 got[0] += 1
-        elif kind == "text" and e.token != _ROOT:
-            out[e.token][3] += len(what.strip())
+        elif kind == "text":
+            if not e.away:
+                n = len(what.strip())
+                e.chars += n
+                if e.token != _ROOT and not out[e.token][1]:
+                    out[e.token][3] += n
+        else:
+            if out[e.token][1]:
+                out[e.token][3] += e.chars
+            e.up.chars += e.chars
     return out
 
 
-def choose(found: list[tuple[int, int, bool, int]]) -> int:
-    """The content token among (token, rank, left out, characters): best rank, then most text; 0 if there is none."""
-    good = [(r, c, t) for t, r, away, c in found if not away and (r or c)]
-    return max(good)[2] if good else 0
+def choose(found: list[tuple[int, int, bool, int, int]]) -> int:
+    """The content token among (token, rank, left out, characters, depth): best rank, then most text, then the outermost; 0 if there is none."""
+    good = [(r, c, -d, t) for t, r, away, c, d in found if not away and c]
+    return max(good)[3] if good else 0
 
 
 def main_text(html: str | None, content: int) -> str:
@@ -177,7 +185,7 @@ def main_text(html: str | None, content: int) -> str:
         return ""
     text = _slots(html, content) if content else None
     if text is None:
-        own = choose([(t, v[1], v[2], v[3]) for t, v in tokens(html).items()])
+        own = choose([(t, *v[1:]) for t, v in tokens(html).items()])
         text = _slots(html, own) if own else None
     return text or ""
 
@@ -220,7 +228,7 @@ def _host():
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """host and content: the content token of the host's template."""
-    schema = "host string, token long, pages long, vector long, rank int, away boolean, chars long"
+    schema = "host string, token long, pages long, vector long, rank int, away boolean, chars long, depth int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[str, int], list] = {}
@@ -228,11 +236,11 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
             for host, page, text in zip(pdf["host"], pdf["page_id"].astype(object), pdf["html"], strict=True):
                 if not isinstance(text, str) or not text:
                     continue
-                for token, (count, r, away, chars) in tokens(text).items():
+                for token, (count, r, away, chars, depth) in tokens(text).items():
                     h = xxhash.xxh3_64_intdigest(f"{page} {count}")
                     got = sums.get((host, token))
                     if got is None:
-                        sums[host, token] = [1, h, r, away, chars]
+                        sums[host, token] = [1, h, r, away, chars, depth]
                     else:
                         got[0] += 1
                         got[1] = (got[1] + h) & 0xFFFFFFFFFFFFFFFF
@@ -244,18 +252,18 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     parts = pages.select(_host().alias("host"), "page_id", "html").mapInPandas(run, schema)
     mixed = F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")
-    found = stored(parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), mixed, F.max("rank").alias("rank"), F.max("away").alias("away"), F.sum("chars").alias("chars")), "tokens")
+    found = stored(parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), mixed, F.max("rank").alias("rank"), F.max("away").alias("away"), F.sum("chars").alias("chars"), F.max("depth").alias("depth")), "tokens")
     most = found.groupBy("host").agg(F.max("pages").alias("of"))
     valid = found.join(most, "host").where(F.col("pages") >= support * F.col("of"))
     # A class: tokens with one occurrence vector. Its best token speaks for it; text is the class's.
-    best = F.max(F.struct("rank", "chars", "token"))
-    classes = valid.where("NOT away AND (rank > 0 OR chars > 0)").groupBy("host", "pages", "vector").agg(best.alias("best"))
-    return classes.groupBy("host").agg(F.max(F.struct("best.rank", "best.chars", "best.token")).alias("b")).select("host", F.col("b.token").alias("content"))
+    best = F.max(F.struct("rank", "chars", (-F.col("depth")).alias("up"), "token"))
+    classes = valid.where("NOT away AND chars > 0").groupBy("host", "pages", "vector").agg(best.alias("best"))
+    return classes.groupBy("host").agg(F.max(F.struct("best.rank", "best.chars", "best.up", "best.token")).alias("b")).select("host", F.col("b.token").alias("content"))
 
 
 def _sums(sums: dict) -> pd.DataFrame:
-    rows = [(h, t, n, v - (1 << 64) if v >> 63 else v, r, a, c) for (h, t), (n, v, r, a, c) in sums.items()]
-    return pd.DataFrame(rows, columns=["host", "token", "pages", "vector", "rank", "away", "chars"])
+    rows = [(h, t, n, v - (1 << 64) if v >> 63 else v, r, a, c, d) for (h, t), (n, v, r, a, c, d) in sums.items()]
+    return pd.DataFrame(rows, columns=["host", "token", "pages", "vector", "rank", "away", "chars", "depth"])
 
 
 def extract(pages: DataFrame) -> DataFrame:

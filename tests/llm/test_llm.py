@@ -284,6 +284,21 @@ def test_template_finds_the_slot(spark):
     assert extract.extract(df.where("false")).count() == 0
 
 
+def hosts(spark, pages):
+    """The texts of pages (by host, each 8 times with its number in place of {0})."""
+    rows = [(i, f"http://{h}/{i}", p.replace("{0}", str(i))) for h, p in pages.items() for i in range(8)]
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 3").collect()
+    return {r["url"].split("/")[2]: r["text"] for r in got}
+
+
+def test_text_of_the_whole_subtree_decides(spark):
+    long = "a long text of page {0} with many words in it"
+    pages = {"a": f"<body><article class=post><p>{long}</p></article><article class=teaser>short {{0}}</article>", "b": f"<body><div id=content><p>{long}</p><div class=text>note {{0}}</div></div>"}
+    want = {"a": long.replace("{0}", "3"), "b": long.replace("{0}", "3") + "\nnote 3"}
+    assert hosts(spark, pages) == want
+    assert {h: extract.main_text(p.replace("{0}", "3"), 0) for h, p in pages.items()} == want
+
+
 # Jaccard join
 
 
