@@ -3,12 +3,18 @@
 A token is an element start with its role: the hash of the tags (and of the class and id words) from the root down to it.
 Its occurrence vector says how often it stands in each page of the host. Vectors are never built: a token's vector is
 held as the number of its pages and the wrapping sum of a hash of (page, count), so partial sums meet in a shuffle and a
-host that has a third of all pages is no larger than another. Tokens of a host with equal vectors form a class. Valid
-classes (in half of the host's pages at least, so a host has no more of them than two pages have tokens) are nested by
-their tokens' parents into the host's template. The slot that holds the article is the template's content token; menus,
-headers, footers, sidebars, notices, adverts, forms, scripts and comments are slots of their own, found by their tags and
+host that has a third of all pages is no larger than another. Tokens of a host with equal vectors form a class. Tokens
+in half of the host's pages at least (so a host has no more of them than two pages have) are nested by their parents
+into the host's template. A class is part of the template if it has two tokens at least, or its token is marked (article,
+main, or by class words) or on nine pages of ten. Of these, containers (div, section, td and the like) of classes that stand once on a page
+can be slots; classes that repeat (paragraphs, list items, teasers) and tokens of no class fill the slot they stand in.
+
+The content slot is the lowest such element that holds the text that varies between pages: from the root, or from the
+marked element with most text, down to the element that holds most of it, as long as that leaves no paragraphs or h1
+behind. Text that is the same on every page of its token doesn't count for this, but is extracted where it stands in
+the slot. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are found by their tags and
 class words, and are left out wherever they stand. Pages that lack the template's content token are read by the same
-rule on their own tokens.
+rule as a host of one page.
 
 Null and empty html give an empty text, as do pages without an article. Pages of the same id are read row by row. A null
 url belongs to the host ''. An empty table gives an empty result. Extra columns are ignored.
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +51,13 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-SUPPORT = 0.5
+#: Elements that can be slots; all others fill the slot that they stand in.
+CONTAINERS = frozenset("html body main article section div td center".split())
+#: Shares: of a host's pages that a token of the template needs; of the text that an element needs to be gone down to, and a marked one to begin at; of the text that may be left right above.
+SUPPORT, MOST, MARKED, LOOSE = 0.5, 0.5, 0.2, 0.1
+#: Odd pages of a large host don't count: so large a share of the pages is all, so large a share of the elements on a page of its own is once.
+EVERY = 0.9
+CONTAINER, HEADING = 2, 1
 
 
 def _words(attributes: str) -> tuple[str, ...]:
@@ -88,7 +101,7 @@ class _Open:
         self.tag, self.token, self.away, self.inside, self.up, self.chars = tag, token, away, inside, up, 0
 
 
-_ROOT = 0x51ED270B
+_ROOT, _LONG = 0x51ED270B, (1 << 63) - 1
 _known: dict[tuple, int] = {}
 
 
@@ -150,33 +163,87 @@ def walk(html: str):
         yield "close", stack.pop(), ()
 
 
-def tokens(html: str) -> dict[int, list]:
-    """Of each token of a page: its count, rank, whether it is left out, the characters of text (in its whole subtree where it has a rank, else right below it), and its depth."""
-    out: dict[int, list] = {}
+class Token:
+    """A token of a page or a host: its parent token, rank, kind, whether it is left out; how often it stands, characters of text that isn't left out in its whole subtree and right below it, and the least and largest hash of the latter."""
+
+    __slots__ = ("parent", "rank", "kind", "away", "count", "chars", "own", "low", "high", "pages", "vector")
+
+    def __init__(self, parent, rank, kind, away, count=0, chars=0, own=0, low=0, high=0, pages=1, vector=0):
+        self.parent, self.rank, self.kind, self.away, self.count, self.chars, self.own, self.low, self.high = parent, rank, kind, away, count, chars, own, low, high
+        self.pages, self.vector = pages, vector
+
+
+def tokens(html: str) -> dict[int, Token]:
+    """The tokens of a page."""
+    out: dict[int, Token] = {}
+    total = 0
     for kind, e, what in walk(html):
         if kind == "open":
             got = out.get(e.token)
             if got is None:
-                out[e.token] = [1, rank(e.tag, what), e.away, 0, out[e.up.token][4] + 1 if e.up.up else 1]
-            else:
-                got[0] += 1
+                got = out[e.token] = Token(e.up.token, rank(e.tag, what), CONTAINER if e.tag in CONTAINERS else HEADING if e.tag == "h1" else 0, e.away)
+            got.count += 1
         elif kind == "text":
-            if not e.away:
-                n = len(what.strip())
-                e.chars += n
-                if e.token != _ROOT and not out[e.token][1]:
-                    out[e.token][3] += n
+            text = "" if e.away else what.strip()
+            if text:
+                e.chars += len(text)
+                total += len(text)
+                if e.token != _ROOT:
+                    got = out[e.token]
+                    got.own += len(text)
+                    got.low = (got.low + xxhash.xxh3_64_intdigest(text)) & _LONG
         else:
-            if out[e.token][1]:
-                out[e.token][3] += e.chars
+            out[e.token].chars += e.chars
             e.up.chars += e.chars
+    out[_ROOT] = Token(0, 0, 0, False, 1, total)
+    for got in out.values():
+        got.high, got.vector = got.low, got.count
     return out
 
 
-def choose(found: list[tuple[int, int, bool, int, int]]) -> int:
-    """The content token among (token, rank, left out, characters, depth): best rank, then most text, then the outermost; 0 if there is none."""
-    good = [(r, c, -d, t) for t, r, away, c, d in found if not away and c]
-    return max(good)[3] if good else 0
+def choose(found: dict[int, Token], of: int) -> int:
+    """The content token of a host of so many pages: _ROOT if the text stands in no slot, 0 if there is none."""
+    found = {t: x for t, x in found.items() if not x.away}
+    below: dict[int, list[int]] = {}
+    for t, x in found.items():
+        below.setdefault(x.parent, []).append(t)
+    order, depth = [_ROOT], {_ROOT: 0}
+    for t in order:
+        for c in below.get(t, ()):
+            depth[c] = depth[t] + 1
+            order.append(c)
+    sizes = Counter((x.pages, x.vector) for x in found.values())
+    slots = {
+        t for t, x in found.items()
+        if x.kind == CONTAINER and (x.rank or sizes[x.pages, x.vector] > 1 or x.pages >= EVERY * of) and (x.rank > 1 or x.count * EVERY <= x.pages)
+    }
+    text, loose, heads, inner = {}, {}, {}, {}
+    for t in reversed(order):
+        x, under = found[t], below.get(t, ())
+        left = x.chars - sum(found[c].chars for c in under)
+        if of > 1 and x.pages > 1 and x.low == x.high:  # the same text on every page
+            left -= x.own
+        text[t] = left + sum(text[c] for c in under)
+        loose[t] = left + sum(loose[c] for c in under if c not in slots)
+        heads[t] = sum(heads[c] for c in under) + (x.kind == HEADING and text[t] > 0)
+        inner[t] = [s for c in under for s in ([c] if c in slots else inner.pop(c))]
+    if not text[_ROOT]:
+        return 0
+
+    def share(t: int) -> float:
+        return text[t] / found[t].pages
+
+    def largest(these: list[int]) -> int | None:
+        return max(these, key=lambda t: (share(t), -depth[t], t), default=None)
+
+    marked = [t for t in slots if found[t].rank and share(t) >= MARKED * share(_ROOT)]
+    at = largest(marked) or _ROOT
+    while (c := largest(inner[at])) is not None and share(c) >= MOST * share(at):
+        here, there = found[at].rank, found[c].rank
+        if here and there <= here or (here or there < 2) and (loose[at] > LOOSE * text[at] or heads[at] > heads[c]):
+            break
+        at = c
+    return at
 
 
 def main_text(html: str | None, content: int) -> str:
@@ -185,13 +252,13 @@ def main_text(html: str | None, content: int) -> str:
         return ""
     text = _slots(html, content) if content else None
     if text is None:
-        own = choose([(t, *v[1:]) for t, v in tokens(html).items()])
+        own = choose(tokens(html), 1)
         text = _slots(html, own) if own else None
     return text or ""
 
 
 def _slots(html: str, content: int) -> str | None:
-    blocks, run, inside, seen = [], [], 0, False
+    blocks, run, inside, seen = [], [], int(content == _ROOT), content == _ROOT
 
     def flush() -> None:
         if run:
@@ -228,42 +295,47 @@ def _host():
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """host and content: the content token of the host's template."""
-    schema = "host string, token long, pages long, vector long, rank int, away boolean, chars long, depth int"
+    columns = ["host", "token", *Token.__slots__]
+    schema = "host string, token long, parent long, rank int, kind int, away boolean, count long, chars long, own long, low long, high long, pages long, vector long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int], list] = {}
+        sums: dict[tuple[str, int], Token] = {}
         for pdf in batches:
             for host, page, text in zip(pdf["host"], pdf["page_id"].astype(object), pdf["html"], strict=True):
                 if not isinstance(text, str) or not text:
                     continue
-                for token, (count, r, away, chars, depth) in tokens(text).items():
-                    h = xxhash.xxh3_64_intdigest(f"{page} {count}")
+                for token, x in tokens(text).items():
+                    x.vector = xxhash.xxh3_64_intdigest(f"{page} {x.count}")
                     got = sums.get((host, token))
                     if got is None:
-                        sums[host, token] = [1, h, r, away, chars, depth]
+                        sums[host, token] = x
                     else:
-                        got[0] += 1
-                        got[1] = (got[1] + h) & 0xFFFFFFFFFFFFFFFF
-                        got[4] += chars
+                        got.pages += 1
+                        got.vector = (got.vector + x.vector) & 0xFFFFFFFFFFFFFFFF
+                        got.count, got.chars, got.own = got.count + x.count, got.chars + x.chars, got.own + x.own
+                        got.low, got.high = min(got.low, x.low), max(got.high, x.high)
             if len(sums) > 200_000:
-                yield _sums(sums)
+                yield rows(sums)
                 sums = {}
-        yield _sums(sums)
+        yield rows(sums)
+
+    def rows(sums: dict) -> pd.DataFrame:
+        for x in sums.values():
+            x.vector -= (x.vector >> 63) << 64
+        return pd.DataFrame([(*k, *(getattr(x, c) for c in Token.__slots__)) for k, x in sums.items()], columns=columns)
+
+    def slot(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = {int(t): Token(*values) for t, *values in pdf[columns[1:]].itertuples(index=False)}
+        return pd.DataFrame({"host": pdf["host"][:1], "content": [choose(found, found[_ROOT].pages)]})
 
     parts = pages.select(_host().alias("host"), "page_id", "html").mapInPandas(run, schema)
     mixed = F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")
-    found = stored(parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), mixed, F.max("rank").alias("rank"), F.max("away").alias("away"), F.sum("chars").alias("chars"), F.max("depth").alias("depth")), "tokens")
-    most = found.groupBy("host").agg(F.max("pages").alias("of"))
-    valid = found.join(most, "host").where(F.col("pages") >= support * F.col("of"))
-    # A class: tokens with one occurrence vector. Its best token speaks for it; text is the class's.
-    best = F.max(F.struct("rank", "chars", (-F.col("depth")).alias("up"), "token"))
-    classes = valid.where("NOT away AND chars > 0").groupBy("host", "pages", "vector").agg(best.alias("best"))
-    return classes.groupBy("host").agg(F.max(F.struct("best.rank", "best.chars", "best.up", "best.token")).alias("b")).select("host", F.col("b.token").alias("content"))
-
-
-def _sums(sums: dict) -> pd.DataFrame:
-    rows = [(h, t, n, v - (1 << 64) if v >> 63 else v, r, a, c, d) for (h, t), (n, v, r, a, c, d) in sums.items()]
-    return pd.DataFrame(rows, columns=["host", "token", "pages", "vector", "rank", "away", "chars", "depth"])
+    same = [F.max(c).alias(c) for c in ("parent", "rank", "kind", "away")]
+    added = [F.sum(c).alias(c) for c in ("count", "chars", "own")]
+    found = stored(parts.groupBy("host", "token").agg(*same, *added, F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"), mixed), "tokens")
+    most = found.where(F.col("token") == _ROOT).select("host", F.col("pages").alias("of"))
+    # A host has at most 1 / support times the tokens of a page here.
+    return found.join(most, "host").where(F.col("pages") >= support * F.col("of")).drop("of").groupBy("host").applyInPandas(slot, "host string, content long")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -299,6 +299,25 @@ def test_text_of_the_whole_subtree_decides(spark):
     assert {h: extract.main_text(p.replace("{0}", "3"), 0) for h, p in pages.items()} == want
 
 
+def test_classes_decide_the_slot(spark):
+    """Whole slots on hosts without marks; a box that only a class tells from a paragraph; a list that repeats."""
+    long = "a long text of page {0} with many words in it"
+    pages = {
+        "plain": f"<body><div class=q7><h1>title {{0}}</h1><p>{long}</p><ul><li>one {{0}}<li>two</ul><p>{long}, more</p></div><div class=box>side {{0}}</div></body>",
+        "heading": f"<div class=x><div class=t><h1>title {{0}}</h1></div><div class=u><p>{long}</p></div></div>",
+        "repeated": f"<div class=x><div class=u><p>{long}</p></div><div class=u><p>{long}, more</p></div><div class=v>end {{0}}</div></div>",
+        "constant": f"<div class=x><div class=u><p>{long}</p><p>same</p></div><div class=v>{'the same on every page ' * 9}</div></div>",
+        "loose": f"<p>{long}</p><div class=x>short {{0}}</div>",
+    }
+    text = long.replace("{0}", "3")
+    got = hosts(spark, pages)
+    assert got["plain"] == f"title 3\n{text}\none 3\ntwo\n{text}, more"
+    assert got["heading"] == f"title 3\n{text}"
+    assert got["repeated"] == f"{text}\n{text}, more\nend 3"
+    assert got["constant"] == f"{text}\nsame"
+    assert got["loose"] == f"{text}\nshort 3"
+
+
 # Jaccard join
 
 
