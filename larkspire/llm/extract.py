@@ -12,9 +12,15 @@ can be slots; classes that repeat (paragraphs, list items, teasers) and tokens o
 The content slot is the lowest such element that holds the text that varies between pages: from the root, or from the
 marked element with most text, down to the element that holds most of it, as long as that leaves no paragraphs or h1
 behind. Text that is the same on every page of its token doesn't count for this, but is extracted where it stands in
-the slot. Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are found by their tags and
-class words, and are left out wherever they stand. Pages that lack the template's content token are read by the same
-rule as a host of one page.
+the slot. Menus, headers, footers, asides, forms and scripts are found by their tags and left out wherever they stand.
+
+Class words of sidebars, notices, adverts, comments and the like are only a hint, since wrappers have them too
+(has-sidebar, comments-open), and say nothing on html, body, main and article. Elsewhere an element with such a word is
+left out if it is a slot of the template beside or in the content slot: on two pages and one in twenty at least. One that
+holds most of the text is opened and searched if what stands outside can't be the article: it has no article or main, and
+either a mark or h1 stands inside alone, or there are paragraphs inside and next to no text outside.
+
+Pages that lack the template's content token are read by the same rule as a host of one page.
 
 Null and empty html give an empty text, as do pages without an article. Pages of the same id are read row by row. A null
 url belongs to the host ''. An empty table gives an empty result. Extra columns are ignored.
@@ -25,7 +31,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,10 +60,13 @@ _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 #: Elements that can be slots; all others fill the slot that they stand in.
 CONTAINERS = frozenset("html body main article section div td center".split())
 #: Shares: of a host's pages that a token of the template needs; of the text that an element needs to be gone down to, and a marked one to begin at; of the text that may be left right above.
+#: Of a host's pages, that an element with a word of AWAY needs to be left out.
+AGREED = 0.05
 SUPPORT, MOST, MARKED, LOOSE = 0.5, 0.5, 0.2, 0.1
 #: Odd pages of a large host don't count: so large a share of the pages is all, so large a share of the elements on a page of its own is once.
 EVERY = 0.9
-CONTAINER, HEADING = 2, 1
+PARAGRAPH, CONTAINER, HEADING = 3, 2, 1
+_KINDS = dict.fromkeys(CONTAINERS, CONTAINER) | {"h1": HEADING, "p": PARAGRAPH}
 
 
 def _words(attributes: str) -> tuple[str, ...]:
@@ -125,11 +134,12 @@ def rank(tag: str, words: tuple[str, ...]) -> int:
 
 
 def _away(tag: str, words: tuple[str, ...]) -> bool:
-    return tag in DROPPED or not AWAY.isdisjoint(words)
+    """Whether class words hint that an element isn't the article's."""
+    return not AWAY.isdisjoint(words) and tag not in ("html", "body", "main", "article")
 
 
-def walk(html: str):
-    """("open", element, words), ("close", element, ()) and ("text", element, text) with elements nested as browsers do, roughly."""
+def walk(html: str, shut: Collection[int] = ()):
+    """Elements of DROPPED and of the tokens in shut are left out. ("open", element, words), ("close", element, ()) and ("text", element, text) with elements nested as browsers do, roughly."""
     stack = [_Open("", _ROOT, False, False)]
     for kind, what, attributes in events(html):
         if kind == "text":
@@ -147,7 +157,8 @@ def walk(html: str):
                         break
             words = _words(attributes)
             top = stack[-1]
-            e = _Open(what, _token(top.token, what, words), top.away or _away(what, words), False, top)
+            token = _token(top.token, what, words)
+            e = _Open(what, token, top.away or what in DROPPED or token in shut, False, top)
             yield "open", e, words
             if what in VOID:
                 yield "close", e, ()
@@ -164,7 +175,7 @@ def walk(html: str):
 
 
 class Token:
-    """A token of a page or a host: its parent token, rank, kind, whether it is left out; how often it stands, characters of text that isn't left out in its whole subtree and right below it, and the least and largest hash of the latter."""
+    """A token of a page or a host: its parent token, rank, kind, whether its class words hint that it is to be left out; how often it stands, characters of text in its whole subtree and right below it, and the least and largest hash of the latter."""
 
     __slots__ = ("parent", "rank", "kind", "away", "count", "chars", "own", "low", "high", "pages", "vector")
 
@@ -174,17 +185,19 @@ class Token:
 
 
 def tokens(html: str) -> dict[int, Token]:
-    """The tokens of a page."""
+    """The tokens of a page, without elements of DROPPED."""
     out: dict[int, Token] = {}
     total = 0
     for kind, e, what in walk(html):
+        if e.away:
+            continue
         if kind == "open":
             got = out.get(e.token)
             if got is None:
-                got = out[e.token] = Token(e.up.token, rank(e.tag, what), CONTAINER if e.tag in CONTAINERS else HEADING if e.tag == "h1" else 0, e.away)
+                got = out[e.token] = Token(e.up.token, rank(e.tag, what), _KINDS.get(e.tag, 0), _away(e.tag, what))
             got.count += 1
         elif kind == "text":
-            text = "" if e.away else what.strip()
+            text = what.strip()
             if text:
                 e.chars += len(text)
                 total += len(text)
@@ -201,9 +214,8 @@ def tokens(html: str) -> dict[int, Token]:
     return out
 
 
-def choose(found: dict[int, Token], of: int) -> int:
-    """The content token of a host of so many pages: _ROOT if the text stands in no slot, 0 if there is none."""
-    found = {t: x for t, x in found.items() if not x.away}
+def choose(found: dict[int, Token], of: int, support: float = SUPPORT) -> tuple[int, list[int]]:
+    """The content token of a host of so many pages (_ROOT if the text stands in no slot, 0 if there is none) and the tokens that are left out of it."""
     below: dict[int, list[int]] = {}
     for t, x in found.items():
         below.setdefault(x.parent, []).append(t)
@@ -212,23 +224,42 @@ def choose(found: dict[int, Token], of: int) -> int:
         for c in below.get(t, ()):
             depth[c] = depth[t] + 1
             order.append(c)
-    sizes = Counter((x.pages, x.vector) for x in found.values())
+    valid = {t for t, x in found.items() if x.pages >= support * of}
+    sizes = Counter((found[t].pages, found[t].vector) for t in valid)
+    once = {t for t, x in found.items() if x.count * EVERY <= x.pages}
     slots = {
-        t for t, x in found.items()
-        if x.kind == CONTAINER and (x.rank or sizes[x.pages, x.vector] > 1 or x.pages >= EVERY * of) and (x.rank > 1 or x.count * EVERY <= x.pages)
+        t for t in valid
+        if (x := found[t]).kind == CONTAINER and (x.rank or sizes[x.pages, x.vector] > 1 or x.pages >= EVERY * of) and (x.rank > 1 or t in once)
     }
+    shut = {t for t, x in found.items() if x.away and x.pages >= min(of, max(2, AGREED * of))}
     text, loose, heads, inner = {}, {}, {}, {}
-    for t in reversed(order):
-        x, under = found[t], below.get(t, ())
-        left = x.chars - sum(found[c].chars for c in under)
-        if of > 1 and x.pages > 1 and x.low == x.high:  # the same text on every page
-            left -= x.own
-        text[t] = left + sum(text[c] for c in under)
-        loose[t] = left + sum(loose[c] for c in under if c not in slots)
-        heads[t] = sum(heads[c] for c in under) + (x.kind == HEADING and text[t] > 0)
-        inner[t] = [s for c in under for s in ([c] if c in slots else inner.pop(c))]
+    while True:
+        title, signs, closed, best = {}, {}, {}, {}
+        for t in reversed(order):
+            x, under = found[t], below.get(t, ())
+            left = x.chars - sum(found[c].chars for c in under)
+            if of > 1 and x.pages > 1 and x.low == x.high:  # the same text on every page
+                left -= x.own
+            kept = [c for c in under if c not in shut]
+            text[t] = left + sum(text[c] for c in kept)
+            loose[t] = left + sum(loose[c] for c in kept if c not in slots)
+            heading = x.kind == HEADING and text[t] > 0
+            heads[t] = sum(heads[c] for c in kept) + heading
+            title[t] = text[t] if heading else sum(title[c] for c in kept)
+            inner[t] = [s for c in kept for s in ([c] if c in slots else inner.pop(c))]
+            closed[t] = [s for c in under for s in ([c] if c in shut else closed.pop(c))]
+            best[t] = max([x.rank * (text[t] > 0), *(best[c] for c in kept)])
+            # 2: a mark or h1 that stands alone, 1: paragraphs
+            signs[t] = max([2 if t in once and (x.rank or heading) else int(x.kind == PARAGRAPH), *(signs[c] for c in kept)])
+        rest = text[_ROOT] - title[_ROOT]
+        most = max(closed[_ROOT], key=lambda t: (text[t], t), default=None)
+        if most is None or best[_ROOT] > 1 or text[most] <= MOST * (text[most] + rest):
+            break
+        if not (signs[most] == 2 and not best[_ROOT] or signs[most] and rest < LOOSE * text[most]):
+            break
+        shut.remove(most)
     if not text[_ROOT]:
-        return 0
+        return 0, []
 
     def share(t: int) -> float:
         return text[t] / found[t].pages
@@ -243,21 +274,26 @@ def choose(found: dict[int, Token], of: int) -> int:
         if here and there <= here or (here or there < 2) and (loose[at] > LOOSE * text[at] or heads[at] > heads[c]):
             break
         at = c
-    return at
+    # Those in the slot, the outermost of each.
+    under, out = [at], []
+    for t in under:
+        for c in below.get(t, ()):
+            (out if c in shut else under).append(c)
+    return at, out
 
 
-def main_text(html: str | None, content: int) -> str:
-    """Blocks of the elements whose token is the content token; by the page's own tokens where it has none."""
+def main_text(html: str | None, content: int, shut: Collection[int] = ()) -> str:
+    """Blocks of the elements whose token is the content token, without those in shut; by the page's own tokens where it has none."""
     if not html:
         return ""
-    text = _slots(html, content) if content else None
+    text = _slots(html, content, shut) if content else None
     if text is None:
-        own = choose(tokens(html), 1)
-        text = _slots(html, own) if own else None
+        own, shut = choose(tokens(html), 1)
+        text = _slots(html, own, shut) if own else None
     return text or ""
 
 
-def _slots(html: str, content: int) -> str | None:
+def _slots(html: str, content: int, shut: Collection[int]) -> str | None:
     blocks, run, inside, seen = [], [], int(content == _ROOT), content == _ROOT
 
     def flush() -> None:
@@ -267,7 +303,7 @@ def _slots(html: str, content: int) -> str | None:
                 blocks.append(block)
             run.clear()
 
-    for kind, e, what in walk(html):
+    for kind, e, what in walk(html, frozenset(shut)):
         if kind == "text":
             if inside and not e.away:
                 run.append(what)
@@ -294,7 +330,7 @@ def _host():
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """host and content: the content token of the host's template."""
+    """host, content and shut: the content token of the host's template, and the tokens in it that are left out."""
     columns = ["host", "token", *Token.__slots__]
     schema = "host string, token long, parent long, rank int, kind int, away boolean, count long, chars long, own long, low long, high long, pages long, vector long"
 
@@ -326,7 +362,8 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     def slot(pdf: pd.DataFrame) -> pd.DataFrame:
         found = {int(t): Token(*values) for t, *values in pdf[columns[1:]].itertuples(index=False)}
-        return pd.DataFrame({"host": pdf["host"][:1], "content": [choose(found, found[_ROOT].pages)]})
+        content, shut = choose(found, found[_ROOT].pages, support)
+        return pd.DataFrame({"host": pdf["host"][:1], "content": [content], "shut": [shut]})
 
     parts = pages.select(_host().alias("host"), "page_id", "html").mapInPandas(run, schema)
     mixed = F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")
@@ -334,8 +371,8 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     added = [F.sum(c).alias(c) for c in ("count", "chars", "own")]
     found = stored(parts.groupBy("host", "token").agg(*same, *added, F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"), mixed), "tokens")
     most = found.where(F.col("token") == _ROOT).select("host", F.col("pages").alias("of"))
-    # A host has at most 1 / support times the tokens of a page here.
-    return found.join(most, "host").where(F.col("pages") >= support * F.col("of")).drop("of").groupBy("host").applyInPandas(slot, "host string, content long")
+    # A host has at most 1 / AGREED times the tokens of a page here.
+    return found.join(most, "host").where(F.col("pages") >= min(AGREED, support) * F.col("of")).drop("of").groupBy("host").applyInPandas(slot, "host string, content long, shut array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -345,8 +382,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [main_text(h if isinstance(h, str) else None, int(c) if c == c and c is not None else 0) for h, c in zip(pdf["html"], pdf["content"].astype(object), strict=True)]
+            text = [main_text(h if isinstance(h, str) else None, int(c or 0), () if x is None else x) for h, c, x in zip(pdf["html"], pdf["content"], pdf["shut"], strict=True)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": np.fromiter(map(len, text), np.int64, len(text))})
 
     joined = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host")).join(known, "host", "left")
-    return joined.select("page_id", "url", "html", "content").mapInPandas(run, schema)
+    return joined.select("page_id", "url", "html", F.col("content").cast("string").alias("content"), "shut").mapInPandas(run, schema)

@@ -318,6 +318,27 @@ def test_classes_decide_the_slot(spark):
     assert got["loose"] == f"{text}\nshort 3"
 
 
+def test_class_words_alone_leave_nothing_out(spark):
+    long = "a long text of page {0} with many words in it"
+    body = f"<h1>title {{0}}</h1><p>{long}</p>"
+    pages = {
+        "body": f"<html class=no-sidebar><body class=has-sidebar><div class=x>{body}</div></body></html>",
+        "main": f"<main class=content-with-sidebar>{body}</main><div class=x>side {{0}}</div>",
+        "article": f"<article class='post comments-open'>{body}</article><div class=comments><p>{long * 3}</p></div>",
+        "wrapper": f"<body><div class=has-sidebar><div class=x>{body}<div class=share>no {{0}}</div></div><div class=sidebar>no {{0}}</div></div><div class=y>side {{0}}</div></body>",
+        "beside": f"<body><div class=x><p>{long}</p></div><div class=comments><p>{long * 3}</p></div></body>",
+        "menu": "<body><div class=ad>no {0}</div></body>",
+    }
+    text = long.replace("{0}", "3")
+    want = dict.fromkeys(pages, f"title 3\n{text}") | {"beside": text, "menu": ""}
+    assert hosts(spark, pages) == want
+    assert {h: extract.main_text(p.replace("{0}", "3"), 0) for h, p in pages.items()} == want
+    once = "<article><p>text {0}</p>%s</article>"
+    rows = [(i, "http://h/", (once % ("<div class=notice>read</div>" if i == 5 else "<div class=share>no</div>")).replace("{0}", str(i))) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "text 5\nread" and got[4] == "text 4"
+
+
 # Jaccard join
 
 
