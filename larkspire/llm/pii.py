@@ -37,12 +37,24 @@ CONTEXT = {
 START_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
 CONTEXT_BONUS, THRESHOLD, CONTEXT_CHARS = 0.3, 0.5, 48
 
+# The length of an IBAN by its country.
+IBAN_CHARS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_CHAR = re.compile(r"\x20?[A-Z0-9]")
+_WORD_CHAR = re.compile(r"[A-Za-z0-9]")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DIGIT = re.compile(r"[0-9]")
@@ -61,6 +73,25 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A known country's IBAN ends at its length, another at the last end of a word where the check holds; each start looks ahead by 34 characters at most."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        ends, n, at = [], 4, m.end()
+        want = IBAN_CHARS.get(m.group()[:2])
+        while n < (want or 34) and (c := _IBAN_CHAR.match(text, at)):
+            n, at = n + 1, c.end()
+            if (n == want or not want and n >= 15) and not _WORD_CHAR.match(text, at):
+                ends.append(at)
+        for end in reversed(ends):
+            if mod97(text[m.start() : end]):
+                yield m.start(), end
+                done = end
+                break
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern finds them, each @ looking back at most to the end of the match before it."""
     at, end, seen = text.find("@"), 0, 0
@@ -112,7 +143,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
         return []
     found = [(k, a, b, _score(k, text, a, b)) for k, a, b in base_spans(text)]
     if _DIGIT.search(text):
-        more = [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m.group())]
+        more = [("iban", a, b) for a, b in _ibans(text)]
         more += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
         found += [(k, a, b, s) for k, a, b in more if (s := _score(k, text, a, b)) >= THRESHOLD]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))

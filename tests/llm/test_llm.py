@@ -71,6 +71,18 @@ def test_added_kinds_need_checks_and_context():
     assert pii.redacted("a a@b.co b 1.2.3.4") == "a <EMAIL> b <IP>" and pii.redacted("clean") == "clean" and pii.redacted(None) is None
 
 
+def test_ibans_end_before_capitals_and_numbers():
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in ("", " BIC COBADEFF", " EUR 50", " 2024", " GB82 WEST 1234 5698 7654 32", "."):
+            text = "to " + iban + after
+            got = [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"]
+            assert got == [iban] + ["GB82 WEST 1234 5698 7654 32"] * ("GB82" in after)
+            assert "<IBAN>" in pii.redacted(text)
+    text = "AB12 3456 7890 DE89 3704 0044 0532 0130 00 X"
+    assert [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"] == [text[15:-2]]
+    assert not [x for x in pii.spans("DE89 3704 0044 0532 0130 01 BIC") if x[0] == "iban"] and len(pii.spans("AB12 " * 50_000)) < 50_000
+
+
 def test_pii_rows(docs, none):
     got = {(r["doc_id"], r["spans"]) for r in pii.digest(docs).collect()}
     assert len(got) == 10 - 1 and all(s == "" for _, s in got)
