@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Entries of the caches of a worker; more words are encoded again and again. Long pieces are never kept.
-CHUNKS, WORDS, LONGEST = 300_000, 500_000, 48
+from larkspire.llm.common import keeps
+
+#: Entries of the caches of a worker (some 200 bytes each: 50 MB); more words are encoded again and again. Long pieces are never kept.
+CHUNKS, WORDS, LONGEST = 100_000, 150_000, 48
 
 
 def vocabulary(name: str) -> str:
@@ -116,7 +118,8 @@ _LOADED: dict[tuple, Callable] = {}
 
 
 def encoder(kind: type, path: str):
-    """One for each worker process."""
+    """One for each worker process, until an operator without tokenizers runs there."""
+    keeps("fasttok", _LOADED.clear)
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
     return _LOADED[kind, path]

@@ -6,13 +6,16 @@ reduced to words of letters in lower case. A text is cut into blocks of BLOCK by
 compressed, so the whole text counts and a long one does not become its own dictionary.
 
 The margin is the share of bytes that the best language saves against the second. Margins below min_margin are rejected.
-Null texts and texts without a letter are `und` with score 0 and rejected. Ties go to the language with more rows,
-then by name. No labelled rows at all: everything is `und`. Extra columns are kept.
+Null texts and texts without a letter (Unicode category L; fractions and Roman numerals are none) are `und` with score 0
+and rejected. Ties go to the language with more rows, then by name. No labelled rows at all: everything is `und`. Repeated
+rows get equal results, an empty table an empty one. A text of any length is read whole, a block at a time. Extra columns
+are kept; those named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspire.llm.common import bounded_batches, in_worker
+
 BYTES_PER_LANGUAGE = 112 * 1024
 ROWS_PER_LANGUAGE = 1024
 BYTES_PER_ROW = 600
@@ -28,7 +33,13 @@ LEVEL = 5
 MIN_MARGIN = 0.002
 
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_UNSURE = re.compile(r"[^\W\d_A-Za-zÀ-ÖØ-öø-ʯ]")
+_SURE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ʯ]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode category L is there; fractions, superscripts and Roman numerals are numbers."""
+    return bool(_SURE.search(text)) or any(unicodedata.category(c)[0] == "L" for c in set(_UNSURE.findall(text)))
 
 
 def letters(text: str) -> bytes:
@@ -59,8 +70,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", bytes_per_l
     out = {}
     for name in sorted(by, key=lambda x: (-total[x], x)):
         raw = b"".join(letters(t)[:bytes_per_row] for t in by[name] if not t.isspace())[:bytes_per_language]
-        if len(raw) >= 8:
-            out[name] = raw
+        out[name] = raw if len(raw) >= 8 else (raw or b" ") * 8  # a dictionary has 8 bytes at least
     return out
 
 
@@ -79,7 +89,7 @@ class Classifier:
 
     def predict(self, text: str | None, min_margin: float = MIN_MARGIN) -> tuple[str, float, bool]:
         """(language, score, rejected)"""
-        if not text or not self.by or not letters(text).strip():
+        if not text or not self.by or not has_letter(text):
             return "und", 0.0, True
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
@@ -93,12 +103,17 @@ class Classifier:
 def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """df with lang_pred string, score double and rejected boolean. The dictionaries are bounded and travel with the task."""
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    bounded_batches(df.sparkSession)
+
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = Classifier(dictionaries)
         for s in batches:
             yield pd.DataFrame([c.predict(x if isinstance(x, str) else None, min_margin) for x in s], columns=["lang_pred", "score", "rejected"])
 
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from in_worker(predicted)(batches)
+
     return df.drop("lang_pred", "score", "rejected").withColumn("__told", told(F.col(text))).select("*", "__told.*").drop("__told")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspire.llm.common import ints, key, keyed
+from larkspire.llm.common import bounded_batches, ints, key, keyed, mapped
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -167,6 +167,8 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 def detect(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """df with the column out: the spans of the text as an array of (kind, start, end, score)."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf(SPAN)
     def found(s: pd.Series) -> pd.Series:
         return s.map(lambda x: [{"kind": k, "start": a, "end": b, "score": p} for k, a, b, p in spans(x)])
@@ -177,6 +179,8 @@ def detect(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with every span of the text replaced; null stays null."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf(T.StringType())
     def clean(s: pd.Series) -> pd.Series:
         return s.map(redacted, na_action="ignore")
@@ -203,4 +207,4 @@ def digest(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"])
             yield out.assign(doc_id=ints(r[0] for r in rows))
 
-    return docs.select(key(F.col("doc_id")).alias("doc_id"), "text").mapInPandas(run, schema)
+    return mapped(docs.select(key(F.col("doc_id")).alias("doc_id"), "text"), run, schema)
