@@ -10,9 +10,10 @@ fingerprint has 16 bits of a hash of (word, t) for each draw, in hex.
 A word's draws for one weight are worked out once and kept in a bounded table of the worker. Null, empty and blank texts
 have the empty fingerprint, which is like itself (1) and unlike all others (0). Equal texts have equal fingerprints.
 
-Neighbours: documents are cut into ranges of doc_id; each range gets, beside its own rows, a copy of the first row after
-it, so one shuffle by range suffices whatever the order. Rows with one doc_id stand in falling order of a hash of the
-text; rows without doc_id come last.
+Neighbours: documents are cut into ranges of doc_id, one to a task; each range gets, beside its own rows, a copy of the
+first row after it, so one shuffle suffices whatever the order. The bounds of the ranges are a sorted array that travels
+with the tasks; a row finds its range by bisection. Rows with one doc_id stand in falling order of a hash of the text; rows
+without doc_id come last. Very long texts are read whole, a slice of their words at a time. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspire.llm.common import ints, key, keyed, shuffle_partitions
+from larkspire.llm.common import bounded_batches, ints, key, keyed, mapped, shuffle_partitions
 
 SAMPLES = 64
 TABLE_ROWS = 200_000
@@ -117,6 +118,8 @@ def hexed(x: np.ndarray | None) -> str:
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", samples: int = SAMPLES) -> DataFrame:
     """df with the fingerprint of each text."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Sampler(samples)
@@ -136,19 +139,24 @@ def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     buckets = max(2, shuffle_partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"o": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    rows = rows.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("o"))) if cuts else F.lit(0)).withColumn("peek", F.lit(0))
-    firsts = rows.groupBy("bucket").agg(F.max(F.struct("o", "h")).alias("first")).orderBy(F.desc("bucket")).collect()  # a row a range
+    bounds = np.array(sorted(set(cuts or [])), np.int64)
+    bounded_batches(spark)
+
+    @F.pandas_udf("int")
+    def range_of(o: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, o.to_numpy(np.int64), side="right").astype(np.int32))
+
+    slim = rows.select("o", "h").withColumn("bucket", range_of("o"))
+    firsts = slim.groupBy("bucket").agg(F.max(F.struct("o", "h")).alias("first")).orderBy(F.desc("bucket")).collect()  # a row a range
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not firsts:
         return spark.createDataFrame([], schema)
-    to = {}  # the first row of a range is also read after the last row of the range before
-    for i, r in enumerate(firsts):
-        to[r["first"]["o"], r["first"]["h"]] = firsts[i - 1]["bucket"]
-    names = [F.lit(x) for (o, h), b in to.items() for x in (f"{o}:{h}", b)]
-    where = F.create_map(*names)[F.concat_ws(":", "o", "h")]
-    peeks = rows.where(F.col("o").isin([o for o, _ in to])).withColumn("bucket", where).where("bucket IS NOT NULL").withColumn("peek", F.lit(1))
-    ordered = rows.unionByName(peeks).repartition(buckets, "bucket").sortWithinPartitions(F.desc("bucket"), "peek", F.desc("o"), F.desc("h"))
+    # The first row of a range is also read after the last row of the range before: a small table, joined to the rows.
+    peeked = [(r["first"]["o"], r["first"]["h"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
+    known = spark.createDataFrame(peeked, "o long, h long, before int").dropDuplicates(["o", "h"])
+    both = rows.withColumn("own", range_of("o")).join(F.broadcast(known), ["o", "h"], "left")
+    places = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("peek")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("peek")))))
+    ordered = both.select("doc_id", "text", "o", "h", F.inline(places)).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(F.desc("bucket"), "peek", F.desc("o"), F.desc("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, held, at = Sampler(samples), None, None
@@ -170,4 +178,4 @@ def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
             frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
             yield frame.assign(doc_id=ints(r[0] for r in out))
 
-    return ordered.select(key(F.col("doc_id")).alias("doc_id"), "text", "bucket", "peek").mapInPandas(run, schema)
+    return mapped(ordered.select(key(F.col("doc_id")).alias("doc_id"), "text", "bucket", "peek"), run, schema)

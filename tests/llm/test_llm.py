@@ -356,6 +356,50 @@ def test_class_words_alone_leave_nothing_out(spark):
     assert got[5] == "text 5\nread" and got[4] == "text 4"
 
 
+def test_classes_against_plain_vectors(spark, sf):
+    """The vectors, supports and classes of templates(), and its choice, from vectors that are built page by page."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    made = "<body><div class=a>menu {0}</div><div class=b><div class=c><h1>title {0}</h1><p>the text of page {0} goes on</p>%s</div></div><div class=d>foot</div></body>"
+    rows = [(10_000 + i, f"http://made/{i}", (made % ("<p>more</p>" * (i % 3))).replace("{0}", str(i))) for i in range(12)]
+    pages = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    by = collections.defaultdict(list)
+    for r in pages.collect():
+        by[re.match(r"[a-z]+://([^/?#]*)", r["url"]).group(1).lower()].append((r["page_id"], extract.tokens(r["html"])))
+    got = {r["host"]: (r["content"], sorted(r["shut"])) for r in extract.templates(pages).collect()}
+    assert set(got) == set(by)
+    for host, found in by.items():
+        vectors, total = {}, {}
+        for i, (_, tokens) in enumerate(found):
+            for t, x in tokens.items():
+                vectors.setdefault(t, [0] * len(found))[i] = x.count
+                y = total.get(t)
+                if y is None:
+                    total[t] = x
+                else:
+                    y.count, y.chars, y.own, y.low, y.high = y.count + x.count, y.chars + x.chars, y.own + x.own, min(y.low, x.low), max(y.high, x.high)
+        for t, x in total.items():
+            x.pages, x.vector = sum(n > 0 for n in vectors[t]), hash(tuple(vectors[t]))
+        kept = {t: x for t, x in total.items() if x.pages >= extract.AGREED * len(found)}
+        content, shut = extract.choose(kept, len(found))
+        assert got[host] == (content, sorted(shut)), host
+
+
+def test_without_the_template_results_differ(spark):
+    """On a page of its own the longest box wins; only the other pages tell that it is the same everywhere."""
+    page = "<div class=q><p>{0} own words of the page {0}</p></div><div class=z>%s</div>" % ("a note that all pages share " * 9)
+    rows = [(i, f"http://h/{i}", page.replace("{0}", f"w{i}")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"w{i} own words of the page w{i}" for i in range(6)}
+    assert extract.main_text(rows[3][2], 0) != got[3]
+
+
+def test_hosts_dealt_by_salts(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in extract.extract(pages).collect()}
+    monkeypatch.setattr(extract, "BROADCAST_BYTES", 0)
+    assert {r["page_id"]: r["text"] for r in extract.extract(pages).collect()} == want
+
+
 # Jaccard join
 
 
