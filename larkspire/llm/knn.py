@@ -5,15 +5,18 @@ products are smaller distances. Data are grouped by their nearest pivot; of ever
 of distances to the pivot, the k + 1 smallest of them). From summaries alone each query has an upper bound for the
 distance of its k-th neighbour, hence for every data group an interval of pivot distances (and a hyperplane test) outside
 which no neighbour can be. Query groups take the union of their queries' intervals, data rows are sent to those query
-groups only, and each block of queries and data is solved by a matrix product. Blocks are bounded: a group of many rows
-is dealt by a hash of the id, so one hot vector or pivot fills many blocks.
+groups only, and each block of queries and data is solved by matrix products of slices. Blocks are bounded by bytes: a
+group of many rows is dealt by a hash of the id, so one hot vector or pivot fills many blocks.
 
-Pivots, summaries and intervals are bounded by the number of pivots and query groups, not by the data.
+There are as many pivots as the root of the number of rows, up to what the driver holds; cells beyond that grow, blocks
+don't. Summaries and intervals are bounded by the number of pivots and query groups, not by the data. Codes travel in the
+narrowest integers that hold them all.
 
 Vectors that are null or have null or non-finite components take no part, nor do rows without id; shorter vectors count
 as padded with zeros; a zero or empty vector scores 0. Equal scores go to the smaller id. A query's own id is never its
-neighbour. With fewer than k candidates all of them are returned; with none the query has no rows. Components beyond
-2^20 in size are multiplied as Python integers; scores must fit 64 bits.
+neighbour. With fewer than k candidates all of them are returned; with none the query has no rows. Repeated rows count
+once; of rows with one id and different vectors the one of the least codes takes part. Components beyond 2^20 in size are
+multiplied as Python integers; scores must fit 64 bits. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspire.llm.common import stored
+from larkspire.llm.common import bounded_batches, mapped, stored
 
 K, SCALE = 5, 256
-PIVOTS, ROWS_PER_PIVOT = 128, 512
-QUERIES_PER_GROUP, QUERY_BLOCK, DATA_BLOCK = 256, 1024, 1024
+#: As many as a driver holds the distances of (the square of it), and the queries of a group.
+PIVOTS, QUERIES_PER_GROUP = 4096, 2048
+#: Bytes of a block as codes of 8 bytes, and the rows of a slice of it that are multiplied at once.
+BLOCK_BYTES, SLICE = 16 << 20, 2048
 EXACT = 1 << 20
 
 
@@ -40,6 +45,14 @@ def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     return df.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("codes"))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """A row for each vec_id. Only ids are shuffled where none is repeated."""
+    df = df.select("vec_id", "codes")
+    if df.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return df
+    return df.groupBy("vec_id").agg(F.min("codes").alias("codes"))
+
+
 def _matrix(codes: pd.Series, dim: int) -> np.ndarray:
     out = np.zeros((len(codes), dim), np.int64)
     for i, c in enumerate(codes):
@@ -66,14 +79,18 @@ def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def join(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score; queries and data have vec_id and codes."""
     spark = data.sparkSession
+    bounded_batches(spark)
+    queries, data = _once(queries), _once(data)
     size = F.aggregate("codes", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    about = data.agg(F.count("*").alias("n"), F.max(size).alias("m2"), F.max(F.size("codes")).alias("dim")).first()
-    nq, qdim = queries.agg(F.count("*"), F.max(F.size("codes"))).first()
+    about = data.agg(F.count("*").alias("n"), F.max(size).alias("m2"), F.max(F.size("codes")).alias("dim"), F.max(F.coalesce(F.array_max(F.transform("codes", F.abs)), F.lit(0))).alias("widest")).first()
+    nq, qdim, qwidest = queries.agg(F.count("*"), F.max(F.size("codes")), F.max(F.coalesce(F.array_max(F.transform("codes", F.abs)), F.lit(0)))).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if not about["n"] or not nq:
         return spark.createDataFrame([], empty)
     dim, m2 = max(about["dim"], qdim, 1), float(about["m2"])
-    wanted = max(1, min(pivots, about["n"] // ROWS_PER_PIVOT))
+    kind = next(np.dtype(t) for t in ("<i2", "<i4", "<i8") if max(about["widest"], qwidest) <= np.iinfo(t).max)
+    block = max(SLICE, BLOCK_BYTES // (8 * dim))
+    wanted = max(1, min(pivots, int(about["n"] ** 0.5)))
     least = F.min(F.struct(F.xxhash64(F.lit(7), "vec_id").alias("h"), "vec_id", "codes")).alias("least")
     chosen = data.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(wanted))).agg(least).select("least.*").orderBy("h", "vec_id").toPandas()
     P = _lifted(_matrix(chosen["codes"], dim), m2)
@@ -85,9 +102,9 @@ def join(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS)
                 x = _matrix(pdf["codes"], dim)
                 d = _distances(_lifted(x, m2), P)
                 cell = d.argmin(1)
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "codes": [r.tobytes() for r in x], "cell": cell, "dist": d[np.arange(len(d)), cell]})
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "codes": [r.tobytes() for r in x.astype(kind)], "cell": cell, "dist": d[np.arange(len(d)), cell]})
 
-    dealt = stored(data.mapInPandas(cells, "vec_id long, codes binary, cell int, dist double"), "cells")
+    dealt = stored(mapped(data, cells, "vec_id long, codes binary, cell int, dist double"), "cells")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, tuple] = {}
@@ -98,7 +115,7 @@ def join(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS)
         yield pd.DataFrame([(int(c), *v) for c, v in seen.items()], columns=["cell", "n", "lo", "hi", "least"])
 
     merged = [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.slice(F.sort_array(F.flatten(F.collect_list("least"))), 1, k + 1).alias("least")]
-    parts = dealt.select("cell", "dist").mapInPandas(partial, "cell int, n long, lo double, hi double, least array<double>")
+    parts = mapped(dealt.select("cell", "dist"), partial, "cell int, n long, lo double, hi double, least array<double>")
     summary = parts.groupBy("cell", F.spark_partition_id() % 64).agg(*merged).groupBy("cell").agg(*merged).toPandas()  # a row a pivot
     at = summary["cell"].to_numpy()
     number, lo, hi = np.zeros(len(P), np.int64), np.full(len(P), np.inf), np.full(len(P), -np.inf)
@@ -138,12 +155,12 @@ def join(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS)
         if n.any():
             yield pd.DataFrame({"g": np.arange(groups), "n": n, "low": low.tolist(), "high": high.tolist()})
 
-    wide = queries.mapInPandas(intervals, "g int, n long, low array<double>, high array<double>").select("g", "n", F.posexplode(F.arrays_zip("low", "high")))
+    wide = mapped(queries, intervals, "g int, n long, low array<double>, high array<double>").select("g", "n", F.posexplode(F.arrays_zip("low", "high")))
     both = wide.groupBy("g", "pos").agg(F.sum("n").alias("n"), F.min("col.low").alias("low"), F.max("col.high").alias("high")).toPandas()  # groups * pivots rows
     low, high, asked = np.full((groups, len(P)), np.inf), np.full((groups, len(P)), -np.inf), np.zeros(groups, np.int64)
     low[both["g"], both["pos"]], high[both["g"], both["pos"]], asked[both["g"]] = both["low"], both["high"], both["n"]
-    data_blocks = np.maximum(1, -(-((low <= high) * number[None]).sum(1) // DATA_BLOCK))
-    query_blocks = np.maximum(1, -(-asked // QUERY_BLOCK))
+    data_blocks = np.maximum(1, -(-((low <= high) * number[None]).sum(1) // block))
+    query_blocks = np.maximum(1, -(-asked // block))
 
     def mixed(ids: np.ndarray) -> np.ndarray:
         h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -173,32 +190,39 @@ def join(queries: DataFrame, data: DataFrame, k: int = K, pivots: int = PIVOTS)
                 own = _distances(np.hstack([x.astype(np.float64), np.zeros((len(x), 1))]), P).argmin(1)
                 g = group_of[own]
                 fixed = (mixed(pdf["vec_id"].to_numpy()) % query_blocks[g].astype(np.uint64)).astype(np.int64)
-                yield send(pdf.assign(codes=[r.tobytes() for r in x]), np.arange(len(pdf)), g, fixed, data_blocks, True)
+                yield send(pdf.assign(codes=[r.tobytes() for r in x.astype(kind)]), np.arange(len(pdf)), g, fixed, data_blocks, True)
 
     def solve(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "vec_id", "score"]
         if not len(qs) or not len(xs):
             return pd.DataFrame(columns=cols).astype("int64")
         xs = xs.sort_values("vec_id", kind="stable")
-        read = lambda s: np.frombuffer(b"".join(s), np.int64).reshape(len(s), dim)
-        ids, qids, n = xs["vec_id"].to_numpy(), qs["vec_id"].to_numpy(), len(xs)
-        score = _product(read(qs["codes"]), read(xs["codes"]))
+        read = lambda s: np.frombuffer(b"".join(s), kind).reshape(len(s), dim).astype(np.int64)
         out = []
-        wide = np.abs(score).max() >= (1 << 62) // n
-        for i, q in enumerate(qids):
-            mine = np.flatnonzero(ids != q)
-            s = score[i][mine]
-            if wide:
-                best = np.argsort(-s.astype(object), kind="stable")[:k]
-            else:
-                key = s * n + (n - 1 - np.arange(len(s)))
-                best = np.argpartition(key, len(s) - k)[len(s) - k :] if len(s) > k else np.arange(len(s))
-            out.append(np.column_stack([np.full(len(best), q), ids[mine[best]], s[best]]))
+        for a in range(0, len(qs), SLICE):
+            qids, q = qs["vec_id"].to_numpy()[a : a + SLICE], read(qs["codes"].iloc[a : a + SLICE])
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(qids)
+            for b in range(0, len(xs), SLICE):
+                ids = xs["vec_id"].to_numpy()[b : b + SLICE]
+                score, n = _product(q, read(xs["codes"].iloc[b : b + SLICE])), len(ids)
+                wide = np.abs(score).max() >= (1 << 62) // (n + k)
+                for i, own in enumerate(qids):
+                    mine = np.flatnonzero(ids != own)
+                    s, names = np.concatenate([best[i][1], score[i][mine]]), np.concatenate([best[i][0], ids[mine]])
+                    if wide:
+                        keep = np.argsort(-s.astype(object), kind="stable")[:k]
+                    else:  # what was kept has smaller ids: among equal scores the first goes first
+                        order = s * (n + k) + (n + k - 1 - np.arange(len(s)))
+                        keep = np.argpartition(order, len(s) - k)[len(s) - k :] if len(s) > k else np.arange(len(s))
+                        keep = keep[np.argsort(-order[keep])]
+                    keep.sort()
+                    best[i] = (names[keep], s[keep])
+            out += [np.column_stack([np.full(len(names), own), names, s]) for own, (names, s) in zip(qids, best, strict=True)]
         return pd.DataFrame(np.vstack(out), columns=cols)
 
-    block = "g int, qb int, sb int, vec_id long, codes binary"
-    left = queries.mapInPandas(send_queries, block).groupBy("g", "qb", "sb")
-    right = dealt.mapInPandas(send_data, block).groupBy("g", "qb", "sb")
+    sent = "g int, qb int, sb int, vec_id long, codes binary"
+    left = mapped(queries, send_queries, sent).groupBy("g", "qb", "sb")
+    right = mapped(dealt, send_data, sent).groupBy("g", "qb", "sb")
     found = left.cogroup(right).applyInPandas(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

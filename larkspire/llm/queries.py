@@ -47,7 +47,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subword.samples(table(spark, sf_dir, "documents"), fasttok.vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return subword.samples(table(spark, sf_dir, "documents"), fasttok.vocabulary("piece_bpe_32k.model"), packed=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

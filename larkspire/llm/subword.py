@@ -17,7 +17,9 @@ before space marks. The lattices of the units that are new in a batch are made t
 the worker.
 
 Null and empty texts have one segmentation, the empty one, with log probability 0 and inclusion 1. Texts with fewer
-than k segmentations give all of them, with inclusion 1. Equal rows give equal samples. An empty table gives an empty
+than k segmentations give all of them, with inclusion 1. Equal rows give equal samples. Texts of any length are read whole
+and cost memory in proportion to it. Rows without key are seeded alike. Extra columns are ignored by samples() and kept by
+encode() and decode(), but for the one that is named like their output. An empty table gives an empty
 result. Decoding gives back the text, but for texts that hold the space mark itself, which comes back as a space.
 """
 
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspire.llm.common import ints, key, keyed
+from larkspire.llm.common import bounded_batches, ints, keeps, key, keyed, mapped
 
 MARK = "▁"
 SAMPLES = 2
@@ -292,7 +294,7 @@ class Model:
     def _draw(seed, inside, s, below, head, counts, end, begins, ends, bounds):
         """An arc for every node, the nodes of every unit's path by them, and where the texts' nodes begin."""
         with np.errstate(over="ignore"):
-            z = seed + (inside * np.uint64(8) + np.uint64(s + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            z = seed + inside * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s + 1) * np.uint64(0xD1342543DE82EF95)
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         u = (z >> np.uint64(41)).astype(np.float32) * np.float32(1.0 / (1 << 23))
@@ -400,7 +402,8 @@ class Model:
 
 
 def model(path: str) -> Model:
-    """One for each worker process."""
+    """One for each worker process, until another operator runs there."""
+    keeps("subword", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Model(path)
     return _loaded[path]
@@ -409,6 +412,8 @@ def model(path: str) -> Model:
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with the library's own best segmentation of each text."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf("array<int>")
     def made(s: pd.Series) -> pd.Series:
         sp = model(path).sp
@@ -420,6 +425,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """df with the text of each array of ids; null ids are the empty text."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def told(s: pd.Series) -> pd.Series:
         m = model(path)
@@ -428,12 +435,16 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
     return df.withColumn(out, told(F.col(ids)))
 
 
-def samples(docs: DataFrame, path: str, k: int = SAMPLES, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """A row a sample: doc_id, sample (from 1), n_pieces, ids_crc32, log_prob, perturbed, inclusion, decodes and, if asked for, ids."""
-    schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decodes boolean" + ", ids array<int>" * with_ids
+def samples(docs: DataFrame, path: str, k: int = SAMPLES, doc_id: str = "doc_id", text: str = "text", packed: bool = False) -> DataFrame:
+    """A row a sample: doc_id, sample (from 1), n_pieces, ids_crc32, log_prob, perturbed, inclusion, decodes and the ids.
+
+    The ids are an array, or packed as binary: little-endian unsigned 16-bit numbers (32-bit where the vocabulary is larger).
+    """
+    schema = f"doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decodes boolean, ids {'binary' if packed else 'array<int>'}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
+        kind = "<u2" if len(m.bytes_of) <= 1 << 16 else "<u4"
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["t"]]
             keys = list(map(keyed, pdf["d"]))
@@ -446,9 +457,8 @@ def samples(docs: DataFrame, path: str, k: int = SAMPLES, doc_id: str = "doc_id"
                 rows = []
                 for d, t, found in zip(keys[a:at], texts[a:at], m.batch(texts[a:at], keys[a:at], k), strict=True):
                     for i, (ids, total, value, inclusion) in enumerate(found, 1):
-                        row = (d, i, len(ids), zlib.crc32(ids.tobytes()), total, value, inclusion, m.decodes(ids, t))
-                        rows.append((*row, ids.astype(np.int32)) if with_ids else row)
-                out = pd.DataFrame(rows, columns=["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "decodes", "ids"][: 8 + with_ids])
+                        rows.append((d, i, len(ids), zlib.crc32(ids.tobytes()), total, value, inclusion, m.decodes(ids, t), ids.astype(kind).tobytes() if packed else ids.astype(np.int32)))
+                out = pd.DataFrame(rows, columns=["doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "inclusion", "decodes", "ids"])
                 yield out.assign(doc_id=ints(r[0] for r in rows))
 
-    return docs.select(key(F.col(doc_id)).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return mapped(docs.select(key(F.col(doc_id)).alias("d"), F.col(text).alias("t")), run, schema, "subword")

@@ -7,7 +7,8 @@ and renamed when whole; its name depends on the partition alone, so a task that
 is written last.
 
 Null texts are empty: a document with the end id alone. Rows with the same doc_id stand next to each other in order of a
-hash of the text; rows without doc_id come first. Extra columns are ignored. No rows: no shards and an empty result.
+hash of the text; rows without doc_id come first, dealt by that hash. Texts of any length are one frame each. Extra columns
+are ignored. No rows: no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.llm import fasttok
-from larkspire.llm.common import commit_bytes, filesystem, fresh_dir, ints, key, keyed, shuffle_partitions, stored
+from larkspire.llm.common import commit_bytes, discard, filesystem, fresh_dir, ints, key, keyed, mapped, shuffle_partitions, stored
 
 MAGIC = b"LSTOKENS"
 END_ID = 2
-#: The dictionary is trained on so many documents of least hash, so many characters of each, and has so many bytes.
+#: The dictionary is trained on so many documents of least hash, so many characters from a hashed place in each, and has so many bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 4000, 64 * 1024
 SHARD_BYTES = 64 << 20
 LEVEL = 3
@@ -38,25 +39,27 @@ _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes
 
 
 def train(docs: DataFrame, vocab: str, end_id: int = END_ID, text: str = "text") -> bytes:
-    """A dictionary trained on id arrays of a bounded sample; empty if there is too little to train on."""
-    least = F.min(F.struct(F.xxhash64(F.lit(7), text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))).alias("least")
+    """A dictionary trained on id arrays of a bounded sample; where there is too little to train on, the sample itself is the dictionary (raw content)."""
+    n, h = F.length(text), F.xxhash64(F.lit(7), text)
+    place = (F.pmod(h, F.greatest(n - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
+    least = F.min(F.struct(h.alias("h"), F.substr(F.col(text), place, F.lit(SAMPLE_CHARS)).alias("t"))).alias("least")
     # A row for each hash bucket: tasks send what is left of their partial aggregates, the driver gets SAMPLE_DOCS rows.
     rows = docs.where(F.length(text) > 0).groupBy(F.pmod(F.xxhash64(text), F.lit(SAMPLE_DOCS))).agg(least).select("least.*").orderBy("h", "t").collect()
     enc = fasttok.encoder(fasttok.ByteBpe, vocab)
     samples = [_pack(enc.ids(r["t"]) + struct.pack("<I", end_id), 2) for r in rows]
     samples = [s[i : i + 2048] for s in samples for i in range(0, len(s), 2048)]
-    try:
+    if sum(map(len, samples)) >= 8 * DICTIONARY_BYTES:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    raw = b"".join(samples)[-DICTIONARY_BYTES:]
+    return raw + _pack(struct.pack("<I", end_id), 2) * 8
 
 
 def _pack(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
 
 
-def _dict(raw: bytes):
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+def _dict(raw: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(raw)
 
 
 class _Shard:
@@ -113,11 +116,14 @@ def write(docs: DataFrame, out_dir: str, vocab: str, end_id: int = END_ID, doc_i
         yield pd.DataFrame([(part, i, *m) for i, m in enumerate(made)], columns=["part", "seq", "path", "n_docs", "n_tokens", "n_bytes"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "d").sortWithinPartitions("d", F.xxhash64("t"), "t")
+    nameless = F.when(F.col("d").isNull(), F.xxhash64("t"))  # so that a third of all rows may lack an id
+    ordered = rows.withColumn("h", nameless).repartitionByRange(shuffle_partitions(spark), "d", "h").sortWithinPartitions("d", F.xxhash64("t"), "t").drop("h")
     manifest, start = [], 0
-    for r in stored(ordered.withColumn("d", key(F.col("d"))).mapInPandas(run, _MANIFEST), "token-manifest").orderBy("part", "seq").collect():  # one short row a shard
+    shards = stored(mapped(ordered.withColumn("d", key(F.col("d"))), run, _MANIFEST, "fasttok"), "token-manifest")
+    for r in shards.orderBy("part", "seq").collect():  # one short row a shard
         manifest.append(r.asDict() | {"start": start})
         start += r["n_tokens"]
+    discard(shards)
     commit_bytes(f"{out_dir}/manifest.json", [json.dumps({"dictionary": digest, "end_id": end_id, "shards": manifest}).encode()])
     return manifest
 
@@ -200,7 +206,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     if rows:
                         yield _frame(rows)
 
-    return shards.repartition(max(1, min(len(manifest), 10_000))).mapInPandas(run, schema)
+    return mapped(shards.repartition(max(1, min(len(manifest), 10_000))), run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

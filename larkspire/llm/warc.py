@@ -7,8 +7,9 @@ last and lists the files with their sizes, counts and SHA-256.
 
 Records with equal payloads of at least MIN_REVISIT bytes: those with the smallest page_id are responses, the others
 revisits without payload, which name the response's page. A null html is an empty payload, a null url an empty one (with
-control characters and spaces percent-encoded). Repeated rows become repeated records. Rows without page_id are written
-as responses. An empty table gives no files and an empty result. Extra columns are ignored.
+control characters and spaces percent-encoded). Repeated rows become repeated records with ids of their own. Rows without
+page_id are written as responses, after a hash of their content instead of the id. A record is held whole, so a very long
+page costs memory in proportion to its length. An empty table gives no files and an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ import json
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspire.llm.common import commit_bytes, filesystem, fresh_dir, ints, key, keyed, shuffle_partitions, stored
+from larkspire.llm.common import commit_bytes, discard, filesystem, fresh_dir, ints, key, keyed, mapped, shuffle_partitions, stored
 
 MIN_REVISIT = 100
 ROLL_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
+#: The first pages of repeated digests are broadcast up to so many bytes; beyond that each digest is dealt to so many salts.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
 _SPACE = uuid.UUID("6f1b1c1e-6d1f-5a37-9d0c-4c2a1f7f8a55")
 _MANIFEST = "part int, seq int, path string, n_records long, n_bytes long, sha256 string"
 
@@ -42,16 +46,17 @@ def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", url or "")
 
 
-def _record_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}:{digest}')}>"
+def _record_id(page_id, digest: str, copy: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}:{digest}{copy}')}>"
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
+def record(page_id, url: str | None, payload: bytes, refers_to=None, copy: str = "") -> bytes:
+    """copy tells further records of one page and payload apart."""
     digest = hashlib.sha256(payload).hexdigest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     block = http + payload if refers_to is None else http
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", _record_id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url))]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", _record_id(page_id, digest, copy)), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url))]
     if refers_to is not None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to))]
     fields += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("X-Payload-Length", str(len(payload)))]
@@ -95,31 +100,41 @@ def write(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, min_revi
 
     The html is shuffled once, by range. What makes a record a revisit is worked out on (page_id, digest) alone: a partial
     aggregate finds each repeated digest's smallest page, and the rows that it changes travel beside the html as short
-    notes with the same sort key, so no join carries a payload and no digest's rows need to meet in one task.
+    notes with the same sort key, so no join carries a payload. A digest meets its pages by a broadcast of checked size or
+    under salts, so its rows never meet in one task.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     slim = rows.where(F.octet_length("payload") >= min_revisit).select("page_id", F.sha2("payload", 256).alias("digest"))
     firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    notes = slim.join(firsts, "digest").where("page_id > first").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("kind")).distinct()
+    firsts = stored(firsts, "digests")
+    if firsts.count() * 100 <= BROADCAST_BYTES:
+        met = slim.join(F.broadcast(firsts), "digest")
+    else:
+        dealt = slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+        met = dealt.join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"])
+    notes = met.where("page_id > first").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("kind")).distinct()
     full = rows.select("page_id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
-    ordered = full.unionByName(notes).repartitionByRange(shuffle_partitions(spark), "page_id").sortWithinPartitions("page_id", "kind", F.xxhash64("url", "payload"), "url")
+    nameless = F.when(F.col("page_id").isNull(), F.xxhash64("url", "payload"))  # so that a third of all rows may lack an id
+    ordered = full.unionByName(notes).withColumn("h", nameless).repartitionByRange(shuffle_partitions(spark), "page_id", "h").sortWithinPartitions("page_id", "kind", "h", F.xxhash64("url", "payload"), "url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, made, file, noted, at = TaskContext.get().partitionId(), [], None, {}, None
+        part, made, file, noted, at, copies = TaskContext.get().partitionId(), [], None, {}, None, Counter()
         for pdf in batches:
             for page, url, payload, digest, refers_to, kind in zip(map(keyed, pdf["page_id"]), pdf["url"], pdf["payload"], pdf["digest"], map(keyed, pdf["refers_to"]), pdf["kind"], strict=True):
                 if page != at:
-                    noted, at = {}, page
+                    noted, at, copies = {}, page, Counter()
                 if kind == 0:
                     noted[digest] = refers_to
                     continue
                 file = file or _File(f"{out_dir}/part-{part:06d}-{len(made):04d}.warc.gz")
                 payload = bytes(payload)
-                to = noted.get(hashlib.sha256(payload).hexdigest()) if noted else None
-                file.add(record(page, url if isinstance(url, str) else None, payload, to))
+                own = hashlib.sha256(payload).hexdigest()
+                copy = f":{part}:{copies[own]}" if page is None else f":{copies[own]}" * (copies[own] > 0)
+                copies[own] += 1
+                file.add(record(page, url if isinstance(url, str) else None, payload, noted.get(own), copy))
                 if file.at >= roll_bytes:
                     made.append(file.close())
                     file = None
@@ -127,7 +142,10 @@ def write(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, min_revi
             made.append(file.close())
         yield pd.DataFrame([(part, i, *m) for i, m in enumerate(made)], columns=["part", "seq", "path", "n_records", "n_bytes", "sha256"])
 
-    manifest = [r.asDict() for r in stored(ordered.withColumns({c: key(F.col(c)) for c in ("page_id", "refers_to")}).mapInPandas(run, _MANIFEST), "warc-manifest").orderBy("part", "seq").collect()]  # one short row a file
+    sent = ordered.drop("h").withColumns({c: key(F.col(c)) for c in ("page_id", "refers_to")})
+    files = stored(mapped(sent, run, _MANIFEST), "warc-manifest", (firsts,))
+    manifest = [r.asDict() for r in files.orderBy("part", "seq").collect()]  # one short row a file
+    discard(files)
     commit_bytes(f"{out_dir}/manifest.json", [json.dumps(manifest).encode()])
     return manifest
 
@@ -191,7 +209,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    return files.repartition(max(1, min(len(manifest), 10_000))).mapInPandas(run, schema)
+    return mapped(files.repartition(max(1, min(len(manifest), 10_000))), run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
