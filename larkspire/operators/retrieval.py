@@ -5,6 +5,8 @@ Candidates have (query_id, chunk_id, score, rank). Ties go to the smaller chunk
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspire.functions import text, vector
+from larkspire.session import kept
 
 DEFAULT_POOL, MAX_POOL = 40, 200
 RRF_K = 60
@@ -31,40 +34,157 @@ def top(scored: DataFrame, k: int, score: str = "score", item: str = "chunk_id")
 
 
 def inverted(chunks: DataFrame, chunk_id: str = "chunk_id", body: str = "text") -> DataFrame:
-    """The inverted index: (token, chunk_id, tf, length), to be stored and reused by many batches of queries."""
+    """The inverted index as a table: (token, chunk_id, tf, length)."""
     tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), text.search_terms(F.col(body)).alias("terms"))
     long = tokens.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("token"))
     return long.groupBy("token", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, token, times): repeated words of a query count as often as they come."""
-    return queries.select("query_id", F.explode(text.search_terms(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+_ASCII, _RUN, _STOP = re.compile(text.ASCII_TOKEN), re.compile(f"{text.CJK}+"), frozenset(text.STOP_WORDS)
+
+
+def counted_terms(body: str) -> tuple[Counter, int]:
+    """text.search_terms() of one text with their counts, and how many they are."""
+    if "\u0130" in body or "\u212a" in body:  # the two letters that are ASCII in lower case only
+        found = Counter(t.lower() for t in _ASCII.findall(body))
+    else:
+        found = Counter(_ASCII.findall(body.lower()))
+    if not body.isascii():
+        for run in _RUN.findall(body):
+            found.update([run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)])
+    total = sum(found.values())
+    stopped = sum(found[w] for w in _STOP if w in found)
+    if stopped < total:
+        for w in _STOP:
+            found.pop(w, None)
+        total -= stopped
+    return found, total
+
+
+class _Batch:
+    """A stated batch of queries as count matrices, in slices of queries whose words times queries are at most CELLS."""
+
+    CELLS = 4_000_000
+
+    def __init__(self, ids: list, bodies: list):
+        self.vocabulary: dict[str, int] = {}
+        self.slices: list[tuple] = []
+        held: list[tuple] = []
+        for i, b in zip(ids, bodies, strict=True):
+            held.append((i, counted_terms(b or "")[0]))
+            words = {w for _, c in held for w in c}
+            if len(words) * len(held) >= self.CELLS:
+                self._add(held)
+                held = []
+        if held:
+            self._add(held)
+
+    def _add(self, held: list[tuple]) -> None:
+        words = sorted({w for _, c in held for w in c})
+        local = {w: i for i, w in enumerate(words)}
+        q = np.zeros((len(words), len(held)))
+        for j, (_, c) in enumerate(held):
+            for w, n in c.items():
+                q[local[w], j] = n
+        for w in words:
+            self.vocabulary.setdefault(w, len(self.vocabulary))
+        self.slices.append((np.array([i for i, _ in held]), np.array([self.vocabulary[w] for w in words], np.int64), q))
+
+    def counts(self, bodies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, word and count of the batch's words in texts, and the texts' lengths."""
+        rows, words, counts, lengths = [], [], [], []
+        get = self.vocabulary.get
+        for i, b in enumerate(bodies):
+            found, n = counted_terms(b) if b else ({}, 0)
+            lengths.append(n)
+            for w, c in found.items():
+                j = get(w)
+                if j is not None:
+                    rows.append(i)
+                    words.append(j)
+                    counts.append(c)
+        return np.array(rows, np.int64), np.array(words, np.int64), np.array(counts, float), np.array(lengths, float)
+
+
+def _scored(queries: DataFrame, chunks: DataFrame, k: int, every: bool = False, idf: bool = False) -> DataFrame:
+    """The k best chunks of each query, by one pass over the texts and a product of count matrices: no token is shuffled.
+
+    The queries are a stated batch of at most MAX_QUERIES, sent to the tasks; each task keeps the k best of every batch of
+    rows for each query. More queries go through in slices.
+    """
+    if queries.count() > MAX_QUERIES:
+        return _sliced(queries, lambda q: _scored(q, chunks, k, every, idf))
+    asked = queries.select("query_id", "query").toPandas()
+    schema = "query_id long, chunk_id long, score double"
+    spark = queries.sparkSession
+    batch = _Batch(asked["query_id"].tolist(), asked["query"].tolist())
+    if not batch.slices:
+        return spark.createDataFrame([], schema + ", rank int")
+    weights = np.ones(len(batch.vocabulary))
+    spread = spark.sparkContext.broadcast(batch)
+    if idf:
+        n, df = chunks.count(), dict(_frequencies(chunks, spread).collect())  # a row a word of the queries
+        weights = np.array([np.log((n + 1) / (df.get(j, 0) + 1)) + 1 for j in range(len(weights))])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = spread.value
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                pdf = whole.iloc[at : at + 512].sort_values("chunk_id", kind="stable")
+                item = pdf["chunk_id"].to_numpy()
+                row, word, count, length = b.counts(pdf["text"])
+                for ids, words, q in b.slices:
+                    place = np.full(len(b.vocabulary), -1)
+                    place[words] = np.arange(len(words))
+                    mine = place[word] >= 0
+                    x = np.zeros((len(pdf), len(words)))
+                    x[row[mine], place[word[mine]]] = count[mine]
+                    s = np.round((x @ (q * weights[words][:, None])), 6) if idf else (x @ q) / np.sqrt(np.maximum(length, 1.0))[:, None]
+                    if every:
+                        s = np.where((x > 0).astype(float) @ (q > 0) == (q > 0).sum(0)[None], s, 0.0)
+                    best = np.argsort(-s, axis=0, kind="stable")[:k]
+                    got = np.take_along_axis(s, best, 0)
+                    r, c = np.nonzero(got > 0)
+                    yield pd.DataFrame({"query_id": ids[c], "chunk_id": item[best[r, c]], "score": got[r, c]})
+
+    return top(chunks.select("chunk_id", "text").mapInPandas(score, schema), k)
+
+
+def _frequencies(chunks: DataFrame, spread) -> DataFrame:
+    """In how many chunks each word of a batch of queries stands."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = spread.value
+        total = np.zeros(len(b.vocabulary), np.int64)
+        for pdf in batches:
+            total += np.bincount(b.counts(pdf["text"])[1], minlength=len(total))
+        yield pd.DataFrame({"word": np.arange(len(total)), "n": total})
+
+    return chunks.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _sliced(queries: DataFrame, run) -> DataFrame:
+    parts = -(-queries.count() // MAX_QUERIES)
+    out = None
+    for i in range(parts):
+        found = run(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Term-frequency ranking. Only chunks that share a token with a query are scored: an equi-join of inverted lists."""
-    hits = query_terms(queries).join(inverted(chunks), "token")
-    scored = hits.groupBy("query_id", "chunk_id").agg((F.sum(F.col("times") * F.col("tf")) / F.sqrt(F.first("length"))).alias("score"))
-    return top(scored, k)
+    """Term-frequency ranking: occurrences of the query's words, repeated ones as often as they come, over the root of the chunk's length."""
+    return _scored(queries, chunks, k)
 
 
 def lexical_and(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """As lexical(), for chunks that hold every token of the query."""
-    wanted = query_terms(queries)
-    need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
-    hits = wanted.join(inverted(chunks), "token")
-    scored = hits.groupBy("query_id", "chunk_id").agg((F.sum(F.col("times") * F.col("tf")) / F.sqrt(F.first("length"))).alias("score"), F.count("*").alias("got"))
-    return top(scored.join(need, "query_id").where("got = need").drop("got", "need"), k)
+    return _scored(queries, chunks, k, every=True)
 
 
 def sparse(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Dot product of term counts, weighted by the inverse document frequency ln((N + 1) / (df + 1)) + 1, to six places so that ties don't hang on the order of sums."""
-    index = inverted(chunks).select("token", "chunk_id", "tf")
-    n = chunks.agg(F.count("*").alias("n"))
-    idf = index.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    hits = query_terms(queries).join(idf, "token").join(index, "token")
-    return top(hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("tf") * F.col("idf")), 6).alias("score")), k)
+    return _scored(queries, chunks, k, idf=True)
 
 
 def dense(queries: DataFrame, points: DataFrame, k: int, condition: Column | None = None, block: int = 256) -> DataFrame:
@@ -75,14 +195,8 @@ def dense(queries: DataFrame, points: DataFrame, k: int, condition: Column | Non
     through in slices.
     """
     points = points if condition is None else points.where(condition)
-    count = queries.count()
-    if count > MAX_QUERIES:
-        parts = -(-count // MAX_QUERIES)
-        slices = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-        out = dense(slices[0], points, k, None, block)
-        for s in slices[1:]:
-            out = out.unionByName(dense(s, points, k, None, block))
-        return out
+    if queries.count() > MAX_QUERIES:
+        return _sliced(queries, lambda q: dense(q, points, k, None, block))
     asked = queries.select("query_id", "vector").toPandas()
     schema = "query_id long, chunk_id long, score double"
     if not len(asked):
@@ -130,7 +244,7 @@ def rrf(primary: DataFrame, secondary: DataFrame, k: int | None = None, weight_p
 
 def confidence(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Share of a query's distinct meaningful terms in its first three lexical hits, and whether it asks in CJK of a text without any."""
-    first = hits.where(F.col("rank") <= 3).join(chunks.select("chunk_id", "text"), "chunk_id")
+    first = chunks.select("chunk_id", "text").join(F.broadcast(hits.where(F.col("rank") <= 3)), "chunk_id")  # three rows a query
     joined = first.groupBy("query_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])).alias("body"))
     terms = F.array_distinct(text.meaningful(text.lexicalize(F.col("query"))))
     matched = F.size(F.array_intersect(terms, text.meaningful(text.lexicalize(F.col("body")))))
@@ -165,7 +279,7 @@ def policy(told: DataFrame, hash_fallback: bool = False) -> DataFrame:
 def hybrid(queries: DataFrame, chunks: DataFrame, points: DataFrame, k: int = 10, requested: int | None = None) -> DataFrame:
     """Both branches, the policy of each query, weighted fusion. queries: query_id, query, vector."""
     p = pool(k, requested)
-    d, x = dense(queries, points, p), lexical(queries, chunks, p)
+    d, x = kept(dense(queries, points, p), "dense"), kept(lexical(queries, chunks, p), "lexical")
     counts = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
     told = confidence(queries, x, chunks).join(counts(d, "dense_hits"), "query_id", "left").join(counts(x, "lexical_hits"), "query_id", "left").fillna(0, ["dense_hits", "lexical_hits"])
     weights = policy(told).select("query_id", "dense_weight", "lexical_weight", "policy")
@@ -180,7 +294,7 @@ def citation(doc_id: Column, location: Column, page: Column, index: Column) -> C
 
 def materialised(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ranked candidates with their chunks and citations; hits without a chunk go."""
-    rows = ranked.join(chunks, "chunk_id")
+    rows = chunks.join(ranked, "chunk_id")
     page = F.col("page") if "page" in chunks.columns else F.lit(None)
     return rows.withColumn("citation", citation(F.col("doc_id"), F.coalesce("path", "url"), page, F.col("chunk_index")))
 

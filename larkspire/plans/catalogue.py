@@ -617,7 +617,7 @@ def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH q AS (SELECT conv_id, list_filter(regexp_extract_all(lower(arg_min(text, turn)), '[A-Za-z0-9_\\-]+'), lambda t: length(t) > 1) AS ks FROM conversations GROUP BY conv_id), "
-    "p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS ss FROM conversations), "
+    "p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\s+$', '')), lambda x: x <> '') AS ss FROM conversations), "
     "s AS (SELECT conv_id, turn, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM p), "
     "g AS (SELECT conv_id, s, max(len(list_filter(ks, lambda k: contains(lower(s), k))) * 2 + least(length(s) // 80, 2)) AS score, min((turn, i)) AS place FROM s JOIN q USING (conv_id) GROUP BY ALL), "
     "r AS (SELECT conv_id, s, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, place) AS n FROM g) SELECT conv_id, n::INTEGER AS rank, score::INTEGER AS score, s AS sentence FROM r WHERE n <= 3"
