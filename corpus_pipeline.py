@@ -4,6 +4,12 @@ STAGES lists the stages; each takes (spark, docs, sf_dir) and returns a table. A
 documents. Language ID drops what it rejects: texts without a letter and those whose margin is narrow. Of each component
 of near duplicates the document with the smallest doc_id stays. Personal data is replaced by its kind, and n_chars is
 counted anew. Packing puts what is left into sequences.
+
+Null and empty texts, and those without a letter, go in the first stage, as no language is theirs. Repeated rows are near
+duplicates: one stays, the one of least doc_id; rows without doc_id give way to one that has one, and one of several stays
+where none has. Columns beyond those of documents, whatever their names, travel through the first three stages unchanged
+(lang_pred, score, rejected and the like among them); packing returns its own columns. Very long texts are read whole in
+every stage. An empty table, or one of which nothing is left, gives empty tables of the same columns.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from larkspire.llm.common import stored
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
-    return langid.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    return langid.kept(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

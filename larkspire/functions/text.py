@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +59,7 @@ def search_terms(c: Column) -> Column:
 
 
 def or_query(c: Column) -> Column:
+    """The distinct terms of a query, quoted and joined by bars."""
     return F.array_join(F.transform(F.array_distinct(lexicalize(c)), lambda t: F.concat(F.lit("'"), t, F.lit("'"))), " | ")
 
 
@@ -91,9 +96,34 @@ def version_parts(c: Column) -> Column:
     return F.transform(F.split(cleaned, "\\."), lambda p: F.coalesce(F.when(p.rlike("^\\s*[+-]?\\d+\\s*$"), F.trim(p).cast("long")), F.lit(0).cast("long")))
 
 
+def is_newer(a: Column, b: Column) -> Column:
+    """Whether version a comes after version b; of equal beginnings the longer one does."""
+    return version_parts(a) > version_parts(b)
+
+
+_DROPPED = re.compile("[\\s_\u00ad\u2212]")
+
+
+def _folded(text: str | None) -> str:
+    found = unicodedata.normalize("NFKC", text or "").casefold()
+    return "".join(c for c in _DROPPED.sub("", found) if unicodedata.category(c) != "Pd")
+
+
 def canonical_identifier(c: Column) -> Column:
-    """Lower case without white space, underscores, soft hyphens, minus signs and dashes (of text in composed form)."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "(?U)[\\s_\\u00ad\\u2212\\p{Pd}]", "")
+    """Compatibility form with case folded, without white space, underscores, soft hyphens, minus signs and dashes. Texts of ASCII alone stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def folded(s: pd.Series) -> pd.Series:
+        return s.map(_folded)
+
+    c = F.coalesce(c, F.lit(""))
+    odd = c.rlike("[^\\x00-\\x7f]")
+    return F.when(odd, folded(F.when(odd, c))).otherwise(F.regexp_replace(F.lower(c), "[\\s_\\x1c-\\x1f-]", ""))
+
+
+def identifier_matches(text: Column, identifiers: Column) -> Column:
+    """Whether one of the identifiers (an array in canonical form) stands in the canonical text."""
+    return F.exists(F.filter(identifiers, lambda i: i != ""), lambda i: F.contains(text, i))
 
 
 def normalized(c: Column) -> Column:
@@ -110,19 +140,24 @@ def sentences(c: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
-def sentence_score(sentence: Column, keywords: Column) -> Column:
-    """Two for each keyword in it, and one for each 80 characters up to two."""
-    low = F.lower(sentence)
-    hits = F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k))))
-    return hits * 2 + F.least(F.floor(F.length(sentence) / 80).cast("int"), F.lit(2))
-
-
 def tf_score(query: Column, doc: Column) -> Column:
     """Occurrences of the query's tokens, each as often as the query has it, over the root of the document's length."""
     hits = F.aggregate(query, F.lit(0), lambda acc, q: acc + F.size(F.filter(doc, lambda d: d == q)))
     return F.when(F.size(doc) > 0, hits / F.sqrt(F.size(doc))).otherwise(F.lit(0.0))
 
 
+def epoch(c: Column) -> Column:
+    """Seconds since 1970 of a text: a number, or an ISO time with or without zone (UTC); null for anything else."""
+    value = F.trim(c)
+    number = value.rlike("^[+-]?[0-9]+([.][0-9]+)?$")
+    return F.when(number, value.cast("double")).otherwise(F.unix_micros(F.try_to_timestamp(value)) / 1e6)
+
+
+def document_marker(index: Column) -> Column:
+    """Four identity terms of a generated document."""
+    return F.array_join(F.transform(F.array(*map(F.lit, "ABCD")), lambda x: F.format_string("RB%06d%s", index.cast("long"), x)), " ")
+
+
 def sampled(key: Column, rate: float) -> Column:
     """True for a share of the keys: the first 32 bits of their SHA-256 as a fraction are below it."""
     return F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("double") / 4294967295.0 < rate

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -46,19 +47,42 @@ def hash_embedding(dim: int = 128):
     return embed
 
 
-def hash_sparse(buckets: int = 1 << 20):
+def _sparse_tokens(text: str):
+    return re.findall(r"[^\W_]+", text.casefold())
+
+
+def hash_sparse():
     """A pandas UDF: token counts by a 4-byte BLAKE2b, as (indices ascending, values)."""
-    token = re.compile(r"[^\W_]+")
 
     @F.pandas_udf("indices array<bigint>, values array<double>")
     def encode(s: pd.Series) -> pd.DataFrame:
         rows = []
         for text in s:
             c: Counter = Counter()
-            for w, n in Counter(token.findall((text or "").casefold())).items():
-                c[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "big") % buckets] += n
+            for w, n in Counter(_sparse_tokens(text or "")).items():
+                c[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "big")] += n
             at = sorted(c)
             rows.append((at, [float(c[i]) for i in at]))
         return pd.DataFrame(rows, columns=["indices", "values"])
 
     return encode
+
+
+def uuid5(name: Column, namespace: uuid.UUID) -> Column:
+    """The UUID of a name in a namespace: SHA-1 of both, with version and variant bits."""
+    h = F.sha1(F.concat(F.lit(bytearray(namespace.bytes)), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    variant = F.substring(variant, -1, 1)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+#: The namespace of point ids of this engine.
+POINTS = uuid.UUID("7f0f6c55-6d1c-5b0e-9b6e-3d2f52d0a1c4")
+
+
+def point_id(stored: Column, chunk_id: Column) -> Column:
+    """A stored id that is a number or a UUID (in canonical form), else one made from the chunk's id."""
+    raw = F.trim(stored)
+    bare = F.lower(F.regexp_replace(raw, "^urn:uuid:|[{}-]", ""))
+    dashed = F.concat_ws("-", *[F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.when(raw.rlike("^[0-9]+$"), raw).when(bare.rlike("^[0-9a-f]{32}$"), dashed).otherwise(uuid5(chunk_id.cast("string"), POINTS))

@@ -101,7 +101,7 @@ def backoff(attempt: Column, base: float = 2.0, most: float = 300.0) -> Column:
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt - 1))
 
 
-def next_window(due: Column, now: Column, seconds: int) -> Column:
+def next_window(due: Column, now: Column, seconds: Column | int) -> Column:
     """The first due time after now, in whole periods from the last."""
     late = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(due.cast("timestamp"))
     periods = F.greatest(F.lit(1), F.floor(late / seconds) + 1)
@@ -112,3 +112,38 @@ def orphaned(generations: DataFrame, jobs: DataFrame) -> DataFrame:
     """Unfinished generations whose job is gone or doesn't run."""
     mine = jobs.select("job_id", F.col("status").alias("job_status"))
     return generations.where("status IN ('staging', 'prepared')").join(mine, "job_id", "left").where("job_status IS NULL OR job_status <> 'running'")
+
+
+def items(sources: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A page of sources with their latest job and what their latest completed one has indexed."""
+    last = latest(jobs, "source_id", "created_at", "job_id").select("source_id", F.col("job_id").alias("latest_job"), F.col("status").alias("latest_status"))
+    total = F.expr("try_cast(nullif(get_json_object(stats, '$.chunks_total'), '') AS bigint)")
+    done = latest(jobs.where("status = 'completed'"), "source_id", "created_at", "job_id").select("source_id", F.col("doc_count").alias("documents"), F.coalesce(total, "chunk_count", F.lit(0)).alias("chunks"), F.col("completed_at").alias("indexed_at"))
+    return sources.join(last, "source_id", "left").join(done, "source_id", "left").fillna(0, ["documents", "chunks"])
+
+
+def by_status(jobs: DataFrame) -> DataFrame:
+    """Statuses that jobs have, with their number and share."""
+    n = jobs.groupBy("status").agg(F.count("*").alias("n"))
+    whole = n.agg(F.sum("n").alias("__all"))
+    return n.join(F.broadcast(whole), how="cross").select("status", "n", F.round(F.col("n") / F.col("__all"), 6).alias("share"))
+
+
+def pending_age(jobs: DataFrame, now: Column) -> DataFrame:
+    """Seconds that the oldest pending job has waited."""
+    oldest = F.min(F.when(F.col("status") == "pending", F.col("created_at")))
+    seconds = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(oldest.cast("timestamp"))) / 1e6
+    return jobs.agg(F.round(F.greatest(F.lit(0.0), seconds), 3).alias("oldest_pending_age"))
+
+
+def failures(jobs: DataFrame, n: int = 10) -> DataFrame:
+    """The latest failed and the latest dead-lettered jobs, n of each."""
+    part = lambda kind: jobs.where(F.col("status") == kind).orderBy(F.desc("completed_at"), F.desc("job_id")).limit(n).withColumn("kind", F.lit(kind))
+    return part("failed").unionByName(part("dead_lettered"))
+
+
+def counts(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Running jobs, chunks, and chunks with text."""
+    a = jobs.agg(F.count(F.when(F.col("status") == "running", 1)).alias("running"))
+    b = chunks.agg(F.count("*").alias("chunks"), F.count(F.when(F.length("text") > 0, 1)).alias("filled"))
+    return a.join(b, how="cross")  # one row each

@@ -48,8 +48,12 @@ def route(query: Column) -> Column:
     return out.otherwise("mixed")
 
 
-def repository(query: Column) -> Column:
-    return F.nullif(F.regexp_extract(query, "repo:([A-Za-z0-9_\\-/]+)", 1), F.lit(""))
+def constraints(query: Column) -> Column:
+    """(repo, source_types) that a question names: repo:name, and pdf or web."""
+    repo = F.nullif(F.regexp_extract(query, "repo:([\\w\\-/]+)", 1), F.lit(""))
+    web = F.contains(query, F.lit("web")) | F.contains(query, F.lit("\u7f51\u9875"))
+    kind = F.when(F.contains(query, F.lit("pdf")), "pdf").when(web, "web")
+    return F.struct(repo.alias("repo"), kind.alias("source_type"))
 
 
 def expectation(answer: Column, contains_all: list[str], contains_any: list[str], citations: Column, min_citations: int) -> Column:
@@ -63,9 +67,3 @@ def expectation(answer: Column, contains_all: list[str], contains_any: list[str]
             some = some | F.contains(low, F.lit(w.lower()))
         ok = ok & some
     return ok
-
-
-def deduplicated_evidence(items: DataFrame) -> DataFrame:
-    """The best-scored row of each text of a request."""
-    w = Window.partitionBy("request_id", F.md5("content")).orderBy("position")
-    return items.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -66,5 +66,7 @@ def next_action(lacks: Column) -> Column:
     return F.when(lacks == "doc_chunks", "retrieve").when(lacks == "sql_rows", "sql_query").when(lacks == "code_snippets", "code_search")
 
 
-def confidence(has_draft: Column, lacks: Column) -> Column:
-    return F.when(has_draft & lacks.isNull(), "high").otherwise("low")
+def confidence(has_draft: Column, enough: Column, lacks: Column) -> Column:
+    """high with a draft and enough evidence, medium if something is missing all the same, else low."""
+    sure = F.coalesce(has_draft & enough, F.lit(False))
+    return F.when(sure & lacks.isNull(), "high").when(sure, "medium").otherwise("low")

@@ -21,33 +21,44 @@ class Filter:
     end: str | None = None
     security_scope: tuple[str, ...] = field(default=())
 
-    def condition(self) -> Column:
-        """The conjunction of what is set: a null path or url is '', null tags are none, a null time passes, a null ACL is public."""
+    def condition(self, prefix: str = "", times: tuple[str, ...] = ("ingested_at", "doc_updated_at", "created_at"), either: bool = False) -> Column:
+        """The conjunction of what is set: a null path or url is '', null tags are none, a null time passes, a null ACL is public.
+
+        prefix names a struct that holds the columns. The time is the first of times that isn't null; with either, one of
+        them must lie in the range.
+        """
+        c = lambda name: F.col(prefix + name)
         out: list[Column] = []
         if self.tenant_id:
-            out.append(F.col("tenant_id") == self.tenant_id)
+            out.append(c("tenant_id") == self.tenant_id)
         if self.source_types:
-            out.append(F.col("source_type").isin(*self.source_types))
+            out.append(c("source_type").isin(*self.source_types))
         if self.doc_ids:
-            out.append(F.col("doc_id").isin(*self.doc_ids))
+            out.append(c("doc_id").isin(*self.doc_ids))
         if self.tags:
-            out.append(F.arrays_overlap(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, self.tags))))
+            out.append(F.arrays_overlap(F.coalesce(c("tags"), F.array().cast("array<string>")), F.array(*map(F.lit, self.tags))))
         if self.path_prefix:
-            out.append(F.coalesce("path", F.lit("")).startswith(self.path_prefix))
+            out.append(F.coalesce(c("path"), F.lit("")).startswith(self.path_prefix))
         if self.url_prefix:
-            out.append(F.coalesce("url", F.lit("")).startswith(self.url_prefix))
+            out.append(F.coalesce(c("url"), F.lit("")).startswith(self.url_prefix))
         if self.start or self.end:
-            ts = F.coalesce("ingested_at", "doc_updated_at", "created_at")
-            if self.start:
-                out.append(ts.isNull() | (ts >= F.lit(self.start).cast("timestamp_ntz")))
-            if self.end:
-                out.append(ts.isNull() | (ts <= F.lit(self.end).cast("timestamp_ntz")))
+            if either:
+                out.append(reduce(lambda a, b: a | b, [F.coalesce(self._within(c(t)), F.lit(False)) for t in times]))
+            else:
+                ts = F.coalesce(*map(c, times))
+                out.append(ts.isNull() | self._within(ts))
         if self.security_scope:
-            out.append(F.coalesce("acl_hash", F.lit("public")).isin(*self.security_scope))
+            out.append(F.coalesce(c("acl_hash"), F.lit("public")).isin(*self.security_scope))
         return reduce(lambda a, b: a & b, out, F.lit(True))
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        return df.where(self.condition())
+    def _within(self, ts: Column) -> Column:
+        out = F.lit(True)
+        if self.start:
+            out = out & (ts >= F.lit(self.start).cast("timestamp_ntz"))
+        return out & (ts <= F.lit(self.end).cast("timestamp_ntz")) if self.end else out
+
+    def apply(self, df: DataFrame, prefix: str = "", **times) -> DataFrame:
+        return df.where(self.condition(prefix, **times))
 
 
 def tenants(df: DataFrame, ids: list[str] | None) -> DataFrame:

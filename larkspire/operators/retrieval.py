@@ -276,13 +276,18 @@ def policy(told: DataFrame, hash_fallback: bool = False) -> DataFrame:
     return told.withColumns({"dense_weight": pick(1, 0.8), "lexical_weight": pick(2, 0.2), "policy": pick(3, "weak-lexical-evidence")})
 
 
+def told(queries: DataFrame, d: DataFrame, x: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What policy() asks for: confidence and the number of hits of each branch of each query."""
+    counts = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    both = confidence(queries, x, chunks).join(counts(d, "dense_hits"), "query_id", "left").join(counts(x, "lexical_hits"), "query_id", "left")
+    return both.fillna(0, ["dense_hits", "lexical_hits"])
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, points: DataFrame, k: int = 10, requested: int | None = None) -> DataFrame:
     """Both branches, the policy of each query, weighted fusion. queries: query_id, query, vector."""
     p = pool(k, requested)
     d, x = kept(dense(queries, points, p), "dense"), kept(lexical(queries, chunks, p), "lexical")
-    counts = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
-    told = confidence(queries, x, chunks).join(counts(d, "dense_hits"), "query_id", "left").join(counts(x, "lexical_hits"), "query_id", "left").fillna(0, ["dense_hits", "lexical_hits"])
-    weights = policy(told).select("query_id", "dense_weight", "lexical_weight", "policy")
+    weights = policy(told(queries, d, x, chunks)).select("query_id", "dense_weight", "lexical_weight", "policy")
     fused = rrf(d.join(weights, "query_id"), x.join(weights, "query_id"), k, F.col("dense_weight"), F.col("lexical_weight"))
     return fused.join(weights, "query_id")
 
@@ -319,10 +324,5 @@ def diversified(ranked: DataFrame, threshold: float = 0.92) -> DataFrame:
     return ranked.groupBy("query_id").applyInPandas(keep, ranked.schema)
 
 
-def rerank(ranked: DataFrame, scorer, first: int) -> DataFrame:
-    """The first rows of each query scored anew by scorer(query, text) -> Column and sorted by it."""
-    return top(ranked.where(F.col("rank") <= first).withColumn("score", scorer(F.col("query"), F.col("text"))).drop("rank"), first)
-
-
 def embed(df: DataFrame, dim: int = 128, body: str = "text") -> DataFrame:
     return df.withColumn("vector", vector.hash_embedding(dim)(F.col(body)))

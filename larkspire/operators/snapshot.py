@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspire.session import kept
+
 
 def reuse_key(columns: list[str]) -> Column:
     """One narrow key for many columns; null is a value of its own."""
@@ -52,18 +55,24 @@ def apply_changes(previous: DataFrame, feed: DataFrame, key: str, order: str, ki
     return previous.join(last.select(key), key, "left_anti").unionByName(upserts)
 
 
-def derived_documents(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """A document for each doc_id from its first chunk; the version of one that exists already goes up."""
-    first = chunks.groupBy("doc_id").agg(F.min_by("title", "chunk_index").alias("title"), F.count("*").alias("chunk_count"))
-    old = existing.select("doc_id", F.col("version").alias("__v"))
-    return first.join(old, "doc_id", "left").withColumn("version", F.coalesce(F.col("__v") + 1, F.lit(1))).drop("__v")
+def numbered(rows: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """rows with their place (from 0) in a total order, without one task that sees them all: ranges are numbered on their own and shifted by the counts of those before."""
+    spark = rows.sparkSession
+    dealt = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__part").count().orderBy("__part").collect()  # a row a range
+    before, shifts = 0, []
+    for r in counts:
+        shifts.append((r["__part"], before))
+        before += r["count"]
+    known = F.broadcast(spark.createDataFrame(shifts, "__part int, __before long"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.join(known, "__part").withColumn(name, F.col("__before") + place).drop("__part", "__before")
 
 
 def outbox(ids: DataFrame, order: str, key: str, size: int = 500) -> DataFrame:
     """Distinct ids in order of first appearance, in batches of size."""
     first = ids.groupBy(key).agg(F.min(order).alias("__at"))
-    n = F.row_number().over(Window.orderBy("__at", key)) - 1
-    return first.select(key, n.alias("position"), F.floor(n / size).alias("batch"))
+    return numbered(first, "__at", key).select(key, "position", F.floor(F.col("position") / size).alias("batch"))
 
 
 class Generations:
@@ -89,13 +98,15 @@ class Generations:
             stream.close()
 
     def _write(self, name: str, value) -> None:
-        temp, final = self._path(f"{self.root}/.{name}.tmp"), self._path(f"{self.root}/{name}")
+        temp, final = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}.tmp"), self._path(f"{self.root}/{name}")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temp, final)
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(temp, final, how)  # replaces the old pointer in one step
 
     def active(self) -> str | None:
         found = self._read("active.json")

@@ -5,38 +5,68 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_ROWS = 200
-#: What reads files or runs code from within a SELECT.
-_UNSAFE = re.compile(r"(?is)\b(java_method|reflect|read_files|input_file_name|aes_decrypt|transform\s*\()|`?(parquet|csv|json|text|orc|avro|binaryfile)`?\s*\.\s*`")
+# Words that no statement may hold, wherever they stand.
+WRITING = "insert update delete drop alter create truncate grant revoke comment vacuum call execute copy commit rollback".split()
+# The functions that a statement may call.
+FUNCTIONS = frozenset(
+    "abs acos any_value approx_count_distinct array array_agg array_contains asin atan avg bool_and bool_or cardinality case cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr cos count count_if covar_pop covar_samp "
+    "cume_dist current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank element_at endswith every exp explode extract first first_value floor format_number format_string "
+    "greatest grouping grouping_id hour if ifnull initcap instr isnan isnull isnotnull lag last last_day last_value lcase lead least left length ln log log10 log2 lower lpad ltrim max max_by mean median min min_by minute mod month months_between named_struct negative "
+    "nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_approx pi position positive pow power quarter radians rank regexp_count regexp_extract regexp_like regexp_replace repeat replace reverse right round row_number rpad rtrim second sequence sign sin size "
+    "some sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp string struct substr substring sum tan to_date to_timestamp trim try_cast try_divide typeof ucase unix_timestamp upper var_pop var_samp variance weekday weekofyear width_bucket window year".split()
+)
+_CALL = re.compile(r"'([\w.`]+)\(")
+_REFUSED = re.compile(r"CreateTable|InsertInto|UnresolvedTableValuedFunction|ScriptTransformation|TableFunction|Command\b|OverwriteBy|DeleteFrom|UpdateTable|MergeInto")
 
 
 class NotAllowed(ValueError):
     pass
 
 
+def looks_like_sql(question: str) -> bool:
+    """Whether a question is a statement already."""
+    return bool(re.match(r"(?i)\s*select\b", question))
+
+
 class SqlTool:
-    """Queries see the given tables alone. The statement is parsed by Spark, and its plan, not its text, is checked."""
+    """Queries see the given tables alone. Spark parses the statement, and its plan is walked: only relations that are given, only functions that are listed.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS):
-        self.spark, self.max_rows = spark, max_rows
+    with_clauses lets WITH through, which a plain tool refuses.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS, with_clauses: bool = False, schemas: tuple[str, ...] | None = None):
+        self.spark, self.max_rows, self.with_clauses, self.schemas = spark, max_rows, with_clauses, schemas
         self.tables = tables
 
     def checked(self, statement: str) -> str:
-        text = statement.strip().rstrip(";").strip()
+        text = statement.strip()
+        text = text[:-1].rstrip() if text.endswith(";") else text
+        if ";" in text:
+            raise NotAllowed("one statement at a time")
+        if not re.match(r"(?i)(select|with)\b" if self.with_clauses else r"(?i)select\b", text):
+            raise NotAllowed("only SELECT is allowed")
+        if re.search(rf"(?i)\b({'|'.join(WRITING)})\b", text):
+            raise NotAllowed("a word that isn't allowed")
         try:
             plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
         except Exception as e:
             raise NotAllowed(f"not one statement that can be parsed: {e}") from None
-        name = plan.getClass().getName()
         tree = plan.treeString()
-        if ".command." in name or name.rpartition(".")[2] in _COMMANDS or "CreateTable" in tree or "InsertInto" in tree or not re.match(r"(?is)\(*\s*(select|with)\b", text):
+        if _REFUSED.search(tree) or ".command." in plan.getClass().getName():
             raise NotAllowed("only SELECT is allowed")
-        if _UNSAFE.search(text):
-            raise NotAllowed("a function or path that isn't allowed")
+        for name in _CALL.findall(tree):
+            if name.strip("`").lower() not in FUNCTIONS:
+                raise NotAllowed(f"the function {name} isn't allowed")
+        own = {x.lower() for pair in re.findall(r"(?i)\bwith\s+(\w+)\s+as|,\s*(\w+)\s+as\s*\(", text) for x in pair if x} if self.with_clauses else set()
+        known = {x.lower() for x in self.tables}
         for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-            known = {x.strip() for x in re.findall(r"(?i)\bwith\s+(\w+)\s+as|,\s*(\w+)\s+as\s*\(", text) for x in x if x}
-            if found not in self.tables and found not in known:
+            parts = [x.strip().lower() for x in found.split(",")]
+            if len(parts) > 1 and (self.schemas is None or parts[0] not in self.schemas):
+                raise NotAllowed(f"the schema {parts[0]} isn't allowed")
+            if parts[-1] not in known | own:
                 raise NotAllowed(f"no table {found}")
         return text
 
@@ -51,9 +81,26 @@ class SqlTool:
         """At most limit rows, and never more than max_rows."""
         return self.select(statement).limit(min(limit or self.max_rows, self.max_rows))
 
+    def simple(self, statement: str) -> DataFrame:
+        """SELECT columns FROM table [WHERE column = 'value'], where columns that the table lacks are null. Any other WHERE is an error."""
+        m = re.fullmatch(r"(?is)\s*select\s+([\w*,\s]+?)\s+from\s+([\w-]+)(?:\s+where\s+([\w-]+)\s*=\s*'([^']*)')?\s*;?\s*", statement)
+        if not m or m[2] not in self.tables:
+            raise NotAllowed("not a simple SELECT over a known table")
+        df = self.tables[m[2]]
+        if m[3]:
+            df = df.where((F.col(m[3]) if m[3] in df.columns else F.lit(None)).cast("string") == m[4])
+        names = [c.strip() for c in m[1].split(",")]
+        return df.select(*[x for n in names for x in (df.columns if n == "*" else [F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n)])]).limit(self.max_rows)
+
     def columns(self) -> DataFrame:
         rows = [(t, f.name, f.dataType.simpleString(), f.nullable, i) for t, df in sorted(self.tables.items()) for i, f in enumerate(df.schema.fields, 1)]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, position int")
 
 
-_COMMANDS = {"DropTable", "CreateTable", "AlterTable", "SetCatalogAndNamespace", "DeleteFromTable", "UpdateTable", "MergeIntoTable", "InsertIntoStatement"}
+class NoSql:
+    """The surface where SQL is switched off."""
+
+    def run(self, statement: str, limit: int | None = None) -> DataFrame:
+        raise NotAllowed("SQL is switched off")
+
+    select = simple = run

@@ -126,7 +126,7 @@ def text_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.max(k).alias("max_k"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, rtrim(regexp_replace(url, '#.*$', ''), '/') AS location FROM pages")
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || coalesce(nullif(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), '/') || regexp_extract(url, '^[^?#]*([?][^#]+)', 1) AS location FROM pages")
 def text_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspire.sources.files import canonical
 
@@ -406,8 +406,10 @@ def catalog_first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey) < (SELECT (o_orderdate, o_orderkey) FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1 OFFSET 19) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21")
 def catalog_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    last = catalog.page(o, "o_orderdate", "o_orderkey", 19).collect()[-1]
-    return catalog.page(o, "o_orderdate", "o_orderkey", 20, (last["o_orderdate"], last["o_orderkey"])).select("o_orderkey", "o_orderdate")
+    seen = catalog.page(o, "o_orderdate", "o_orderkey", 19).collect()  # the page that a reader has
+    if len(seen) < 20:
+        return o.select("o_orderkey", "o_orderdate").limit(0)
+    return catalog.page(o, "o_orderdate", "o_orderkey", 20, (seen[-1]["o_orderdate"], seen[-1]["o_orderkey"])).select("o_orderkey", "o_orderdate")
 
 
 @query(f"WITH {JOBS} SELECT job_id, status, completed_at FROM jobs WHERE status IN ('failed', 'dead_lettered') ORDER BY completed_at DESC, job_id DESC LIMIT 10")
@@ -588,7 +590,7 @@ def _statement(name: str, statement: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from larkspire.operators.sqltool import SqlTool
 
-        return SqlTool(spark, {t: table(spark, sf_dir, t) for t in _TABLES}, 2**31 - 1).select(statement)
+        return SqlTool(spark, {t: table(spark, sf_dir, t) for t in _TABLES}, 2**31 - 1, with_clauses=True).select(statement)
 
     run.__name__ = name
     query(statement)(run)
@@ -617,7 +619,7 @@ def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH q AS (SELECT conv_id, list_filter(regexp_extract_all(lower(arg_min(text, turn)), '[A-Za-z0-9_\\-]+'), lambda t: length(t) > 1) AS ks FROM conversations GROUP BY conv_id), "
-    "p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\s+$', '')), lambda x: x <> '') AS ss FROM conversations), "
+    "p AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS ss FROM conversations), "
     "s AS (SELECT conv_id, turn, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM p), "
     "g AS (SELECT conv_id, s, max(len(list_filter(ks, lambda k: contains(lower(s), k))) * 2 + least(length(s) // 80, 2)) AS score, min((turn, i)) AS place FROM s JOIN q USING (conv_id) GROUP BY ALL), "
     "r AS (SELECT conv_id, s, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, place) AS n FROM g) SELECT conv_id, n::INTEGER AS rank, score::INTEGER AS score, s AS sentence FROM r WHERE n <= 3"
@@ -634,7 +636,7 @@ def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.search(table(spark, sf_dir, "documents"), "Worthless", "doc_id").select("doc_id", "line")
 
 
-@query("WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'HTTP status ' || (400 + event_id % 110) WHEN 'click' THEN 'Permission denied' WHEN 'view' THEN 'Source is deleted during ingestion' ELSE 'boom' END AS m, event_type, 400 + event_id % 110 AS s FROM events) SELECT c AS failure_class, r AS retryable, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' AND (s < 500 OR s IN (500, 502, 503, 504)) THEN 'http_' || s WHEN event_type = 'click' THEN 'configuration_error' WHEN event_type = 'view' THEN 'source_generation_mismatch' ELSE 'pipeline_failure' END AS c, CASE WHEN event_type = 'error' AND (s < 500 OR s IN (500, 502, 503, 504)) THEN s IN (408, 409, 425, 429, 500, 502, 503, 504) WHEN event_type IN ('click', 'view') THEN false ELSE true END AS r FROM e) GROUP BY ALL")
+@query("WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'HTTP status ' || (400 + event_id % 110) WHEN 'click' THEN 'Permission denied' WHEN 'view' THEN 'Source is deleted during ingestion' ELSE 'boom' END AS m, event_type, 400 + event_id % 110 AS s FROM events) SELECT c AS failure_class, r AS retryable, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' AND (s < 500 OR s IN (500, 502, 503, 504)) THEN 'http_' || s WHEN event_type = 'click' THEN 'configuration_error' WHEN event_type = 'view' THEN 'source_generation_mismatch' ELSE 'pipeline_failure' END AS c, CASE WHEN event_type = 'error' AND (s < 500 OR s IN (500, 502, 503, 504)) THEN s IN (408, 425, 429, 500, 502, 503, 504) WHEN event_type IN ('click', 'view') THEN false ELSE true END AS r FROM e) GROUP BY ALL")
 def queue_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = "CASE event_type WHEN 'error' THEN concat('HTTP status ', 400 + event_id % 110) WHEN 'click' THEN 'Permission denied' WHEN 'view' THEN 'Source is deleted during ingestion' ELSE 'boom' END"
     return table(spark, sf_dir, "events").select(lifecycle.failure(F.expr(m)).alias("f")).groupBy("f.failure_class", "f.retryable").agg(F.count("*").alias("n"))

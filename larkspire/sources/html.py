@@ -68,11 +68,13 @@ def parse(html: str | None) -> list[tuple[int, str, str, str | None]]:
 
 def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """A row a block: key, block_index, kind, text, section."""
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, block_index int, kind string, text string, section string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, *b) for k, h in zip(pdf[key], pdf[html], strict=True) for b in parse(h)]
-            yield pd.DataFrame(rows, columns=[key, "block_index", "kind", "text", "section"])
+            rows = [(k, *b) for k, h in zip(pdf["k"], pdf[html], strict=True) for b in parse(h)]
+            yield pd.DataFrame(rows, columns=["k", "block_index", "kind", "text", "section"])
 
-    return pages.where(F.col(key).isNotNull()).select(key, html).mapInPandas(run, schema)
+    # The key travels as text, so that a null one doesn't turn integers into floating point.
+    kind = pages.schema[key].dataType.simpleString()
+    found = pages.select(F.col(key).cast("string").alias("k"), F.col(html).alias(html)).mapInPandas(run, "k string, block_index int, kind string, text string, section string")
+    return found.select(F.col("k").cast(kind).alias(key), "block_index", "kind", "text", "section")

@@ -273,4 +273,4 @@ def test_evidence(spark):
     kept = {r["position"]: len(r["text"]) for r in evidence.compressed(df, 130, 100).collect()}
     assert kept == {1: 100 + len(evidence.TRUNCATED), 3: 5}
     lacks = evidence.missing(F.lit("sql"), F.array(F.lit("sql_rows")), F.lit(0))
-    assert one(spark, lacks) == "sql_rows" and one(spark, evidence.next_action(lacks)) == "sql_query" and one(spark, evidence.confidence(F.lit(True), lacks)) == "low"
+    assert one(spark, lacks) == "sql_rows" and one(spark, evidence.next_action(lacks)) == "sql_query" and one(spark, evidence.confidence(F.lit(True), F.lit(False), lacks)) == "low"
