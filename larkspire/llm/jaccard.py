@@ -62,10 +62,12 @@ _U = np.uint64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 class _WordHashes(dict):
@@ -91,7 +93,9 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
         total = np.full(n, min(len(h), words), _U)
         for i in range(min(words, len(h))):
             total += h[i : i + n] * _FACTORS[i % WORDS] + _U(i)
-    return np.unique(_mix(total))
+    out = _mix(total)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def node_of(s: np.ndarray) -> int:

@@ -117,6 +117,13 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     return df.drop("lang_pred", "score", "rejected").withColumn("__told", told(F.col(text))).select("*", "__told.*").drop("__told")
 
 
+def kept(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of df that aren't rejected, with the columns that df has."""
+    names = [f"__{i}" for i in range(len(df.columns))]  # so that no column clashes with what is added
+    told = identify(df.toDF(*names), dictionaries, names[df.columns.index(text)], min_margin).where("NOT rejected")
+    return told.select(*names).toDF(*df.columns)
+
+
 def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
