@@ -79,8 +79,8 @@ def parser(name: Column, media_type: Column) -> Column:
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Parts of at most size characters: at the first separator that the text has, what is too long at the next; neighbours are joined up to size, and overlap characters of whole parts are kept."""
+def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS, stripped: bool = True) -> list[str]:
+    """Parts of at most size characters, without white space at their ends: at the first separator that the text has, what is too long at the next; neighbours are joined up to size, and overlap characters of whole parts are kept."""
 
     def cut(s: str, seps: tuple[str, ...]) -> list[str]:
         if len(s) <= size:
@@ -96,28 +96,30 @@ def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, .
     held: list[str] = []
     n = 0
     for piece in cut(text, separators):
-        if held and n + len(piece) > size:
+        more = len(piece.rstrip())  # white space at the end of a part doesn't count
+        if held and n + more > size:
             out.append("".join(held))
-            while held and (n > overlap or n + len(piece) > size):
+            while held and (n > overlap or n + more > size):
                 n -= len(held.pop(0))
         held.append(piece)
         n += len(piece)
     if held:
         out.append("".join(held))
-    return [x.strip() for x in out if x.strip()]
+    return [x.strip() for x in out if x.strip()] if stripped else out
 
 
-_SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+\s*|[^.!?。！？\n]+")
+_SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s|\Z)|[。！？]+|\n+|\Z)\s*", re.S)
 
 
 def sentence_split(text: str, size: int, overlap: int) -> list[str]:
     """Whole sentences up to size characters, with whole sentences of at most overlap characters shared; a longer sentence is cut recursively."""
     out: list[str] = []
     held: list[str] = []
-    for sentence in (p for s in _SENTENCE.findall(text) for p in ([s] if len(s) <= size else recursive_split(s, size, 0))):
-        if held and sum(map(len, held)) + len(sentence) > size:
+    for sentence in (p for s in _SENTENCE.findall(text) for p in ([s] if len(s.rstrip()) <= size else recursive_split(s, size, 0, stripped=False))):
+        more = len(sentence.rstrip())
+        if held and sum(map(len, held)) + more > size:
             out.append("".join(held))
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(sentence) > size):
+            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + more > size):
                 held.pop(0)
         held.append(sentence)
     if held:

@@ -94,7 +94,7 @@ def test_files_objects_and_checkouts(spark, tmp_path):
     (tmp_path / ".git").mkdir()
     (tmp_path / ".git/z.txt").write_text("no")
     root = str(tmp_path)
-    assert files.listed(spark, root, max_files=1).count() == 1 and files.listed(spark, root).count() == 3
+    assert files.listed(spark, root, max_files=1).count() == 1 and files.listed(spark, root).count() == 2  # Spark leaves empty files out
     o = {r["name"]: r for r in files.objects(spark, root, "d", max_bytes=100).collect()}
     assert set(o) == {"x.txt"} and o["x.txt"]["doc_id"] == "d:" + hashlib.sha256(f"{root}/a/x.txt".lstrip("/").encode()).hexdigest()[:16]
     assert [(r["language"], r["text"][:5]) for r in files.checkout(spark, root).collect()] == [("python", "def f")]
@@ -155,9 +155,10 @@ def test_splitters():
         for size, overlap in ((50, 0), (120, 30)):
             parts = how(text, size, overlap)
             assert all(0 < len(p) <= size for p in parts)
-            assert set("".join(parts).split()) >= set(text.split()) - {""} or how is ingest.recursive_split
+            assert set(" ".join(parts).split()) >= set(text.split())
     assert ingest.recursive_split("aa bb cc", 5, 0) == ["aa bb", "cc"] and ingest.recursive_split("x" * 12, 5, 0) == ["xxxxx", "xxxxx", "xx"]
-    assert ingest.sentence_split("One. Two. Three.", 10, 5) == ["One. Two.", "Two.", "Three."][:0] or ingest.sentence_split("One. Two. Three.", 10, 0) == ["One. Two.", "Three."]
+    assert ingest.sentence_split("One. Two. Three.", 10, 0) == ["One. Two.", "Three."]
+    assert ingest.sentence_split("One. Two. Three.", 11, 5) == ["One. Two.", "Two. Three."]
     assert ingest.relocated("a\nb\nc\nb", ["a\nb", "c", "b", "zz"]) == [(1, 2), (3, 3), (4, 4), (4, 4)]
 
 
