@@ -15,8 +15,8 @@ import numpy as np
 
 from larkspire.llm.common import keeps
 
-#: Entries of the caches of a worker (some 200 bytes each: 50 MB); more words are encoded again and again. Long pieces are never kept.
-CHUNKS, WORDS, LONGEST = 100_000, 150_000, 48
+#: Entries of the caches of a worker (some 140 bytes each: 90 MB); more words are encoded again and again. Long pieces are never kept.
+CHUNKS, WORDS, LONGEST = 250_000, 400_000, 48
 
 
 def vocabulary(name: str) -> str:
