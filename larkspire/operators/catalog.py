@@ -96,9 +96,17 @@ def reconciled(jobs: DataFrame, now: Column, max_attempts: int = 3) -> DataFrame
     return jobs.withColumn("transition", t).withColumn("status", status)
 
 
-def backoff(attempt: Column, base: float = 2.0, most: float = 300.0) -> Column:
-    """Seconds to wait after an attempt: doubled each time, up to a limit."""
-    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt - 1))
+def backoff(attempt: Column, base: float = 2.0, most: float = 300.0, chance: Column | None = None) -> Column:
+    """Seconds to wait after an attempt: doubled each time, up to a limit; with a chance (0 to 1) between half of that and all."""
+    raw = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt - 1))
+    return raw if chance is None else F.least(F.lit(most), raw * (0.5 + 0.5 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), chance))))
+
+
+def decoded(rows: DataFrame, column: str, schema: str, **defaults) -> DataFrame:
+    """rows with the fields of a JSON column, those that are missing by their defaults."""
+    names = F.from_json(column, schema)
+    fields = [f.split()[0] for f in schema.split(", ")]
+    return rows.withColumns({f: F.coalesce(names[f], F.lit(defaults[f])) if f in defaults else names[f] for f in fields})
 
 
 def next_window(due: Column, now: Column, seconds: Column | int) -> Column:

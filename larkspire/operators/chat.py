@@ -67,3 +67,20 @@ def expectation(answer: Column, contains_all: list[str], contains_any: list[str]
             some = some | F.contains(low, F.lit(w.lower()))
         ok = ok & some
     return ok
+
+
+ITERATIONS = 3
+
+
+def answered(question: str, tools: dict, route_of, missing_of, most: int = ITERATIONS) -> dict:
+    """The agent's loop over one question: the route's tool, then whatever is missing, at most so often. tools: action -> evidence list; missing_of(route, evidence) -> (lacks, next action) or None."""
+    route, evidence, actions = route_of(question), [], []
+    action = {"sql": "sql_query", "code": "code_search"}.get(route, "retrieve")
+    for _ in range(most):
+        actions.append(action)
+        evidence += tools[action](question)
+        lacks = missing_of(route, evidence)
+        if lacks is None:
+            return {"route": route, "evidence": evidence, "actions": actions, "confidence": "high"}
+        action = lacks[1]
+    return {"route": route, "evidence": evidence, "actions": actions, "confidence": "low"}

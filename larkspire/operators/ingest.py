@@ -273,3 +273,21 @@ def batches(rows: Iterator[pd.DataFrame], most_rows: int, most_bytes: int, body:
             total += n
         if a < len(pdf):
             yield pdf.iloc[a:]
+
+
+def batch_embedder(encode, dimension: int, most_rows: int = 64, most_bytes: int = 1 << 20):
+    """A pandas UDF over encode(list of texts) -> list of vectors, called for slices bounded by rows and bytes; counts and dimensions are checked."""
+
+    @F.pandas_udf("array<double>")
+    def embed(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in series:
+            out = []
+            for part in batches([s.to_frame("text").reset_index(drop=True)], most_rows, most_bytes):
+                texts = part["text"].fillna("").tolist()
+                vectors = encode(texts)
+                if len(vectors) != len(texts) or any(len(v) != dimension for v in vectors):
+                    raise ValueError(f"an embedder must give {dimension} numbers for each text")
+                out += [list(map(float, v)) for v in vectors]
+            yield pd.Series(out, dtype=object)
+
+    return embed

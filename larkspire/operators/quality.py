@@ -73,18 +73,28 @@ def percentile_rounded(values: Column, q: float) -> Column:
 
 
 def truncated_percentile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """percentile_truncated without gathering a group: equal values are counted first, so a group is as large as its distinct values, and these are numbered by ranges."""
+    """percentile_truncated, without gathering a group."""
+    return ranked_percentile(df, by, value, q, "truncated", f"p{round(q * 100)}")
+
+
+def ranked_percentile(df: DataFrame, by: list[str], value: str, q: float, kind: str, name: str) -> DataFrame:
+    """A percentile that is a value of the group, by its rank: truncated (floor(n q) + 1), nearest (ceil(n q)) or rounded ((n - 1) q half to even, + 1).
+
+    No group is gathered: equal values are counted first, and these counts are summed over 1,025 ranges of values, so that
+    only the range with the rank is sorted.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__k"))
     bounds = counts.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__k").alias("__n"))
     width = F.when(F.col("__hi") > F.col("__lo"), (F.col("__hi") - F.col("__lo")) / 1024).otherwise(F.lit(1.0))
     binned = counts.join(F.broadcast(bounds), by).withColumn("__bin", F.floor((F.col(value) - F.col("__lo")) / width))
     bins = binned.groupBy(*by, "__bin", "__n").agg(F.sum("__k").alias("__in"))  # 1,025 rows a group at most
     before = F.sum("__in").over(Window.partitionBy(*by).orderBy("__bin")) - F.col("__in")
-    want = F.least(F.floor(F.col("__n") * q) + 1, F.col("__n"))
+    n = F.col("__n")
+    want = {"truncated": F.least(F.floor(n * q) + 1, n), "nearest": F.greatest(F.lit(1), F.ceil(n * q)), "rounded": F.bround((n - 1) * q).cast("long") + 1}[kind]
     chosen = bins.withColumn("__before", before).where((want > F.col("__before")) & (want <= F.col("__before") + F.col("__in"))).select(*by, "__bin", "__before", want.alias("__want"))
     inside = binned.join(F.broadcast(chosen), [*by, "__bin"])
     upto = F.sum("__k").over(Window.partitionBy(*by).orderBy(value)) + F.col("__before")
-    return inside.withColumn("__upto", upto).where("__upto >= __want").groupBy(*by).agg(F.min(value).alias(f"p{round(q * 100)}"))
+    return inside.withColumn("__upto", upto).where("__upto >= __want").groupBy(*by).agg(F.min(value).alias(name))
 
 
 def cost(tokens_in: Column, cached: Column, tokens_out: Column, rate_in: float, rate_cached: float, rate_out: float) -> Column:
@@ -288,3 +298,9 @@ def retrieved(chunks: DataFrame, sampled: Column) -> DataFrame:
 def cited(chunks: DataFrame) -> DataFrame:
     """A row a citation."""
     return chunks.select("request_id", F.explode("citations").alias("citation_id"), "chunk_id", "doc_id")
+
+
+def evaluation(summary_row: DataFrame, run_id: str) -> DataFrame:
+    """A benchmark's one-row summary as the rows of an evaluation run: metric and value."""
+    names = [c for c, t in summary_row.dtypes if t in ("double", "float", "int", "bigint")]
+    return summary_row.select(F.lit(run_id).alias("evaluation_run_id"), F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspire.operators import catalog, lifecycle
 from larkspire.operators.catalog import backoff
 from larkspire.sources.files import canonical
 
@@ -200,3 +201,43 @@ def breaker(calls: DataFrame, failures: int = 3, open_seconds: int = 30) -> Data
     out = runs.withColumn("failures_before", bad).withColumn("__last", last)
     since = F.unix_timestamp(F.col("at").cast("timestamp")) - F.unix_timestamp(F.col("__last").cast("timestamp"))
     return out.withColumn("refused", (F.col("failures_before") >= failures) & F.coalesce(since < open_seconds, F.lit(False))).drop("__good", "__last")
+
+
+# Generations and the worker
+
+_GENERATION = {"prepared": ("staging",), "active": ("prepared",), "failed": ("staging", "prepared")}
+
+
+def moved(generations: DataFrame, wanted: DataFrame, status: str, now: Column) -> DataFrame:
+    """Generations (generation_id, source_id, status, changed_at) in wanted (generation_id) on their way to a status, where theirs allows it; a new active one retires that of its source before."""
+    w = wanted.select("generation_id", F.lit(True).alias("__w")).dropDuplicates(["generation_id"])
+    g = generations.join(w, "generation_id", "left").withColumn("__go", F.coalesce("__w", F.lit(False)) & F.col("status").isin(*_GENERATION[status]))
+    old = F.lit(False)
+    if status == "active":
+        won = g.where("__go").select("source_id", F.lit(True).alias("__won")).dropDuplicates(["source_id"])
+        g = g.join(won, "source_id", "left")
+        old = F.coalesce("__won", F.lit(False)) & (F.col("status") == "active")
+    changed = F.col("__go") | old
+    return g.select(*[c for c in generations.columns if c not in ("status", "changed_at")], F.when(F.col("__go"), status).when(old, "retired").otherwise(F.col("status")).alias("status"), F.when(changed, now).otherwise(F.col("changed_at")).alias("changed_at"))
+
+
+def may_cut_over(jobs: DataFrame) -> DataFrame:
+    """Whether an index may be switched: no job is running."""
+    running = F.count(F.when(F.col("status") == "running", 1))
+    return jobs.agg(running.alias("running"), (running == 0).alias("allowed"))
+
+
+def worker_step(jobs: DataFrame, sources: DataFrame, outbox: DataFrame, now: Column, worker: str, n: int = 1) -> dict[str, DataFrame]:
+    """One turn of the worker, as the tables that it leads to: jobs reconciled, outbox events claimed, jobs of due sources, jobs claimed."""
+    fixed = catalog.reconciled(jobs, now)
+    return {"reconciled": fixed, "outbox": outbox_claimed(outbox, now, worker), "scheduled": lifecycle.due(sources, fixed, now).where("NOT blocked"), "claimed": catalog.claimed(fixed.drop("transition"), now, worker, n)}
+
+
+def work(stream: DataFrame, turn, checkpoint: str, every: str = "10 seconds"):
+    """The worker as a stream: turn(batch, id) for each micro-batch, taken up again at the checkpoint; turn must bear being called twice with one id."""
+    return stream.writeStream.foreachBatch(turn).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def exported(table: DataFrame) -> DataFrame:
+    """A table as JSON lines, to be written as text."""
+    return table.select(F.to_json(F.struct(*table.columns)).alias("value"))

@@ -783,3 +783,97 @@ def eval_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         per = hits.groupBy("query_id").agg(F.coalesce(1.0 / first, F.lit(0.0)).alias("rr"))
         out.append(per.agg(F.count("*").alias("cases"), F.round(F.avg("rr"), 6).alias("mrr")).select(F.lit(float(f.dense)).alias("dense_weight"), "cases", "mrr"))
     return reduce(DataFrame.unionByName, out)
+
+
+# Percentiles, decoding, generations, the worker, languages without spaces
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (WHERE i = greatest(1, ceil(n * 0.95))) AS nearest, max(value) FILTER (WHERE i = round_even((n - 1) * 0.95, 0) + 1) AS rounded, max(value) FILTER (WHERE i = least(floor(n * 0.95) + 1, n)) AS truncated, round(quantile_cont(value, 0.95), 6) AS linear FROM r GROUP BY event_type")
+def metrics_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    out = e.groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("linear"))
+    for kind in ("nearest", "rounded", "truncated"):
+        out = out.join(quality.ranked_percentile(e, ["event_type"], "value", 0.95, kind, kind), "event_type")
+    return out
+
+
+@query(f"WITH {JOBS} SELECT job_id, least(300, 2.0 * pow(2, attempts - 1))::DOUBLE * (0.5 + 0.5 * least(1.0, (job_id % 6) / 4.0))::DOUBLE AS delay FROM jobs WHERE status = 'failed'")
+def queue_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chance = (F.col("job_id") % 6) / 4.0
+    return jobs(spark, sf_dir).where("status = 'failed'").select("job_id", catalog.backoff(F.col("attempts"), chance=chance).alias("delay"))
+
+
+@query("SELECT event_id, coalesce((props->>'$.k')::BIGINT, -1) AS k, 'none' AS owner FROM events")
+def catalog_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.decoded(table(spark, sf_dir, "events").select("event_id", "props"), "props", "k bigint, owner string", k=-1, owner="none").select("event_id", "k", "owner")
+
+
+GENERATIONS = "g AS (SELECT o_orderkey AS generation_id, o_custkey AS source_id, CASE WHEN o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) THEN 'active' WHEN o_orderstatus = 'O' THEN 'prepared' WHEN o_orderstatus = 'F' THEN 'staging' ELSE 'retired' END AS status FROM orders)"
+
+
+@query(f"WITH {GENERATIONS}, w AS (SELECT source_id, min(generation_id) AS generation_id FROM g WHERE status = 'prepared' GROUP BY source_id) SELECT g.generation_id, CASE WHEN w.generation_id = g.generation_id THEN 'active' WHEN g.status = 'active' AND w.generation_id IS NOT NULL THEN 'retired' ELSE g.status END AS status FROM g LEFT JOIN w ON w.source_id = g.source_id")
+def snapshot_activated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    last = F.max("o_orderkey").over(Window.partitionBy("o_custkey"))
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("generation_id"), F.col("o_custkey").alias("source_id"), F.when(F.col("o_orderkey") == last, "active").when(F.col("o_orderstatus") == "O", "prepared").when(F.col("o_orderstatus") == "F", "staging").otherwise("retired").alias("status"), F.col("o_orderdate").alias("changed_at"))
+    wanted = g.where("status = 'prepared'").groupBy("source_id").agg(F.min("generation_id").alias("generation_id"))
+    return store.moved(g, wanted, "active", now_col()).select("generation_id", "status")
+
+
+@query(f"WITH {GENERATIONS} SELECT generation_id, CASE WHEN status = 'staging' AND generation_id % 2 = 0 THEN 'prepared' ELSE status END AS status FROM g")
+def snapshot_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    last = F.max("o_orderkey").over(Window.partitionBy("o_custkey"))
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("generation_id"), F.col("o_custkey").alias("source_id"), F.when(F.col("o_orderkey") == last, "active").when(F.col("o_orderstatus") == "O", "prepared").when(F.col("o_orderstatus") == "F", "staging").otherwise("retired").alias("status"), F.col("o_orderdate").alias("changed_at"))
+    return store.moved(g, g.where("generation_id % 2 = 0"), "prepared", now_col()).select("generation_id", "status")
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'click') AS running, count(*) FILTER (WHERE event_type = 'click') = 0 AS allowed FROM events")
+def queue_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.may_cut_over(jobs(spark, sf_dir))
+
+
+@query(f"WITH {JOBS}, {OUTBOX}, f AS (SELECT job_id, source_id, created_at, available_at, attempts, CASE WHEN status = 'running' AND lease_expires_at <= {NOW_SQL} AND attempts >= 3 THEN 'dead_lettered' WHEN status = 'running' AND lease_expires_at <= {NOW_SQL} THEN 'pending' WHEN status = 'failed' AND attempts < 3 THEN 'pending' WHEN status IN ('failed', 'pending') AND attempts >= 3 THEN 'dead_lettered' ELSE status END AS status FROM jobs), c AS (SELECT job_id FROM f WHERE status = 'pending' AND coalesce(available_at, created_at) <= {NOW_SQL} AND attempts < 3 ORDER BY created_at, job_id LIMIT 5) SELECT 'claimed' AS step, count(*) AS n, sum(job_id)::BIGINT AS total FROM c UNION ALL SELECT 'outbox', count(*), sum(outbox_id)::BIGINT FROM (SELECT outbox_id FROM o WHERE status = 'pending' AND available_at <= {NOW_SQL} ORDER BY outbox_id LIMIT 10)")
+def queue_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("sync_next_at")).selectExpr("concat('s', user_id) AS source_id", "'active' AS status", "true AS sync_enabled", "sync_next_at", "3600 AS sync_interval")
+    turn = store.worker_step(jobs(spark, sf_dir), s, _outbox(spark, sf_dir), now_col(), "w9", 5)
+    a = turn["claimed"].agg(F.count("*").alias("n"), F.sum("job_id").alias("total")).select(F.lit("claimed").alias("step"), "n", "total")
+    return a.unionByName(turn["outbox"].agg(F.count("*").alias("n"), F.sum("outbox_id").alias("total")).select(F.lit("outbox").alias("step"), "n", "total"))
+
+
+@query("SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR AS value FROM nation")
+def store_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.exported(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query(f"SELECT item_id, array_to_string(list_concat({TOKENS.format('text')}, ['a-1', '深度', '度学', '学习', '书']), ' ') AS lexemes, true AS cjk FROM benchmark")
+def text_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.concat("text", F.lit(" 深度学习 A-1 书"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.lexicalize(c), " ").alias("lexemes"), T.contains_cjk(c).alias("cjk"))
+
+
+@query("SELECT 1.0::DOUBLE AS recall_5, round((1 + 1 + 0.5) / 3, 6)::DOUBLE AS mrr")
+def eval_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regression of lexical search in Chinese: three questions over five texts; the third question's text comes second."""
+    docs = spark.createDataFrame([(1, "向量数据库支持相似度检索"), (2, "今天天气很好适合散步"), (3, "全文检索与分词"), (4, "分布式系统的一致性"), (5, "一致性协议与分布式事务 分布式锁")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "向量数据库", 1), (2, "天气", 2), (3, "分布式", 4)], "query_id long, query string, relevant long")
+    hits = retrieval.lexical(asked, docs, 5).join(asked, "query_id").where("chunk_id = relevant")
+    n = asked.agg(F.count("*").alias("n"))
+    found = hits.groupBy("query_id").agg(F.min("rank").alias("rank")).agg(F.count("*").alias("hits"), F.sum(1.0 / F.col("rank")).alias("rr"))
+    return found.join(n, how="cross").select((F.col("hits") / F.col("n")).alias("recall_5"), F.round(F.col("rr") / F.col("n"), 6).alias("mrr"))
+
+
+@query("SELECT size::INTEGER AS size, count(*) AS n_chunks, round(avg(n), 6) AS mean_chars FROM (SELECT 1000 AS size, length(t) AS n FROM (SELECT trim(substr(text, (i * 880 + 1)::BIGINT, 1000), chr(32) || chr(10) || chr(9) || chr(13)) AS t FROM (SELECT text, unnest(generate_series(0, greatest(0, ceil((length(text) - 1000) / 880.0))::BIGINT)) AS i FROM documents WHERE length(text) > 0)) WHERE t <> '' UNION ALL SELECT 500, length(t) FROM (SELECT trim(substr(text, (i * 500 + 1)::BIGINT, 500), chr(32) || chr(10) || chr(9) || chr(13)) AS t FROM (SELECT text, unnest(generate_series(0, greatest(0, ceil((length(text) - 500) / 500.0))::BIGINT)) AS i FROM documents WHERE length(text) > 0)) WHERE t <> '') GROUP BY size")
+def eval_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two window settings over the same corpus, all else equal."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one = lambda size, overlap: chunking.shape(chunking.chunked(d, size, overlap).withColumn("size", F.lit(size)), ["size"])
+    return one(1000, 120).unionByName(one(500, 0)).select("size", "n_chunks", "mean_chars")
+
+
+@query("SELECT 'run-1' AS evaluation_run_id, unnest(['orders', 'mean_price']) AS metric, unnest([count(*)::DOUBLE, round(avg(o_totalprice), 4)]) AS value FROM orders")
+def eval_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+    return quality.evaluation(one, "run-1")

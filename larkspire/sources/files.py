@@ -54,6 +54,12 @@ def objects(spark: SparkSession, folder: str, doc_id: str, suffixes: tuple[str,
     return rows.select(name.alias("doc_id"), key.alias("object_key"), F.md5("content").alias("etag"), F.col("path").alias("uri"), "name", decoded(F.col("content")).alias("text"))
 
 
+def units(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of a corpus, one for each page of a file: pages are parted by form feeds."""
+    rows = listed(spark, folder)
+    return rows.select("path", F.posexplode(F.split(decoded(F.col("content")), "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1).where(F.trim("text") != "")
+
+
 def checkout(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, language and text of the source files of a checkout."""
     rows = listed(spark, folder, CODE_SUFFIXES, max_bytes)

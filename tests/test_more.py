@@ -390,3 +390,77 @@ def test_chunk_segments_lose_no_text(spark, sf):
     for k, h in pages.items():
         assert {w for _, _, t, _ in html.parse(h) for w in t.split() if len(w) < 400} <= got[k]
     assert chunking.STANDALONE
+
+
+def test_hash_embeddings_against_python(spark):
+    import numpy as np
+
+    got = column(spark, ["B a_b a é x-1", "", None], V.hash_embedding(16)(F.col("x")))
+    v = np.zeros(16)
+    for w in ("b", "a_b", "a", "x-1"):
+        v[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % 16] += 1
+    assert np.allclose(got[0], v / np.linalg.norm(v)) and got[1] == [0.0] * 16 == got[2]
+
+
+def test_embedders_in_bounded_batches(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        calls.add(1)
+        assert len(texts) <= 2
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(5)], "i int, text string").coalesce(1)
+    got = rows.select("i", ingest.batch_embedder(encode, 2, 2)(F.col("text")).alias("v")).collect()
+    assert {r["i"]: r["v"] for r in got} == {i: [float(i), 1.0] for i in range(5)} and calls.value == 3
+    with pytest.raises(Exception, match="must give 3"):
+        rows.select(ingest.batch_embedder(encode, 3, 2)(F.col("text"))).collect()
+
+
+def test_reports(spark):
+    from larkspire.operators import reports
+
+    t = spark.createDataFrame([("a|b", 0.5, None)], "name string, value double, note string")
+    assert reports.markdown("T", t).splitlines()[4] == "| a\\|b | 0.5000 |  |"
+    assert "<td>a|b</td><td>0.5000</td>" in reports.page("T", t)
+    with pytest.raises(ValueError):
+        reports.markdown("T", spark.range(1001))
+
+
+def test_components_by_name():
+    from larkspire import registry
+
+    r = registry.default()
+    r.load("a-group-that-no-package-has")
+    assert r.create("chunker", "spec", config=None).size == 1000 and callable(r.create("reranker", "overlap"))
+    with pytest.raises(ValueError):
+        r.register("parser", "html", None)
+    with pytest.raises(KeyError):
+        r.create("embedder", "none")
+
+
+def test_the_agents_loop():
+    from larkspire.operators import chat
+
+    tools = {"sql_query": lambda q: [], "retrieve": lambda q: ["doc"], "code_search": lambda q: ["code"]}
+    lacks = lambda route, found: None if "doc" in found or route == "code" else ("doc_chunks", "retrieve")
+    assert chat.answered("q", tools, lambda q: "sql", lacks) == {"route": "sql", "evidence": ["doc"], "actions": ["sql_query", "retrieve"], "confidence": "high"}
+    none = chat.answered("q", tools | {"retrieve": lambda q: []}, lambda q: "mixed", lacks)
+    assert none["confidence"] == "low" and len(none["actions"]) == 3
+
+
+def test_the_worker_as_a_stream(spark, tmp_path):
+    from larkspire.operators import store
+
+    folder, seen = str(tmp_path / "in"), []
+    spark.range(3).write.parquet(folder)
+    q = store.work(spark.readStream.schema("id long").parquet(folder), lambda batch, i: seen.append((i, batch.count())), str(tmp_path / "c"), "0 seconds")
+    q.processAllAvailable()
+    q.stop()
+    assert sum(n for _, n in seen) == 3
+
+
+def test_corpus_units(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ftwo\f \fthree")
+    got = [(r["page"], r["text"]) for r in files.units(spark, str(tmp_path)).orderBy("page").collect()]
+    assert got == [(1, "one"), (2, "two"), (4, "three")]
