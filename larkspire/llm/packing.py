@@ -189,7 +189,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     window = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted_rows.withColumn("__rank", F.row_number().over(window))
-    return mapped(ranked.withColumn("doc_id", key(F.col("doc_id"))), run, f"{PIECES}, sequence_id long, offset long")
+    return mapped(ranked.withColumn("doc_id", key(F.col("doc_id"))), run, f"{PIECES}, sequence_id long, offset long", "fasttok")
 
 
 def digest(docs: DataFrame, vocab: str) -> DataFrame:

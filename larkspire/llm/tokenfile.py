@@ -206,7 +206,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     if rows:
                         yield _frame(rows)
 
-    return mapped(shards.repartition(max(1, min(len(manifest), 10_000))), run, schema)
+    return mapped(shards.repartition(max(1, min(len(manifest), 10_000))), run, schema, "fasttok")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
