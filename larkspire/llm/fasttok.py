@@ -2,7 +2,8 @@
 
 A text is cut at places where its pre-tokenizer cuts it whatever stands around, each distinct piece is encoded once by
 the library's model, and the ids of a text are joined from the cached pieces. Texts that have anything for which the
-cut isn't proven (odd white space, characters beyond Latin) go to the library whole, with the same ids.
+cut isn't proven (odd white space, characters beyond Latin, a special token spelled out) go to the library whole, with
+the same ids.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ class _Model:
         from tokenizers.models import BPE
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        spec = json.load(open(path))["model"]
+        with open(path) as f:
+            file = json.load(f)
+        spec, self.marks = file["model"], [t["content"].lower() for t in file["added_tokens"]]
         more = {k: spec[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix") if spec.get(k)}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
         self.model = BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, **more)
@@ -59,6 +61,10 @@ class _Model:
                 self.words[w] = got
         return got
 
+    def marked(self, text: str) -> bool:
+        """Whether a text spells out a special token, which the library then takes as one."""
+        return "<" in text and any(m in text.lower() for m in self.marks)
+
     def slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -82,7 +88,7 @@ class ByteBpe(_Model):
         return got
 
     def ids(self, text: str) -> bytes:
-        if self._RUN.search(text) or not self._PLAIN.fullmatch(text):
+        if self._RUN.search(text) or not self._PLAIN.fullmatch(text) or self.marked(text):
             return self.slow(text)
         first, *rest = text.split(" ")
         get, chunk = self.chunks.get, self.chunk
@@ -108,7 +114,7 @@ class WordBpe(_Model):
         return got
 
     def ids(self, text: str) -> bytes:
-        if not self._PLAIN.fullmatch(text):
+        if not self._PLAIN.fullmatch(text) or self.marked(text):
             return self.slow(text)
         get, chunk = self.chunks.get, self.chunk
         return b"".join([get(c) or chunk(c) for c in text.lower().split()])

@@ -150,6 +150,15 @@ def test_pipeline_of_awkward_rows(spark, docs):
         assert out.count() == 0 and (name == "best_fit_packing" or out.columns == docs.columns)
 
 
+@pytest.mark.parametrize(("kind", "name"), [(fasttok.ByteBpe, "byte_bpe_50k.json"), (fasttok.WordBpe, "word_bpe_49k.json")])
+def test_special_tokens_as_the_library_reads_them(kind, name):
+    from tokenizers import Tokenizer
+
+    enc, plain = fasttok.encoder(kind, fasttok.vocabulary(name)), Tokenizer.from_file(fasttok.vocabulary(name))
+    for t in ("a <|endoftext|> b", "<|ENDOFTEXT|>", "x<|startoftext|>y", "a < b | c", "plain Words, and 12 more."):
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_every_query_is_registered():
     assert [int(math.floor(float(n[2:].split("_")[0]))) for n in queries.queries()] == list(range(1, 11))
 
