@@ -37,7 +37,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Lengths above capacity / 2^i are a band, the last has all the others; ranges of a first sweep are so wide.
 BANDS, RANGE = 6, 256
 #: Pieces of one length that one task ranks, and how many such groups there are at most (they are widened beyond that).
-ROWS_PER_SALT, MOST_SALTS = 10_000, 1_000_000
+ROWS_PER_SALT, MOST_SALTS = 1_000, 1_000_000
 
 
 def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

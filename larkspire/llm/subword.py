@@ -69,7 +69,7 @@ _loaded: dict[str, Model] = {}
 
 
 class _Numbers(dict):
-    """Units by number; one that is new gets the next number and is noted."""
+    """Units by number; one that is new gets the next number and is noted. A key without mark stands for the unit with one before it."""
 
     def __init__(self):
         super().__init__()
@@ -77,7 +77,7 @@ class _Numbers(dict):
 
     def __missing__(self, unit: str) -> int:
         self[unit] = n = len(self)
-        self.new.append(unit)
+        self.new.append(unit if MARK in unit else MARK + unit)
         return n
 
 
@@ -219,7 +219,10 @@ class Model:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        return _UNIT.findall(MARK + text.replace(" ", MARK))
+        """The keys of a text's units: its words, where single spaces part them."""
+        if MARK in text or "  " in text or text[:1] == " " or text[-1:] in (" ", ""):
+            return _UNIT.findall(MARK + text.replace(" ", MARK))
+        return text.split(" ")
 
     def places(self, units: list[str]) -> np.ndarray:
         """First arc, number of arcs and of characters of each unit in the table."""
@@ -266,8 +269,8 @@ class Model:
         first, count, chars = at[:, 0], at[:, 1], at[:, 2]
         index = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         ends = np.cumsum(chars)
-        shift = np.repeat(ends - chars, count)
-        start, end, below = self.start[index] + shift, self.end[index] + shift, self.below[index]
+        shift = np.repeat((ends - chars).astype(np.int32), count)
+        start, end, below = self.start.take(index) + shift, self.end.take(index) + shift, self.below.take(index)
         n = int(ends[-1]) if len(ends) else 0
         counts = np.bincount(start, minlength=n)
         head = np.concatenate([[0], np.cumsum(counts)])
