@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspire.llm.common import bounded_batches, ints, key, keyed, mapped, shuffle_partitions
+from larkspire.llm.common import bounded_batches, ints, keeps, key, keyed, mapped, shuffle_partitions
 
 SAMPLES = 64
 TABLE_ROWS = 200_000
@@ -105,6 +105,17 @@ class Sampler:
         return self.bag(Counter(_WORD.findall(low) or low.split()))
 
 
+_samplers: dict[int, Sampler] = {}
+
+
+def sampler(samples: int = SAMPLES) -> Sampler:
+    """One for each worker process, until another operator runs there: what a task has drawn serves the next."""
+    keeps("fingerprint", _samplers.clear)
+    if samples not in _samplers:
+        _samplers[samples] = Sampler(samples)
+    return _samplers[samples]
+
+
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     if a is None or b is None:
         return 1.0 if a is b else 0.0
@@ -122,7 +133,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", sa
 
     @F.pandas_udf("string")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        s = Sampler(samples)
+        s = sampler(samples)
         for x in batches:
             yield x.map(lambda t: hexed(s.text(t) if isinstance(t, str) else None))
 
@@ -159,7 +170,7 @@ def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     ordered = both.select("doc_id", "text", "o", "h", F.inline(places)).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(F.desc("bucket"), "peek", F.desc("o"), F.desc("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, held, at = Sampler(samples), None, None
+        s, held, at = sampler(samples), None, None
         for pdf in batches:
             out = []
             for doc_id, text, bucket, peek in zip(map(keyed, pdf["doc_id"]), pdf["text"], pdf["bucket"], pdf["peek"], strict=True):
@@ -178,4 +189,4 @@ def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
             frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
             yield frame.assign(doc_id=ints(r[0] for r in out))
 
-    return mapped(ordered.select(key(F.col("doc_id")).alias("doc_id"), "text", "bucket", "peek"), run, schema)
+    return mapped(ordered.select(key(F.col("doc_id")).alias("doc_id"), "text", "bucket", "peek"), run, schema, "fingerprint")
