@@ -56,6 +56,11 @@ def page(df: DataFrame, ts: str, key: str, limit: int, cursor: tuple | None = No
     return rows.orderBy(F.desc(ts), F.desc(key)).limit(limit + 1)
 
 
+def page_of(df: DataFrame, ts: str, key: str, limit: int, cursor: tuple | None = None) -> DataFrame:
+    """page() with the number of all rows, whatever the cursor, as total."""
+    return page(df, ts, key, limit, cursor).join(F.broadcast(df.agg(F.count("*").alias("total"))), how="cross")
+
+
 def encode_cursor(kind: str, ts, key) -> str:
     return base64.urlsafe_b64encode(json.dumps({"kind": kind, "ts": str(ts), "id": key}).encode()).decode()
 

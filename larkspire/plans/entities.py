@@ -25,7 +25,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN doc_id % 5 = 0 THEN concat('https://example.com/', lang, '/', doc_id) END AS url",
         "CASE doc_id % 4 WHEN 0 THEN 'acl-a' WHEN 1 THEN 'acl-b' WHEN 2 THEN 'public' END AS acl_hash",
         "CASE WHEN doc_id % 7 = 0 THEN timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id % 700 AS INT)) END AS ingested_at",
-        "CAST(NULL AS timestamp_ntz) AS doc_updated_at",
+        "CASE WHEN doc_id % 9 = 0 THEN timestamp_ntz'2024-01-12 00:00:00' + make_dt_interval(0, CAST(doc_id % 300 AS INT)) END AS doc_updated_at",
         "CASE WHEN doc_id % 11 <> 0 THEN timestamp_ntz'2024-01-10 00:00:00' + make_dt_interval(0, CAST(doc_id % 500 AS INT)) END AS created_at",
     )
 
@@ -37,6 +37,7 @@ CHUNKS = """chunks AS (SELECT doc_id, doc_id AS chunk_id, text, lang, source AS
   CASE WHEN doc_id % 5 = 0 THEN 'https://example.com/' || lang || '/' || doc_id END AS url,
   CASE doc_id % 4 WHEN 0 THEN 'acl-a' WHEN 1 THEN 'acl-b' WHEN 2 THEN 'public' END AS acl_hash,
   CASE WHEN doc_id % 7 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id % 700)::INT) END AS ingested_at,
+  CASE WHEN doc_id % 9 = 0 THEN TIMESTAMP '2024-01-12 00:00:00' + to_hours((doc_id % 300)::INT) END AS doc_updated_at,
   CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-10 00:00:00' + to_hours((doc_id % 500)::INT) END AS created_at
   FROM documents)"""
 

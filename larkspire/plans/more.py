@@ -877,3 +877,25 @@ def eval_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
     return quality.evaluation(one, "run-1")
+
+
+@query(f"WITH {DTOK} SELECT t AS token, chunk_id, tf, n::INTEGER AS length FROM d")
+def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.inverted(chunks(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, CASE WHEN len(x) > 0 THEN round((2 * len(list_filter(x, lambda t: t = 'the')) + len(list_filter(x, lambda t: t = 'of'))) / sqrt(len(x)), 9) ELSE 0 END AS score FROM (SELECT doc_id, {TOKENS.format('text')} AS x FROM documents)")
+def text_tf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.array(*map(F.lit, ("the", "of", "the")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.lexicalize(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.round(T.tf_score(asked, F.col("x")), 9).alias("score"))
+
+
+@query("SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer) AS total FROM customer WHERE (c_acctbal, c_custkey) < (5000.0, 100) ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 31")
+def catalog_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.page_of(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 30, (5000.0, 100))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 200")
+def sql_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sqltool.SqlTool(spark, {"orders": table(spark, sf_dir, "orders")}, 200).run("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 500;", 1000)

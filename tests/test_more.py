@@ -464,3 +464,15 @@ def test_corpus_units(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ftwo\f \fthree")
     got = [(r["page"], r["text"]) for r in files.units(spark, str(tmp_path)).orderBy("page").collect()]
     assert got == [(1, "one"), (2, "two"), (4, "three")]
+
+
+def test_passages_in_slices(spark, sf, monkeypatch):
+    want = sorted(map(tuple, catalogue.contamination(spark, sf).collect()))
+    monkeypatch.setattr(catalogue, "PASSAGES", 7)
+    assert sorted(map(tuple, catalogue.contamination(spark, sf).collect())) == want
+
+
+def test_answer_samples(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"question": "q", "ground_truth": "a b", "contexts": ["a c"], "answer": "a"}\n')
+    row = quality.answer_quality(relevance.lines(spark, str(tmp_path / "s.jsonl"))).first()
+    assert (row["faithfulness"], row["answer_relevancy"], row["context_precision"]) == (0.5, 0.0, 0.5)
