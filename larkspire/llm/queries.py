@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspire.llm import extract, fasttok, fingerprint, jaccard, knn, langid, packing, pii, subword, tokenfile, warc
+from larkspire.llm import extract, fasttok, fim, fingerprint, importance, jaccard, knn, langid, packing, pii, quality, subword, tokenfile, warc
 from larkspire.llm.common import table
 
 
@@ -50,9 +50,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.samples(table(spark, sf_dir, "documents"), fasttok.vocabulary("piece_bpe_32k.model"), packed=True)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op7_extract, op8_jaccard, op9_langid, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_pii, op2_knn, op3_tokens, op4_packing, op5_warc, op6_fingerprint, op7_extract, op8_jaccard, op9_langid, op10_sentencepiece, op11_fim, op12_importance, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_knn": knn.ORACLE, "op5_warc": warc.ORACLE}
+    return {"op2_knn": knn.ORACLE, "op5_warc": warc.ORACLE, "op11_fim": fim.ORACLE, "op12_importance": importance.ORACLE}
