@@ -3,7 +3,7 @@
 A word is a run of anything but white space, in its own case. Its vector is the mean of those of the word and of its
 character n-grams, `<` and `>` at its ends. A document's vector is the mean over its words, plus the mean over its pairs of
 neighbouring words of the vectors for `same word` and `another word`. Means and softmax input are linear, so scoring adds
-up each word's two outputs instead of its vector; that gives the same score.
+up each word's difference of outputs instead of its vector; that gives the same score.
 
 fit() learns from a bounded sample: for each label the row of least hash in each of rows_per_label buckets of a hash of the
 text, piece characters of it from a hashed place at most. One task makes `steps` steps over it, drawing labels by their
@@ -13,7 +13,7 @@ or source are seen when a text is scored. Scoring reads whole texts.
 Labels other than 1 count as 0; null labels and rows without doc_id teach nothing; repeated labels of a document count
 once, contradicting ones both. Null and empty texts and those of white space alone score by the bias. Without any labelled
 row every score is 0.5. Equal texts get equal scores, an empty table gives an empty one. A text of any length is read
-whole, PART characters of new words at a time. Extra columns are kept; those named like the outputs are replaced.
+whole, PART characters of new words at a time at least. Extra columns are kept; those named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,21 +40,21 @@ SAME, OTHER = BUCKETS, BUCKETS + 1  # two more rows of the table of vectors
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index of word) of every feature of the words: a word itself and its character n-grams. Vectorised over all of them: one array of code points, a polynomial hash at each place."""
-    codes = np.frombuffer(" ".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.array([len(w) + 3 for w in words])
-    end = np.repeat(np.cumsum(length) - 1, length)[: len(codes)]  # where the separator after the place's word is
-    owner = np.repeat(np.arange(len(words)), length)[: len(codes)]
-    ids, owners = [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64)], [np.arange(len(words))]
-    for n in GRAMS:
-        starts = np.flatnonzero(np.arange(len(codes)) + n <= end)
-        h = np.full(len(starts), n, np.uint32)
-        for k in range(n):
-            h = h * np.uint32(0x01000193) ^ codes[starts + k]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        ids.append((h >> np.uint32(12)).astype(np.int64) % BUCKETS)
-        owners.append(owner[starts])
+    """(bucket, index of word) of every feature of the words: a word itself and its character n-grams. Vectorised over all of them: one array of code points, a polynomial hash at each place that grows with n."""
+    joined = f"<{'> <'.join(words)}>"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 3
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), length)[:-1]
+    left = (np.cumsum(length) - 1).astype(np.int32)[owner] - np.arange(len(codes), dtype=np.int32)  # characters from here to the separator
+    ids, owners = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) % np.uint32(BUCKETS)], [np.arange(len(words), dtype=np.int32)]
+    h = codes * np.uint32(0x01000193)
+    for n in range(2, GRAMS[-1] + 1):
+        h[: 1 - n or None] = h[: 1 - n or None] * np.uint32(0x01000193) ^ codes[n - 1 :]
+        if n in GRAMS:
+            starts = np.flatnonzero(left >= n)
+            x = (h[starts] + np.uint32(n)) * np.uint32(0x2C1B3C6D)
+            ids.append((x ^ (x >> np.uint32(15))) % np.uint32(BUCKETS))
+            owners.append(owner[starts])
     return np.concatenate(ids), np.concatenate(owners)
 
 
@@ -105,25 +106,31 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], share: f
 
 
 class Model:
-    """Outputs of words, kept for the words seen last; scores of texts."""
+    """Margins of words (output of label 1 less that of label 0), kept for the words seen last; scores of texts."""
 
     def __init__(self, outputs: np.ndarray, bias: np.ndarray):
-        self.outputs, self.bias, self.index = outputs, bias, {}
-        self.known = np.zeros((1024, 2))
+        self.margins, self.bias = outputs[:, 1] - outputs[:, 0], float(bias[1] - bias[0])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.known = np.zeros(1024)
 
     def _learn(self, words: list[str]) -> None:
         ids, owner = grams(words)
-        size = np.bincount(owner, minlength=len(words))
         while len(self.index) + len(words) > len(self.known):
             self.known = np.concatenate((self.known, np.zeros_like(self.known)))
         at = len(self.index)
-        for c in (0, 1):
-            self.known[at : at + len(words), c] = np.bincount(owner, self.outputs[ids, c], len(words)) / size
+        self.known[at : at + len(words)] = np.bincount(owner, self.margins[ids]) / np.bincount(owner)
         self.index.update(zip(words, range(at, at + len(words)), strict=True))
 
-    def learn(self, words: list[str]) -> None:
+    def _part(self, parted: list[list[str]]) -> np.ndarray:
+        new = set().union(*parted) - self.index.keys()
+        if len(self.index) + len(new) > WORDS_KEPT:
+            self._forget()
+            new = set().union(*parted)
         part, chars = [], 0
-        for w in words:
+        for w in new:
             part.append(w)
             chars += len(w)
             if chars >= PART:
@@ -131,23 +138,26 @@ class Model:
                 part, chars = [], 0
         if part:
             self._learn(part)
-
-    def score(self, text: str | None) -> float:
-        """The probability of label 1."""
-        every = (text or "").split()
-        z = self.bias
-        if every:
-            counts = Counter(every)
-            new = [w for w in counts if w not in self.index]
-            if len(self.index) + len(new) > WORDS_KEPT:
-                self.index, self.known, new = {}, np.zeros((1024, 2)), list(counts)
-            self.learn(new)
-            at = np.fromiter((self.index[w] for w in counts), np.int64, len(counts))
-            z = z + np.fromiter(counts.values(), np.float64, len(counts)) @ self.known[at] / len(every)
-            if len(every) > 1:
-                same = sum(map(str.__eq__, every, every[1:])) / (len(every) - 1)
-                z = z + same * self.outputs[SAME] + (1 - same) * self.outputs[OTHER]
-        return float(1 / (1 + np.exp(np.clip(z[0] - z[1], -500, 500))))
+        size = np.array([len(x) for x in parted])
+        ids = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parted)), np.int64, int(size.sum()))
+        doc = np.repeat(np.arange(len(parted)), size)
+        z = self.bias + np.bincount(doc, self.known[ids], len(parted)) / np.maximum(size, 1)
+        same = np.bincount(doc[1:], (doc[1:] == doc[:-1]) & (ids[1:] == ids[:-1]), len(parted)) / np.maximum(size - 1, 1)
+        z += np.where(size > 1, same * self.margins[SAME] + (1 - same) * self.margins[OTHER], 0.0)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    def scores(self, texts) -> np.ndarray:
+        """The probability of label 1 of each text; the same however texts are put together."""
+        out, part, chars = [], [], 0
+        for t in texts:
+            part.append(t.split() if isinstance(t, str) else [])
+            chars += len(t) if isinstance(t, str) else 0
+            if chars >= PART:
+                out.append(self._part(part))
+                part, chars = [], 0
+        if part:
+            out.append(self._part(part))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", rows_per_label: int = ROWS_PER_LABEL, piece: int = PIECE) -> DataFrame:
@@ -198,7 +208,7 @@ def scored(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "tex
             _models[name] = Model(*spread.value)
         m = _models[name]
         for texts in batches:
-            score = np.array([round(m.score(t if isinstance(t, str) else None), 9) for t in texts], float)
+            score = np.round(m.scores(texts), 9)
             yield pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(np.int32)})
 
     @F.pandas_udf("score double, predicted int")
