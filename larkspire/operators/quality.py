@@ -144,7 +144,8 @@ def tool_stats(requests: DataFrame) -> DataFrame:
 def usage(calls: DataFrame) -> DataFrame:
     """Calls, tokens and estimated cost of each request."""
     sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens", "cached_input_tokens")]
-    return calls.groupBy("request_id").agg(F.count("*").alias("calls"), *sums, F.round(F.sum(F.coalesce("estimated_cost_usd", F.lit(0.0))), 8).alias("estimated_cost_usd"))
+    cost = F.coalesce("estimated_cost_usd", F.lit(0)).cast("decimal(28,10)")  # sums of decimals don't hang on their order
+    return calls.groupBy("request_id").agg(F.count("*").alias("calls"), *sums, F.round(F.sum(cost).cast("double"), 8).alias("estimated_cost_usd"))
 
 
 def model_contracts(calls: DataFrame) -> DataFrame:

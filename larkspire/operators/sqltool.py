@@ -18,8 +18,13 @@ FUNCTIONS = frozenset(
     "nth_value ntile nullif nvl nvl2 percent_rank percentile percentile_approx pi position positive pow power quarter radians rank regexp_count regexp_extract regexp_like regexp_replace repeat replace reverse right round row_number rpad rtrim second sequence sign sin size "
     "some sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp string struct substr substring sum tan to_date to_timestamp trim try_cast try_divide typeof ucase unix_timestamp upper var_pop var_samp variance weekday weekofyear width_bucket window year".split()
 )
-_CALL = re.compile(r"'([\w.`]+)\(")
-_REFUSED = re.compile(r"CreateTable|InsertInto|UnresolvedTableValuedFunction|ScriptTransformation|TableFunction|Command\b|OverwriteBy|DeleteFrom|UpdateTable|MergeInto")
+# The nodes of a parsed statement that only read given tables.
+NODES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join LateralJoin Union Distinct Intersect Except SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedHaving OneRowRelation WithWindowDefinition Sample Generate Pivot Unpivot".split())
+# What the parser leaves unresolved in expressions and is no way around a name.
+UNRESOLVED = frozenset("UnresolvedAttribute UnresolvedStar UnresolvedAlias UnresolvedExtractValue UnresolvedOrdinal UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedInlineTable UnresolvedWindowExpression".split())
+SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery".split())
+#: Text that names nothing: strings, quoted names and comments.
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/", re.S)
 
 
 class NotAllowed(ValueError):
@@ -31,10 +36,66 @@ def looks_like_sql(question: str) -> bool:
     return bool(re.match(r"(?i)\s*select\b", question))
 
 
+def _each(seq):
+    """The members of a Scala sequence."""
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+class Guard:
+    """Walks a parsed statement node by node: plans, expressions and subqueries of a kind that is listed, functions and relations by name. Whatever isn't listed is refused."""
+
+    def __init__(self, tables, schemas: tuple[str, ...] | None, with_clauses: bool):
+        self.tables, self.schemas, self.with_clauses = {t.lower() for t in tables}, schemas, with_clauses
+
+    def plan(self, node, own: frozenset[str] = frozenset()) -> None:
+        name = node.getClass().getSimpleName()
+        if name == "UnresolvedWith" and self.with_clauses:
+            for part in _each(node.cteRelations()):
+                self.plan(part._2(), own)
+                own = own | {part._1().lower()}
+            self.plan(node.child(), own)
+            return
+        if name not in NODES:
+            raise NotAllowed(f"{name} isn't allowed: only SELECT is")
+        if name == "UnresolvedRelation":
+            self.relation([str(x) for x in _each(node.multipartIdentifier())], own)
+        for e in _each(node.expressions()):
+            self.expression(e, own)
+        for child in _each(node.children()):
+            self.plan(child, own)
+
+    def relation(self, parts: list[str], own: frozenset[str]) -> None:
+        if len(parts) > 1 and (len(parts) > 2 or self.schemas is None or parts[0].lower() not in self.schemas):
+            raise NotAllowed(f"the schema {parts[0]} isn't allowed")
+        if parts[-1].lower() not in (self.tables | own if len(parts) == 1 else self.tables):
+            raise NotAllowed(f"no table {'.'.join(parts)}")
+
+    def expression(self, e, own: frozenset[str]) -> None:
+        kind, name = e.getClass().getName(), e.getClass().getSimpleName()
+        if not kind.startswith("org.apache.spark.sql.catalyst.expressions.") and name not in UNRESOLVED:
+            raise NotAllowed(f"{name} isn't allowed")
+        if name == "UnresolvedFunction":
+            self.function(e.nameParts().mkString("."))
+        elif name == "UnresolvedGenerator":
+            self.function(e.name().unquotedString())
+        elif name in SUBQUERIES:
+            self.plan(e.plan(), own)
+        elif "Reflect" in name or "InputFile" in name or name.startswith("Python"):
+            raise NotAllowed(f"{name} isn't allowed")
+        for child in _each(e.children()):
+            self.expression(child, own)
+
+    def function(self, name: str) -> None:
+        if name.lower() not in FUNCTIONS:
+            raise NotAllowed(f"the function {name} isn't allowed")
+
+
 class SqlTool:
-    """Queries see the given tables alone. Spark parses the statement, and its plan is walked: only relations that are given, only functions that are listed.
+    """Queries see the given tables alone. Spark parses the statement, and Guard walks its plan: only nodes that read, only relations that are given, only functions that are listed.
 
-    with_clauses lets WITH through, which a plain tool refuses.
+    with_clauses lets WITH through, which a plain tool refuses. Words in strings, quoted names and comments are not looked at.
     """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], max_rows: int = MAX_ROWS, with_clauses: bool = False, schemas: tuple[str, ...] | None = None):
@@ -42,33 +103,19 @@ class SqlTool:
         self.tables = tables
 
     def checked(self, statement: str) -> str:
-        text = statement.strip()
-        text = text[:-1].rstrip() if text.endswith(";") else text
-        if ";" in text:
-            raise NotAllowed("one statement at a time")
-        if not re.match(r"(?i)(select|with)\b" if self.with_clauses else r"(?i)select\b", text):
+        bare = _QUOTED.sub(lambda m: " " if m[0][0] in "-/" else " '' ", statement).strip()
+        if not re.match(r"(?i)(select|with)\b" if self.with_clauses else r"(?i)select\b", bare):
             raise NotAllowed("only SELECT is allowed")
-        if re.search(rf"(?i)\b({'|'.join(WRITING)})\b", text):
+        if ";" in bare.rstrip("; \t\r\n"):
+            raise NotAllowed("one statement at a time")
+        if re.search(rf"(?i)\b({'|'.join(WRITING)})\b", bare):
             raise NotAllowed("a word that isn't allowed")
         try:
-            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
         except Exception as e:
             raise NotAllowed(f"not one statement that can be parsed: {e}") from None
-        tree = plan.treeString()
-        if _REFUSED.search(tree) or ".command." in plan.getClass().getName():
-            raise NotAllowed("only SELECT is allowed")
-        for name in _CALL.findall(tree):
-            if name.strip("`").lower() not in FUNCTIONS:
-                raise NotAllowed(f"the function {name} isn't allowed")
-        own = {x.lower() for pair in re.findall(r"(?i)\bwith\s+(\w+)\s+as|,\s*(\w+)\s+as\s*\(", text) for x in pair if x} if self.with_clauses else set()
-        known = {x.lower() for x in self.tables}
-        for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-            parts = [x.strip().lower() for x in found.split(",")]
-            if len(parts) > 1 and (self.schemas is None or parts[0] not in self.schemas):
-                raise NotAllowed(f"the schema {parts[0]} isn't allowed")
-            if parts[-1] not in known | own:
-                raise NotAllowed(f"no table {found}")
-        return text
+        Guard(self.tables, self.schemas, self.with_clauses).plan(plan)
+        return statement
 
     def select(self, statement: str) -> DataFrame:
         """The whole result of a statement that has been checked."""

@@ -607,10 +607,10 @@ def metrics_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS request_id", "l_returnflag AS provider", "l_linestatus AS model", "CAST(l_linenumber % 3 AS string) AS task", "l_partkey AS input_tokens", "l_suppkey AS output_tokens", "IF(l_linenumber = 1, NULL, l_suppkey) AS cached_input_tokens", "round(l_extendedprice / 1e6, 6) AS estimated_cost_usd")
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS request_id", "l_returnflag AS provider", "l_linestatus AS model", "CAST(l_linenumber % 3 AS string) AS task", "l_partkey AS input_tokens", "l_suppkey AS output_tokens", "IF(l_linenumber = 1, NULL, l_suppkey) AS cached_input_tokens", "CAST(l_extendedprice AS decimal(18,2)) / 1000000 AS estimated_cost_usd")
 
 
-@query("SELECT l_orderkey AS request_id, count(*) AS calls, sum(l_partkey)::BIGINT AS input_tokens, sum(l_suppkey)::BIGINT AS output_tokens, sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_suppkey END)::BIGINT AS cached_input_tokens, round(sum(round(l_extendedprice / 1e6, 6)), 8) AS estimated_cost_usd FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS request_id, count(*) AS calls, sum(l_partkey)::BIGINT AS input_tokens, sum(l_suppkey)::BIGINT AS output_tokens, sum(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_suppkey END)::BIGINT AS cached_input_tokens, round((sum(CAST(l_extendedprice AS DECIMAL(18,2))) / 1000000)::DOUBLE, 8) AS estimated_cost_usd FROM lineitem GROUP BY l_orderkey")
 def metrics_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.usage(_calls(spark, sf_dir))
 

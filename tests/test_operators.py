@@ -160,7 +160,19 @@ def test_chat_falls_back_to_the_last_turn(spark):
 def test_sql_tool_lets_only_selects_through(spark):
     tool = SqlTool(spark, {"t": spark.range(1000).toDF("x")}, 50)
     assert tool.run("SELECT x FROM t WHERE x > 10").count() == 50
-    assert tool.run("WITH a AS (SELECT 'drop comment' AS c FROM t) SELECT * FROM a;", 5).count() == 5
+    free = SqlTool(spark, {"t": spark.range(1000).toDF("x")}, 50, with_clauses=True)
+    assert free.run("WITH a AS (SELECT 'drop comment' AS c FROM t), b AS (SELECT * FROM a) SELECT * FROM b;", 5).count() == 5
+    for good in ("SELECT 'drop it; now' AS c FROM t -- delete; this", "/* update */ SELECT `x` AS `drop` FROM t WHERE x IN (SELECT max(x) FROM t)", 'SELECT "a;b" AS c, sum(x) OVER (ORDER BY x) AS s FROM t', "SELECT CASE WHEN x LIKE '1%' THEN x END AS c, x::string AS d FROM t LATERAL VIEW explode(array(1, 2)) e AS y"):
+        assert tool.run(good).count() > 0
+    wide = ", ".join(["x"] * 40)
+    for bad in (
+        f"SELECT {wide}, reflect('java.lang.System', 'getProperty', 'user.home') FROM t", f"SELECT x FROM t WHERE x IN ({wide}, reflect('java.lang.System', 'getProperty', 'user.home'))", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') FROM t",
+        "SELECT * FROM IDENTIFIER('pa' || 'rquet.`/root/testdata/sf0.001/region.parquet`')", "SELECT try_reflect('java.lang.System', 'exit', 0)", "SELECT input_file_name() FROM t", "SELECT * FROM range(5)", "SELECT * FROM explode(array(1))",
+        "SELECT (SELECT java_method('java.lang.System', 'nanoTime'))", "SELECT x FROM t ORDER BY reflect('java.lang.System', 'nanoTime')", "SELECT x FROM t WHERE EXISTS (SELECT 1 FROM u)", "SELECT * FROM t JOIN LATERAL (SELECT reflect('a', 'b')) l", "SELECT transform(array(1), i -> reflect('a', 'b')) FROM t",
+        "SELECT sum(x) FILTER (WHERE reflect('a', 'b') = 'c') FROM t", "WITH a AS (SELECT 1) SELECT * FROM a", "TABLE t", "VALUES (1)", "SELECT * FROM VALUES (reflect('a', 'b'))", "SELECT TRANSFORM(x) USING 'cat' FROM t", "SELECT x FROM t LATERAL VIEW reflect('a', 'b') e", "SELECT x FROM default.t", "SELECT * FROM text.`/etc/passwd`",
+    ):
+        with pytest.raises(NotAllowed):
+            tool.run(bad)
     for bad in ("DROP TABLE t", "SELECT * FROM u", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "SELECT * FROM parquet.`/etc`", "CREATE VIEW v AS SELECT 1", "SELECT reflect('java.lang.System', 'exit', 0)"):
         with pytest.raises(NotAllowed):
             tool.run(bad)
@@ -174,7 +186,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x")
     r = files.text_documents(spark, f"file://{tmp_path}", "d").collect()
     assert [(x["doc_id"], x["section"]) for x in r] == [("d:a.md", "Head")]
-    kinds = {"https://drive.google.com/x": "google_drive", "s3://b/k": "s3", "https://a.org/f.pdf": "pdf", "https://github.com/a/b": "repo", "https://a.org": "web", "/tmp/x": "local"}
+    kinds = {"https://drive.google.com/x": "gdrive", "s3://b/k": "s3", "https://a.org/f.pdf": "pdf", "https://github.com/a/b": "repo", "https://a.org": "web", "/tmp/x": "local_fs"}
     assert {k: one(spark, files.source_type(F.col("x")), k) for k in kinds} == kinds
     assert one(spark, files.canonical(F.col("x")), "HTTPS://A.org/B/#c") == "https://a.org/B"
     for bad in ("http://127.0.0.1/x", "ftp://a.org", "http://u:p@a.org", "http://localhost"):
