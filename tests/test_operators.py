@@ -186,7 +186,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x")
     r = files.text_documents(spark, f"file://{tmp_path}", "d").collect()
     assert [(x["doc_id"], x["section"]) for x in r] == [("d:a.md", "Head")]
-    kinds = {"https://drive.google.com/x": "gdrive", "s3://b/k": "s3", "https://a.org/f.pdf": "pdf", "https://github.com/a/b": "repo", "https://a.org": "web", "/tmp/x": "local_fs"}
+    kinds = {"https://drive.google.com/drive/folders/x": "gdrive", "https://drive.google.com/x": "web", "s3://b/k": "s3", "https://a.org/f.pdf": "pdf", "https://github.com/a/b": "repo", "https://a.org": "web", "/tmp/x": "local_fs"}
     assert {k: one(spark, files.source_type(F.col("x")), k) for k in kinds} == kinds
     assert one(spark, files.canonical(F.col("x")), "HTTPS://A.org/B/#c") == "https://a.org/B"
     for bad in ("http://127.0.0.1/x", "ftp://a.org", "http://u:p@a.org", "http://localhost"):
