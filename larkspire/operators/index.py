@@ -1,12 +1,14 @@
 """Index versions: a corpus embedded anew beside the one that serves, validated, and switched by a pointer.
 
 A registry is a table of versions (one row each, so it is small) with its state in status: building, validating, ready,
-active, retired, failed. The pointer says which version readers see; an activation is refused if another one came first.
+active, retired, failed. The pointer says which version readers see. Registry and
+pointer are one commit log: an activation changes both at once, and is refused if another one came first.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,17 +29,21 @@ class IndexVersions:
         self.files = Generations(spark, self.root)
 
     def _versions(self) -> dict[str, dict]:
-        return self.files._read("versions.json") or {}
+        return self.files.log.state()[1].get("rows", {})
 
     def _set(self, version: str, **values) -> dict:
-        every = self._versions()
-        row = every.get(version, {})
+        """One commit; a writer that has changed the same version meanwhile wins."""
+        at, state = self.files.log.state()
+        row = self._next(state.get("rows", {}).get(version, {}), version, values)
+        self.files.log.commit({"rows": {version: row}}, at, lambda other: version in other.get("rows", {}))
+        return row
+
+    @staticmethod
+    def _next(row: dict, version: str, values: dict) -> dict:
         status = values.get("status", row.get("status"))
         if row and status != row["status"] and status not in _NEXT[row["status"]]:
             raise ValueError(f"{version} can't go from {row['status']} to {status}")
-        every[version] = row | values
-        self.files._write("versions.json", every)
-        return every[version]
+        return row | values
 
     def table(self) -> DataFrame:
         rows = [(v, x["status"], x["contract"], x["dimension"], x.get("vectors"), x.get("delete_after")) for v, x in sorted(self._versions().items())]
@@ -68,13 +74,15 @@ class IndexVersions:
         try:
             vector = F.when(F.size("vector") == dimension, F.col("vector")).otherwise(F.raise_error(F.lit("a vector of another dimension")))
             made = chunks.select("chunk_id", "doc_id", embed(F.col("text")).alias("vector")).withColumn("vector", vector)
-            n = self.files.stage(made, version)
+            path = f"{self.root}/version={version}/{uuid.uuid4().hex}"
+            made.write.parquet(path)
+            n = self.spark.read.schema(made.schema).parquet(path).count()
             if n != before["rows"] or self.fingerprint(chunks) != before:
                 raise RuntimeError("the catalog has changed while the index was built")
         except Exception as e:
             self._set(version, status="failed", error=str(e)[:500])
             raise
-        self._set(version, status="validating", vectors=n, fingerprint=before)
+        self._set(version, status="validating", vectors=n, fingerprint=before, path=path)
         return n
 
     def mark_ready(self, version: str, evidence: dict, approved: bool, chunks: DataFrame) -> None:
@@ -92,39 +100,41 @@ class IndexVersions:
         if self._versions()[version]["status"] not in ("ready", "retired"):
             raise ValueError("a version must be ready, or retired to go back to")
         self._current(version, chunks)
-        self.files.activate(version, expected)
-        self._set(version, status="active", delete_after=None)
-        if expected:
-            self._set(expected, status="retired", delete_after=(self.now() + keep).isoformat())
+        every = self._versions()
+        rows = {version: self._next(every[version], version, {"status": "active", "delete_after": None})}
+        if expected and expected in every:
+            rows[expected] = self._next(every[expected], expected, {"status": "retired", "delete_after": (self.now() + keep).isoformat()})
+        self.files.activate(version, expected, rows)  # the pointer and both rows in one commit
 
     def rollback(self, target: str, chunks: DataFrame) -> None:
         self.activate(target, chunks, self.active())
 
     def reconcile(self) -> str:
         """The registry after the pointer, should they differ: consistent or repaired."""
-        seen, every = self.active(), self._versions()
+        at, state = self.files.log.state()
+        seen, every = state.get("active"), state.get("rows", {})
         if seen is not None and seen not in every:
             raise RuntimeError("the pointer names a version that isn't registered")
         wrong = [v for v, x in every.items() if (x["status"] == "active") != (v == seen)]
-        for v in wrong:
-            every[v]["status"] = "active" if v == seen else "retired"
         if wrong:
-            self.files._write("versions.json", every)
+            self.files.log.commit({"rows": {v: every[v] | {"status": "active" if v == seen else "retired"} for v in wrong}}, at)
         return "repaired" if wrong else "consistent"
 
     def prune(self) -> list[str]:
-        """Deletes retired versions whose time is over."""
-        every, gone = self._versions(), []
-        for v, x in every.items():
-            if x["status"] == "retired" and x.get("delete_after") and x["delete_after"] <= self.now().isoformat() and v != self.active():
-                self.files._fs.delete(self.files._path(f"{self.root}/generation={v}"), True)
-                gone.append(v)
+        """Deletes retired versions whose time is over: first they leave the registry, then their files go."""
+        at, state = self.files.log.state()
+        every, now = state.get("rows", {}), self.now().isoformat()
+        gone = [v for v, x in every.items() if x["status"] == "retired" and x.get("delete_after") and x["delete_after"] <= now and v != state.get("active")]
         if gone:
-            self.files._write("versions.json", {v: x for v, x in every.items() if v not in gone})
+            self.files.log.commit({"rows": dict.fromkeys(gone)}, at, lambda other: "active" in other or bool(set(other.get("rows", {})) & set(gone)))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path
+            for v in gone:
+                where = path(every[v]["path"])
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         return gone
 
     def read(self, version: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/generation={version or self.active()}")
+        return self.spark.read.parquet(self.files.path(version or self.active()))
 
 
 def prunable(versions: DataFrame, now: Column) -> DataFrame:

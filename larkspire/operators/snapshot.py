@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import uuid
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspire.operators.log import CommitLog, Conflict
 from larkspire.session import kept
 
 
@@ -75,59 +74,51 @@ def outbox(ids: DataFrame, order: str, key: str, size: int = 500) -> DataFrame:
     return numbered(first, "__at", key).select(key, "position", F.floor(F.col("position") / size).alias("batch"))
 
 
+def _folded(state: dict, commit: dict) -> dict:
+    """Rows of generations or versions by name (null: gone), and the pointer."""
+    rows = state.get("rows", {}) | commit.get("rows", {})
+    out = {k: v for k, v in (state | commit).items() if k != "rows"}
+    return out | {"rows": {k: v for k, v in rows.items() if v is not None}}
+
+
 class Generations:
     """Versioned tables of a source: write a generation beside the active one, check it, swap a pointer.
 
-    Readers resolve the pointer once and see whole generations. Concurrent writers need a lock of their own.
+    Every change is a commit of a CommitLog: readers resolve the pointer once and see whole generations, and of two writers
+    that activate from the same state one gets a Conflict.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _read(self, name: str):
-        p = self._path(str(PurePosixPath("/")) if not name else f"{self.root}/{name}")
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _write(self, name: str, value) -> None:
-        temp, final = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}.tmp"), self._path(f"{self.root}/{name}")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps(value).encode()))
-        out.close()
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
-        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temp, final, how)  # replaces the old pointer in one step
+        self.log = CommitLog(spark, self.root, _folded)
 
     def active(self) -> str | None:
-        found = self._read("active.json")
-        return found and found["generation"]
+        return self.log.state()[1].get("active")
 
     def stage(self, rows: DataFrame, generation: str) -> int:
-        rows.write.mode("overwrite").parquet(f"{self.root}/generation={generation}")
-        n = self.spark.read.parquet(f"{self.root}/generation={generation}").count()
-        self._write(f"{generation}.json", {"status": "prepared", "rows": n})
+        """Writes a generation under a new name and registers it as prepared; a repeated one replaces what was registered."""
+        path = f"{self.root}/generation={generation}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        n = self.spark.read.schema(rows.schema).parquet(path).count()
+        version, _ = self.log.state()
+        self.log.commit({"rows": {generation: {"status": "prepared", "rows": n, "path": path}}}, version, lambda other: generation in other.get("rows", {}))
         return n
 
-    def activate(self, generation: str, expected: str | None = None) -> None:
-        """Only if the active generation is the expected one still, and this one has been prepared."""
-        if self.active() != expected:
-            raise RuntimeError("another generation has been activated meanwhile")
-        if (self._read(f"{generation}.json") or {}).get("status") != "prepared":
+    def activate(self, generation: str, expected: str | None = None, rows: dict | None = None) -> None:
+        """Only if the active generation is the expected one still, and this one has been prepared; rows are other changes of the same commit."""
+        version, state = self.log.state()
+        if state.get("active") != expected:
+            raise Conflict("another generation has been activated meanwhile")
+        if state["rows"].get(generation, {}).get("status") in (None, "staging"):
             raise RuntimeError("the generation isn't prepared")
-        self._write("active.json", {"generation": generation, "previous": expected})
+        self.log.commit({"active": generation, "previous": expected, "rows": rows or {}}, version, lambda other: "active" in other or bool(set(other.get("rows", {})) & {generation, expected}))
 
     def rollback(self) -> None:
-        self._write("active.json", {"generation": (self._read("active.json") or {}).get("previous"), "previous": None})
+        version, state = self.log.state()
+        self.log.commit({"active": state.get("previous"), "previous": None}, version)
+
+    def path(self, generation: str) -> str:
+        return self.log.state()[1]["rows"][generation]["path"]
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/generation={self.active()}")
+        return self.spark.read.parquet(self.path(self.active()))
