@@ -276,17 +276,27 @@ def policy(told: DataFrame, hash_fallback: bool = False) -> DataFrame:
     return told.withColumns({"dense_weight": pick(1, 0.8), "lexical_weight": pick(2, 0.2), "policy": pick(3, "weak-lexical-evidence")})
 
 
+def matched_confidence(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """confidence() of hits that an index has told the matched words of (matched, cjk): no text is read."""
+    first = hits.where(F.col("rank") <= 3).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("matched"))).alias("held"), F.max("cjk").alias("cjk"))
+    terms = F.array_distinct(text.meaningful(text.lexicalize(F.col("query"))))
+    ratio = F.when(F.col("held").isNotNull() & (F.size(terms) > 0), F.size(F.array_intersect(terms, "held")) / F.size(terms)).otherwise(F.lit(0.0))
+    cross = F.coalesce(text.contains_cjk(F.col("query")) & ~F.col("cjk"), F.lit(False))
+    return queries.select("query_id", "query").join(first, "query_id", "left").select("query_id", ratio.alias("confidence"), cross.alias("cross_language"))
+
+
 def told(queries: DataFrame, d: DataFrame, x: DataFrame, chunks: DataFrame) -> DataFrame:
-    """What policy() asks for: confidence and the number of hits of each branch of each query."""
+    """What policy() asks for: confidence and the number of hits of each branch of each query. Hits of an index say themselves what they match."""
     counts = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
-    both = confidence(queries, x, chunks).join(counts(d, "dense_hits"), "query_id", "left").join(counts(x, "lexical_hits"), "query_id", "left")
+    sure = matched_confidence(queries, x) if "matched" in x.columns else confidence(queries, x, chunks)
+    both = sure.join(counts(d, "dense_hits"), "query_id", "left").join(counts(x, "lexical_hits"), "query_id", "left")
     return both.fillna(0, ["dense_hits", "lexical_hits"])
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, points: DataFrame, k: int = 10, requested: int | None = None) -> DataFrame:
-    """Both branches, the policy of each query, weighted fusion. queries: query_id, query, vector."""
+def hybrid(queries: DataFrame, chunks: DataFrame, points: DataFrame, k: int = 10, requested: int | None = None, index=None) -> DataFrame:
+    """Both branches, the policy of each query, weighted fusion. queries: query_id, query, vector. With a lexindex.LexicalIndex of the chunks no text is read."""
     p = pool(k, requested)
-    d, x = kept(dense(queries, points, p), "dense"), kept(lexical(queries, chunks, p), "lexical")
+    d, x = kept(dense(queries, points, p), "dense"), kept(index.search(queries, p) if index is not None else lexical(queries, chunks, p), "lexical")
     weights = policy(told(queries, d, x, chunks)).select("query_id", "dense_weight", "lexical_weight", "policy")
     fused = rrf(d.join(weights, "query_id"), x.join(weights, "query_id"), k, F.col("dense_weight"), F.col("lexical_weight"))
     return fused.join(weights, "query_id")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from larkspire.functions import text as T
 from larkspire.functions.vector import dot
-from larkspire.operators import catalog, chat, chunking, quality, retrieval, snapshot
+from larkspire.operators import catalog, chat, chunking, lexindex, quality, retrieval, snapshot
 from larkspire.operators.filters import Filter, search
 from larkspire.plans.entities import CHUNKS, JOBS, NOW, chunks, jobs, table
-from larkspire.session import kept
+from larkspire.session import kept, shared_folder
 from larkspire.sources import html
 from larkspire.streaming import windows
 
@@ -145,23 +145,28 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> lexindex.LexicalIndex:
+    """The stored index of documents, built by the first query that asks for it."""
+    return lexindex.stored_index(chunks(spark, sf_dir).select("chunk_id", "text"), shared_folder(spark))
+
+
 def _ranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {QTOK}, {DTOK}, s AS (SELECT query_id, chunk_id, sum(times * tf) / sqrt(any_value(n)) AS score FROM q JOIN d USING (t) GROUP BY ALL), r AS (SELECT *, {TOP} FROM s) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(retrieval.lexical(_asked(spark, sf_dir), chunks(spark, sf_dir), 10))
+    return _ranked(_index(spark, sf_dir).search(_asked(spark, sf_dir), 10))
 
 
 @query(f"WITH {QTOK}, {DTOK}, need AS (SELECT query_id, count(*) AS k FROM q GROUP BY ALL), s AS (SELECT query_id, chunk_id, sum(times * tf) / sqrt(any_value(n)) AS score, count(*) AS got FROM q JOIN d USING (t) GROUP BY ALL), r AS (SELECT s.query_id, chunk_id, score, {TOP.replace('query_id', 's.query_id')} FROM s JOIN need ON s.query_id = need.query_id AND got = k) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def lexical_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(retrieval.lexical_and(_asked(spark, sf_dir), chunks(spark, sf_dir), 10))
+    return _ranked(_index(spark, sf_dir).search(_asked(spark, sf_dir), 10, every=True))
 
 
 @query(f"WITH {QTOK}, {DTOK}, n AS (SELECT count(*) AS n FROM documents), i AS (SELECT t, ln((any_value(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM d, n GROUP BY t), s AS (SELECT query_id, chunk_id, round(sum(times * tf * idf), 6) AS score FROM q JOIN i USING (t) JOIN d USING (t) GROUP BY ALL), r AS (SELECT *, {TOP} FROM s) SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(retrieval.sparse(_asked(spark, sf_dir), chunks(spark, sf_dir), 10))
+    return _ranked(_index(spark, sf_dir).search(_asked(spark, sf_dir), 10, idf=True))
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +217,7 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q = _both(spark, sf_dir)
-    return retrieval.dense(q, _points(spark, sf_dir), 40), retrieval.lexical(q, chunks(spark, sf_dir), 40)
+    return retrieval.dense(q, _points(spark, sf_dir), 40), _index(spark, sf_dir).search(q, 40)
 
 
 def _fusion(name: str, constant: int, a: float, b: float) -> None:
@@ -239,7 +244,7 @@ c AS (SELECT b.item_id AS query_id, len(list_intersect(list_distinct({KEPT.forma
 @query(f"{HYBRID}, {POLICY} SELECT query_id, round(coalesce(confidence, 0), 6) AS confidence, CASE WHEN query_id NOT IN (SELECT query_id FROM lr) THEN 1.0 WHEN confidence >= 0.65 THEN 0.5 WHEN confidence >= 0.35 THEN 0.65 ELSE 0.8 END::DOUBLE AS dense_weight, CASE WHEN query_id NOT IN (SELECT query_id FROM lr) THEN 'lexical-unavailable' WHEN confidence >= 0.65 THEN 'strong-lexical-evidence' WHEN confidence >= 0.35 THEN 'moderate-lexical-evidence' ELSE 'weak-lexical-evidence' END AS policy FROM c")
 def fusion_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = _both(spark, sf_dir), chunks(spark, sf_dir)
-    told = retrieval.told(q, retrieval.dense(q, _points(spark, sf_dir), 40), kept(retrieval.lexical(q, c, 40), "lexical"), c)
+    told = retrieval.told(q, retrieval.dense(q, _points(spark, sf_dir), 40), kept(_index(spark, sf_dir).search(q, 40), "lexical"), c)
     return retrieval.policy(told).select("query_id", F.round("confidence", 6).alias("confidence"), "dense_weight", "policy")
 
 
@@ -251,14 +256,14 @@ def fusion_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: both branches, adaptive weights, fusion, citations."""
     c = chunks(spark, sf_dir)
-    ranked = retrieval.hybrid(_both(spark, sf_dir), c, _points(spark, sf_dir), 10)
+    ranked = retrieval.hybrid(_both(spark, sf_dir), c, _points(spark, sf_dir), 10, index=_index(spark, sf_dir))
     return retrieval.materialised(ranked.drop("policy"), c).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), "citation")
 
 
 @query()
 def hybrid_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    ranked = retrieval.lexical(_asked(spark, sf_dir), c, 40).join(c.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "rank", "text")
+    ranked = _index(spark, sf_dir).search(_asked(spark, sf_dir), 40).join(c.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "rank", "text")
     return retrieval.diversified(ranked).drop("text")
 
 
