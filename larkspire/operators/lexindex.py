@@ -36,11 +36,12 @@ from larkspire.operators.snapshot import numbered
 from larkspire.session import kept
 
 SHARD, FOLDERS = 4096, 32
-_COUNTED = "chunk_id long, length int, cjk boolean, terms array<string>, counts array<int>"
+_COUNTED = "chunk_id {0}, length int, cjk boolean, terms array<string>, counts array<int>"
 _BLOCK = "shard long, term string, n int, most double, places array<int>, counts array<int>, folder int"
-_SHARD = "shard long, ids array<long>, lengths array<int>, cjk array<boolean>"
+_SHARD = "shard long, ids array<{0}>, lengths array<int>, cjk array<boolean>"
 _DEAD = "shard long, place int"
-_HITS = "query_id long, chunk_id long, score double, matched array<string>, cjk boolean"
+_POINT = "shard long, place int, chunk_id {0}, vector array<double>"
+_HITS = "query_id long, chunk_id {0}, score double, matched array<string>, cjk boolean"
 
 
 def folder_of(term: str, folders: int = FOLDERS) -> int:
@@ -48,9 +49,12 @@ def folder_of(term: str, folders: int = FOLDERS) -> int:
 
 
 def _fold(state: dict, commit: dict) -> dict:
-    if "only" in commit:
-        return {"segments": commit["only"], "note": commit.get("note", state.get("note"))}
-    return {"segments": state.get("segments", []) + commit.get("add", []), "note": commit.get("note", state.get("note"))}
+    return {"segments": commit["only"], "note": commit.get("note", state.get("note")), "kind": commit.get("kind", state.get("kind"))}
+
+
+def kind_of(chunks: DataFrame) -> str:
+    """Ids are whole numbers or texts."""
+    return "string" if chunks.schema["chunk_id"].dataType.simpleString() == "string" else "bigint"
 
 
 def counted(chunks: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def counted(chunks: DataFrame) -> DataFrame:
                 found = [counted_terms(t or "") for t in part["text"]]
                 yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "length": [n for _, n in found], "cjk": [bool(cjk.search(t or "")) for t in part["text"]], "terms": [list(c) for c, _ in found], "counts": [list(c.values()) for c, _ in found]})
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, _COUNTED)
+    return chunks.select("chunk_id", "text").mapInPandas(run, _COUNTED.format(kind_of(chunks)))
 
 
 class LexicalIndex:
@@ -76,8 +80,9 @@ class LexicalIndex:
 
     # Writing
 
-    def _segment(self, words: DataFrame) -> dict:
-        """A segment of counted() rows, under a new name."""
+    def _segment(self, words: DataFrame, points: DataFrame | None = None) -> dict:
+        """A segment of counted() rows and the vectors of their chunks, under a new name."""
+        kind = kind_of(words)
         path = f"{self.root}/segments/{uuid.uuid4().hex}"
         words = kept(words, "counted")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -91,23 +96,47 @@ class LexicalIndex:
         folder = (F.crc32(F.col("term").cast("binary")) % self.folders).cast("int")
         blocks = rows.select("shard", "term", F.size("p").alias("n"), "most", F.col("p.place").alias("places"), F.col("p.count").alias("counts"), folder.alias("folder"))
         blocks.repartition(self.folders, "folder").sortWithinPartitions("folder", "term", "shard").write.partitionBy("folder").parquet(f"{path}/blocks")
-        n = self.spark.read.schema(_SHARD).parquet(f"{path}/shards").agg(F.sum(F.size("ids"))).first()[0]
-        return {"path": path, "chunks": int(n or 0), "dead": [], "n_dead": 0}
+        n = self.spark.read.schema(_SHARD.format(kind)).parquet(f"{path}/shards").agg(F.sum(F.size("ids"))).first()[0]
+        if points is not None:
+            placed.select("shard", "place", "chunk_id").join(points.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")), "chunk_id").select("shard", "place", "chunk_id", "vector").write.parquet(f"{path}/points")
+        return {"path": path, "chunks": int(n or 0), "dead": [], "n_dead": 0, "points": points is not None}
 
-    def build(self, chunks: DataFrame, note: str | None = None) -> int:
-        """The index of chunks (chunk_id, text) alone, in place of what was there."""
+    def build(self, chunks: DataFrame, note: str | None = None, points: DataFrame | None = None) -> int:
+        """The index of chunks (chunk_id, text) alone, with their points (chunk_id, vector) where these are given, in place of what was there."""
         version, _ = self.log.state()
-        return self.log.commit({"only": [self._segment(counted(chunks))], "note": note}, version)
+        return self.log.commit({"only": [self._segment(counted(chunks), points)], "note": note, "kind": kind_of(chunks)}, version)
 
-    def update(self, written: DataFrame | None, stale: DataFrame | None = None) -> int:
-        """written (chunk_id, text) are new or replace what is there; stale (chunk_id) go. Only what was written is read."""
+    def update(self, written: DataFrame | None, stale: DataFrame | None = None, points: DataFrame | None = None, note: str | None = None) -> int:
+        """written (chunk_id, text) are new or replace what is there, stale (chunk_id) go; sparse and dense vectors of what was written become visible with one commit. Only what was written is read."""
         version, state = self.log.state()
         gone = [df.select("chunk_id") for df in (written, stale) if df is not None]
-        lost = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
-        segments = [self._marked(s, lost.distinct()) for s in state["segments"]]
+        segments = list(state.get("segments", []))
+        if gone and segments:
+            lost = kept((gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])).distinct(), "lost")
+            segments = [self._marked(s, lost) for s in segments]
         if written is not None:
-            segments.append(self._segment(counted(written)))
-        return self.log.commit({"only": segments}, version)
+            segments.append(self._segment(counted(written), points))
+        kind = state.get("kind") or kind_of(written)
+        return self.log.commit({"only": segments, "kind": kind} | ({"note": note} if note else {}), version)
+
+    def ids(self) -> DataFrame:
+        """chunk_id of every live chunk."""
+        _, state = self.log.state()
+        out = self.spark.createDataFrame([], f"chunk_id {state.get('kind') or 'bigint'}")
+        for s in state.get("segments", []):
+            rows = self._shards(s).select("shard", F.posexplode("ids").alias("place", "chunk_id"))
+            if s["dead"]:
+                rows = rows.join(self._dead(s), ["shard", "place"], "left_anti")
+            out = out.unionByName(rows.select("chunk_id"))
+        return out
+
+    def sync(self, chunks: DataFrame, note: str | None = None, points: DataFrame | None = None) -> int:
+        """Brings the index to chunks whose ids say their content: ids that it lacks are written, those that are gone die. Can be repeated after a crash."""
+        if not self.log.version():
+            return self.build(chunks, note, points)
+        known = kept(self.ids(), "known")
+        new = chunks.join(known, "chunk_id", "left_anti")
+        return self.update(new, known.join(chunks.select("chunk_id"), "chunk_id", "left_anti"), points and points.join(new.select("chunk_id"), "chunk_id", "left_semi"), note)
 
     def _marked(self, segment: dict, lost: DataFrame) -> dict:
         """The segment with the chunks in lost dead."""
@@ -123,8 +152,11 @@ class LexicalIndex:
     def merge(self) -> int:
         """One segment of all that is alive, made of the blocks."""
         version, state = self.log.state()
-        words = None
+        words = points = None
         for s in state["segments"]:
+            if s.get("points"):
+                mine = self._points(s).select("chunk_id", "vector")
+                points = mine if points is None else points.unionByName(mine)
             where = self._shards(s).select("shard", F.posexplode(F.arrays_zip("ids", "lengths", "cjk")).alias("place", "x")).select("shard", "place", F.col("x.ids").alias("chunk_id"), F.col("x.lengths").alias("length"), F.col("x.cjk").alias("cjk"))
             if s["dead"]:
                 where = where.join(self._dead(s), ["shard", "place"], "left_anti")
@@ -132,12 +164,12 @@ class LexicalIndex:
             per = where.join(blocks, ["shard", "place"], "left").groupBy("chunk_id", "length", "cjk").agg(F.collect_list(F.struct("term", "count")).alias("p"))
             mine = per.select("chunk_id", "length", "cjk", F.filter("p", lambda x: x["term"].isNotNull()).alias("p")).select("chunk_id", "length", "cjk", F.col("p.term").alias("terms"), F.col("p.count").alias("counts"))
             words = mine if words is None else words.unionByName(mine)
-        return self.log.commit({"only": [self._segment(words)] if words is not None else []}, version)
+        return self.log.commit({"only": [self._segment(words, points)] if words is not None else []}, version)
 
     # Reading
 
     def _shards(self, s: dict) -> DataFrame:
-        return self.spark.read.schema(_SHARD).parquet(f"{s['path']}/shards")
+        return self.spark.read.schema(_SHARD.format(self.log.state()[1].get("kind") or "bigint")).parquet(f"{s['path']}/shards")
 
     def _blocks(self, s: dict) -> DataFrame:
         return self.spark.read.schema(_BLOCK).parquet(f"{s['path']}/blocks")
@@ -145,6 +177,20 @@ class LexicalIndex:
     def _dead(self, s: dict) -> DataFrame:
         return self.spark.read.schema(_DEAD).parquet(*s["dead"])
 
+    def _points(self, s: dict) -> DataFrame:
+        """Live vectors of a segment."""
+        rows = self.spark.read.schema(_POINT.format(self.log.state()[1].get("kind") or "bigint")).parquet(f"{s['path']}/points")
+        return rows.join(self._dead(s), ["shard", "place"], "left_anti") if s["dead"] else rows
+
+    def points(self) -> DataFrame:
+        """(chunk_id, vector) of every live chunk that has one."""
+        _, state = self.log.state()
+        out = self.spark.createDataFrame([], f"chunk_id {state.get('kind') or 'bigint'}, vector array<double>")
+        for s in state.get("segments", []):
+            if s.get("points"):
+                out = out.unionByName(self._points(s).select("chunk_id", "vector"))
+        return out
+
     def words_of(self, terms: DataFrame, folders: list[int], s: dict) -> DataFrame:
         """The blocks of a batch's words (word int, term) in a segment."""
         return self._blocks(s).where(F.col("folder").isin(folders)).join(F.broadcast(terms), "term")
@@ -178,7 +224,8 @@ class LexicalIndex:
         for i, b in zip(asked["query_id"].tolist(), asked["query"].tolist(), strict=True):
             c, _ = counted_terms(b or "")
             batch.append((i, [(words.setdefault(w, len(words)), n) for w, n in c.items()]))
-        schema = _HITS + ", rank int"
+        hits, kind_id = _HITS.format(state.get("kind") or "bigint"), state.get("kind") or "bigint"
+        schema = hits + ", rank int"
         if not words or not state.get("segments"):
             return self.spark.createDataFrame([], schema)
         terms = self.spark.createDataFrame(pd.DataFrame({"term": list(words), "word": np.arange(len(words), dtype=np.int32)}), "term string, word int")
@@ -191,14 +238,14 @@ class LexicalIndex:
         rows = None
         for i, s in enumerate(state["segments"]):
             none = lambda kind: F.lit(None).cast(kind)
-            line = lambda df, order, **c: df.select(F.lit(i).alias("segment"), "shard", F.lit(order).alias("kind"), *[c.get(n, none(t)).alias(n) for n, t in (("word", "int"), ("most", "double"), ("places", "array<int>"), ("counts", "array<int>"), ("ids", "array<long>"), ("cjk", "array<boolean>"))])  # noqa: E731, B023
+            line = lambda df, order, **c: df.select(F.lit(i).alias("segment"), "shard", F.lit(order).alias("kind"), *[c.get(n, none(t)).alias(n) for n, t in (("word", "int"), ("most", "double"), ("places", "array<int>"), ("counts", "array<int>"), ("ids", f"array<{kind_id}>"), ("cjk", "array<boolean>"))])  # noqa: E731, B023
             parts = [line(self._shards(s), 0, counts=F.col("lengths"), ids=F.col("ids"), cjk=F.col("cjk")), line(self.words_of(terms, folders, s), 2, word=F.col("word"), most=F.col("most"), places=F.col("places"), counts=F.col("counts"))]
             if s["dead"]:
                 parts.append(line(self._dead(s).groupBy("shard").agg(F.collect_list("place").alias("places")), 1, places=F.col("places")))
             for p in parts:
                 rows = p if rows is None else rows.unionByName(p)
         dealt = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "segment", "shard").sortWithinPartitions("shard", "segment", "kind")
-        scored = dealt.mapInPandas(_Search(batch, list(words), weights, k, every, idf).run, _HITS)
+        scored = dealt.mapInPandas(_Search(batch, list(words), weights, k, every, idf).run, hits)
         return top(scored, k)
 
 

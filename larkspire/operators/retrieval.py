@@ -198,7 +198,7 @@ def dense(queries: DataFrame, points: DataFrame, k: int, condition: Column | Non
     if queries.count() > MAX_QUERIES:
         return _sliced(queries, lambda q: dense(q, points, k, None, block))
     asked = queries.select("query_id", "vector").toPandas()
-    schema = "query_id long, chunk_id long, score double"
+    schema = f"query_id long, chunk_id {'string' if points.schema['chunk_id'].dataType.simpleString() == 'string' else 'long'}, score double"
     if not len(asked):
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
     names = asked["query_id"].to_numpy()

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from larkspire.plans import catalogue, more  # noqa: F401
+from larkspire.plans import catalogue, more, stored  # noqa: F401  (these register their queries in the catalogue)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
