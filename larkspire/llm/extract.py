@@ -55,9 +55,10 @@ AWAY = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcru
 ARTICLE = frozenset("article articlebody body content entry main maincontent post story text".split())
 #: What an element closes when it starts: a new p ends an open p, a new li an open li, and so on.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_NONE, _CLOSED = frozenset(), frozenset("p li dt dd tr td th option".split())
 SCOPE = frozenset("ul ol table dl div article section aside body html td th li blockquote main nav header footer form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME, _SPECIAL = re.compile(r"<(/?)([A-Za-z][^\s/>]*)"), re.compile("[\"'>]")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -80,38 +81,72 @@ def _words(attributes: str) -> tuple[str, ...]:
     return tuple(w for w in _SPLIT.split(found) if w)
 
 
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Where the > is that ends a tag whose attributes begin here: the first outside quotes, or the first at all if quotes don't end; -1 if there is none. dead holds quotes from which no end was found, so none is followed twice."""
+    i, visited = at, []
+    while m := _SPECIAL.search(html, i):
+        i, c = m.start(), m[0]
+        if c == ">":
+            return i
+        if i in dead:
+            break
+        visited.append(i)
+        i = html.find(c, i + 1) + 1
+        if not i:
+            break
+    dead.update(visited)
+    return html.find(">", at)
+
+
 def events(html: str) -> Iterator[tuple[str, str, str]]:
-    """("start" or "end", tag, attributes) and ("text", text, "") in page order; raw text of scripts and the like is skipped."""
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if not m:
-            yield "text", html[at:], ""
-            return
-        if m.start() > at:
-            yield "text", html[at : m.start()], ""
-        at = m.end()
-        tag = m[2] or m[5]
+    """("start" or "end", tag, attributes) and ("text", text, "") in page order; raw text of scripts and the like is skipped. Takes time in proportion to the page, however broken it is."""
+    at, done, n, last, dead = 0, 0, len(html), html.rfind(">"), set()
+    while (i := html.find("<", at)) >= 0:
+        tag = None
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 4)
+            at = end + 3 if end >= 0 else n
+        elif i > last:  # no tag can end any more
+            at = n if html.find("<!--", i) < 0 else html.find("<!--", i)
+            continue
+        elif m := _NAME.match(html, i):
+            end = _tag_end(html, m.end(), dead)
+            if end < 0:
+                at = i + 1
+                continue
+            tag, at = m[2].lower(), end + 1
+        elif html[i + 1 : i + 2] in ("!", "?"):
+            at = html.find(">", i) + 1
+        else:
+            at = i + 1
+            continue
+        if i > done:
+            yield "text", html[done:i], ""
+        done = at
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
+        if m[1]:
             yield "end", tag, ""
             continue
-        yield "start", tag, m[3] if m[2] else m[6]
+        yield "start", tag, html[m.end() : end]
         if tag in RAW:
-            end = _ENDS[tag].search(html, at)
-            at = end.end() if end else n
+            close = _ENDS[tag].search(html, at)
+            done = at = close.end() if close else n
             yield "end", tag, ""
+    if done < n:
+        yield "text", html[done:], ""
 
 
 class _Open:
     """An open element: its tag, token, whether it or what it stands in is left out, whether it is the article, what it stands in, and the characters of text below it."""
 
-    __slots__ = ("tag", "token", "away", "inside", "up", "chars")
+    __slots__ = ("tag", "token", "away", "inside", "up", "chars", "ends")
 
     def __init__(self, tag, token, away, inside, up=None):
         self.tag, self.token, self.away, self.inside, self.up, self.chars = tag, token, away, inside, up, 0
+        #: Which of the tags that a start can close stand open up to the next element of SCOPE.
+        above = _NONE if up is None or tag in SCOPE else up.ends
+        self.ends = above | {tag} if tag in _CLOSED and tag not in above else above
 
 
 _ROOT, _LONG = 0x51ED270B, (1 << 63) - 1
@@ -146,21 +181,24 @@ def _away(tag: str, words: tuple[str, ...]) -> bool:
 
 def walk(html: str, shut: Collection[int] = ()):
     """Elements of DROPPED and of the tokens in shut are left out. ("open", element, words), ("close", element, ()) and ("text", element, text) with elements nested as browsers do, roughly."""
-    stack = [_Open("", _ROOT, False, False)]
+    stack, open_ = [_Open("", _ROOT, False, False)], Counter()
+
+    def closed(tags):
+        """Closes elements down to the first of these tags."""
+        while True:
+            e = stack.pop()
+            open_[e.tag] -= 1
+            yield "close", e, ()
+            if e.tag in tags:
+                return
+
     for kind, what, attributes in events(html):
         if kind == "text":
             yield "text", stack[-1], what
         elif kind == "start":
             closes = CLOSES.get(what) or (("p",) if what in BLOCKS else None)
-            if closes:
-                for i in range(len(stack) - 1, 0, -1):
-                    t = stack[i].tag
-                    if t in closes:
-                        while len(stack) > i:
-                            yield "close", stack.pop(), ()
-                        break
-                    if t in SCOPE:
-                        break
+            if closes and not stack[-1].ends.isdisjoint(closes):
+                yield from closed(closes)
             words = _words(attributes)
             top = stack[-1]
             token = _token(top.token, what, words)
@@ -170,12 +208,9 @@ def walk(html: str, shut: Collection[int] = ()):
                 yield "close", e, ()
             else:
                 stack.append(e)
-        else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == what:
-                    while len(stack) > i:
-                        yield "close", stack.pop(), ()
-                    break
+                open_[what] += 1
+        elif open_[what]:
+            yield from closed((what,))
     while len(stack) > 1:
         yield "close", stack.pop(), ()
 
