@@ -145,19 +145,39 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def ranges(cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges of (id, hash) begin. An id that takes several percentiles (or is missing in many rows) is cut by hash, evenly."""
+    o, h = [], []
+    for v, n in sorted(Counter(cuts).items()):
+        o += [v] * n
+        h += [-(1 << 63) + i * ((1 << 64) // n) for i in range(n)]
+    return np.array(o, np.int64), np.array(h, np.int64)
+
+
+def range_numbers(bounds: tuple[np.ndarray, np.ndarray], o: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many ranges begin at (o, h) or before."""
+    first, last = np.searchsorted(bounds[0], o, side="left"), np.searchsorted(bounds[0], o, side="right")
+    out = first.copy()
+    for v in np.unique(o[last > first]):  # ids that are bounds
+        mine = o == v
+        a, b = np.searchsorted(bounds[0], [v, v + 1]) if v < (1 << 63) - 1 else (np.searchsorted(bounds[0], v), len(bounds[0]))
+        out[mine] = a + np.searchsorted(bounds[1][a:b], h[mine], side="right")
+    return out.astype(np.int32)
+
+
 def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(2, shuffle_partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"o": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
+    cuts = rows.select(F.percentile_approx("o", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    bounds = ranges(cuts or [])
     bounded_batches(spark)
 
     @F.pandas_udf("int")
-    def range_of(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, o.to_numpy(np.int64), side="right").astype(np.int32))
+    def range_of(o: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_numbers(bounds, o.to_numpy(np.int64), h.to_numpy(np.int64)))
 
-    slim = rows.select("o", "h").withColumn("bucket", range_of("o"))
+    slim = rows.select("o", "h").withColumn("bucket", range_of("o", "h"))
     firsts = slim.groupBy("bucket").agg(F.max(F.struct("o", "h")).alias("first")).orderBy(F.desc("bucket")).collect()  # a row a range
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not firsts:
@@ -165,9 +185,9 @@ def digest(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # The first row of a range is also read after the last row of the range before: a small table, joined to the rows.
     peeked = [(r["first"]["o"], r["first"]["h"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
     known = spark.createDataFrame(peeked, "o long, h long, before int").dropDuplicates(["o", "h"])
-    both = rows.withColumn("own", range_of("o")).join(F.broadcast(known), ["o", "h"], "left")
+    both = rows.withColumn("own", range_of("o", "h")).join(F.broadcast(known), ["o", "h"], "left")
     places = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("peek")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("peek")))))
-    ordered = both.select("doc_id", "text", "o", "h", F.inline(places)).repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions(F.desc("bucket"), "peek", F.desc("o"), F.desc("h"))
+    ordered = both.select("doc_id", "text", "o", "h", F.inline(places)).repartitionById(len(bounds[0]) + 1, F.col("bucket")).sortWithinPartitions(F.desc("bucket"), "peek", F.desc("o"), F.desc("h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, held, at = sampler(samples), None, None
