@@ -116,8 +116,8 @@ def write(docs: DataFrame, out_dir: str, vocab: str, end_id: int = END_ID, doc_i
         yield pd.DataFrame([(part, i, *m) for i, m in enumerate(made)], columns=["part", "seq", "path", "n_docs", "n_tokens", "n_bytes"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    nameless = F.when(F.col("d").isNull(), F.xxhash64("t"))  # so that a third of all rows may lack an id
-    ordered = rows.withColumn("h", nameless).repartitionByRange(shuffle_partitions(spark), "d", "h").sortWithinPartitions("d", F.xxhash64("t"), "t").drop("h")
+    # Ranges are cut by (id, hash), so that a third of all rows may lack an id or share one.
+    ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(shuffle_partitions(spark), "d", "h").sortWithinPartitions("d", "h", "t").drop("h")
     manifest, start = [], 0
     shards = stored(mapped(ordered.withColumn("d", key(F.col("d"))), run, _MANIFEST, "fasttok"), "token-manifest")
     for r in shards.orderBy("part", "seq").collect():  # one short row a shard

@@ -105,7 +105,8 @@ def write(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, min_revi
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    slim = rows.where(F.octet_length("payload") >= min_revisit).select("page_id", F.sha2("payload", 256).alias("digest"))
+    rows = rows.withColumn("h", F.xxhash64("payload"))  # ranges are cut by (page, hash), so that a third of all rows may lack an id or share one
+    slim = rows.where(F.octet_length("payload") >= min_revisit).select("page_id", F.sha2("payload", 256).alias("digest"), "h")
     firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
     firsts = stored(firsts, "digests")
     if firsts.count() * 100 <= BROADCAST_BYTES:
@@ -113,19 +114,18 @@ def write(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, min_revi
     else:
         dealt = slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
         met = dealt.join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"])
-    notes = met.where("page_id > first").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("kind")).distinct()
-    full = rows.select("page_id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
-    nameless = F.when(F.col("page_id").isNull(), F.xxhash64("url", "payload"))  # so that a third of all rows may lack an id
-    ordered = full.unionByName(notes).withColumn("h", nameless).repartitionByRange(shuffle_partitions(spark), "page_id", "h").sortWithinPartitions("page_id", "kind", "h", F.xxhash64("url", "payload"), "url")
+    notes = met.where("page_id > first").select("page_id", "h", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.col("first").alias("refers_to"), F.lit(0).alias("kind")).distinct()
+    full = rows.select("page_id", "h", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    ordered = full.unionByName(notes).repartitionByRange(shuffle_partitions(spark), "page_id", "h").sortWithinPartitions("page_id", "h", "kind", "url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, made, file, noted, at, copies = TaskContext.get().partitionId(), [], None, {}, None, Counter()
         for pdf in batches:
-            for page, url, payload, digest, refers_to, kind in zip(map(keyed, pdf["page_id"]), pdf["url"], pdf["payload"], pdf["digest"], map(keyed, pdf["refers_to"]), pdf["kind"], strict=True):
-                if page != at:
-                    noted, at, copies = {}, page, Counter()
+            for page, h, url, payload, digest, refers_to, kind in zip(map(keyed, pdf["page_id"]), pdf["h"], pdf["url"], pdf["payload"], pdf["digest"], map(keyed, pdf["refers_to"]), pdf["kind"], strict=True):
+                if (page, h) != at:  # a range holds all rows of a page and a payload
+                    noted, at, copies = {}, (page, h), Counter()
                 if kind == 0:
                     noted[digest] = refers_to
                     continue
@@ -142,7 +142,7 @@ def write(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, min_revi
             made.append(file.close())
         yield pd.DataFrame([(part, i, *m) for i, m in enumerate(made)], columns=["part", "seq", "path", "n_records", "n_bytes", "sha256"])
 
-    sent = ordered.drop("h").withColumns({c: key(F.col(c)) for c in ("page_id", "refers_to")})
+    sent = ordered.withColumns({c: key(F.col(c)) for c in ("page_id", "refers_to", "h")})
     files = stored(mapped(sent, run, _MANIFEST), "warc-manifest", (firsts,))
     manifest = [r.asDict() for r in files.orderBy("part", "seq").collect()]  # one short row a file
     discard(files)

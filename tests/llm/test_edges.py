@@ -160,7 +160,7 @@ def test_special_tokens_as_the_library_reads_them(kind, name):
 
 
 def test_every_query_is_registered():
-    assert [int(math.floor(float(n[2:].split("_")[0]))) for n in queries.queries()] == list(range(1, 11))
+    assert [int(math.floor(float(n[2:].split("_")[0]))) for n in queries.queries()] == list(range(1, 14))
 
 
 def test_tables_are_deleted_when_spent(spark):

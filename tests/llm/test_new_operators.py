@@ -4,13 +4,16 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
-from larkspire.llm import fim, importance, quality, queries
+from pyspark.sql import functions as F
+
+from larkspire.llm import extract, fasttok, fim, fingerprint, importance, quality, queries, tokenfile, warc
 
 AWKWARD = [
     (1, "a quick text of some words"), (2, None), (3, ""), (4, "holds <S> a marker"), (5, "<"), (6, "é漢字𝄞 ab\u0000c"), (7, " \n\t "), (8, "x" * 300_000),
@@ -207,3 +210,65 @@ def test_bias_is_put_right_for_rare_labels():
     bags = [quality.bag(t) for t in ["good text here", "bad ### junk"] * 20]
     outputs, bias = quality.train(bags, [1, 0] * 20, 0.999, steps=2000)
     assert quality.Model(outputs, bias).scores([""])[0] > 0.95
+
+
+def skewed(spark, n=1800):
+    """A third of the rows without id, a third with one id."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} of {i * i % 97} words") for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def per_task(df, read):
+    """Rows that each task of the last shuffle gets."""
+    return sorted(r["n"] for r in read(df).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+def test_ranges_are_cut_within_an_id():
+    low = -(1 << 63)
+    bounds = fingerprint.ranges([low] * 3 + [5] + [7] * 4 + [900])
+    r = np.random.default_rng(0)
+    o, h = np.concatenate((np.full(3000, low), np.full(4000, 7), r.integers(0, 1000, 2000))), r.integers(low, (1 << 63) - 1, 9000)
+    got = fingerprint.range_numbers(bounds, o, h)
+    want = [sum((a, b) <= (x, y) for a, b in zip(*(z.tolist() for z in bounds), strict=True)) for x, y in zip(o.tolist(), h.tolist(), strict=True)]
+    assert got.tolist() == want
+    assert np.bincount(got)[1:4].max() < 1200 and np.bincount(got)[5:9].max() < 1500
+
+
+def test_fingerprints_and_files_of_hot_ids(spark, tmp_path):
+    rows, df = skewed(spark)
+    got = fingerprint.digest(df).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 600
+    assert len({r["near_next"] for r in got}) > 1
+    s = fingerprint.Sampler()
+    assert collections.Counter(r["fingerprint"] for r in got) == collections.Counter(fingerprint.hexed(s.text(t)) for _, t in rows)
+    vocab = fasttok.vocabulary("byte_bpe_50k.json")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        manifest = tokenfile.write(df, f"file://{tmp_path}/tok", vocab)
+        docs = sorted(m["n_docs"] for m in manifest)
+        assert sum(docs) == len(rows) and docs[-1] <= 3 * docs[len(docs) // 2]
+        pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.col("text").alias("html"))
+        files = warc.write(pages, f"file://{tmp_path}/warc")
+        n = sorted(m["n_records"] for m in files)
+        assert sum(n) == len(rows) and n[-1] <= 3 * n[len(n) // 2]
+        assert warc.read(spark, files).count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("html", ["<a " * 16_000, '<a ">"' * 16_000, "<div>" * 8000 + "</span>" * 8000, "<li><div>" + "<b>" * 8000 + "<li></li>" * 8000, "<a '\">" * 16_000, "<" * 100_000, "<!--" * 50_000 + ">"])
+def test_broken_pages_take_time_in_proportion(html):
+    began = time.process_time()
+    list(extract.walk(html))
+    assert time.process_time() - began < 2.5
+    long = time.process_time()
+    list(extract.walk(html * 4))
+    assert time.process_time() - long < 12 * max(time.process_time() - began, 0.05)
+
+
+def test_stray_starts_of_tags_are_text():
+    assert [x for x in extract.events("a <b c")] == [("text", "a <b c", "")]
+    assert list(extract.events('<p x=">">1 < 2<br>')) == [("start", "p", ' x=">"'), ("text", "1 < 2", ""), ("start", "br", "")]
+    began = time.process_time()
+    assert len(list(extract.events("<a " * 16_000))) == 1
+    assert time.process_time() - began < 0.1
