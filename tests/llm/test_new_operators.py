@@ -231,7 +231,7 @@ def test_ranges_are_cut_within_an_id():
     got = fingerprint.range_numbers(bounds, o, h)
     want = [sum((a, b) <= (x, y) for a, b in zip(*(z.tolist() for z in bounds), strict=True)) for x, y in zip(o.tolist(), h.tolist(), strict=True)]
     assert got.tolist() == want
-    assert np.bincount(got)[1:4].max() < 1200 and np.bincount(got)[5:9].max() < 1500
+    assert np.bincount(got)[1:4].max() < 1200 and np.bincount(got)[5:8].max() < 1200
 
 
 def test_fingerprints_and_files_of_hot_ids(spark, tmp_path):
