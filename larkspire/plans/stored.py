@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.functions import vector as V
-from larkspire.operators import retrieval
+from larkspire.operators import retrieval, snapshot
 from larkspire.operators.corpus import Corpus, EmbeddingCache
 from larkspire.operators.lexindex import LexicalIndex
 from larkspire.operators.merge import MergeTable
@@ -16,6 +16,7 @@ from larkspire.plans.catalogue import DENSE, DTOK, QTOK, TOP, _asked, _points, _
 from larkspire.plans.entities import table
 from larkspire.plans.more import SOURCE, WINDOW, _candidate, _previous
 from larkspire.session import kept, shared_folder
+from larkspire.sources import feed
 
 
 def _root(spark: SparkSession, name: str) -> str:
@@ -134,3 +135,26 @@ def corpus_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = kept(corpus.index.ids(), "ids").withColumn("indexed", F.lit(True))
     rows = corpus.generations.read().select("doc_id", "chunk_index", "reused", "generation_id", "document_version", "chunk_id")
     return rows.join(has, "chunk_id", "full_outer").select("doc_id", "chunk_index", "reused", "generation_id", "document_version", "chunk_id", "indexed")
+
+
+# A change feed of documents: a split for each source, read by a stream twice, the second time from its checkpoint.
+
+
+@query("SELECT doc_id::VARCHAR AS external_id, CASE WHEN doc_id % 5 = 0 THEN '2' ELSE '1' END AS remote_version, sha256(CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END) AS checksum, source AS split FROM documents WHERE doc_id % 9 <> 0")
+def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _root(spark, "feed")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("split"), F.col("doc_id").cast("string").alias("external_id"), "text")
+
+    def change(rows: DataFrame, kind: str, version: str | None, text) -> DataFrame:
+        return rows.select("doc_id", "split", F.lit(kind).alias("kind"), "external_id", F.lit(version).cast("string").alias("remote_version"), (F.to_json(F.struct(text.alias("text"))) if version else F.lit(None).cast("string")).alias("record"))
+
+    first = change(d, "upsert", "1", F.col("text"))
+    second = change(d.where("doc_id % 5 = 0"), "upsert", "2", F.concat("text", F.lit(" changed"))).unionByName(change(d.where("doc_id % 9 = 0"), "delete", None, None))
+    for i, rows in enumerate((first, second)):
+        feed.exported(rows, root, i, ["doc_id", F.desc("kind")])  # a delete after what it deletes
+        q = feed.stream(spark, "larkspire.sources.feed:FolderConnector", {"root": root}).writeStream.format("parquet").option("path", f"{root}/received").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    received = spark.read.parquet(f"{root}/received")
+    none = received.limit(0).select("external_id", "remote_version", "record", "split")
+    got = snapshot.apply_changes(none, received, "external_id", "position")
+    return got.select("external_id", "remote_version", F.sha2(F.get_json_object("record", "$.text"), 256).alias("checksum"), F.regexp_replace("split", "^split=", "").alias("split"))

@@ -1,13 +1,17 @@
-"""Connectors of drives, wikis and workspaces as change feeds, over any transport.
+"""Connectors of drives, workspaces and wikis over any transport, crawled as a table of places.
 
-A transport is a function (path, parameters) -> JSON; the one here replays a recording, those of a deployment call the
-provider. Each connector lists what is there with its version and fetches what changed: sync(checkpoint, limit) gives
-changes (kind, external_id, version, record as JSON) and the new checkpoint, a mapping from ids to versions, so that only
-new versions are fetched, and ids that are gone become deletes. They plug into feed.ChangeFeed.
+A connector says how one place (a folder, a page, a nested block, a space) is opened: each row of its answers becomes an
+item, a piece of an item's text, or a further place. crawl() keeps the frontier as a DataFrame: all places of a level are
+opened by tasks side by side, an anti-join drops those that have been seen, and the pieces of an item are put together by
+an aggregate, so that no task follows a tree on its own. changes() compares a listing with the versions known so far:
+new versions are fetched by tasks, ids that a full listing lacks are deletes, and so are items whose text has become empty.
+
+A transport is a function (path, parameters) -> JSON; the one here replays a recording, a deployment gives its own by name.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
 import random
 import re
@@ -15,9 +19,23 @@ import time
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspire.operators.log import CommitLog
+from larkspire.operators.merge import MergeTable
+from larkspire.session import kept
+
 # States that are worth another try, and the media type of a folder of the drive.
 RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
 FOLDER = "application/vnd.google-apps.folder"
+# How the text of a block of each kind is marked; any other stands as it is.
+MARKS = {"heading_1": "# {}", "heading_2": "## {}", "heading_3": "### {}", "bulleted_list_item": "- {}", "numbered_list_item": "- {}", "to_do": "- {}", "code": "```{language}\n{}\n```"}
+
+#: what: item, piece or place. owner: the item of a piece. spot: where a piece stands, numbers from its item down.
+CRAWLED = "what string, owner string, id string, version string, spot array<int>, payload string"
+CHANGE = "kind string, external_id string, remote_version string, record string"
 
 
 class ProviderError(RuntimeError):
@@ -42,123 +60,105 @@ def retrying(call: Callable, attempts: int = 4, base: float = 0.5, most: float =
     return run
 
 
-def replay(recording: dict) -> Callable:
+def replay(config: dict) -> Callable:
     """A transport over recorded answers, by path and sorted parameters."""
+    recording = config["recording"]
     return lambda path, params: recording[path + ("?" + "&".join(f"{k}={v}" for k, v in sorted(params.items())) if params else "")]
 
 
-class Listing:
-    """What connectors share: items() gives (id, version, item), fetch(item) the record."""
+def transport(config: dict) -> Callable:
+    """The transport that the configuration names as module:function of the configuration; a replay where it names none."""
+    module, _, name = config.get("transport", "").partition(":")
+    return retrying(getattr(importlib.import_module(module), name)(config) if name else replay(config))
 
-    def __init__(self, config: dict, transport: Callable | None = None):
-        self.config, self.get = config, retrying(transport or replay(config["recording"]))
 
-    def items(self) -> Iterator[tuple[str, str, dict]]:
-        raise NotImplementedError
+#: How providers go on to the next page: parameters for it, of an answer, its rows and the rows so far; none at the end.
+NEXT = {
+    "token": lambda answer, rows, so_far: {"page": answer["nextPageToken"]} if answer.get("nextPageToken") else None,
+    "cursor": lambda answer, rows, so_far: {"cursor": answer["next_cursor"]} if answer.get("has_more") and answer.get("next_cursor") else None,
+    "offset": lambda answer, rows, so_far: {"start": so_far} if rows else None,
+}
 
-    def fetch(self, item: dict) -> dict:
-        raise NotImplementedError
 
-    def sync(self, checkpoint: dict | None, limit: int) -> tuple[list[tuple], dict]:
-        known, seen, changes = dict(checkpoint or {}), set(), []
-        for i, version, item in self.items():
-            seen.add(i)
-            if known.get(i) != version and len(changes) < limit:
-                record = self.fetch(item)
-                known[i] = version
-                if record["text"].strip():
-                    changes.append(("upsert", i, version, json.dumps(record, ensure_ascii=False)))
-        for i in sorted(set(known) - seen):
-            if len(changes) < limit:
-                changes.append(("delete", i, known.pop(i), None))
-        return changes, known
-
-
-class Drive(Listing):
-    """Files below a folder, breadth first, each folder once. Version: modified time, version and checksum."""
-
-    def items(self):
-        queue, visited = [self.config["folder_id"]], set()
-        while queue:
-            folder = queue.pop(0)
-            if folder in visited:
-                continue
-            visited.add(folder)
-            token = None
-            while True:
-                found = self.get("files", {"parent": folder, **({"page": token} if token else {})})
-                for x in found.get("files", ()):
-                    if x.get("mimeType") == FOLDER:
-                        if self.config.get("recursive", True):
-                            queue.append(str(x["id"]))
-                    else:
-                        yield str(x["id"]), ":".join(str(x.get(k) or "") for k in ("modifiedTime", "version", "md5Checksum")), x
-                token = found.get("nextPageToken")
-                if not token:
-                    break
-
-    def fetch(self, item):
-        return {"title": item["name"], "uri": item.get("webViewLink"), "text": self.get("content", {"id": item["id"]})["text"]}
-
-
-def block_text(block: dict) -> str:
-    """A workspace block as lightly marked text."""
-    kind = str(block.get("type") or "")
-    value = block.get(kind)
-    value = value if isinstance(value, dict) else {}
-    plain = "".join(str(x.get("plain_text") or "") for x in value.get("rich_text") or () if isinstance(x, dict))
-    if not plain:
+def listed(get: Callable, path: str, field: str, how: str, **params) -> Iterator[dict]:
+    """The rows of all pages of a listing."""
+    more, so_far = {}, 0
+    while more is not None:
+        answer = get(path, params | more)
+        rows = answer.get(field) or []
+        so_far += len(rows)
+        yield from rows
+        more = NEXT[how](answer, rows, so_far)
+
+
+def item(id_, version, payload: dict) -> tuple:
+    return "item", None, str(id_), version, None, json.dumps(payload, ensure_ascii=False)
+
+
+def place(**where) -> tuple:
+    return "place", None, json.dumps(where, sort_keys=True), None, None, None
+
+
+class Drive:
+    """Files below a folder. A place is a folder; version: modified time, version and checksum."""
+
+    def __init__(self, config: dict):
+        self.config, self.get = config, transport(config)
+
+    def start(self) -> list[tuple]:
+        return [place(folder=str(self.config["folder_id"]))]
+
+    def opened(self, folder: str) -> Iterator[tuple]:
+        for x in listed(self.get, "files", "files", "token", parent=folder):
+            if x.get("mimeType") != FOLDER:
+                yield item(x["id"], ":".join(str(x.get(k) or "") for k in ("modifiedTime", "version", "md5Checksum")), x)
+            elif self.config.get("recursive", True):
+                yield place(folder=str(x["id"]))
+
+    def record(self, x: dict, pieces: str | None) -> dict:
+        return {"title": x["name"], "uri": x.get("webViewLink"), "text": self.get("content", {"id": x["id"]})["text"]}
+
+
+def marked(block: dict) -> str:
+    """The text of a workspace block, marked by its kind; empty where it has none."""
+    value = block.get(block.get("type") or "")
+    if not isinstance(value, dict):
         return ""
-    level = re.fullmatch(r"heading_(\d+)", kind)
-    if level:
-        return f"{'#' * int(level[1])} {plain}"
-    if kind in ("bulleted_list_item", "numbered_list_item", "to_do"):
-        return f"- {plain}"
-    return f"```{value.get('language') or ''}\n{plain}\n```" if kind == "code" else plain
-
-
-class Workspace(Listing):
-    """A page and the pages below it, breadth first; a page's text is its blocks, nested ones after their level."""
-
-    def _blocks(self, page: str) -> tuple[str, list[str]]:
-        lines, below, queue, visited = [], [], [page], set()
-        while queue:
-            at, cursor = queue.pop(0), None
-            if at in visited:
-                continue
-            visited.add(at)
-            while True:
-                found = self.get(f"blocks/{at}", {"cursor": cursor} if cursor else {})
-                for b in found.get("results", ()):
-                    if b.get("type") == "child_page":
-                        below.append(str(b["id"]))
-                        lines += filter(None, [(b.get("child_page") or {}).get("title")])
-                        continue
-                    lines += filter(None, [block_text(b)])
-                    if b.get("has_children"):
-                        queue.append(str(b["id"]))
-                cursor = found.get("next_cursor") if found.get("has_more") else None
-                if not cursor:
-                    break
-        return "\n".join(lines), below
-
-    def items(self):
-        queue, visited = [self.config["page_id"]], set()
-        while queue:
-            page = queue.pop(0)
-            if page in visited:
-                continue
-            visited.add(page)
-            about = self.get(f"pages/{page}", {})
-            text, below = self._blocks(page)
-            queue += below
-            yield page, str(about.get("last_edited_time") or ""), {"title": about.get("title"), "uri": about.get("url"), "text": text}
+    plain = "".join(str(x.get("plain_text") or "") for x in value.get("rich_text") or [] if isinstance(x, dict))
+    return plain and MARKS.get(block["type"], "{}").format(plain, language=value.get("language") or "")
+
 
-    def fetch(self, item):
-        return item
+class Workspace:
+    """A page and the pages below it. Places are pages and blocks that hold further blocks; the text of a page is its blocks, level after level."""
+
+    def __init__(self, config: dict):
+        self.config, self.get = config, transport(config)
+
+    def start(self) -> list[tuple]:
+        return [place(page=str(self.config["page_id"]))]
+
+    def opened(self, page: str, block: str | None = None, spot: list[int] | None = None) -> Iterator[tuple]:
+        if block is None:
+            about = self.get(f"pages/{page}", {})
+            yield item(page, str(about.get("last_edited_time") or ""), {"title": about.get("title"), "uri": about.get("url")})
+        for n, b in enumerate(listed(self.get, f"blocks/{block or page}", "results", "cursor")):
+            here = [*(spot or []), n]
+            child = b.get("type") == "child_page"
+            text = (b.get("child_page") or {}).get("title") if child else marked(b)
+            if text:
+                yield "piece", page, None, None, here, text
+            if child:
+                yield place(page=str(b["id"]))
+            elif b.get("has_children"):
+                yield place(page=page, block=str(b["id"]), spot=here)
+
+    def record(self, x: dict, pieces: str | None) -> dict:
+        return x | {"text": pieces or ""}
 
 
 class _Plain(HTMLParser):
+    """Text of stored markup; blocks end lines."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts = []
@@ -167,29 +167,123 @@ class _Plain(HTMLParser):
         self.parts.append(data)
 
     def handle_endtag(self, tag):
-        if tag in ("p", "li", "tr", "div") or re.fullmatch(r"h[1-6]", tag):
+        if re.fullmatch(r"p|li|tr|div|h[1-6]", tag):
             self.parts.append("\n")
 
 
-class Wiki(Listing):
-    """The current pages of a space by offset, or those below a root page."""
-
-    def items(self):
-        start, root = 0, self.config.get("root_page_id")
-        while True:
-            found = self.get("content", {"space": self.config["space_key"], "start": start}).get("results", ())
-            for x in found:
-                above = {str(a.get("id")) for a in x.get("ancestors", ())}
-                if not root or str(x["id"]) == str(root) or str(root) in above:
-                    yield str(x["id"]), str((x.get("version") or {}).get("number") or ""), x
-            if not found:
-                return
-            start += len(found)
-
-    def fetch(self, item):
-        full = self.get(f"content/{item['id']}", {})
-        p = _Plain()
-        p.feed(((full.get("body") or {}).get("storage") or {}).get("value") or "")
-        p.close()
-        lines = (" ".join(x.split()) for x in "".join(p.parts).splitlines())
-        return {"title": full.get("title"), "uri": (full.get("_links") or {}).get("webui"), "text": "\n".join(x for x in lines if x)}
+class Wiki:
+    """The pages of a space, all or those under a root page. Places are spaces."""
+
+    def __init__(self, config: dict):
+        self.config, self.get = config, transport(config)
+
+    def start(self) -> list[tuple]:
+        return [place(space=self.config["space_key"])]
+
+    def opened(self, space: str) -> Iterator[tuple]:
+        root = str(self.config.get("root_page_id") or "")
+        for x in listed(self.get, "content", "results", "offset", space=space, start=0):
+            if not root or root in {str(x["id"]), *(str(a.get("id")) for a in x.get("ancestors", ()))}:
+                yield item(x["id"], str((x.get("version") or {}).get("number") or ""), {"id": x["id"]})
+
+    def record(self, x: dict, pieces: str | None) -> dict:
+        full = self.get(f"content/{x['id']}", {})
+        plain = _Plain()
+        plain.feed(((full.get("body") or {}).get("storage") or {}).get("value") or "")
+        plain.close()
+        lines = (" ".join(line.split()) for line in "".join(plain.parts).splitlines())
+        return {"title": full.get("title"), "uri": (full.get("_links") or {}).get("webui"), "text": "\n".join(filter(None, lines))}
+
+
+def crawl(spark: SparkSession, connector: type, config: dict) -> DataFrame:
+    """external_id, version, payload and pieces (the text that was found beside it) of every item."""
+
+    def open_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = connector(config)
+        for pdf in batches:
+            for where in pdf["id"]:
+                yield pd.DataFrame(list(c.opened(**json.loads(where))), columns=["what", "owner", "id", "version", "spot", "payload"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frontier = spark.createDataFrame(connector(config).start(), CRAWLED).select("id")
+    seen, levels = frontier, []
+    while True:
+        level = kept(frontier.repartition(parts, "id").mapInPandas(open_, CRAWLED), "level")
+        levels.append(level)
+        frontier = kept(level.where("what = 'place'").select("id").distinct().join(seen, "id", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    found = every.where("what = 'item'").groupBy(F.col("id").alias("external_id")).agg(F.min(F.struct("version", "payload")).alias("i"))
+    order = F.struct(F.size("spot").alias("depth"), "spot", "payload")
+    text = every.where("what = 'piece'").groupBy(F.col("owner").alias("external_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["payload"]), "\n").alias("pieces"))
+    return found.select("external_id", "i.version", "i.payload").join(text, "external_id", "left")
+
+
+def changes(listing: DataFrame, known: DataFrame, connector: type, config: dict, full_resync: bool = True) -> DataFrame:
+    """What has changed against the versions known (external_id, version): CHANGE rows. Only new versions are fetched. Ids that the listing lacks are deletes if it is a full one."""
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = connector(config)
+        for pdf in batches:
+            rows = []
+            for i, version, payload, pieces, had in zip(pdf["external_id"], pdf["version"], pdf["payload"], pdf["pieces"], pdf["had"], strict=True):
+                record = c.record(json.loads(payload), pieces if isinstance(pieces, str) else None)
+                if record["text"].strip():
+                    rows.append(("upsert", i, version, json.dumps(record, ensure_ascii=False)))
+                else:  # an empty text is none: what was there before goes, and the version isn't asked for again
+                    rows.append(("delete" if had else "empty", i, version, None))
+            yield pd.DataFrame(rows, columns=["kind", "external_id", "remote_version", "record"])
+
+    old = known.select("external_id", F.col("version").alias("__old"))
+    new = listing.join(old, "external_id", "left").where(F.col("__old").isNull() | (F.col("__old") != F.col("version")))
+    parts = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = new.withColumn("had", F.col("__old").isNotNull()).repartition(parts, "external_id").mapInPandas(fetch, CHANGE)
+    if not full_resync:
+        return out
+    none = F.lit(None).cast("string")
+    gone = known.join(listing.select("external_id"), "external_id", "left_anti")
+    return out.unionByName(gone.select(F.lit("delete").alias("kind"), "external_id", none.alias("remote_version"), none.alias("record")))
+
+
+class Sync:
+    """A connector's checkpoint, the versions known of each id, with changes that are staged first and count once they have been published.
+
+    stage() writes a run's changes and notes the run; until promote() is called for it, stage() gives the same rows again,
+    after a crash too. promote() makes the run's versions the known ones; calling it twice does no harm.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, connector: type, config: dict):
+        self.spark, self.root, self.connector, self.config = spark, root.rstrip("/"), connector, config
+        self.log = CommitLog(spark, f"{self.root}/runs")
+
+    def _known(self) -> MergeTable:
+        t = MergeTable(self.spark, f"{self.root}/known")
+        return t if t.log.version() else MergeTable.create(self.spark, t.root, self.spark.createDataFrame([], "external_id string, version string"), ["external_id"], 8)
+
+    def stage(self, full_resync: bool = True) -> tuple[str, DataFrame]:
+        """(run, changes). Changes are of kind upsert or delete."""
+        at, state = self.log.state()
+        if not state.get("staged"):
+            found = changes(crawl(self.spark, self.connector, self.config), self._known().read(), self.connector, self.config, full_resync)
+            path = f"{self.root}/changes/{at + 1:08d}"
+            found.write.mode("overwrite").parquet(path)
+            self.log.commit({"staged": path}, at)
+            state = {"staged": path}
+        rows = self.spark.read.schema(CHANGE).parquet(state["staged"])
+        return state["staged"], rows.where("kind <> 'empty'")
+
+    def promote(self, run: str) -> None:
+        at, state = self.log.state()
+        if state.get("promoted") == run:
+            return
+        if state.get("staged") != run:
+            raise ValueError("another run is staged")
+        rows = self.spark.read.schema(CHANGE).parquet(run)
+        known = self._known()
+        known.upsert(rows.where("remote_version IS NOT NULL").select("external_id", F.col("remote_version").alias("version")))
+        known.delete(rows.where("remote_version IS NULL").select("external_id"))
+        self.log.commit({"staged": None, "promoted": run}, at)

@@ -105,27 +105,52 @@ def test_blocks_keep_rows_without_key(spark):
     assert sorted(map(tuple, html.blocks(rows).collect()), key=str) == sorted([(None, 0, "heading", "a", "a"), (None, 1, "text", "b", "a"), (1 << 60, 0, "text", "c", None)], key=str)
 
 
-def test_connectors_replay():
-    drive = {
-        "files?parent=r": {"files": [{"id": "f", "mimeType": remote.FOLDER}, {"id": "1", "name": "a", "version": "1"}], "nextPageToken": "p"},
-        "files?page=p&parent=r": {"files": [{"id": "2", "name": "b", "version": "7"}]}, "files?parent=f": {"files": [{"id": "r", "mimeType": remote.FOLDER}, {"id": "3", "name": "c"}]},
-        "content?id=1": {"text": "one"}, "content?id=2": {"text": "two"}, "content?id=3": {"text": " "},
-    }
-    d = remote.Drive({"folder_id": "r", "recording": drive})
-    changes, at = d.sync(None, 100)
-    assert [(k, i, json.loads(r)["text"]) for k, i, _, r in changes] == [("upsert", "1", "one"), ("upsert", "2", "two")] and set(at) == {"1", "2", "3"}
-    assert d.sync(at, 100)[0] == []
-    assert [c[:2] for c in d.sync(at | {"9": "x"}, 100)[0]] == [("delete", "9")]
+DRIVE = {
+    "files?parent=r": {"files": [{"id": "f", "mimeType": remote.FOLDER}, {"id": "1", "name": "a", "version": "1"}], "nextPageToken": "p"},
+    "files?page=p&parent=r": {"files": [{"id": "2", "name": "b", "version": "7"}]}, "files?parent=f": {"files": [{"id": "r", "mimeType": remote.FOLDER}, {"id": "3", "name": "c"}]},
+    "content?id=1": {"text": "one"}, "content?id=2": {"text": "two"}, "content?id=3": {"text": " "},
+}
+
+
+def crawled(spark, connector, config, known=()):
+    listing = remote.crawl(spark, connector, config)
+    got = remote.changes(listing, spark.createDataFrame(list(known), "external_id string, version string"), connector, config)
+    return sorted((r["kind"], r["external_id"], r["record"] and json.loads(r["record"])["text"]) for r in got.collect())
+
+
+def test_connectors_crawl_level_by_level(spark):
+    drive = {"folder_id": "r", "recording": DRIVE}
+    assert crawled(spark, remote.Drive, drive) == [("empty", "3", None), ("upsert", "1", "one"), ("upsert", "2", "two")]
+    assert crawled(spark, remote.Drive, drive, [("1", ":1:"), ("2", "old"), ("3", "old"), ("9", "x")]) == [("delete", "3", None), ("delete", "9", None), ("upsert", "2", "two")]
+    assert crawled(spark, remote.Drive, drive | {"recursive": False}) == [("upsert", "1", "one"), ("upsert", "2", "two")]
     block = lambda kind, t, **more: {"id": more.pop("id", "b"), "type": kind, kind: {"rich_text": [{"plain_text": t}], **more}}
     pages = {
         "pages/p": {"last_edited_time": "t1", "title": "P"}, "pages/q": {"last_edited_time": "t2"}, "blocks/q": {"results": [block("paragraph", "deep")]},
-        "blocks/p": {"results": [block("heading_2", "H"), {"id": "q", "type": "child_page", "child_page": {"title": "Q"}}, block("code", "x", language="py")], "has_more": True, "next_cursor": "c"}, "blocks/p?cursor=c": {"results": [block("to_do", "t") | {"has_children": True, "id": "k"}]}, "blocks/k": {"results": [block("paragraph", "nested")]},
+        "blocks/p": {"results": [block("heading_2", "H"), {"id": "q", "type": "child_page", "child_page": {"title": "Q"}}, block("code", "x", language="py")], "has_more": True, "next_cursor": "c"}, "blocks/p?cursor=c": {"results": [block("to_do", "t") | {"has_children": True, "id": "k"}, block("paragraph", "after")]}, "blocks/k": {"results": [block("paragraph", "nested")]},
     }
-    got, _ = remote.Workspace({"page_id": "p", "recording": pages}).sync(None, 10)
-    assert [(i, json.loads(r)["text"]) for _, i, _, r in got] == [("p", "## H\nQ\n```py\nx\n```\n- t\nnested"), ("q", "deep")]
+    assert crawled(spark, remote.Workspace, {"page_id": "p", "recording": pages}) == [("upsert", "p", "## H\nQ\n```py\nx\n```\n- t\nafter\nnested"), ("upsert", "q", "deep")]
     wiki = {"content?space=S&start=0": {"results": [{"id": 1, "version": {"number": 2}}, {"id": 2, "ancestors": [{"id": 9}]}]}, "content?space=S&start=2": {"results": []}, "content/1": {"title": "A", "body": {"storage": {"value": "<p>x &amp; y</p><ul><li>z</li></ul>"}}}, "content/2": {"body": {"storage": {"value": "<p>below</p>"}}}}
-    assert [json.loads(c[3])["text"] for c in remote.Wiki({"space_key": "S", "recording": wiki}).sync(None, 10)[0]] == ["x & y\nz", "below"]
-    assert [c[1] for c in remote.Wiki({"space_key": "S", "root_page_id": "9", "recording": wiki}).sync(None, 10)[0]] == ["2"]
+    assert crawled(spark, remote.Wiki, {"space_key": "S", "recording": wiki}) == [("upsert", "1", "x & y\nz"), ("upsert", "2", "below")]
+    assert crawled(spark, remote.Wiki, {"space_key": "S", "root_page_id": "9", "recording": wiki}) == [("upsert", "2", "below")]
+
+
+def test_checkpoints_move_on_after_publication(spark, tmp_path):
+    sync = lambda recording: remote.Sync(spark, f"file://{tmp_path}", remote.Drive, {"folder_id": "r", "recording": recording})
+    rows = lambda df: sorted((r["kind"], r["external_id"], r["remote_version"]) for r in df.collect())
+    run, got = sync(DRIVE).stage()
+    first = rows(got)
+    assert first == [("upsert", "1", ":1:"), ("upsert", "2", ":7:")]
+    changed = DRIVE | {"files?parent=r": {"files": [{"id": "1", "name": "a", "version": "2"}]}, "content?id=1": {"text": ""}}
+    again, got = sync(changed).stage()  # as after a crash before publication
+    assert again == run and rows(got) == first
+    sync(changed).promote(run)
+    sync(changed).promote(run)
+    run, got = sync(changed).stage()
+    assert rows(got) == [("delete", "1", ":2:"), ("delete", "2", None), ("delete", "3", None)]
+    with pytest.raises(ValueError):
+        sync(changed).promote("other")
+    sync(changed).promote(run)
+    assert rows(sync(changed).stage()[1]) == []
 
 
 def test_providers_are_tried_again():

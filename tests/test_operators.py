@@ -205,8 +205,11 @@ def test_change_feed_batch_and_stream(spark, tmp_path):
 
     spark.dataSource.register(ChangeFeed)
     config = json.dumps({"changes": [["upsert", "a", "1", "{}"], ["delete", "b", "2", "{}"], ["upsert", "c", "3", "{}"]]})
-    options = {"connector": "larkspire.sources.feed:ListConnector", "config": config, "limit": "2"}
+    options = {"connector": "larkspire.sources.feed:ListConnector", "config": config, "rows": "2"}
     assert spark.read.format("change_feed").options(**options).load().count() == 3
+    split = options | {"config": json.dumps({"splits": {"x": [["upsert", "a", "1", "{}"]] * 5, "y": [["delete", "b", None, None]], "z": []}})}
+    rows = spark.read.format("change_feed").options(**split).load()
+    assert rows.rdd.getNumPartitions() == 4 and sorted((r["split"], r["position"]) for r in rows.collect()) == [("x", i) for i in range(5)] + [("y", 0)]
     q = spark.readStream.format("change_feed").options(**options).load().writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path)).start()
     try:
         q.processAllAvailable()
