@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.functions import text, vector
@@ -166,7 +166,7 @@ class Engine:
         if request.rerank and self.reranker is not None:
             ranked = self._reranked(ranked, asked, chunks, pool)
         if request.diversity:
-            rows = chunks.select("chunk_id", "text").join(F.broadcast(ranked), "chunk_id")
+            rows = chunks.select("chunk_id", "text").join(ranked, "chunk_id")
             ranked = retrieval.diversified(rows.select(*ranked.columns, "text")).drop("text")
         final = retrieval.top(ranked.withColumn("__order", -F.col("rank")).drop("rank"), request.top_k, "__order").drop("__order")
         out = retrieval.materialised(final.select("query_id", "chunk_id", "rank", "score"), chunks)
@@ -174,8 +174,9 @@ class Engine:
 
     def _candidates(self, asked, chunks, points, request, pool, budget, trace) -> DataFrame:
         def branch(name: str, run: Callable[[], DataFrame]) -> DataFrame:
-            found = budget.stage(name, lambda: kept(run(), name))
-            trace["candidates"][name] = found.count()
+            seen = Observation(f"{name}-{uuid.uuid4().hex}")  # counted by the job that writes the branch
+            found = budget.stage(name, lambda: kept(run().observe(seen, F.count(F.lit(1)).alias("rows")), name))
+            trace["candidates"][name] = seen.get["rows"]
             return found
 
         if request.plan == "lexical":
@@ -200,7 +201,7 @@ class Engine:
 
     def _reranked(self, ranked: DataFrame, asked: DataFrame, chunks: DataFrame, pool: int) -> DataFrame:
         """The first pool rows of each query by the reranker's score; ties by the rank before."""
-        rows = chunks.select("chunk_id", "text").join(F.broadcast(ranked), "chunk_id").join(F.broadcast(asked.select("query_id", "query")), "query_id")  # a pool a query
+        rows = chunks.select("chunk_id", "text").join(ranked, "chunk_id").join(asked.select("query_id", "query"), "query_id")  # Spark broadcasts by the size of what has been stored
         scored = rows.where(F.col("rank") <= pool).withColumn("__new", self.reranker(F.col("query"), F.col("text")))
         order = F.struct(F.col("__new"), -F.col("rank"))
         return retrieval.top(scored.withColumn("__order", order).drop("rank"), pool, "__order").select("query_id", "chunk_id", "rank", F.col("__new").alias("score"))

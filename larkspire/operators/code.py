@@ -111,12 +111,6 @@ def locations(text: Column) -> Column:
     return F.when(F.size(named) > 0, named).otherwise(pairs("([^\\s:]+\\.\\w+):(\\d+)"))
 
 
-def error_names(text: Column) -> Column:
-    names = F.regexp_extract_all(text, F.lit("(\\w+(?:Error|Exception|Fault|Failure))"), F.lit(1))
-    frames = F.filter(F.regexp_extract_all(text, F.lit("in\\s+(\\w+)"), F.lit(1)), lambda x: F.length(x) > 2)
-    return F.array_distinct(F.concat(names, frames))
-
-
 def explained(errors: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
     """error_id, path, line and the lines around each frame whose file is known. errors: error_id, text; files: path, text."""
     frames = errors.select("error_id", F.explode(locations(F.col("text"))).alias("f")).select("error_id", "f.path", "f.line")

@@ -224,6 +224,13 @@ def shadow_summary(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
+def subset(required: Column, present: Column) -> Column:
+    """A struct (passed, missing): whether all that is required is present, and what isn't, in order. Null counts as nothing."""
+    empty = F.array().cast("array<string>")
+    missing = F.array_sort(F.array_except(F.coalesce(required, empty), F.coalesce(present, empty)))
+    return F.struct((F.size(missing) == 0).alias("passed"), missing.alias("missing"))
+
+
 # The metrics of a promotion with the drop that each may have, and the ratios that time and cost may grow by.
 QUALITY, RATIOS = {"recall": 0.0, "mrr": 0.0, "ndcg": 0.0}, {"p95_latency_ms": 0.15, "cost_usd": 0.25}
 

@@ -6,8 +6,10 @@ chunk_id, doc_id, page, path and text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,14 +132,73 @@ def sampled_indexes(spark: SparkSession, n: int, k: int) -> DataFrame:
     return spark.range(k).select(F.bround(F.col("id") * (n - 1) / max(1, k - 1)).cast("long").alias("index")).distinct()
 
 
+PASSAGES = 100_000
+
+
+def _machine(known: list[tuple]):
+    """An automaton over (id, passage) pairs; a passage may have several ids."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for i, p in known:
+        if p:
+            out.add_word(p, (*out.get(p, ()), i))
+    out.make_automaton()
+    return out
+
+
+def _sliced(items: DataFrame, key: str, run) -> DataFrame:
+    """run over slices of a stated set of passages, PASSAGES at most in each: an automaton travels to every task."""
+    parts = max(1, -(-items.count() // PASSAGES))
+    out = None
+    for i in range(parts):
+        known = [tuple(r) for r in items.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i).collect()]
+        found = run(items.sparkSession.sparkContext.broadcast(known))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where a document's body has an item's passage."""
+
+    def run(spread) -> DataFrame:
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machine = _machine(spread.value)
+            for pdf in batches:
+                rows = [(i, d) for d, t in zip(pdf["k"], pdf["body"], strict=True) if t for i in {i for _, found in machine.iter(t) for i in found}] if len(machine) else []
+                yield pd.DataFrame(rows, columns=["item_id", "k"]).astype({"item_id": "int64", "k": "object"})
+
+        # The key travels as text, so that a null one doesn't turn integers into floating point.
+        found = docs.select(F.col("doc_id").cast("string").alias("k"), "body").mapInPandas(find, "item_id long, k string")
+        return found.select("item_id", F.col("k").cast("long").alias("doc_id"))
+
+    return _sliced(items.select("item_id", "passage"), "item_id", run)
+
+
+def standing(bodies: DataFrame, terms: DataFrame) -> DataFrame:
+    """The terms (term) that stand in one of the bodies (body): every task tells each term once."""
+
+    def run(spread) -> DataFrame:
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            machine, seen = _machine([(t, t) for (t,) in spread.value]), set()
+            for pdf in batches:
+                if len(machine):
+                    seen.update(i for t in pdf["body"] if t for _, found in machine.iter(t) for i in found)
+            yield pd.DataFrame({"term": sorted(seen)}, dtype=object)
+
+        return bodies.select("body").mapInPandas(find, "term string").distinct()
+
+    return _sliced(terms.select("term"), "term", run)
+
+
 def label_coverage(cases: DataFrame, texts: DataFrame) -> DataFrame:
     """Share of the cases with terms whose terms (all of all_terms, one of any_terms) stand in one of the texts' documents. cases are a stated set."""
     asked = cases.where(_given("all_terms") | _given("any_terms")).select("case_id", _values("all_terms").alias("all_terms"), _values("any_terms").alias("any_terms"))
     words = asked.select("case_id", F.lit("all").alias("kind"), F.explode("all_terms").alias("term")).unionByName(asked.select("case_id", F.lit("any").alias("kind"), F.explode("any_terms").alias("term")))
     words = words.withColumn("term", normalized(F.col("term")))
-    known = [r["term"] for r in words.select("term").distinct().collect()]
-    body = normalized(F.col("text"))
-    found = texts.select(body.alias("b")).select(F.explode(F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda t: F.contains(F.col("b"), t))).alias("term")).distinct() if known else texts.sparkSession.createDataFrame([], "term string")
+    found = standing(texts.select(normalized(F.col("text")).alias("body")), words.select("term").distinct())
+    empty = words.where("term = ''").select("term").distinct()  # stands in every text
+    found = found.unionByName(empty).distinct()
     hit = words.join(found.withColumn("hit", F.lit(True)), "term", "left")
     per = hit.groupBy("case_id").agg(F.bool_and(F.coalesce("hit", F.lit(False)) | (F.col("kind") == "any")).alias("a"), F.coalesce(F.bool_or(F.when(F.col("kind") == "any", F.coalesce("hit", F.lit(False)))), F.lit(True)).alias("b"))
     return per.agg(F.coalesce(F.round(F.avg((F.col("a") & F.col("b")).cast("int")), 6), F.lit(1.0)).alias("label_text_coverage"))

@@ -244,7 +244,7 @@ def rrf(primary: DataFrame, secondary: DataFrame, k: int | None = None, weight_p
 
 def confidence(queries: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Share of a query's distinct meaningful terms in its first three lexical hits, and whether it asks in CJK of a text without any."""
-    first = chunks.select("chunk_id", "text").join(F.broadcast(hits.where(F.col("rank") <= 3)), "chunk_id")  # three rows a query
+    first = chunks.select("chunk_id", "text").join(hits.where(F.col("rank") <= 3), "chunk_id")  # three rows a query; Spark broadcasts them if they are small
     joined = first.groupBy("query_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])).alias("body"))
     terms = F.array_distinct(text.meaningful(text.lexicalize(F.col("query"))))
     matched = F.size(F.array_intersect(terms, text.meaningful(text.lexicalize(F.col("body")))))

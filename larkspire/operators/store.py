@@ -11,10 +11,10 @@ from larkspire.sources.files import canonical
 
 
 def upserted(old: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """old with the batch's rows inserted, or in place of those of equal key; of several in the batch the last by order. Columns that the batch lacks are kept."""
-    if order:
-        w = Window.partitionBy(*keys).orderBy(F.desc(order))
-        batch = batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """old with the batch's rows inserted, or in place of those of equal key; of several in the batch the last by order, or else by all columns. Columns that the batch lacks are kept."""
+    by = [F.desc(order)] if order else []
+    w = Window.partitionBy(*keys).orderBy(*by, *[F.desc_nulls_last(F.to_json(F.struct(F.col(f"`{c}`")))) for c in batch.columns if c not in keys])
+    batch = batch.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     rest = [c for c in old.columns if c not in batch.columns]
     new = batch if not rest else batch.join(old.select(*keys, *rest), keys, "left")
     return old.join(batch.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
@@ -121,11 +121,19 @@ def job_key(source_id: Column, idempotency: Column) -> Column:
 def imported(sources: DataFrame, requests: DataFrame) -> DataFrame:
     """Sources after quick imports (tenant_id, source_type, location, name, at): one for each canonical location; the last request names it, one that was deleted comes back."""
     asked = requests.select("*", source_key(F.col("tenant_id"), F.col("source_type"), F.col("location")).alias("source_id"))
-    w = Window.partitionBy("source_id").orderBy(F.desc("at"))
+    w = Window.partitionBy("source_id").orderBy(F.desc("at"), F.desc_nulls_last("name"))
     last = asked.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("source_id", "tenant_id", "source_type", canonical(F.col("location")).alias("location"), "name", F.lit("active").alias("status"), F.col("at").alias("updated_at"))
     return upserted(sources, last, ["source_id"])
 
 
+def import_jobs(jobs: DataFrame, requests: DataFrame, idempotency: str = "idempotency_key") -> DataFrame:
+    """Jobs (job_id, source_id, status, created_at) after quick imports: one for each source and idempotency key, made by its first request; a repeated request finds the job that is there."""
+    source = source_key(F.col("tenant_id"), F.col("source_type"), F.col("location"))
+    asked = requests.select(source.alias("source_id"), F.col(idempotency).alias("__k"), "at").groupBy("source_id", "__k").agg(F.min("at").alias("created_at"))
+    new = asked.select(job_key(F.col("source_id"), F.col("__k").cast("string")).alias("job_id"), "source_id", F.lit("pending").alias("status"), "created_at")
+    return inserted(jobs, new, ["job_id"])
+
+
 # The queue
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspire.functions import text as T
 from larkspire.functions.vector import dot
-from larkspire.operators import catalog, chat, chunking, lexindex, quality, retrieval, snapshot
+from larkspire.operators import catalog, chat, chunking, lexindex, quality, relevance, retrieval, snapshot
 from larkspire.operators.filters import Filter, search
 from larkspire.plans.entities import CHUNKS, JOBS, NOW, chunks, jobs, table
 from larkspire.session import kept, shared_folder
@@ -260,7 +260,17 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.materialised(ranked.drop("policy"), c).select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"), "citation")
 
 
-@query()
+#: Greedy suppression by recursion over ranks: a hit goes if one of those kept before it is a near copy.
+DIVERSE = f"""WITH RECURSIVE {QTOK}, {DTOK}, s AS (SELECT query_id, chunk_id, sum(times * tf) / sqrt(any_value(n)) AS score FROM q JOIN d USING (t) GROUP BY ALL), r AS (SELECT * FROM (SELECT query_id, chunk_id, {TOP} FROM s) WHERE rank <= 40),
+w AS (SELECT query_id, chunk_id, rank, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM r JOIN documents ON doc_id = chunk_id),
+p AS (SELECT a.query_id, a.rank, list(b.rank) AS near FROM w a JOIN w b ON a.query_id = b.query_id AND b.rank < a.rank AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.92 GROUP BY ALL),
+g AS (SELECT query_id, 0 AS pos, []::INTEGER[] AS kept FROM (SELECT DISTINCT query_id FROM w) UNION ALL
+  SELECT g.query_id, g.pos + 1, CASE WHEN list_has_any(coalesce(p.near, []), g.kept) THEN g.kept ELSE list_append(g.kept, g.pos + 1) END FROM g JOIN w ON w.query_id = g.query_id AND w.rank = g.pos + 1 LEFT JOIN p ON p.query_id = g.query_id AND p.rank = g.pos + 1),
+k AS (SELECT query_id, unnest(kept) AS rank FROM (SELECT query_id, arg_max(kept, pos) AS kept FROM g GROUP BY query_id))
+SELECT query_id, chunk_id, rank FROM r JOIN k USING (query_id, rank)"""
+
+
+@query(DIVERSE)
 def hybrid_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     ranked = _index(spark, sf_dir).search(_asked(spark, sf_dir), 40).join(c.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "rank", "text")
@@ -309,42 +319,7 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage whole, with white space and case normalised."""
     items = table(spark, sf_dir, "benchmark").select("item_id", T.normalized(F.col("text")).alias("passage"))
-    return containing(table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("body")), items)
-
-
-PASSAGES = 100_000
-
-
-def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id) where a document's body has an item's passage. The passages go to the tasks as one automaton for every PASSAGES of them."""
-    parts = max(1, -(-items.count() // PASSAGES))
-    out = None
-    for i in range(parts):
-        found = _containing(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    known = [(r["item_id"], r["passage"]) for r in items.collect()]  # a slice of the stated set
-    spread = docs.sparkSession.sparkContext.broadcast(known)
-
-    def find(batches):
-        import ahocorasick
-        import pandas as pd
-
-        machine = ahocorasick.Automaton()
-        for i, p in spread.value:
-            if p:
-                machine.add_word(p, (*machine.get(p, ()), i))
-        machine.make_automaton()
-        for pdf in batches:
-            rows = [(i, d) for d, t in zip(pdf["k"], pdf["body"], strict=True) if t for i in {i for _, found in machine.iter(t) for i in found}] if len(machine) else []
-            yield pd.DataFrame(rows, columns=["item_id", "k"]).astype({"item_id": "int64", "k": "object"})
-
-    # The key travels as text, so that a null one doesn't turn integers into floating point.
-    found = docs.select(F.col("doc_id").cast("string").alias("k"), "body").mapInPandas(find, "item_id long, k string")
-    return found.select("item_id", F.col("k").cast("long").alias("doc_id"))
+    return relevance.containing(table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.col("text")).alias("body")), items)
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.functions import vector as V
-from larkspire.operators import retrieval, snapshot
+from larkspire.operators import quality, retire, retrieval, snapshot, store
 from larkspire.operators.corpus import Corpus, EmbeddingCache
 from larkspire.operators.lexindex import LexicalIndex
 from larkspire.operators.merge import MergeTable
@@ -158,3 +158,44 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = received.limit(0).select("external_id", "remote_version", "record", "split")
     got = snapshot.apply_changes(none, received, "external_id", "position")
     return got.select("external_id", "remote_version", F.sha2(F.get_json_object("record", "$.text"), 256).alias("checksum"), F.regexp_replace("split", "^split=", "").alias("split"))
+
+
+# Quick imports, retirement of uploads, subset checks.
+
+
+@query("WITH r AS (SELECT sha256('t' || chr(0) || 'web' || chr(0) || 'http://a.org/' || (user_id % 20))[1:32] AS source_id, event_id % 50 AS k, event_id FROM events) SELECT sha256('quick-ingest' || chr(0) || source_id || chr(0) || k)[1:32] AS job_id, source_id, CASE WHEN k = 7 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN k = 7 THEN 0 ELSE min(event_id) END AS created_at FROM r GROUP BY source_id, k")
+def store_import_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of quick imports; those of one key are there already and stay as they are."""
+    req = table(spark, sf_dir, "events").selectExpr("'t' AS tenant_id", "'web' AS source_type", "concat(IF(event_id % 2 = 0, 'HTTP://A.org/', 'http://a.org/'), user_id % 20, IF(event_id % 3 = 0, '/', '')) AS location", "event_id AS at", "event_id % 50 AS idempotency_key")
+    none = spark.createDataFrame([], "job_id string, source_id string, status string, created_at long")
+    old = store.import_jobs(none, req.where("idempotency_key = 7")).withColumns({"status": F.lit("completed"), "created_at": F.lit(0).cast("long")})
+    return store.import_jobs(store.import_jobs(old, req), req)
+
+
+RETIRED = """i AS (SELECT p_partkey::VARCHAR AS object_id, 't' || (p_size % 2) AS tenant_id, CASE p_size % 4 WHEN 0 THEN 'deleted' WHEN 1 THEN 'orphaned' ELSE 'active' END AS state, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '2024-01-01' END AS retired_at, TIMESTAMP '2024-01-20' + to_hours((p_partkey % 400)::INT) AS created_at FROM part),
+u AS (SELECT l_partkey::VARCHAR AS object_id, 't' || (l_suppkey % 2) AS tenant_id, count(*) AS n FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 4 <> 0 GROUP BY ALL),
+m AS (SELECT object_id, tenant_id, created_at, coalesce(n, 0) AS ref_count, CASE WHEN i.state IS NULL THEN 'dangling' WHEN i.state = 'deleted' THEN 'deleted' WHEN n > 0 THEN 'active' WHEN i.state = 'orphaned' THEN 'orphaned' ELSE 'retired' END AS state, CASE WHEN i.state = 'deleted' THEN retired_at WHEN i.state IS NULL OR n > 0 THEN NULL WHEN i.state = 'orphaned' THEN retired_at ELSE coalesce(retired_at, TIMESTAMP '2024-01-30') END AS retired_at FROM i FULL JOIN u USING (object_id, tenant_id))"""
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inventory = table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS string) AS object_id", "concat('t', p_size % 2) AS tenant_id", "CASE p_size % 4 WHEN 0 THEN 'deleted' WHEN 1 THEN 'orphaned' ELSE 'active' END AS state", "CASE WHEN p_partkey % 3 = 0 THEN timestamp_ntz'2024-01-01 00:00:00' END AS retired_at", "timestamp_ntz'2024-01-20 00:00:00' + make_dt_interval(0, CAST(p_partkey % 400 AS INT)) AS created_at")
+    uses = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_partkey % 4 <> 0").selectExpr("CAST(l_partkey AS string) AS object_id", "concat('t', l_suppkey % 2) AS tenant_id")
+    return retire.marked(inventory, uses, now_col())
+
+
+@query(f"WITH {RETIRED} SELECT object_id, tenant_id, ref_count, state, retired_at FROM m")
+def uploads_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uploads(spark, sf_dir).select("object_id", "tenant_id", "ref_count", "state", "retired_at")
+
+
+@query(f"WITH {RETIRED} SELECT object_id FROM m WHERE state IN ('orphaned', 'retired') AND ref_count = 0 AND coalesce(retired_at, created_at) <= TIMESTAMP '2024-01-29'")
+def uploads_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retire.due(_uploads(spark, sf_dir), now_col()).select("object_id")
+
+
+@query("WITH r AS (SELECT lang, list(DISTINCT source) AS a, list(DISTINCT source) FILTER (WHERE quality = 0) AS b FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang), x AS (SELECT lang, list_sort(list_filter(a, lambda s: NOT list_contains(coalesce(b, []), s))) AS m FROM r) SELECT lang, len(m) = 0 AS passed, array_to_string(m, ',') AS missing FROM x")
+def eval_subset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language, whether every source has a document of low quality, and which haven't."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    per = d.groupBy("lang").agg(F.collect_set("source").alias("a"), F.collect_set(F.when(F.col("quality") == 0, F.col("source"))).alias("b"))
+    return per.select("lang", quality.subset(F.col("a"), F.col("b")).alias("c")).select("lang", "c.passed", F.array_join("c.missing", ",").alias("missing"))

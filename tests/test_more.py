@@ -493,7 +493,7 @@ def test_corpus_units(spark, tmp_path):
 
 def test_passages_in_slices(spark, sf, monkeypatch):
     want = sorted(map(tuple, catalogue.contamination(spark, sf).collect()))
-    monkeypatch.setattr(catalogue, "PASSAGES", 7)
+    monkeypatch.setattr(relevance, "PASSAGES", 7)
     assert sorted(map(tuple, catalogue.contamination(spark, sf).collect())) == want
 
 

@@ -273,7 +273,6 @@ def test_code(spark):
     trace = 'File "a.py", line 2, in main\n at run (b.js:3:4)\nx.go:7 (C.java:9)\nValueError: x'
     got = spark.createDataFrame([(1, trace), (2, "see z.c:5")], "error_id int, text string")
     assert [[tuple(x) for x in r[0]] for r in got.select(code.locations(F.col("text"))).collect()] == [[("a.py", 2), ("b.js", 3), ("x.go", 7), ("C.java", 9)], [("z.c", 5)]]
-    assert got.select(code.error_names(F.col("text"))).first()[0] == ["ValueError", "main"]
     assert code.explained(got, f, 1).first()["snippet"] == "one\nTwo\nthree"
     assert [tuple(one(spark, code.reference(F.col("x")), q)) for q in ("see a/b.py:10-20", "a.py:3", "a.py", "none")] == [("a/b.py", 10, 20), ("a.py", 3, 23), ("a.py", None, None), ("none", None, None)]
     assert one(spark, code.patch()(F.lit("a\n"), F.lit("b\n"))).splitlines()[-2:] == ["-a", "+b"]
