@@ -261,9 +261,9 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Greedy suppression by recursion over ranks: a hit goes if one of those kept before it is a near copy.
-DIVERSE = f"""WITH RECURSIVE {QTOK}, {DTOK}, s AS (SELECT query_id, chunk_id, sum(times * tf) / sqrt(any_value(n)) AS score FROM q JOIN d USING (t) GROUP BY ALL), r AS (SELECT * FROM (SELECT query_id, chunk_id, {TOP} FROM s) WHERE rank <= 40),
-w AS (SELECT query_id, chunk_id, rank, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM r JOIN documents ON doc_id = chunk_id),
-p AS (SELECT a.query_id, a.rank, list(b.rank) AS near FROM w a JOIN w b ON a.query_id = b.query_id AND b.rank < a.rank AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.92 GROUP BY ALL),
+DIVERSE = f"""WITH RECURSIVE {QTOK}, {DTOK}, s AS (SELECT query_id, chunk_id, sum(times * tf) / sqrt(any_value(n)) AS score FROM q JOIN d USING (t) GROUP BY ALL), r AS MATERIALIZED (SELECT * FROM (SELECT query_id, chunk_id, {TOP} FROM s) WHERE rank <= 40),
+w AS MATERIALIZED (SELECT query_id, chunk_id, rank, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM r JOIN documents ON doc_id = chunk_id),
+p AS MATERIALIZED (SELECT a.query_id, a.rank, list(b.rank) AS near FROM w a JOIN w b ON a.query_id = b.query_id AND b.rank < a.rank AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.92 GROUP BY ALL),
 g AS (SELECT query_id, 0 AS pos, []::INTEGER[] AS kept FROM (SELECT DISTINCT query_id FROM w) UNION ALL
   SELECT g.query_id, g.pos + 1, CASE WHEN list_has_any(coalesce(p.near, []), g.kept) THEN g.kept ELSE list_append(g.kept, g.pos + 1) END FROM g JOIN w ON w.query_id = g.query_id AND w.rank = g.pos + 1 LEFT JOIN p ON p.query_id = g.query_id AND p.rank = g.pos + 1),
 k AS (SELECT query_id, unnest(kept) AS rank FROM (SELECT query_id, arg_max(kept, pos) AS kept FROM g GROUP BY query_id))
