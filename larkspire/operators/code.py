@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspire.session import bounded
+
 CHUNK_CHARS, CONTEXT = 1500, 2
 # What starts a function or class in languages that aren't parsed.
 STARTS = {
@@ -77,7 +79,7 @@ def chunked(files: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
             rows = [(p, i, *c) for p, g, t in zip(pdf["path"], pdf["language"], pdf["text"], strict=True) for i, c in enumerate(symbols(t or "", g, size))]
             yield pd.DataFrame(rows, columns=["path", "chunk_index", "symbol", "line_start", "line_end", "text"])
 
-    return files.select("path", "language", "text").mapInPandas(run, "path string, chunk_index int, symbol string, line_start int, line_end int, text string")
+    return bounded(files.select("path", "language", "text")).mapInPandas(run, "path string, chunk_index int, symbol string, line_start int, line_end int, text string")
 
 
 def lines(files: DataFrame, key: str = "path", body: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from larkspire.operators.lexindex import LexicalIndex
 from larkspire.operators.log import Conflict
 from larkspire.operators.merge import MergeTable
 from larkspire.operators.snapshot import Generations
-from larkspire.session import kept
+from larkspire.session import bounded, kept
 
 
 class EmbeddingCache:
@@ -47,7 +47,7 @@ class EmbeddingCache:
                 told.add(b.num_rows)
                 yield b
 
-        asked = missing.select("key", "__t").mapInArrow(counted, "key string, __t string")
+        asked = bounded(missing.select("key", "__t")).mapInArrow(counted, "key string, __t string")
         made = kept(asked.select("key", embed(F.concat(F.lit(prefix), F.col("__t"))).cast("array<double>").alias("vector")), "embedded")
         every = found.where("__known IS NOT NULL").select("key", F.col("__known").alias("vector")).unionByName(made)
         t.upsert(every.select(F.lit(contract).alias("contract"), "key", "vector", now.cast("timestamp_ntz").alias("used")))

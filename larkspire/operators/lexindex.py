@@ -33,7 +33,7 @@ from larkspire.functions.text import CJK
 from larkspire.operators.log import CommitLog
 from larkspire.operators.retrieval import MAX_QUERIES, _sliced, counted_terms, top
 from larkspire.operators.snapshot import numbered
-from larkspire.session import kept
+from larkspire.session import bounded, kept
 
 SHARD, FOLDERS = 4096, 32
 _COUNTED = "chunk_id {0}, length int, cjk boolean, terms array<string>, counts array<int>"
@@ -68,7 +68,7 @@ def counted(chunks: DataFrame) -> DataFrame:
                 found = [counted_terms(t or "") for t in part["text"]]
                 yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "length": [n for _, n in found], "cjk": [bool(cjk.search(t or "")) for t in part["text"]], "terms": [list(c) for c, _ in found], "counts": [list(c.values()) for c, _ in found]})
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, _COUNTED.format(kind_of(chunks)))
+    return bounded(chunks.select("chunk_id", "text")).mapInPandas(run, _COUNTED.format(kind_of(chunks)))
 
 
 class LexicalIndex:
@@ -245,7 +245,7 @@ class LexicalIndex:
             for p in parts:
                 rows = p if rows is None else rows.unionByName(p)
         dealt = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "segment", "shard").sortWithinPartitions("shard", "segment", "kind")
-        scored = dealt.mapInPandas(_Search(batch, list(words), weights, k, every, idf).run, hits)
+        scored = bounded(dealt).mapInPandas(_Search(batch, list(words), weights, k, every, idf).run, hits)
         return top(scored, k)
 
 

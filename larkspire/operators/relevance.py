@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspire.functions.text import canonical_identifier, identifier_matches, strip
+from larkspire.session import bounded
 
 # The selectors of a golden case; those of LASTING don't hang on the text.
 SELECTORS = ("expected_chunk_ids", "doc_ids", "pages", "path_contains", "identifiers", "all_terms", "any_terms")
@@ -169,7 +170,7 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["item_id", "k"]).astype({"item_id": "int64", "k": "object"})
 
         # The key travels as text, so that a null one doesn't turn integers into floating point.
-        found = docs.select(F.col("doc_id").cast("string").alias("k"), "body").mapInPandas(find, "item_id long, k string")
+        found = bounded(docs.select(F.col("doc_id").cast("string").alias("k"), "body")).mapInPandas(find, "item_id long, k string")
         return found.select("item_id", F.col("k").cast("long").alias("doc_id"))
 
     return _sliced(items.select("item_id", "passage"), "item_id", run)
@@ -186,7 +187,7 @@ def standing(bodies: DataFrame, terms: DataFrame) -> DataFrame:
                     seen.update(i for t in pdf["body"] if t for _, found in machine.iter(t) for i in found)
             yield pd.DataFrame({"term": sorted(seen)}, dtype=object)
 
-        return bodies.select("body").mapInPandas(find, "term string").distinct()
+        return bounded(bodies.select("body")).mapInPandas(find, "term string").distinct()
 
     return _sliced(terms.select("term"), "term", run)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspire.functions import text, vector
-from larkspire.session import kept
+from larkspire.session import bounded, kept
 
 DEFAULT_POOL, MAX_POOL = 40, 200
 RRF_K = 60
@@ -147,7 +147,7 @@ def _scored(queries: DataFrame, chunks: DataFrame, k: int, every: bool = False,
                     r, c = np.nonzero(got > 0)
                     yield pd.DataFrame({"query_id": ids[c], "chunk_id": item[best[r, c]], "score": got[r, c]})
 
-    return top(chunks.select("chunk_id", "text").mapInPandas(score, schema), k)
+    return top(bounded(chunks.select("chunk_id", "text")).mapInPandas(score, schema), k)
 
 
 def _frequencies(chunks: DataFrame, spread) -> DataFrame:
@@ -160,7 +160,7 @@ def _frequencies(chunks: DataFrame, spread) -> DataFrame:
             total += np.bincount(b.counts(pdf["text"])[1], minlength=len(total))
         yield pd.DataFrame({"word": np.arange(len(total)), "n": total})
 
-    return chunks.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return bounded(chunks.select("text")).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _sliced(queries: DataFrame, run) -> DataFrame:
@@ -220,7 +220,7 @@ def dense(queries: DataFrame, points: DataFrame, k: int, condition: Column | Non
                 rows = np.repeat(np.arange(len(s)), best.shape[1])
                 yield pd.DataFrame({"query_id": ids[a + rows], "chunk_id": item[best.ravel()], "score": s[rows, best.ravel()]})
 
-    return top(points.select("chunk_id", "vector").mapInPandas(score, schema), k)
+    return top(bounded(points.select("chunk_id", "vector")).mapInPandas(score, schema), k)
 
 
 MAX_QUERIES = 4096

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.functions import vector as V
-from larkspire.operators import quality, retire, retrieval, snapshot, store
+from larkspire.operators import code, quality, retire, retrieval, snapshot, store
 from larkspire.operators.corpus import Corpus, EmbeddingCache
 from larkspire.operators.lexindex import LexicalIndex
 from larkspire.operators.merge import MergeTable
@@ -199,3 +199,9 @@ def eval_subset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     per = d.groupBy("lang").agg(F.collect_set("source").alias("a"), F.collect_set(F.when(F.col("quality") == 0, F.col("source"))).alias("b"))
     return per.select("lang", quality.subset(F.col("a"), F.col("b")).alias("c")).select("lang", "c.passed", F.array_join("c.missing", ",").alias("missing"))
+
+
+@query(f"WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM d) SELECT doc_id, i::INTEGER AS line, greatest(i - {code.CONTEXT}, 1)::INTEGER AS line_start, least(i + {code.CONTEXT}, len(l))::INTEGER AS line_end, array_to_string(list_slice(l, greatest(i - {code.CONTEXT}, 1), least(i + {code.CONTEXT}, len(l))), chr(10)) AS snippet FROM x WHERE contains(lower(t), 'tion')")
+def code_search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word, with the lines around it."""
+    return code.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "Tion", "doc_id").select("doc_id", "line", "line_start", "line_end", "snippet")

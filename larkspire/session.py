@@ -41,3 +41,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of a batch on its way to Python: whole texts are long, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose batches to Python are bounded by rows and bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspire.session import bounded
+
 # What is dropped with all that it holds, and what makes a block of which kind.
 DROPPED = frozenset("script style nav footer header".split())
 KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "p": "text", "li": "list_item", "pre": "code", "table": "table"}
@@ -76,5 +78,5 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
 
     # The key travels as text, so that a null one doesn't turn integers into floating point.
     kind = pages.schema[key].dataType.simpleString()
-    found = pages.select(F.col(key).cast("string").alias("k"), F.col(html).alias(html)).mapInPandas(run, "k string, block_index int, kind string, text string, section string")
+    found = bounded(pages.select(F.col(key).cast("string").alias("k"), F.col(html).alias(html))).mapInPandas(run, "k string, block_index int, kind string, text string, section string")
     return found.select(F.col("k").cast(kind).alias(key), "block_index", "kind", "text", "section")

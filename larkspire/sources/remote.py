@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspire.operators.log import CommitLog
 from larkspire.operators.merge import MergeTable
-from larkspire.session import kept
+from larkspire.session import bounded, kept
 
 # States that are worth another try, and the media type of a folder of the drive.
 RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
@@ -99,7 +99,28 @@ def place(**where) -> tuple:
     return "place", None, json.dumps(where, sort_keys=True), None, None, None
 
 
-class Drive:
+class _Placed:
+    """What stands whole in one place can also be read through feed.ChangeFeed as a batch: a split is a place, its changes are its items, fetched by the split's task. The driver lists places only."""
+
+    def splits(self) -> list[str]:
+        found = [row[2] for row in self.start()]
+        for where in found:
+            found += [x for x in dict.fromkeys(row[2] for row in self.opened(**json.loads(where)) if row[0] == "place") if x not in found]
+        return found
+
+    def _items(self, split: str) -> list[tuple]:
+        return [row for row in self.opened(**json.loads(split)) if row[0] == "item"]
+
+    def latest(self, split: str) -> int:
+        return len(self._items(split))
+
+    def between(self, split: str, start: int, end: int) -> Iterator[tuple]:
+        for _, _, i, version, _, payload in self._items(split)[start:end]:
+            record = self.record(json.loads(payload), None)
+            yield ("upsert", i, version, json.dumps(record, ensure_ascii=False)) if record["text"].strip() else ("delete", i, version, None)
+
+
+class Drive(_Placed):
     """Files below a folder. A place is a folder; version: modified time, version and checksum."""
 
     def __init__(self, config: dict):
@@ -171,7 +192,7 @@ class _Plain(HTMLParser):
             self.parts.append("\n")
 
 
-class Wiki:
+class Wiki(_Placed):
     """The pages of a space, all or those under a root page. Places are spaces."""
 
     def __init__(self, config: dict):
@@ -208,7 +229,7 @@ def crawl(spark: SparkSession, connector: type, config: dict) -> DataFrame:
     frontier = spark.createDataFrame(connector(config).start(), CRAWLED).select("id")
     seen, levels = frontier, []
     while True:
-        level = kept(frontier.repartition(parts, "id").mapInPandas(open_, CRAWLED), "level")
+        level = kept(bounded(frontier.repartition(parts, "id")).mapInPandas(open_, CRAWLED), "level")
         levels.append(level)
         frontier = kept(level.where("what = 'place'").select("id").distinct().join(seen, "id", "left_anti"), "frontier")
         if frontier.isEmpty():
@@ -241,7 +262,7 @@ def changes(listing: DataFrame, known: DataFrame, connector: type, config: dict,
     old = known.select("external_id", F.col("version").alias("__old"))
     new = listing.join(old, "external_id", "left").where(F.col("__old").isNull() | (F.col("__old") != F.col("version")))
     parts = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = new.withColumn("had", F.col("__old").isNotNull()).repartition(parts, "external_id").mapInPandas(fetch, CHANGE)
+    out = bounded(new.withColumn("had", F.col("__old").isNotNull()).repartition(parts, "external_id")).mapInPandas(fetch, CHANGE)
     if not full_resync:
         return out
     none = F.lit(None).cast("string")

@@ -61,7 +61,7 @@ def test_the_sql_tool_walks_the_plan(spark):
     assert [r["n"] for r in tool.run("SELECT count(*) AS n FROM t WHERE y IN ('a', 'b') AND x > (SELECT min(x) FROM t);").collect()] == [1]
     for bad in (
         "SELECT try_reflect('java.lang.System','getProperty','user.home')", "SELECT reflect('a','b')", "SELECT java_method('a','b') FROM t", "SELECT x FROM t; SELECT 1", "WITH q AS (SELECT 1) SELECT * FROM q",
-        "DROP TABLE t", "SELECT * FROM other", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM s.t", "SELECT 'delete' FROM t", "SELECT * FROM range(5)", "SELECT x FROM t WHERE y = try_reflect('a', 'b')", "SELECT (SELECT reflect('a', 'b')) FROM t",
+        "DROP TABLE t", "SELECT * FROM other", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM s.t", "SELECT y AS delete FROM t", "SELECT * FROM range(5)", "SELECT x FROM t WHERE y = try_reflect('a', 'b')", "SELECT (SELECT reflect('a', 'b')) FROM t",
         "SELECT TRANSFORM(x) USING 'cat' FROM t", "SELECT aes_decrypt(y, y) FROM t", "SELECT input_file_name() FROM t",
     ):
         with pytest.raises(NotAllowed):
