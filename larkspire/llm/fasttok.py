@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 
 from larkspire.llm.common import keeps
 
-#: Entries of the caches of a worker (some 140 bytes each: 90 MB); more words are encoded again and again. Long pieces are never kept.
-CHUNKS, WORDS, LONGEST = 250_000, 400_000, 48
+#: Entries of a worker's cache of pieces and of what is between spaces (some 140 bytes each: 90 MB); more are encoded again and again. Long ones are never kept.
+WORDS, LONGEST = 650_000, 48
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +36,10 @@ def _byte_letters() -> list[str]:
     return [out.get(b) or chr(next(rest)) for b in range(256)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Model:
     """ids(word) as uint32 little-endian bytes."""
 
@@ -49,18 +54,26 @@ class _Model:
         more = {k: spec[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix") if spec.get(k)}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
         self.model = BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, **more)
-        self.letters = _byte_letters()
+        self.letters = {i: c for i, c in enumerate(_byte_letters())}
         self.words: dict[str, bytes] = {}
 
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            letters = self.letters
-            got = np.array([t.id for t in self.model.tokenize("".join([letters[b] for b in w.encode()]))], "<u4").tobytes()
+            got = _packed([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))])
             if len(w) <= LONGEST and len(self.words) < WORDS:
                 self.words[w] = got
         return got
 
+    def chunk(self, c: str) -> bytes:
+        """What stands between spaces. Letters alone, with the space before them or not, are one piece."""
+        if c.isalpha() or c[:1] == " " and c[1:].isalpha():
+            return self.word(c)
+        got = b"".join(map(self.word, self._PIECES.findall(c)))
+        if len(c) <= LONGEST and len(self.words) < WORDS:
+            self.words[c] = got
+        return got
+
     def marked(self, text: str) -> bool:
         """Whether a text spells out a special token, which the library then takes as one."""
         return "<" in text and any(m in text.lower() for m in self.marks)
@@ -77,21 +90,11 @@ class ByteBpe(_Model):
     _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ–—‘-”…€]*")
     _RUN = re.compile(r" \s")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.chunks: dict[str, bytes] = {}
-
-    def chunk(self, c: str) -> bytes:
-        got = b"".join(map(self.word, self._PIECES.findall(c)))
-        if len(c) <= LONGEST and len(self.chunks) < CHUNKS:
-            self.chunks[c] = got
-        return got
-
     def ids(self, text: str) -> bytes:
         if self._RUN.search(text) or not self._PLAIN.fullmatch(text) or self.marked(text):
             return self.slow(text)
         first, *rest = text.split(" ")
-        get, chunk = self.chunks.get, self.chunk
+        get, chunk = self.words.get, self.chunk
         out = [get(first) or chunk(first)]
         out += [get(c) or chunk(c) for c in [" " + c for c in rest]]
         return b"".join(out)
@@ -103,20 +106,10 @@ class WordBpe(_Model):
     _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ɏ]+")
     _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-įı-ɏ–—‘-”…€]*")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.chunks: dict[str, bytes] = {}
-
-    def chunk(self, c: str) -> bytes:
-        got = b"".join(map(self.word, self._PIECES.findall(c)))
-        if len(c) <= LONGEST and len(self.chunks) < CHUNKS:
-            self.chunks[c] = got
-        return got
-
     def ids(self, text: str) -> bytes:
         if not self._PLAIN.fullmatch(text) or self.marked(text):
             return self.slow(text)
-        get, chunk = self.chunks.get, self.chunk
+        get, chunk = self.words.get, self.chunk
         return b"".join([get(c) or chunk(c) for c in text.lower().split()])
 
 
