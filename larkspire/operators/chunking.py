@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from larkspire.functions.text import ends_at_boundary, strip
 
 SIZE, OVERLAP = 1000, 120
+#: Places of a document that are coalesced in one task.
+SLICE = 4096
 # Kinds of blocks that are never merged.
 STANDALONE = ("table", "code", "image", "figure")
 BLOCK = "block_index int, text string, kind string, page int, section string"
@@ -44,55 +48,126 @@ def sections(blocks: DataFrame, key: str) -> DataFrame:
     return blocks.withColumn("section", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(w))
 
 
-def coalesced(blocks: DataFrame, key: str, target_chars: int, respect_page: bool = True, respect_section: bool = True, separator: str = "\n\n") -> DataFrame:
+def _standing_alone(kind) -> bool:
+    low = kind.casefold() if isinstance(kind, str) else ""
+    return low in STANDALONE or "table" in low or "code" in low
+
+
+def _cut(last: tuple, b: tuple, respect_page: bool, respect_section: bool) -> bool:
+    """Whether two neighbours, as (alone, page, section), never merge, whatever their sizes."""
+    page = respect_page and not (last[1] == b[1] or pd.isna(last[1]) and pd.isna(b[1]))
+    section = respect_section and not (pd.isna(last[2]) or pd.isna(b[2]) or last[2] == b[2])
+    return last[0] or b[0] or page or section
+
+
+class _Slice:
+    """Neighbouring blocks of one document: where greedy groups begin, for any group that is open before them."""
+
+    def __init__(self, pdf: pd.DataFrame, target: int, gap: int, respect_page: bool, respect_section: bool):
+        pdf = pdf.sort_values("block_index")
+        self.index, self.sizes, self.target, self.gap = pdf["block_index"].tolist(), pdf["n"].tolist(), target, gap
+        self.ends = [(_standing_alone(k), p, c) for k, p, c in zip(pdf["kind"], pdf["page"], pdf["section"], strict=True)]
+        self.n = len(self.index)
+        self.cuts = [True] + [_cut(x, y, respect_page, respect_section) for x, y in zip(self.ends, self.ends[1:], strict=False)]
+        # filled[i]: characters with their gaps before block i; forced[i]: the first cut from i on, without i.
+        self.filled, self.forced, cut = [0], [self.n] * self.n, self.n
+        for x in self.sizes:
+            self.filled.append(self.filled[-1] + gap + x)
+        for i in range(self.n - 1, -1, -1):
+            self.forced[i], cut = cut, i if self.cuts[i] else cut
+
+    def after(self, i: int, size: int, end: int) -> int:
+        """The first block from i on that a group of that size doesn't take."""
+        return min(end, bisect_right(self.filled, self.filled[i] + self.target - size, i) - 1) if size <= self.target else i
+
+    def next(self, i: int) -> int:
+        return max(i + 1, self.after(i + 1, self.sizes[i], self.forced[i])) if i + 1 < self.n else self.n
+
+    def exits(self) -> list[tuple[int, int]]:
+        """(first block, size) of the group that is open at the end, by the block where the first group of this slice begins."""
+        out = [(0, 0)] * self.n
+        for i in range(self.n - 1, -1, -1):
+            j = self.next(i)
+            out[i] = out[j] if j < self.n else (self.index[i], self.filled[-1] - self.filled[i] - self.gap)
+        return out
+
+    def begins(self, first: int) -> list[int]:
+        out = []
+        while first < self.n:
+            out.append(first)
+            first = self.next(first)
+        return out
+
+
+def coalesced(blocks: DataFrame, key: str, target_chars: int, respect_page: bool = True, respect_section: bool = True, separator: str = "\n\n", slice_blocks: int = SLICE) -> DataFrame:
     """Greedy merging of a document's neighbouring blocks up to target_chars.
 
     Tables, code, images and figures stand alone; a change of page or section, or a block that doesn't fit, begins a new
-    one; blocks that are too long are never split. Order-dependent, so a grouped map over each document's own blocks.
+    one; blocks that are too long are never split. block_index is unique in a document; null texts are empty.
+
+    A document is folded in slices of slice_blocks places, in parallel: each slice tells which group is open at its end for
+    every group that may be open before it (as many entries as blocks fit into target_chars), these functions are applied
+    one after another, a short row a slice, and then each slice knows its groups. Groups are put together by their first
+    block; target_chars bounds them, so no task holds a whole document.
     """
-    if target_chars < 1 or not separator:
-        raise ValueError("target_chars and separator must not be empty")
-    kind = blocks.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, block_index int, text string, kind string, page int, section string, sources array<int>"
-
-    def same(a, b) -> bool:
-        return pd.isna(a) or pd.isna(b) or a == b
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, size = [], [], 0
-
-        def flush():
-            if len(held) == 1:
-                b = held[0]
-                out.append((b.block_index, b.text, b.kind, b.page, b.section, [b.block_index]))
-            elif held:
-                pages = {b.page for b in held if not pd.isna(b.page)}
-                named = {b.section for b in held if isinstance(b.section, str) and b.section}
-                body = separator.join(b.text.strip() for b in held if b.text.strip())
-                out.append((held[0].block_index, body, "coalesced_text", pages.pop() if len(pages) == 1 else None, named.pop() if len(named) == 1 else held[0].section, [b.block_index for b in held]))
-            held.clear()
-
-        for b in pdf.sort_values("block_index").itertuples():
-            low = b.kind.casefold()
-            if low in STANDALONE or "table" in low or "code" in low:
-                flush()
-                held.append(b)
-                flush()
-                continue
-            if held:
-                last = held[-1]
-                page_break = respect_page and not (last.page == b.page or pd.isna(last.page) and pd.isna(b.page))
-                section_break = respect_section and not same(last.section, b.section)
-                if page_break or section_break or size + len(separator) + len(b.text) > target_chars:
-                    flush()
-            size = len(b.text) if not held else size + len(separator) + len(b.text)
-            held.append(b)
-        flush()
-        frame = pd.DataFrame(out, columns=["block_index", "text", "kind", "page", "section", "sources"])
-        frame.insert(0, key, pdf[key].iloc[0])
-        return frame.assign(page=frame["page"].astype("Int32"))
-
-    return blocks.groupBy(key).applyInPandas(fold, schema)
+    if target_chars < 1 or not separator or slice_blocks < 1:
+        raise ValueError("target_chars, separator and slice_blocks must not be empty")
+    gap, kind = len(separator), blocks.schema[key].dataType.simpleString()
+    data = blocks.select(key, "block_index", F.coalesce("text", F.lit("")).alias("text"), "kind", "page", "section")
+    data = data.withColumn("slice", F.floor(F.col("block_index") / slice_blocks))
+    light = data.select(F.col(key).alias("key"), "slice", "block_index", F.length("text").alias("n"), "kind", "page", "section")
+
+    def made(pdf: pd.DataFrame) -> _Slice:
+        return _Slice(pdf, target_chars, gap, respect_page, respect_section)
+
+    def transfer(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s = made(pdf)
+        end = s.forced[0]
+        # A group of size x that is open before takes blocks while x + takes[i] <= target_chars, the first cut ends it.
+        takes = [x for x in s.filled[1 : end + 1] if x <= target_chars]
+        exits = s.exits()[: len(takes) + 1]
+        edge = [x for e in (s.ends[0], s.ends[-1]) for x in (e[0], None if pd.isna(e[1]) else int(e[1]), None if pd.isna(e[2]) else e[2])]
+        row = (*k, *edge, takes, [e[0] for e in exits], [e[1] for e in exits], end == s.n and len(takes) == s.n)
+        return pd.DataFrame([row], columns=["key", "slice", "alone", "page", "section", "alone_last", "page_last", "section_last", "takes", "opens", "sizes", "through"]).astype({"page": "Int32", "page_last": "Int32"})
+
+    def entered(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, last, opened, size = [], None, None, 0
+        for r in pdf.sort_values("slice").itertuples():
+            free = last is None or _cut(last, (r.alone, r.page, r.section), respect_page, respect_section)
+            at = 0 if free else bisect_right(r.takes, target_chars - size)
+            out.append((*k, r.slice, at, None if free else opened))
+            if at == len(r.takes) and r.through and not free:
+                size += int(r.takes[-1])
+            else:
+                opened, size = int(r.opens[at]), int(r.sizes[at])
+            last = (r.alone_last, r.page_last, r.section_last)
+        return pd.DataFrame(out, columns=["key", "slice", "at", "opened"]).astype({"opened": "Int32"})
+
+    def grouped(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s, at, opened = made(pdf), int(pdf["at"].iloc[0]), pdf["opened"].iloc[0]
+        begins, first = set(s.begins(at)), opened
+        out = []
+        for i, place in enumerate(s.index):
+            first = place if i in begins else first
+            out.append((k[0], place, int(first)))
+        return pd.DataFrame(out, columns=["key", "block_index", "first"])
+
+    tables = "alone boolean, page int, section string, alone_last boolean, page_last int, section_last string, takes array<int>, opens array<int>, sizes array<int>, through boolean"
+    functions = light.groupBy("key", "slice").applyInPandas(transfer, f"key {kind}, slice long, {tables}")
+    entries = functions.groupBy("key").applyInPandas(entered, f"key {kind}, slice long, at int, opened int").alias("e")
+    met = light.alias("b").join(entries, F.col("b.key").eqNullSafe(F.col("e.key")) & (F.col("b.slice") == F.col("e.slice")))
+    begun = met.select("b.*", "at", "opened").groupBy("key", "slice").applyInPandas(grouped, f"key {kind}, block_index int, first int").alias("g")
+    whole = data.alias("d").join(begun, F.col(f"d.{key}").eqNullSafe(F.col("g.key")) & (F.col("d.block_index") == F.col("g.block_index"))).select("d.*", F.col("g.first").alias("first"))
+    groups = whole.groupBy(key, "first").agg(F.sort_array(F.collect_list(F.struct("block_index", "text", "kind", "page", "section"))).alias("b"))
+    one, head = F.size("b") == 1, F.col("b")[0]
+    texts = F.filter(F.transform("b", lambda x: strip(x["text"])), lambda t: t != "")
+    pages = F.array_distinct(F.filter(F.transform("b", lambda x: x["page"]), lambda p: p.isNotNull()))
+    named = F.array_distinct(F.filter(F.transform("b", lambda x: x["section"]), lambda t: t.isNotNull() & (t != "")))
+    return groups.select(
+        key, F.col("first").alias("block_index"), F.when(one, head["text"]).otherwise(F.array_join(texts, separator)).alias("text"),
+        F.when(one, head["kind"]).otherwise(F.lit("coalesced_text")).alias("kind"), F.when(F.size(pages) == 1, pages[0]).alias("page"),
+        F.when(one | (F.size(named) != 1), head["section"]).otherwise(named[0]).alias("section"), F.transform("b", lambda x: x["block_index"]).alias("sources"),
+    )
 
 
 def shape(chunks: DataFrame, by: list[str]) -> DataFrame:
