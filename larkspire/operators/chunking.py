@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspire.functions.text import ends_at_boundary, strip
+from larkspire.session import bounded
 
 SIZE, OVERLAP = 1000, 120
 #: Places of a document that are coalesced in one task.
@@ -63,10 +65,9 @@ def _cut(last: tuple, b: tuple, respect_page: bool, respect_section: bool) -> bo
 class _Slice:
     """Neighbouring blocks of one document: where greedy groups begin, for any group that is open before them."""
 
-    def __init__(self, pdf: pd.DataFrame, target: int, gap: int, respect_page: bool, respect_section: bool):
-        pdf = pdf.sort_values("block_index")
-        self.index, self.sizes, self.target, self.gap = pdf["block_index"].tolist(), pdf["n"].tolist(), target, gap
-        self.ends = [(_standing_alone(k), p, c) for k, p, c in zip(pdf["kind"], pdf["page"], pdf["section"], strict=True)]
+    def __init__(self, r, target: int, gap: int, respect_page: bool, respect_section: bool):
+        self.index, self.sizes, self.target, self.gap = r.places.tolist(), r.sizes.tolist(), target, gap
+        self.ends = [(_standing_alone(k), p, c) for k, p, c in zip(r.kinds, r.pages, r.sections, strict=True)]
         self.n = len(self.index)
         self.cuts = [True] + [_cut(x, y, respect_page, respect_section) for x, y in zip(self.ends, self.ends[1:], strict=False)]
         # filled[i]: characters with their gaps before block i; forced[i]: the first cut from i on, without i.
@@ -108,27 +109,36 @@ def coalesced(blocks: DataFrame, key: str, target_chars: int, respect_page: bool
     A document is folded in slices of slice_blocks places, in parallel: each slice tells which group is open at its end for
     every group that may be open before it (as many entries as blocks fit into target_chars), these functions are applied
     one after another, a short row a slice, and then each slice knows its groups. Groups are put together by their first
-    block; target_chars bounds them, so no task holds a whole document.
+    block; target_chars bounds them, so no task holds a whole document. blocks is read three times, twice without its texts:
+    give a stored table where parsing is dear.
     """
     if target_chars < 1 or not separator or slice_blocks < 1:
         raise ValueError("target_chars, separator and slice_blocks must not be empty")
-    gap, kind = len(separator), blocks.schema[key].dataType.simpleString()
+    gap = len(separator)
     data = blocks.select(key, "block_index", F.coalesce("text", F.lit("")).alias("text"), "kind", "page", "section")
-    data = data.withColumn("slice", F.floor(F.col("block_index") / slice_blocks))
-    light = data.select(F.col(key).alias("key"), "slice", "block_index", F.length("text").alias("n"), "kind", "page", "section")
-
-    def made(pdf: pd.DataFrame) -> _Slice:
-        return _Slice(pdf, target_chars, gap, respect_page, respect_section)
-
-    def transfer(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = made(pdf)
+    # A key travels to Python as text, since a nullable integer would be floating point there.
+    data = data.withColumns({"slice": F.floor(F.col("block_index") / slice_blocks), "__key": F.col(key).cast("string")})
+    light = data.select(F.col("__key").alias("key"), "slice", F.struct("block_index", F.length("text").alias("n"), "kind", "page", "section").alias("b"))
+    rows = light.groupBy("key", "slice").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    fields = [F.col("b")[f].alias(name) for f, name in (("block_index", "places"), ("n", "sizes"), ("kind", "kinds"), ("page", "pages"), ("section", "sections"))]
+    rows = bounded(rows.select("key", "slice", *fields, F.count("*").over(Window.partitionBy("key")).alias("slices")))
+
+    def made(r) -> _Slice:
+        return _Slice(r, target_chars, gap, respect_page, respect_section)
+
+    def function(r) -> tuple:
+        s = made(r)
         end = s.forced[0]
         # A group of size x that is open before takes blocks while x + takes[i] <= target_chars, the first cut ends it.
         takes = [x for x in s.filled[1 : end + 1] if x <= target_chars]
         exits = s.exits()[: len(takes) + 1]
         edge = [x for e in (s.ends[0], s.ends[-1]) for x in (e[0], None if pd.isna(e[1]) else int(e[1]), None if pd.isna(e[2]) else e[2])]
-        row = (*k, *edge, takes, [e[0] for e in exits], [e[1] for e in exits], end == s.n and len(takes) == s.n)
-        return pd.DataFrame([row], columns=["key", "slice", "alone", "page", "section", "alone_last", "page_last", "section_last", "takes", "opens", "sizes", "through"]).astype({"page": "Int32", "page_last": "Int32"})
+        return (r.key, r.slice, *edge, takes, [e[0] for e in exits], [e[1] for e in exits], end == s.n and len(takes) == s.n)
+
+    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "slice", "alone", "page", "section", "alone_last", "page_last", "section_last", "takes", "opens", "sizes", "through"]
+        for pdf in batches:
+            yield pd.DataFrame([function(r) for r in pdf.itertuples()], columns=names).astype({"page": "Int32", "page_last": "Int32"})
 
     def entered(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, last, opened, size = [], None, None, 0
@@ -143,21 +153,26 @@ def coalesced(blocks: DataFrame, key: str, target_chars: int, respect_page: bool
             last = (r.alone_last, r.page_last, r.section_last)
         return pd.DataFrame(out, columns=["key", "slice", "at", "opened"]).astype({"opened": "Int32"})
 
-    def grouped(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, at, opened = made(pdf), int(pdf["at"].iloc[0]), pdf["opened"].iloc[0]
-        begins, first = set(s.begins(at)), opened
-        out = []
+    def firsts(r) -> list[int]:
+        s, first, out = made(r), None if pd.isna(r.opened) else int(r.opened), []
+        begins = set(s.begins(int(r.at)))
         for i, place in enumerate(s.index):
             first = place if i in begins else first
-            out.append((k[0], place, int(first)))
-        return pd.DataFrame(out, columns=["key", "block_index", "first"])
+            out.append(first)
+        return out
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "places": pdf["places"], "firsts": [firsts(r) for r in pdf.itertuples()]})
 
     tables = "alone boolean, page int, section string, alone_last boolean, page_last int, section_last string, takes array<int>, opens array<int>, sizes array<int>, through boolean"
-    functions = light.groupBy("key", "slice").applyInPandas(transfer, f"key {kind}, slice long, {tables}")
-    entries = functions.groupBy("key").applyInPandas(entered, f"key {kind}, slice long, at int, opened int").alias("e")
-    met = light.alias("b").join(entries, F.col("b.key").eqNullSafe(F.col("e.key")) & (F.col("b.slice") == F.col("e.slice")))
-    begun = met.select("b.*", "at", "opened").groupBy("key", "slice").applyInPandas(grouped, f"key {kind}, block_index int, first int").alias("g")
-    whole = data.alias("d").join(begun, F.col(f"d.{key}").eqNullSafe(F.col("g.key")) & (F.col("d.block_index") == F.col("g.block_index"))).select("d.*", F.col("g.first").alias("first"))
+    functions = rows.where("slices > 1").mapInPandas(transfer, f"key string, slice long, {tables}")
+    entries = functions.groupBy("key").applyInPandas(entered, "key string, slice long, at int, opened int").alias("e")
+    met = rows.alias("r").join(entries, F.col("r.key").eqNullSafe(F.col("e.key")) & (F.col("r.slice") == F.col("e.slice")), "left")
+    begun = met.select("r.*", F.coalesce("at", F.lit(0)).alias("at"), "opened").mapInPandas(grouped, "key string, places array<int>, firsts array<int>")
+    begun = begun.select("key", F.explode(F.arrays_zip("places", "firsts")).alias("z")).select("key", "z.*").alias("g")
+    same = F.col("d.__key").eqNullSafe(F.col("g.key")) & (F.col("d.block_index") == F.col("g.places"))
+    whole = data.alias("d").join(begun, same).select("d.*", F.col("g.firsts").alias("first"))
     groups = whole.groupBy(key, "first").agg(F.sort_array(F.collect_list(F.struct("block_index", "text", "kind", "page", "section"))).alias("b"))
     one, head = F.size("b") == 1, F.col("b")[0]
     texts = F.filter(F.transform("b", lambda x: strip(x["text"])), lambda t: t != "")

@@ -453,6 +453,19 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sections(b.withColumn("kind", F.when(F.col("block_index") % 9 == 0, "heading").otherwise("text")), "doc_id").select("doc_id", "block_index", "section")
 
 
+@query("""WITH RECURSIVE t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+g AS (SELECT doc_id, i, i AS first, length(line) AS size FROM t WHERE i = 0 UNION ALL
+  SELECT t.doc_id, t.i, CASE WHEN size + 2 + length(line) <= 600 THEN first ELSE t.i END, CASE WHEN size + 2 + length(line) <= 600 THEN size + 2 + length(line) ELSE length(line) END FROM g JOIN t ON t.doc_id = g.doc_id AND t.i = g.i + 1)
+SELECT doc_id, first::INTEGER AS block_index, count(*)::INTEGER AS n_sources, sha256(regexp_replace(string_agg(line, '' ORDER BY i), '[^a-z]', '', 'g')) AS letters FROM g JOIN t USING (doc_id, i) GROUP BY doc_id, first""")
+def chunk_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole documents as blocks, merged up to 600 characters."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("block_index", "text")
+    nothing = F.lit(None).cast("string")
+    blocks = table(spark, sf_dir, "documents").select("doc_id", lines).select("*", F.lit("text").alias("kind"), F.lit(None).cast("int").alias("page"), nothing.alias("section"))
+    merged = chunking.coalesced(blocks, "doc_id", 600)
+    return merged.select("doc_id", "block_index", F.size("sources").alias("n_sources"), F.sha2(F.regexp_replace("text", "[^a-z]", ""), 256).alias("letters"))
+
+
 @query()
 def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = html.blocks(table(spark, sf_dir, "pages"))
