@@ -1,9 +1,10 @@
 """A stored inverted index over chunks, which a batch of queries reads by its words alone.
 
-Layout. A segment deals its chunks, in order of length, to shards of SHARD chunks. For every word of a shard there is one
-row (a block): the places of its chunks in the shard, its counts there, and the largest score that it gives any of them
-(count over the root of the length). Blocks are kept in folders by a hash of the word, so a query opens those of its words.
-A shard has one row of its own with the ids and lengths of its chunks.
+Layout. The texts of a segment are dealt out by id; each task counts them and cuts what it has counted, BUFFER postings at a
+time and in order of length, to shards of SHARD chunks at most. For every word of a shard there is one row (a block): the
+places of its chunks in the shard, its counts there, and the largest score that it gives any of them (count over the root
+of the length). No word is shuffled as a row of its own: only texts, and then blocks, are. Blocks are kept in folders by a
+hash of the word, so a query opens those of its words. A shard has one row of its own with the ids and lengths of its chunks.
 
 Search. The blocks of the batch's words are joined by word (the words are a stated batch, broadcast), dealt by shard and
 scored there, best shards first, by MaxScore: words in order of their largest score, a shard or the rest of a query's words
@@ -11,7 +12,8 @@ is passed over once what they can still add can't reach the k-th score found so
 are only used where they are strictly below. A task returns k rows a query at most. No text is read.
 
 Maintenance. update() writes chunks that were written as a new segment and marks those that were replaced or became stale
-as dead in theirs (place by place); nothing else is rewritten. merge() puts all segments into one without reading texts.
+as dead in theirs (place by place); nothing else is rewritten. merge() puts all segments into one without reading texts:
+blocks are dealt by shard, and the shards of a task are put together and cut anew, without what is dead.
 All changes are commits of a CommitLog.
 """
 
@@ -26,17 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.functions.text import CJK
 from larkspire.operators.log import CommitLog
 from larkspire.operators.retrieval import MAX_QUERIES, _sliced, counted_terms, top
-from larkspire.operators.snapshot import numbered
 from larkspire.session import bounded, kept
 
 SHARD, FOLDERS = 4096, 32
-_COUNTED = "chunk_id {0}, length int, cjk boolean, terms array<string>, counts array<int>"
+#: Postings (a word in a chunk) that a task holds before it writes shards of them, and rows of a batch that it gives back.
+BUFFER, ROWS = 2_000_000, 20_000
+_WRITTEN = "shard long, term string, most double, places array<int>, counts array<int>, ids array<{0}>, lengths array<int>, cjk array<boolean>"
 _BLOCK = "shard long, term string, n int, most double, places array<int>, counts array<int>, folder int"
 _SHARD = "shard long, ids array<{0}>, lengths array<int>, cjk array<boolean>"
 _DEAD = "shard long, place int"
@@ -57,18 +63,120 @@ def kind_of(chunks: DataFrame) -> str:
     return "string" if chunks.schema["chunk_id"].dataType.simpleString() == "string" else "bigint"
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """Words and counts of each chunk, in one pass over the texts."""
-    cjk = re.compile(CJK)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                found = [counted_terms(t or "") for t in part["text"]]
-                yield pd.DataFrame({"chunk_id": part["chunk_id"].to_numpy(), "length": [n for _, n in found], "cjk": [bool(cjk.search(t or "")) for t in part["text"]], "terms": [list(c) for c, _ in found], "counts": [list(c.values()) for c, _ in found]})
-
-    return bounded(chunks.select("chunk_id", "text")).mapInPandas(run, _COUNTED.format(kind_of(chunks)))
+class _Writer:
+    """Chunks and their words as rows of shards and blocks (_WRITTEN), in one task. The rows of blocks have a term."""
+
+    def __init__(self, shard: int, kind: str):
+        self.shard, self.kind = shard, pa.string() if kind == "string" else pa.int64()
+        self.next = TaskContext.get().partitionId() << 32
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids, self.lengths, self.cjk, self.postings, self.n = [], [], [], [], 0
+        self.words: defaultdict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+
+    def add(self, docs: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
+        """Postings: chunks by their place in ids, words by their number in words."""
+        self.postings.append((docs, words, counts))
+        self.n += len(docs)
+
+    def chunk(self, item, length: int, cjk: bool) -> None:
+        self.ids.append(item)
+        self.lengths.append(length)
+        self.cjk.append(cjk)
+        self.n += 1
+
+    def texts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of chunks (chunk_id, text)."""
+        cjk = re.compile(CJK)
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found, n = counted_terms(text or "")
+                if found:
+                    self.add(np.full(len(found), len(self.ids), np.int32), np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found)))
+                self.chunk(item, n, bool(cjk.search(text or "")))
+                if self.n >= BUFFER:
+                    yield from self.flush()
+        yield from self.flush()
+
+    def stored(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of stored segments (LexicalIndex._lines) in order of segment, shard and kind; chunks that are dead go."""
+        held, dead, place = None, (), None
+        for b in batches:
+            segment, shard, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("segment", "shard", "kind"))
+            begins = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])])
+            for a, z in zip(begins.tolist(), [*begins[1:].tolist(), b.num_rows], strict=True):
+                rows = b.slice(a, z - a)
+                if kind[a] == 0:  # one row a shard
+                    if held is not None:  # a shard without words
+                        self._kept(held, dead)
+                    if self.n >= BUFFER:
+                        yield from self.flush()
+                    held, dead = {c: rows.column(c)[0].as_py() for c in ("ids", "counts", "cjk")}, ()
+                elif kind[a] == 1:
+                    dead = rows.column("places")[0].as_py()
+                else:
+                    if held is not None:
+                        place, held = self._kept(held, dead), None
+                    lists = rows.column("places")
+                    docs = place[lists.flatten().to_numpy()]
+                    words = np.fromiter(map(self.words.__getitem__, rows.column("term").to_pylist()), np.int32, z - a)
+                    words = np.repeat(words, pc.list_value_length(lists).to_numpy())
+                    live = docs >= 0
+                    self.add(docs[live], words[live], rows.column("counts").flatten().to_numpy()[live])
+        if held is not None:
+            self._kept(held, dead)
+        yield from self.flush()
+
+    def _kept(self, held: dict, dead) -> np.ndarray:
+        """Takes over the live chunks of a shard; their places in ids, -1 for dead ones."""
+        live = np.ones(len(held["ids"]), bool)
+        live[np.asarray(dead, int)] = False
+        place = np.where(live, len(self.ids) + np.cumsum(live) - 1, -1).astype(np.int32)
+        for i in np.flatnonzero(live):
+            self.chunk(held["ids"][i], held["counts"][i], held["cjk"][i])
+        return place
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.ids:
+            lengths = np.asarray(self.lengths, np.int64)
+            order = np.argsort(lengths, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            yield from self._shards(order, lengths)
+            if self.postings:
+                yield from self._blocks(rank, lengths)
+            self.next += -(-len(order) // self.shard)
+        self._clear()
+
+    def _rows(self, n: int, **columns) -> pa.RecordBatch:
+        kinds = {"shard": pa.int64(), "term": pa.string(), "most": pa.float64(), "places": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "ids": pa.list_(self.kind), "lengths": pa.list_(pa.int32()), "cjk": pa.list_(pa.bool_())}
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], schema=pa.schema(list(kinds.items())))
+
+    def _shards(self, order: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, a in enumerate(range(0, len(order), self.shard)):
+            mine = order[a : a + self.shard]
+            of = lambda values, kind: pa.array([values], pa.list_(kind))
+            yield self._rows(1, shard=pa.array([self.next + i], pa.int64()), ids=of([self.ids[j] for j in mine], self.kind), lengths=of(lengths[mine].tolist(), pa.int32()), cjk=of([self.cjk[j] for j in mine], pa.bool_()))
+
+    def _blocks(self, rank: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc, word, count = (np.concatenate(x) for x in zip(*self.postings, strict=True))
+        self.postings = []
+        if not len(doc):
+            return
+        shard, place = np.divmod(rank[doc], self.shard)
+        block = shard * len(self.words) + word
+        by = np.argsort(block * self.shard + place)
+        block, place, score, count = block[by], place[by].astype(np.int32), (count / np.sqrt(np.maximum(lengths[doc], 1)))[by], count[by]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        ends = np.r_[first, len(block)]
+        shard, word = np.divmod(block[first], len(self.words))
+        terms, most = pa.array(list(self.words), pa.string()), np.maximum.reduceat(score, first)
+        for a in range(0, len(first), ROWS):
+            z = min(a + ROWS, len(first))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array((ends[a : z + 1] - ends[a]).astype(np.int32)), pa.array(x[ends[a] : ends[z]]))  # noqa: E731, B023
+            yield self._rows(z - a, shard=pa.array(self.next + shard[a:z]), term=terms.take(pa.array(word[a:z])), most=pa.array(most[a:z]), places=lists(place), counts=lists(count))
 
 
 class LexicalIndex:
@@ -80,31 +188,34 @@ class LexicalIndex:
 
     # Writing
 
-    def _segment(self, words: DataFrame, points: DataFrame | None = None) -> dict:
-        """A segment of counted() rows and the vectors of their chunks, under a new name."""
-        kind = kind_of(words)
+    def _segment(self, rows: DataFrame, kind: str, points: DataFrame | None = None) -> dict:
+        """A segment of a _Writer's rows and the vectors of their chunks, under a new name."""
         path = f"{self.root}/segments/{uuid.uuid4().hex}"
-        words = kept(words, "counted")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        size = max(1, min(self.shard, -(-words.count() // parts)))  # a shard for each task at least
-        placed = numbered(words, "length", "chunk_id").withColumns({"shard": F.expr(f"position div {size}"), "place": F.expr(f"CAST(position % {size} AS int)")})
-        by_place = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c])  # noqa: E731  (SHARD members at most)
-        shards = placed.groupBy("shard").agg(by_place("chunk_id").alias("ids"), by_place("length").alias("lengths"), by_place("cjk").alias("cjk"))
+        rows = kept(rows, "segment")
+        shards = rows.where("term IS NULL").select("shard", "ids", "lengths", "cjk")
         shards.write.parquet(f"{path}/shards")
-        long = placed.select("shard", "place", "length", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("shard", "place", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"), (F.col("x.counts") / F.sqrt(F.greatest("length", F.lit(1)))).alias("score"))
-        rows = long.groupBy("shard", "term").agg(F.array_sort(F.collect_list(F.struct("place", "count"))).alias("p"), F.max("score").alias("most"))
         folder = (F.crc32(F.col("term").cast("binary")) % self.folders).cast("int")
-        blocks = rows.select("shard", "term", F.size("p").alias("n"), "most", F.col("p.place").alias("places"), F.col("p.count").alias("counts"), folder.alias("folder"))
+        blocks = rows.where("term IS NOT NULL").select("shard", "term", F.size("places").alias("n"), "most", "places", "counts", folder.alias("folder"))
         blocks.repartition(self.folders, "folder").sortWithinPartitions("folder", "term", "shard").write.partitionBy("folder").parquet(f"{path}/blocks")
         n = self.spark.read.schema(_SHARD.format(kind)).parquet(f"{path}/shards").agg(F.sum(F.size("ids"))).first()[0]
         if points is not None:
-            placed.select("shard", "place", "chunk_id").join(points.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")), "chunk_id").select("shard", "place", "chunk_id", "vector").write.parquet(f"{path}/points")
+            placed = shards.select("shard", F.posexplode("ids").alias("place", "chunk_id")).withColumn("place", F.col("place").cast("int"))
+            placed.join(points.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")), "chunk_id").select("shard", "place", "chunk_id", "vector").write.parquet(f"{path}/points")
         return {"path": path, "chunks": int(n or 0), "dead": [], "n_dead": 0, "points": points is not None}
 
+    def _partitions(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _counted(self, chunks: DataFrame, points: DataFrame | None = None) -> dict:
+        """A segment of chunks (chunk_id, text), in one pass over the texts; dealt out by id, however few files hold them."""
+        kind, shard = kind_of(chunks), self.shard
+        dealt = chunks.select(F.col("chunk_id").cast(kind).alias("chunk_id"), F.col("text").cast("string").alias("text")).repartition(self._partitions(), "chunk_id")
+        return self._segment(bounded(dealt).mapInArrow(lambda batches: _Writer(shard, kind).texts(batches), _WRITTEN.format(kind)), kind, points)
+
     def build(self, chunks: DataFrame, note: str | None = None, points: DataFrame | None = None) -> int:
         """The index of chunks (chunk_id, text) alone, with their points (chunk_id, vector) where these are given, in place of what was there."""
         version, _ = self.log.state()
-        return self.log.commit({"only": [self._segment(counted(chunks), points)], "note": note, "kind": kind_of(chunks)}, version)
+        return self.log.commit({"only": [self._counted(chunks, points)], "note": note, "kind": kind_of(chunks)}, version)
 
     def update(self, written: DataFrame | None, stale: DataFrame | None = None, points: DataFrame | None = None, note: str | None = None) -> int:
         """written (chunk_id, text) are new or replace what is there, stale (chunk_id) go; sparse and dense vectors of what was written become visible with one commit. Only what was written is read."""
@@ -115,7 +226,7 @@ class LexicalIndex:
             lost = kept((gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])).distinct(), "lost")
             segments = [self._marked(s, lost) for s in segments]
         if written is not None:
-            segments.append(self._segment(counted(written), points))
+            segments.append(self._counted(written, points))
         kind = state.get("kind") or kind_of(written)
         return self.log.commit({"only": segments, "kind": kind} | ({"note": note} if note else {}), version)
 
@@ -152,19 +263,30 @@ class LexicalIndex:
     def merge(self) -> int:
         """One segment of all that is alive, made of the blocks."""
         version, state = self.log.state()
-        words = points = None
-        for s in state["segments"]:
+        kind, shard, points = state.get("kind") or "bigint", self.shard, None
+        for s in state.get("segments", []):
             if s.get("points"):
                 mine = self._points(s).select("chunk_id", "vector")
                 points = mine if points is None else points.unionByName(mine)
-            where = self._shards(s).select("shard", F.posexplode(F.arrays_zip("ids", "lengths", "cjk")).alias("place", "x")).select("shard", "place", F.col("x.ids").alias("chunk_id"), F.col("x.lengths").alias("length"), F.col("x.cjk").alias("cjk"))
+        if not state.get("segments"):
+            return self.log.commit({"only": []}, version)
+        rows = self._dealt(state, lambda s: self._blocks(s), "term string")
+        merged = bounded(rows).mapInArrow(lambda batches: _Writer(shard, kind).stored(batches), _WRITTEN.format(kind))
+        return self.log.commit({"only": [self._segment(merged, kind, points)]}, version)
+
+    def _dealt(self, state: dict, blocks, word: str) -> DataFrame:
+        """All shards (kind 0), their dead places (1) and the blocks that blocks(segment) gives (2) as rows of one form, dealt by shard and in this order."""
+        kind_id, rows = state.get("kind") or "bigint", None
+        name, of = word.split()
+        columns = ((name, of), ("most", "double"), ("places", "array<int>"), ("counts", "array<int>"), ("ids", f"array<{kind_id}>"), ("cjk", "array<boolean>"))
+        for i, s in enumerate(state["segments"]):
+            line = lambda df, order, **c: df.select(F.lit(i).alias("segment"), "shard", F.lit(order).alias("kind"), *[F.col(c[n]).alias(n) if n in c else F.lit(None).cast(t).alias(n) for n, t in columns])  # noqa: E731, B023
+            parts = [line(self._shards(s), 0, counts="lengths", ids="ids", cjk="cjk"), line(blocks(s), 2, most="most", places="places", counts="counts", **{name: name})]
             if s["dead"]:
-                where = where.join(self._dead(s), ["shard", "place"], "left_anti")
-            blocks = self._blocks(s).select("shard", "term", F.explode(F.arrays_zip("places", "counts")).alias("x")).select("shard", F.col("x.places").alias("place"), "term", F.col("x.counts").alias("count"))
-            per = where.join(blocks, ["shard", "place"], "left").groupBy("chunk_id", "length", "cjk").agg(F.collect_list(F.struct("term", "count")).alias("p"))
-            mine = per.select("chunk_id", "length", "cjk", F.filter("p", lambda x: x["term"].isNotNull()).alias("p")).select("chunk_id", "length", "cjk", F.col("p.term").alias("terms"), F.col("p.count").alias("counts"))
-            words = mine if words is None else words.unionByName(mine)
-        return self.log.commit({"only": [self._segment(words, points)] if words is not None else []}, version)
+                parts.append(line(self._dead(s).groupBy("shard").agg(F.collect_list("place").alias("places")), 1, places="places"))  # SHARD places at most
+            for p in parts:
+                rows = p if rows is None else rows.unionByName(p)
+        return rows.repartition(self._partitions(), "segment", "shard").sortWithinPartitions("shard", "segment", "kind")
 
     # Reading
 
@@ -224,7 +346,7 @@ class LexicalIndex:
         for i, b in zip(asked["query_id"].tolist(), asked["query"].tolist(), strict=True):
             c, _ = counted_terms(b or "")
             batch.append((i, [(words.setdefault(w, len(words)), n) for w, n in c.items()]))
-        hits, kind_id = _HITS.format(state.get("kind") or "bigint"), state.get("kind") or "bigint"
+        hits = _HITS.format(state.get("kind") or "bigint")
         schema = hits + ", rank int"
         if not words or not state.get("segments"):
             return self.spark.createDataFrame([], schema)
@@ -235,16 +357,7 @@ class LexicalIndex:
             n = sum(s["chunks"] - s["n_dead"] for s in state["segments"])
             df = self.frequencies(terms, folders, state)
             weights = np.array([np.log((n + 1) / (df[j] + 1)) + 1 for j in range(len(words))])
-        rows = None
-        for i, s in enumerate(state["segments"]):
-            none = lambda kind: F.lit(None).cast(kind)
-            line = lambda df, order, **c: df.select(F.lit(i).alias("segment"), "shard", F.lit(order).alias("kind"), *[c.get(n, none(t)).alias(n) for n, t in (("word", "int"), ("most", "double"), ("places", "array<int>"), ("counts", "array<int>"), ("ids", f"array<{kind_id}>"), ("cjk", "array<boolean>"))])  # noqa: E731, B023
-            parts = [line(self._shards(s), 0, counts=F.col("lengths"), ids=F.col("ids"), cjk=F.col("cjk")), line(self.words_of(terms, folders, s), 2, word=F.col("word"), most=F.col("most"), places=F.col("places"), counts=F.col("counts"))]
-            if s["dead"]:
-                parts.append(line(self._dead(s).groupBy("shard").agg(F.collect_list("place").alias("places")), 1, places=F.col("places")))
-            for p in parts:
-                rows = p if rows is None else rows.unionByName(p)
-        dealt = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "segment", "shard").sortWithinPartitions("shard", "segment", "kind")
+        dealt = self._dealt(state, lambda s: self.words_of(terms, folders, s), "word int")
         scored = bounded(dealt).mapInPandas(_Search(batch, list(words), weights, k, every, idf).run, hits)
         return top(scored, k)
 

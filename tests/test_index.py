@@ -2,7 +2,9 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from larkspire.functions import vector as V
@@ -131,3 +133,51 @@ def test_ingestion_from_end_to_end(spark, sf, tmp_path):
     assert corpus.generations.active() == "g9" and corpus.index.log.state()[1]["note"] == "g2"
     corpus.repair()
     assert corpus.index.ids().count() == 1 and corpus.index.log.state()[1]["note"] == "g9"
+
+
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_word_is_shuffled_as_a_row(spark, tmp_path, texts):
+    """Building shuffles texts and blocks, merging shards and blocks: not a row for each word of each chunk."""
+    ix = lexindex.LexicalIndex(spark, f"file://{tmp_path}", 300, 4)
+    before = shuffled(spark)
+    ix.build(texts)
+    after = shuffled(spark)
+    s = ix.log.state()[1]["segments"][0]
+    blocks, postings = ix._blocks(s).agg(F.count("*"), F.sum("n")).first()
+    assert postings > 2 * (blocks + texts.count())
+    assert after - before <= texts.count() + blocks + 20
+    ix.merge()
+    assert shuffled(spark) - after <= 2 * (blocks + texts.count()) + 20
+
+
+@pytest.mark.parametrize("buffer", [50, 1000])
+def test_a_task_writes_shards_a_buffer_at_a_time(spark, tmp_path, texts, asked, buffer, monkeypatch):
+    monkeypatch.setattr(lexindex, "BUFFER", buffer)
+    monkeypatch.setattr(lexindex, "ROWS", 17)
+    monkeypatch.setattr(TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    rows = texts.collect()
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in rows], schema=pa.schema([("chunk_id", pa.int64()), ("text", pa.string())]))
+    out = pa.Table.from_batches(lexindex._Writer(64, "bigint").texts(iter([batch]))).to_pylist()
+    shards = {r["shard"]: r for r in out if r["term"] is None}
+    assert sorted(i for s in shards.values() for i in s["ids"]) == sorted(r["chunk_id"] for r in rows) and all(s >> 32 == 3 for s in shards)
+    assert len([r for r in out if r["term"] is None]) == len(shards) and all(len(s["ids"]) <= 64 for s in shards.values())
+    found = {(shards[r["shard"]]["ids"][p], r["term"]): n for r in out if r["term"] is not None for p, n in zip(r["places"], r["counts"], strict=True)}
+    assert found == {(r["chunk_id"], w): n for r in rows for w, n in retrieval.counted_terms(r["text"] or "")[0].items()}
+    assert all(r["places"] == sorted(r["places"]) for r in out if r["term"] is not None)
+    lines = [{"segment": 0, "shard": s, "kind": 0, "term": None, "places": None, "counts": r["lengths"], "ids": r["ids"], "cjk": r["cjk"]} for s, r in shards.items()]
+    lines += [{"segment": 0, "shard": s, "kind": 1, "places": [0]} for s in shards]
+    lines += [{"segment": 0, "shard": r["shard"], "kind": 2, "term": r["term"], "places": r["places"], "counts": r["counts"]} for r in out if r["term"] is not None]
+    lines.sort(key=lambda x: (x["shard"], x["kind"]))
+    kinds = pa.schema([("segment", pa.int32()), ("shard", pa.int64()), ("kind", pa.int32()), ("term", pa.string()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("cjk", pa.list_(pa.bool_()))])
+    stored = [pa.RecordBatch.from_pylist(lines[i : i + 7], schema=kinds) for i in range(0, len(lines), 7)]
+    again = pa.Table.from_batches(lexindex._Writer(64, "bigint").stored(iter(stored))).to_pylist()
+    dead = {r["ids"][0] for r in shards.values()}
+    shards = {r["shard"]: r for r in again if r["term"] is None}
+    assert {(shards[r["shard"]]["ids"][p], r["term"]): n for r in again if r["term"] is not None for p, n in zip(r["places"], r["counts"], strict=True)} == {k: n for k, n in found.items() if k[0] not in dead}
+    assert sorted(i for s in shards.values() for i in s["ids"]) == sorted(r["chunk_id"] for r in rows if r["chunk_id"] not in dead)
