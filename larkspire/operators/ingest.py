@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from larkspire.functions.text import epoch, next_version
 from larkspire.functions.vector import point_id
 from larkspire.operators import chunking, snapshot
+from larkspire.session import bounded
 
 LEXICAL_VERSION = "1"
 # The strategies of the chunkers and parsers that come with the engine, the first of each the usual one.
@@ -157,7 +158,7 @@ def split(rows: DataFrame, spec: Chunking, body: str = "text", keep: list[str] |
 
         return s.map(one)
 
-    return rows.select(*rest, F.posexplode(cut(F.col(body))).alias("place", "w")).select(*rest, "place", "w.text", "w.line_start", "w.line_end")
+    return bounded(rows).select(*rest, F.posexplode(cut(F.col(body))).alias("place", "w")).select(*rest, "place", "w.text", "w.line_start", "w.line_end")
 
 
 def segments(blocks: DataFrame, key: str, spec: Chunking) -> DataFrame:

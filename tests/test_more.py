@@ -513,3 +513,14 @@ def test_markers_of_keys_beyond_six_digits(spark, tmp_path):
     db.sql(f"CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
     assert sorted(map(tuple, more.text_marker(spark, str(tmp_path)).collect())) == sorted(db.sql(catalogue.SQL["text_marker"]).fetchall())
     assert column(spark, [1_234_567], T.document_marker(F.col("x")), "long") == ["RB1234567A RB1234567B RB1234567C RB1234567D"]
+
+
+@pytest.mark.parametrize("provider", ["recursive", "sentence"])
+def test_texts_go_to_the_splitters_in_bounded_batches(spark, provider):
+    from larkspire.session import BATCH_BYTES, BATCH_ROWS
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    got = ingest.split(spark.range(3).select("id", F.lit("One two. Three four.").alias("text")), ingest.chunking_spec({"provider": provider, "chunk_size": 10, "chunk_overlap": 0}))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS) and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+    assert got.groupBy("id").agg(F.collect_list("text")).count() == 3
