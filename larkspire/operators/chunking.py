@@ -38,9 +38,9 @@ def chunked(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, doc_id: s
     return rows.withColumn("chunk_id", F.sha2(F.concat_ws("\x00", F.col(doc_id).cast("string"), F.col("chunk_index").cast("string"), "checksum"), 256))
 
 
-def deduplicated(chunks: DataFrame) -> DataFrame:
-    """The first chunk of each checksum of a document; those without checksum stay."""
-    w = Window.partitionBy("doc_id", "checksum").orderBy("chunk_index")
+def deduplicated(chunks: DataFrame, *dealt: str) -> DataFrame:
+    """The first chunk of each checksum of a document; those without checksum stay. dealt: columns that follow from both and by which chunks are dealt already."""
+    w = Window.partitionBy(*dealt, "doc_id", "checksum").orderBy("chunk_index")
     return chunks.withColumn("__n", F.row_number().over(w)).where("__n = 1 OR checksum IS NULL").drop("__n")
 
 

@@ -80,9 +80,8 @@ class Corpus:
         if expected is not None:
             previous = self.generations.read()
             existing = previous.groupBy("doc_id").agg(F.max("document_version").alias("version"))
-        out = ingest.ingested(candidate, previous, existing, source, generation_id, now)
-        docs = kept(out.documents, "documents")
-        rows = out.current.join(docs.select("doc_id", F.col("version").alias("document_version")), "doc_id")
+        out = ingest.ingested(candidate, previous, existing, source, generation_id, now, versions=True)
+        rows = out.current.where("doc_id IS NOT NULL")
         if embed is not None:
             rows = self.cache.vectors(rows, embed, contract, now)
         self.generations.stage(rows, generation_id)
@@ -91,11 +90,15 @@ class Corpus:
         return out
 
     def repair(self) -> None:
-        """The index after the active generation, if it is behind."""
-        active = self.generations.active()
-        if active is not None and self.index.log.state()[1].get("note") != active:
-            rows = self.generations.read()
-            self.index.sync(rows.select("chunk_id", "text"), active, rows.select("chunk_id", "vector") if "vector" in rows.columns else None)
+        """The index after the active generation, if it is behind. Where it has the one before, only chunks that weren't taken over can be new to it."""
+        active, before = self.generations.active(), self.generations.previous()
+        if active is None:
+            return
+        path, state = self.generations.path(active), self.index.log.state()[1]
+        if (state.get("note"), state.get("source")) != (active, path):
+            rows, has = self.generations.read(), state.get("source")
+            fresh = rows.where("NOT reused").select("chunk_id", "text") if has and before and has == self.generations.path(before) else None
+            self.index.sync(rows.select("chunk_id", "text"), active, rows.select("chunk_id", "vector") if "vector" in rows.columns else None, fresh, path)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return self.index.search(queries, k)

@@ -206,11 +206,36 @@ def complete(chunks: DataFrame) -> DataFrame:
     return out.withColumns({"tags": tags, "acl_hash": F.coalesce("acl_hash", F.lit("public"))})
 
 
-def reused(candidate: DataFrame, previous: DataFrame) -> DataFrame:
-    """candidate with chunk_id, point_id and created_at of the previous chunk that is equal in all columns of REUSE, and whether there is one."""
-    both = [complete(x).withColumn("tags", F.to_json("tags")) for x in (candidate, previous)]
-    found = snapshot.reused(both[0], both[1], list(REUSE), ["chunk_id", "point_id", "created_at"])
-    return found.withColumn("tags", F.from_json("tags", "array<string>"))
+#: Where a chunk's text is dealt once for all of an ingestion: a hash of what both its repeats and its predecessor share with it.
+AT = "__at"
+
+
+def _placed(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn(AT, F.xxhash64(F.col("doc_id").cast("string"), F.col("checksum").cast("string")))
+
+
+def reused(candidate: DataFrame, previous: DataFrame, existing: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """candidate with chunk_id, point_id and created_at of the previous chunk that is equal in all columns of REUSE (of several the last by chunk_id), and whether there is one.
+
+    What is looked up is put together by AT without any text, so the candidate's rows, if they are dealt by it, aren't
+    shuffled again. With existing (doc_id, version) and pairs (doc_id, AT) of all chunks, document_version is the raised
+    version of the chunk's document, null where the document isn't among the existing ones.
+    """
+    inherited = ["chunk_id", "point_id", "created_at"]
+    new, old = (_placed(complete(x)) if AT not in x.columns else complete(x) for x in (candidate, previous))
+    key = F.unhex(snapshot.reuse_key([c if c != "tags" else "__tags" for c in REUSE]))
+    new, old = (x.withColumn("__tags", F.to_json("tags")).withColumn("__key", key).drop("__tags") for x in (new, old))
+    # The first field is the key, the second the chunk's id, so the greatest entry of a key is the last by id.
+    known = old.select(AT, F.struct("__key", *inherited).alias("__old"), F.lit(None).cast("struct<d:string,v:string>").alias("__doc"))
+    if pairs is not None:
+        raised = existing.where("version IS NOT NULL").select("doc_id", next_version(F.col("version")).alias("__v"))
+        known = known.unionByName(pairs.join(raised, "doc_id").select(AT, F.lit(None).cast(known.schema["__old"].dataType).alias("__old"), F.struct(F.col("doc_id").cast("string").alias("d"), F.col("__v").alias("v")).alias("__doc")))
+    known = known.groupBy(AT).agg(F.collect_list("__old").alias("__olds"), F.collect_set("__doc").alias("__docs"))
+    joined = new.join(known, AT, "left").withColumn("__old", F.array_max(F.filter("__olds", lambda x: x["__key"] == F.col("__key"))))
+    hit = F.col("__old").isNotNull()
+    version = [] if pairs is None else [F.filter("__docs", lambda x: x["d"] == F.col("doc_id").cast("string")).alias("__docs")]
+    out = [c for c in new.columns if c not in (*inherited, AT, "__key")]
+    return joined.select(*out, *[F.when(hit, F.col("__old")[c]).otherwise(F.col(c) if c in new.columns else F.lit(None)).alias(c) for c in inherited], hit.alias("reused"), *version)
 
 
 def payload(chunks: DataFrame, model: str = "hash-64") -> DataFrame:
@@ -244,12 +269,16 @@ class Outcome:
     documents: DataFrame
 
 
-def ingested(candidate: DataFrame, previous: DataFrame, existing: DataFrame, source: dict, generation_id: str, now: Column) -> Outcome:
-    """One ingestion against the last snapshot: stamp, drop repeats within a document, reuse, derive documents, find what is gone. candidate: doc_id, chunk_index, text, checksum, path, url."""
-    c = chunking.deduplicated(stamped(candidate, source, now))
+def ingested(candidate: DataFrame, previous: DataFrame, existing: DataFrame, source: dict, generation_id: str, now: Column, versions: bool = False) -> Outcome:
+    """One ingestion against the last snapshot: stamp, drop repeats within a document, reuse, derive documents, find what is gone. candidate: doc_id, chunk_index, text, checksum, path, url. With versions the chunks have the document_version of theirs. Texts are shuffled once."""
+    c = _placed(stamped(candidate, source, now))
+    pairs = c.select("doc_id", AT) if versions else None
+    c = chunking.deduplicated(c.repartition(AT), AT)
     c = c.withColumn("chunk_id", F.sha2(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"), "checksum"), 256)).withColumns({"point_id": F.lit(None).cast("string"), "created_at": now})
-    found = tagged(reused(c, previous), source["source_id"], generation_id)
+    found = tagged(reused(c, previous, existing, pairs), source["source_id"], generation_id)
     found = found.withColumn("point_id", point_id(F.col("point_id"), F.col("chunk_id")))
+    if versions:
+        found = found.withColumn("document_version", F.when(F.size("__docs") > 0, F.col("__docs")[0]["v"]).otherwise(F.lit(source.get("version", "1.0")))).drop("__docs")
     gone = previous.select("doc_id").distinct().join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     return Outcome(found, found.where("NOT reused"), snapshot.stale(previous, found), gone, documents(found, existing, source))
 

@@ -3,8 +3,9 @@
 Layout. The texts of a segment are dealt out by id; each task counts them and cuts what it has counted, BUFFER postings at a
 time and in order of length, to shards of SHARD chunks at most. For every word of a shard there is one row (a block): the
 places of its chunks in the shard, its counts there, and the largest score that it gives any of them (count over the root
-of the length). No word is shuffled as a row of its own: only texts, and then blocks, are. Blocks are kept in folders by a
-hash of the word, so a query opens those of its words. A shard has one row of its own with the ids and lengths of its chunks.
+of the length). Only texts are shuffled, and those that lie in files of the engine's own not even once: each task writes its
+blocks, sorted, into folders by a hash of the word, so a query opens those of its words. A shard has one row of its own with
+the ids and lengths of its chunks, in a folder of such rows.
 
 Search. The blocks of the batch's words are joined by word (the words are a stated batch, broadcast), dealt by shard and
 scored there, best shards first, by MaxScore: words in order of their largest score, a shard or the rest of a query's words
@@ -44,7 +45,9 @@ SHARD, FOLDERS = 4096, 32
 BUFFER, ROWS = 2_000_000, 20_000
 _WRITTEN = "shard long, term string, most double, places array<int>, counts array<int>, ids array<{0}>, lengths array<int>, cjk array<boolean>"
 _BLOCK = "shard long, term string, n int, most double, places array<int>, counts array<int>, folder int"
-_SHARD = "shard long, ids array<{0}>, lengths array<int>, cjk array<boolean>"
+_SHARD = "shard long, ids array<{0}>, lengths array<int>, cjk array<boolean>, folder int"
+#: The folder of the rows of shards; those of blocks are numbered from 0.
+SHARDS = -1
 _DEAD = "shard long, place int"
 _POINT = "shard long, place int, chunk_id {0}, vector array<double>"
 _HITS = "query_id long, chunk_id {0}, score double, matched array<string>, cjk boolean"
@@ -55,7 +58,7 @@ def folder_of(term: str, folders: int = FOLDERS) -> int:
 
 
 def _fold(state: dict, commit: dict) -> dict:
-    return {"segments": commit["only"], "note": commit.get("note", state.get("note")), "kind": commit.get("kind", state.get("kind"))}
+    return {"segments": commit["only"], "source": commit["source"] if "source" in commit else state.get("source"), "note": commit.get("note", state.get("note")), "kind": commit.get("kind", state.get("kind"))}
 
 
 def kind_of(chunks: DataFrame) -> str:
@@ -191,44 +194,45 @@ class LexicalIndex:
     def _segment(self, rows: DataFrame, kind: str, points: DataFrame | None = None) -> dict:
         """A segment of a _Writer's rows and the vectors of their chunks, under a new name."""
         path = f"{self.root}/segments/{uuid.uuid4().hex}"
-        rows = kept(rows, "segment")
-        shards = rows.where("term IS NULL").select("shard", "ids", "lengths", "cjk")
-        shards.write.parquet(f"{path}/shards")
-        folder = (F.crc32(F.col("term").cast("binary")) % self.folders).cast("int")
-        blocks = rows.where("term IS NOT NULL").select("shard", "term", F.size("places").alias("n"), "most", "places", "counts", folder.alias("folder"))
-        blocks.repartition(self.folders, "folder").sortWithinPartitions("folder", "term", "shard").write.partitionBy("folder").parquet(f"{path}/blocks")
-        n = self.spark.read.schema(_SHARD.format(kind)).parquet(f"{path}/shards").agg(F.sum(F.size("ids"))).first()[0]
+        folder = F.coalesce(F.crc32(F.col("term").cast("binary")) % self.folders, F.lit(SHARDS)).cast("int")
+        rows = rows.select("shard", "term", F.when(F.col("term").isNotNull(), F.size("places")).alias("n"), "most", "places", "counts", "ids", "lengths", "cjk", folder.alias("folder"))
+        rows.sortWithinPartitions("folder", "term", "shard").write.option("compression", "zstd").partitionBy("folder").parquet(path)
+        shards = self._shards({"path": path}, kind)
+        n = shards.agg(F.sum(F.size("lengths"))).first()[0]
         if points is not None:
             placed = shards.select("shard", F.posexplode("ids").alias("place", "chunk_id")).withColumn("place", F.col("place").cast("int"))
-            placed.join(points.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")), "chunk_id").select("shard", "place", "chunk_id", "vector").write.parquet(f"{path}/points")
+            placed.join(points.select("chunk_id", F.col("vector").cast("array<double>").alias("vector")), "chunk_id").select("shard", "place", "chunk_id", "vector").write.parquet(f"{path}-points")
         return {"path": path, "chunks": int(n or 0), "dead": [], "n_dead": 0, "points": points is not None}
 
     def _partitions(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _counted(self, chunks: DataFrame, points: DataFrame | None = None) -> dict:
-        """A segment of chunks (chunk_id, text), in one pass over the texts; dealt out by id, however few files hold them."""
+    def _counted(self, chunks: DataFrame, points: DataFrame | None = None, dealt: bool = False) -> dict:
+        """A segment of chunks (chunk_id, text), in one pass over the texts; dealt out by id, however few files hold them, if they aren't dealt already."""
         kind, shard = kind_of(chunks), self.shard
-        dealt = chunks.select(F.col("chunk_id").cast(kind).alias("chunk_id"), F.col("text").cast("string").alias("text")).repartition(self._partitions(), "chunk_id")
-        return self._segment(bounded(dealt).mapInArrow(lambda batches: _Writer(shard, kind).texts(batches), _WRITTEN.format(kind)), kind, points)
+        rows = chunks.select(F.col("chunk_id").cast(kind).alias("chunk_id"), F.col("text").cast("string").alias("text"))
+        return self._segment(bounded(rows if dealt else rows.repartition("chunk_id")).mapInArrow(lambda batches: _Writer(shard, kind).texts(batches), _WRITTEN.format(kind)), kind, points)
 
-    def build(self, chunks: DataFrame, note: str | None = None, points: DataFrame | None = None) -> int:
-        """The index of chunks (chunk_id, text) alone, with their points (chunk_id, vector) where these are given, in place of what was there."""
+    def build(self, chunks: DataFrame, note: str | None = None, points: DataFrame | None = None, source: str | None = None) -> int:
+        """The index of chunks (chunk_id, text) alone, with their points (chunk_id, vector) where these are given, in place of what was there. source: the folder of the engine's own files that chunks are; these are read as they lie, without dealing texts out."""
         version, _ = self.log.state()
-        return self.log.commit({"only": [self._counted(chunks, points)], "note": note, "kind": kind_of(chunks)}, version)
+        return self.log.commit({"only": [self._counted(chunks, points, source is not None)], "source": source, "note": note, "kind": kind_of(chunks)}, version)
 
     def update(self, written: DataFrame | None, stale: DataFrame | None = None, points: DataFrame | None = None, note: str | None = None) -> int:
         """written (chunk_id, text) are new or replace what is there, stale (chunk_id) go; sparse and dense vectors of what was written become visible with one commit. Only what was written is read."""
-        version, state = self.log.state()
         gone = [df.select("chunk_id") for df in (written, stale) if df is not None]
+        return self._updated(written, gone[0].unionByName(gone[1]) if len(gone) > 1 else gone[0] if gone else None, points, note)
+
+    def _updated(self, written: DataFrame | None, gone: DataFrame | None, points: DataFrame | None, note: str | None, source: str | None = None) -> int:
+        version, state = self.log.state()
         segments = list(state.get("segments", []))
-        if gone and segments:
-            lost = kept((gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])).distinct(), "lost")
+        if gone is not None and segments:
+            lost = kept(gone.distinct(), "lost")
             segments = [self._marked(s, lost) for s in segments]
         if written is not None:
-            segments.append(self._counted(written, points))
+            segments.append(self._counted(written, points, source is not None))
         kind = state.get("kind") or kind_of(written)
-        return self.log.commit({"only": segments, "kind": kind} | ({"note": note} if note else {}), version)
+        return self.log.commit({"only": segments, "kind": kind, "source": source} | ({"note": note} if note else {}), version)
 
     def ids(self) -> DataFrame:
         """chunk_id of every live chunk."""
@@ -241,13 +245,13 @@ class LexicalIndex:
             out = out.unionByName(rows.select("chunk_id"))
         return out
 
-    def sync(self, chunks: DataFrame, note: str | None = None, points: DataFrame | None = None) -> int:
-        """Brings the index to chunks whose ids say their content: ids that it lacks are written, those that are gone die. Can be repeated after a crash."""
+    def sync(self, chunks: DataFrame, note: str | None = None, points: DataFrame | None = None, fresh: DataFrame | None = None, source: str | None = None) -> int:
+        """Brings the index to chunks whose ids say their content: ids that it lacks are written, those that are gone die. Can be repeated after a crash. fresh: those of chunks that it may lack, where the others are known to be there, so that no other text is read."""
         if not self.log.version():
-            return self.build(chunks, note, points)
-        known = kept(self.ids(), "known")
-        new = chunks.join(known, "chunk_id", "left_anti")
-        return self.update(new, known.join(chunks.select("chunk_id"), "chunk_id", "left_anti"), points and points.join(new.select("chunk_id"), "chunk_id", "left_semi"), note)
+            return self.build(chunks, note, points, source)
+        known = self.ids()
+        new = (chunks if fresh is None else fresh).join(known, "chunk_id", "left_anti")
+        return self._updated(new, known.join(chunks.select("chunk_id"), "chunk_id", "left_anti"), points and points.join(new.select("chunk_id"), "chunk_id", "left_semi"), note, source)
 
     def _marked(self, segment: dict, lost: DataFrame) -> dict:
         """The segment with the chunks in lost dead."""
@@ -270,12 +274,12 @@ class LexicalIndex:
                 points = mine if points is None else points.unionByName(mine)
         if not state.get("segments"):
             return self.log.commit({"only": []}, version)
-        rows = self._dealt(state, lambda s: self._blocks(s), "term string")
+        rows = self._dealt(state, lambda s: self._blocks(s), "term string", fixed=False)
         merged = bounded(rows).mapInArrow(lambda batches: _Writer(shard, kind).stored(batches), _WRITTEN.format(kind))
         return self.log.commit({"only": [self._segment(merged, kind, points)]}, version)
 
-    def _dealt(self, state: dict, blocks, word: str) -> DataFrame:
-        """All shards (kind 0), their dead places (1) and the blocks that blocks(segment) gives (2) as rows of one form, dealt by shard and in this order."""
+    def _dealt(self, state: dict, blocks, word: str, fixed: bool = True) -> DataFrame:
+        """All shards (kind 0), their dead places (1) and the blocks that blocks(segment) gives (2) as rows of one form, dealt by shard and in this order; not fixed: into no more tasks than their size asks for, since each writes to every folder."""
         kind_id, rows = state.get("kind") or "bigint", None
         name, of = word.split()
         columns = ((name, of), ("most", "double"), ("places", "array<int>"), ("counts", "array<int>"), ("ids", f"array<{kind_id}>"), ("cjk", "array<boolean>"))
@@ -286,22 +290,23 @@ class LexicalIndex:
                 parts.append(line(self._dead(s).groupBy("shard").agg(F.collect_list("place").alias("places")), 1, places="places"))  # SHARD places at most
             for p in parts:
                 rows = p if rows is None else rows.unionByName(p)
-        return rows.repartition(self._partitions(), "segment", "shard").sortWithinPartitions("shard", "segment", "kind")
+        return rows.repartition(*[self._partitions()][: int(fixed)], "segment", "shard").sortWithinPartitions("shard", "segment", "kind")
 
     # Reading
 
-    def _shards(self, s: dict) -> DataFrame:
-        return self.spark.read.schema(_SHARD.format(self.log.state()[1].get("kind") or "bigint")).parquet(f"{s['path']}/shards")
+    def _shards(self, s: dict, kind: str | None = None) -> DataFrame:
+        kind = kind or self.log.state()[1].get("kind") or "bigint"
+        return self.spark.read.schema(_SHARD.format(kind)).parquet(s["path"]).where(F.col("folder") == SHARDS).drop("folder")
 
     def _blocks(self, s: dict) -> DataFrame:
-        return self.spark.read.schema(_BLOCK).parquet(f"{s['path']}/blocks")
+        return self.spark.read.schema(_BLOCK).parquet(s["path"]).where(F.col("folder") != SHARDS)
 
     def _dead(self, s: dict) -> DataFrame:
         return self.spark.read.schema(_DEAD).parquet(*s["dead"])
 
     def _points(self, s: dict) -> DataFrame:
         """Live vectors of a segment."""
-        rows = self.spark.read.schema(_POINT.format(self.log.state()[1].get("kind") or "bigint")).parquet(f"{s['path']}/points")
+        rows = self.spark.read.schema(_POINT.format(self.log.state()[1].get("kind") or "bigint")).parquet(f"{s['path']}-points")
         return rows.join(self._dead(s), ["shard", "place"], "left_anti") if s["dead"] else rows
 
     def points(self) -> DataFrame:
@@ -453,7 +458,7 @@ def fingerprint(df: DataFrame) -> str:
 def stored_index(chunks: DataFrame, root: str) -> LexicalIndex:
     """The index of a table of files, built where there is none for these files."""
     note = fingerprint(chunks)
-    index = LexicalIndex(chunks.sparkSession, f"{root.rstrip('/')}/lexical-{note[:32]}")
+    index = LexicalIndex(chunks.sparkSession, f"{root.rstrip('/')}/lexical2-{note[:32]}")
     if index.log.state()[1].get("note") != note:
         index.build(chunks, note)
     return index

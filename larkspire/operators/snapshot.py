@@ -95,10 +95,14 @@ class Generations:
     def active(self) -> str | None:
         return self.log.state()[1].get("active")
 
+    def previous(self) -> str | None:
+        """The generation that the active one was activated over."""
+        return self.log.state()[1].get("previous")
+
     def stage(self, rows: DataFrame, generation: str) -> int:
         """Writes a generation under a new name and registers it as prepared; a repeated one replaces what was registered."""
         path = f"{self.root}/generation={generation}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         n = self.spark.read.schema(rows.schema).parquet(path).count()
         version, _ = self.log.state()
         self.log.commit({"rows": {generation: {"status": "prepared", "rows": n, "path": path}}}, version, lambda other: generation in other.get("rows", {}))

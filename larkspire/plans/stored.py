@@ -15,7 +15,7 @@ from larkspire.operators.merge import MergeTable
 from larkspire.plans.catalogue import DENSE, DTOK, QTOK, TOP, _asked, _points, _ranked, _vectors, now_col, query
 from larkspire.plans.entities import table
 from larkspire.plans.more import SOURCE, WINDOW, _candidate, _previous
-from larkspire.session import kept, shared_folder
+from larkspire.session import shared_folder
 from larkspire.sources import feed
 
 
@@ -132,7 +132,7 @@ def corpus_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidate(spark, sf_dir)
     corpus.run(c.where("doc_id % 5 <> 0"), SOURCE, "g1", F.expr("timestamp_ntz'2024-01-01 00:00:00'"), none, docs)
     corpus.run(c.where("doc_id % 13 <> 0"), SOURCE, "g2", now_col(), none, docs)
-    has = kept(corpus.index.ids(), "ids").withColumn("indexed", F.lit(True))
+    has = corpus.index.ids().withColumn("indexed", F.lit(True))
     rows = corpus.generations.read().select("doc_id", "chunk_index", "reused", "generation_id", "document_version", "chunk_id")
     return rows.join(has, "chunk_id", "full_outer").select("doc_id", "chunk_index", "reused", "generation_id", "document_version", "chunk_id", "indexed")
 

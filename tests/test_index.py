@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from larkspire.functions import vector as V
-from larkspire.operators import lexindex, retrieval
+from larkspire.operators import chunking, lexindex, retrieval
 from larkspire.operators.corpus import Corpus, EmbeddingCache
 from larkspire.operators.log import Conflict
 from larkspire.plans import more
@@ -181,3 +181,35 @@ def test_a_task_writes_shards_a_buffer_at_a_time(spark, tmp_path, texts, asked,
     shards = {r["shard"]: r for r in again if r["term"] is None}
     assert {(shards[r["shard"]]["ids"][p], r["term"]): n for r in again if r["term"] is not None for p, n in zip(r["places"], r["counts"], strict=True)} == {k: n for k, n in found.items() if k[0] not in dead}
     assert sorted(i for s in shards.values() for i in s["ids"]) == sorted(r["chunk_id"] for r in rows if r["chunk_id"] not in dead)
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_an_ingestion_shuffles_each_text_once(spark, tmp_path):
+    """Dedup, reuse, versions and the index: texts that don't compress go through one shuffle, of the second run's index only new ones."""
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 40), i -> sha2(concat(id, '-', i), 256)))").alias("text"))
+    c = chunking.chunked(rows.withColumns({"path": F.lit("p"), "url": F.lit(None).cast("string")})).drop("chunk_id", "start")
+    size = c.agg(F.sum(F.length("text"))).first()[0]
+    none, docs = c.limit(0).withColumns({"chunk_id": F.lit(""), "point_id": F.lit(""), "created_at": now_col()}), spark.createDataFrame([], "doc_id long, version string")
+    corpus, before = Corpus(spark, f"file://{tmp_path}"), shuffled_bytes(spark)
+    corpus.run(c.where("doc_id % 5 <> 0"), more.SOURCE, "g1", now_col(), none, docs)
+    first = shuffled_bytes(spark) - before
+    corpus.run(c, more.SOURCE, "g2", now_col(), none, docs)
+    second = shuffled_bytes(spark) - before - first
+    assert first < 1.3 * 0.8 * size and second < 2 * size
+    got = {r["doc_id"]: r["document_version"] for r in corpus.generations.read().select("doc_id", "document_version").distinct().collect()}
+    assert got == {i: "1.1" if i % 5 else "1.0" for i in range(400)}
+    assert corpus.index.ids().count() == corpus.generations.read().count() == c.count()
+
+
+def test_a_generation_of_the_same_name_is_indexed_anew(spark, sf, tmp_path):
+    corpus = Corpus(spark, f"file://{tmp_path}")
+    none, docs = (x.limit(0) for x in more._previous(spark, sf))
+    c = more._candidate(spark, sf)
+    for part in ("doc_id < 20", "doc_id >= 10 AND doc_id < 30"):
+        corpus.run(c.where(part), more.SOURCE, "g1", now_col(), none, docs)
+        assert sorted(r[0] for r in corpus.index.ids().collect()) == sorted(r[0] for r in corpus.generations.read().select("chunk_id").collect())
