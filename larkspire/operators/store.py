@@ -111,25 +111,37 @@ def resolved(sources: DataFrame, uploaded: DataFrame) -> DataFrame:
 
 def source_key(tenant: Column, kind: Column, location: Column) -> Column:
     """The id of a source by tenant, kind and canonical location."""
-    return F.substring(F.sha2(F.concat_ws("\x00", tenant, kind, canonical(location)), 256), 1, 32)
+    return _source_id(tenant, kind, canonical(location))
+
+
+def _source_id(tenant: Column, kind: Column, place: Column) -> Column:
+    # It is never null, and said not to be: else joins on it filter every request by its canonical form before anything is grouped.
+    return F.coalesce(F.substring(F.sha2(F.concat_ws("\x00", tenant, kind, place), 256), 1, 32), F.lit(""))
 
 
 def job_key(source_id: Column, idempotency: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("\x00", F.lit("quick-ingest"), source_id, idempotency), 256), 1, 32)
+    return F.coalesce(F.substring(F.sha2(F.concat_ws("\x00", F.lit("quick-ingest"), source_id, idempotency), 256), 1, 32), F.lit(""))
 
 
 def imported(sources: DataFrame, requests: DataFrame) -> DataFrame:
     """Sources after quick imports (tenant_id, source_type, location, name, at): one for each canonical location; the last request names it, one that was deleted comes back."""
-    asked = requests.select("*", source_key(F.col("tenant_id"), F.col("source_type"), F.col("location")).alias("source_id"))
+    written = ["tenant_id", "source_type", "location"]
+    # A source's last request is the last of one of its locations as written: maxima by hash find these, and only they get a
+    # canonical form and are sorted. That is made of an aggregate's value, so that no filter on it is moved to the requests.
+    newest = requests.groupBy(*written).agg(F.max("at").alias("at")).groupBy(*written, "at").agg(F.any_value("location").alias("__place"))
+    newest = newest.select(*written, "at", canonical(F.col("__place")).alias("__at")).withColumn("source_id", _source_id(F.col("tenant_id"), F.col("source_type"), F.col("__at"))).alias("n")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in (*written, "at")]
+    asked = requests.alias("r").join(newest, same).select("r.tenant_id", "r.source_type", "r.name", "r.at", "n.__at", "n.source_id")
     w = Window.partitionBy("source_id").orderBy(F.desc("at"), F.desc_nulls_last("name"))
-    last = asked.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("source_id", "tenant_id", "source_type", canonical(F.col("location")).alias("location"), "name", F.lit("active").alias("status"), F.col("at").alias("updated_at"))
+    last = asked.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("source_id", "tenant_id", "source_type", F.col("__at").alias("location"), "name", F.lit("active").alias("status"), F.col("at").alias("updated_at"))
     return upserted(sources, last, ["source_id"])
 
 
 def import_jobs(jobs: DataFrame, requests: DataFrame, idempotency: str = "idempotency_key") -> DataFrame:
     """Jobs (job_id, source_id, status, created_at) after quick imports: one for each source and idempotency key, made by its first request; a repeated request finds the job that is there."""
     source = source_key(F.col("tenant_id"), F.col("source_type"), F.col("location"))
-    asked = requests.select(source.alias("source_id"), F.col(idempotency).alias("__k"), "at").groupBy("source_id", "__k").agg(F.min("at").alias("created_at"))
+    written = requests.groupBy("tenant_id", "source_type", "location", F.col(idempotency).alias("__k")).agg(F.min("at").alias("at"))  # a canonical form for each location as written, not for each request
+    asked = written.select(source.alias("source_id"), "__k", "at").groupBy("source_id", "__k").agg(F.min("at").alias("created_at"))
     new = asked.select(job_key(F.col("source_id"), F.col("__k").cast("string")).alias("job_id"), "source_id", F.lit("pending").alias("status"), "created_at")
     return inserted(jobs, new, ["job_id"])
 

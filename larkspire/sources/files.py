@@ -71,18 +71,27 @@ def language(path: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[suffix], F.lit("text"))
 
 
-def _parts(location: Column) -> tuple[Column, Column, Column, Column]:
+def _bound(then, **named: Column) -> Column:
+    """then(row) of named expressions that are worked out once a row; as plain columns each would stand in the plan, and be worked out, wherever it is used."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in named.items()])), then)[0]
+
+
+def _parts(location: Column) -> dict[str, Column]:
     """Trimmed location, its scheme and host in lower case, and its path."""
     value = F.trim(location)
     scheme = F.lower(F.regexp_extract(value, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     host = F.lower(F.regexp_extract(value, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)", 1))
     path = F.regexp_extract(value, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?([^?#]*)", 1)
-    return value, scheme, host, path
+    return {"value": value, "scheme": scheme, "host": host, "path": path}
 
 
 def source_type(location: Column) -> Column:
     """The kind of source that fits a location best; ties by name."""
-    value, scheme, host, path = _parts(location)
+    return _bound(_kind, **_parts(location))
+
+
+def _kind(p: Column) -> Column:
+    value, scheme, host, path = p["value"], p["scheme"], p["host"], p["path"]
     http = scheme.isin("http", "https")
     target = F.regexp_replace(F.lower(F.when(http, path).otherwise(value)), "[/\\\\]+$", "")
     folders, spaces = F.contains(F.lower(path), F.lit("/folders/")), F.contains(F.lower(path), F.lit("/spaces/"))
@@ -100,8 +109,11 @@ def source_type(location: Column) -> Column:
 
 def canonical(location: Column) -> Column:
     """One form for a source's location: of http without fragment and slash at the end (a root keeps its own), of stores and wikis by their keys, of paths without slashes at the end."""
-    value, scheme, host, path = _parts(location)
-    kind = source_type(location)
+    return _bound(lambda p: _bound(_canonical, p=p, kind=_kind(p)), **_parts(location))
+
+
+def _canonical(x: Column) -> Column:
+    kind, value, scheme, host, path = x["kind"], x["p"]["value"], x["p"]["scheme"], x["p"]["host"], x["p"]["path"]
     netloc = F.lower(F.regexp_extract(value, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     cut = F.regexp_replace(path, "/+$", "")
     query = F.regexp_extract(value, "^[^?#]*(\\?[^#]+)", 1)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspire.operators.log import CommitLog, Conflict
+from larkspire.operators import store
 from larkspire.operators.merge import MergeTable
 
 
@@ -149,3 +150,24 @@ def test_of_two_activations_one_wins(spark, tmp_path):
     for t in threads:
         t.join()
     assert len(won) == len(lost) == 1 and Generations(spark, f"file://{tmp_path}/g").active() == won[0]
+
+
+def test_imports_make_no_canonical_form_for_each_request(spark, monkeypatch):
+    """Requests are grouped by their location as written first; the plan has the kind's rules a few times, not for each use of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    whole = store.canonical
+    monkeypatch.setattr(store, "canonical", lambda c: whole(counted(c)))
+    rows = [("t", "web", ("HTTP://A.org/", "http://a.org/")[i % 2] + str(i % 3) + "/" * (i % 5 == 0), f"n{i % 7}", i // 4) for i in range(2000)] + [("t", "web", None, "none", None), ("t", "web", "http://b.org", "old", None), ("t", "web", "http://b.org", "z", None)]
+    req = spark.createDataFrame(rows, "tenant_id string, source_type string, location string, name string, at long")
+    none = spark.createDataFrame([], "source_id string, tenant_id string, source_type string, location string, name string, status string, updated_at long")
+    got = store.imported(none, req)
+    found = {r["location"]: (r["name"], r["updated_at"]) for r in got.collect()}
+    assert found == {None: ("none", None), "http://b.org/": ("z", None)} | {f"http://a.org/{k}": max(((n, at) for _, _, p, n, at in rows[:2000] if p.rstrip("/")[-1] == str(k)), key=lambda x: (x[1], x[0])) for k in range(3)}
+    assert 0 < seen.value < 300
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 100_000
