@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -37,7 +38,10 @@ def _byte_letters() -> list[str]:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Model:
@@ -56,12 +60,18 @@ class _Model:
         self.model = BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, **more)
         self.letters = {i: c for i, c in enumerate(_byte_letters())}
         self.words: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
+
+    def piece(self, w: str) -> bytes:
+        """A piece that no cache holds. Printable ASCII but the space stands for itself in the byte-level alphabet."""
+        letters = w.replace(" ", self.letters[32]) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(letters)])
 
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            got = _packed([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))])
-            if len(w) <= LONGEST and len(self.words) < WORDS:
+            got = self.piece(w)
+            if len(w) <= LONGEST and len(self.words) + len(self.after) < WORDS:
                 self.words[w] = got
         return got
 
@@ -70,7 +80,7 @@ class _Model:
         if c.isalpha() or c[:1] == " " and c[1:].isalpha():
             return self.word(c)
         got = b"".join(map(self.word, self._PIECES.findall(c)))
-        if len(c) <= LONGEST and len(self.words) < WORDS:
+        if len(c) <= LONGEST and len(self.words) + len(self.after) < WORDS:
             self.words[c] = got
         return got
 
@@ -82,6 +92,23 @@ class _Model:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+class _After(dict):
+    """Ids of what stands after a space, by the text without it, so that a text's chunks are looked up in one go."""
+
+    def __init__(self, model: ByteBpe):
+        self.model = model
+
+    def __missing__(self, c: str) -> bytes:
+        m = self.model
+        if c.isalpha():
+            got = m.piece(" " + c)
+        else:
+            got = b"".join([self[p[1:]] if p[:1] == " " and p[1:].isalpha() else m.word(p) for p in m._PIECES.findall(" " + c)])
+        if len(c) < LONGEST and len(self) + len(m.words) < WORDS:
+            self[c] = got
+        return got
+
+
 class ByteBpe(_Model):
     """byte_bpe_50k.json. A space before something that isn't white space starts a piece, so texts are cut there."""
 
@@ -90,14 +117,15 @@ class ByteBpe(_Model):
     _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ–—‘-”…€]*")
     _RUN = re.compile(r" \s")
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.after = _After(self)
+
     def ids(self, text: str) -> bytes:
         if self._RUN.search(text) or not self._PLAIN.fullmatch(text) or self.marked(text):
             return self.slow(text)
         first, *rest = text.split(" ")
-        get, chunk = self.words.get, self.chunk
-        out = [get(first) or chunk(first)]
-        out += [get(c) or chunk(c) for c in [" " + c for c in rest]]
-        return b"".join(out)
+        return (self.words.get(first) or self.chunk(first)) + b"".join(map(self.after.__getitem__, rest))
 
 
 class WordBpe(_Model):

@@ -179,3 +179,17 @@ def test_workers_keep_one_operators_tables():
     common.keeps("a", lambda: freed.append("a"))
     assert list(common.in_worker(lambda b: iter([1]), "a")([])) == [1] and not freed
     assert list(common.in_worker(lambda b: iter([2]), "b")([])) == [2] and freed == ["a"] and not common._kept
+
+
+def test_known_words_are_looked_up_without_python(monkeypatch):
+    from larkspire.llm import fasttok
+
+    m = fasttok.ByteBpe(fasttok.vocabulary("byte_bpe_50k.json"))
+    text = "It's one word, (two) 12 345 a1b2 étés “trois” x\ty don't ' over-straße word"
+    assert m.ids(text) == m.slow(text)
+    monkeypatch.setattr(fasttok._After, "__missing__", lambda self, c: 1 / 0)
+    assert m.ids(text) == m.slow(text)
+    monkeypatch.undo()
+    monkeypatch.setattr(fasttok, "WORDS", len(m.after) + len(m.words) + 2)  # full: right without the cache, and no larger
+    more = " ".join(f"q{i}x r{i}" for i in range(50)) + " zzyzx qwrtp"
+    assert m.ids(more) == m.slow(more) and len(m.after) + len(m.words) <= fasttok.WORDS
