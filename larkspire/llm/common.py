@@ -100,6 +100,12 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return df.mapInPandas(in_worker(run, owner), schema)
 
 
+def mapped_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str = "") -> DataFrame:
+    """mapInArrow in batches bounded likewise."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(in_worker(run, owner), schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import sys
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from larkspire.llm.common import keeps
 
@@ -116,6 +119,8 @@ class ByteBpe(_Model):
     #: Latin letters, ASCII and a few signs; the superscripts and fractions are numbers to the library and not to re.
     _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ɏ–—‘-”…€]*")
     _RUN = re.compile(r" \s")
+    #: What _PLAIN lacks or _RUN finds, for Arrow.
+    _ODD = " [\t\n\r ]|[^" + _PLAIN.pattern[1:-2] + "]"
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -127,6 +132,43 @@ class ByteBpe(_Model):
         first, *rest = text.split(" ")
         return (self.words.get(first) or self.chunk(first)) + b"".join(map(self.after.__getitem__, rest))
 
+    def all_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """ids() of each of many texts (null: empty), as arrays of uint32. Arrow cuts them at spaces, so that what repeats among them is looked up once."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.invert(pc.match_substring_regex(texts, self._ODD))
+        if pc.any(pc.match_substring(texts, "<")).as_py():
+            plain = pc.and_(plain, pa.array([not self.marked(t) for t in texts.to_pylist()]))
+        cut = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
+        starts, parts = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        firsts, kinds, known = starts[:-1], parts.indices.to_numpy().copy(), self.after.get
+        first = [self.spaceless(c) for c in cut.values.take(pa.array(firsts)).to_pylist()]
+        ids = [known(c) or self.spaced(c) for c in parts.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        kinds[firsts] = np.arange(len(ids), len(ids) + len(first))  # a text's first has no space before it
+        joined = pa.array(ids + first, pa.large_binary()).take(pa.array(kinds))
+        _, ends, data = joined.buffers()
+        ends = np.frombuffer(ends, "<i8", len(joined) + 1)[starts] // 4
+        flat = np.frombuffer(data or b"", "<u4", ends[-1])
+        for i, easy in enumerate(plain.to_pylist()):
+            yield flat[ends[i] : ends[i + 1]] if easy else np.frombuffer(self.slow(texts[i].as_py()), "<u4")
+
+    def spaceless(self, c: str) -> bytes:
+        return self.words.get(c) or self._words(c, self.word) or self.chunk(c)
+
+    def spaced(self, c: str) -> bytes:
+        """What stands after a space. Words are kept and what is made of them is not, so that more words find room."""
+        return self._words(c, self.after.__getitem__) or b"".join(map(self.word, self._PIECES.findall(" " + c)))
+
+    def _words(self, c: str, look: Callable[[str], bytes]) -> bytes:
+        """A word, with signs after it (a piece of their own) or without, or some parted by single line ends; of anything else nothing."""
+        w = c.rstrip(string.punctuation)
+        if w.isalpha():
+            return look(w) + self.word(c[len(w) :]) if len(w) < len(c) else look(w)
+        if "\n" not in c:
+            return b""
+        first, *rest = c.split("\n")
+        lines = [self._words(first, look), *[self._words(x, self.word) for x in rest]]
+        return self.word("\n").join(lines) if all(lines) else b""
+
 
 class WordBpe(_Model):
     """word_bpe_49k.json: lower case, white space dropped; pieces never cross it."""

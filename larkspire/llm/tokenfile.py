@@ -19,13 +19,13 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspire.llm import fasttok
-from larkspire.llm.common import commit_bytes, discard, filesystem, fresh_dir, ints, key, keyed, mapped, shuffle_partitions, stored
+from larkspire.llm.common import commit_bytes, discard, filesystem, fresh_dir, mapped_arrow, shuffle_partitions, stored
 
 MAGIC = b"LSTOKENS"
 END_ID = 2
@@ -34,6 +34,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 4000, 64 * 1024
 SHARD_BYTES = 64 << 20
 LEVEL = 3
 BATCH_BYTES = 4 << 20
+GATHERED_BYTES = 16 << 20
 
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"
 
@@ -54,8 +55,21 @@ def train(docs: DataFrame, vocab: str, end_id: int = END_ID, text: str = "text")
     return raw + _pack(struct.pack("<I", end_id), 2) * 8
 
 
-def _pack(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+def _pack(ids: bytes | np.ndarray, width: int) -> bytes:
+    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together while they are small: the more texts, the more of what they hold is the same."""
+    some, size = [], 0
+    for b in batches:
+        if some and size + b.nbytes > GATHERED_BYTES:
+            yield pa.Table.from_batches(some)
+            some, size = [], 0
+        some.append(b)
+        size += b.nbytes
+    if some:
+        yield pa.Table.from_batches(some)
 
 
 def _dict(raw: bytes) -> zstandard.ZstdCompressionDict:
@@ -96,30 +110,30 @@ def write(docs: DataFrame, out_dir: str, vocab: str, end_id: int = END_ID, doc_i
     digest = hashlib.sha256(raw).hexdigest()
     commit_bytes(f"{out_dir}/dictionary-{digest[:16]}.zdict", [raw])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), fasttok.encoder(fasttok.ByteBpe, vocab)
         width = 2 if enc.whole.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(raw), write_checksum=False)
-        end, shard, made = struct.pack("<I", end_id), None, []
-        for pdf in batches:
-            for d, t in zip(pdf["d"], pdf["t"], strict=True):
+        end, shard, made = _pack(struct.pack("<I", end_id), width), None, []
+        for some in _gathered(batches):
+            for d, ids in zip(some["d"].to_pylist(), enc.all_ids(some["t"].combine_chunks()), strict=True):
                 shard = shard or _Shard(f"{out_dir}/part-{part:06d}-{len(made):04d}.tok")
-                ids = (enc.ids(t) if isinstance(t, str) else b"") + end
-                shard.add(keyed(d), packer.compress(_pack(ids, width)), len(ids) // 4)
+                shard.add(d, packer.compress(_pack(ids, width) + end), len(ids) + 1)
                 if shard.at >= shard_bytes:
                     made.append(shard.close(digest, width))
                     shard = None
         if shard:
             made.append(shard.close(digest, width))
-        yield pd.DataFrame([(part, i, *m) for i, m in enumerate(made)], columns=["part", "seq", "path", "n_docs", "n_tokens", "n_bytes"])
+        for i, (path, n_docs, n_tokens, n_bytes) in enumerate(made):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([i], pa.int32()), "path": [path], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_bytes": [n_bytes]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     # Ranges are cut by (id, hash), so that a third of all rows may lack an id or share one.
     ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(shuffle_partitions(spark), "d", "h").sortWithinPartitions("d", "h", "t").drop("h")
     manifest, start = [], 0
-    shards = stored(mapped(ordered.withColumn("d", key(F.col("d"))), run, _MANIFEST, "fasttok"), "token-manifest")
+    shards = stored(mapped_arrow(ordered, run, _MANIFEST, "fasttok"), "token-manifest")
     for r in shards.orderBy("part", "seq").collect():  # one short row a shard
         manifest.append(r.asDict() | {"start": start})
         start += r["n_tokens"]
@@ -181,37 +195,35 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids binary"
     shards = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpackers: dict[str, zstandard.ZstdDecompressor] = {}
-        for pdf in batches:
-            for uri, start in zip(pdf["path"], pdf["start"], strict=True):
+        for b in batches:
+            for uri, start in zip(b["path"].to_pylist(), b["start"].to_pylist(), strict=True):
                 f, foot = _open(uri)
                 with f:
                     ids, offsets, lengths, none = _index(f, foot)
                     if foot["dictionary"] not in unpackers:
                         unpackers[foot["dictionary"]] = zstandard.ZstdDecompressor(dict_data=_dict(_dictionary(uri, foot["dictionary"])))
                     bounds = [*offsets.tolist(), foot["index_at"]]
-                    starts = int(start) + np.cumsum(lengths.astype("i8")) - lengths.astype("i8")
-                    rows, size = [], 0
+                    ends = np.cumsum(lengths.astype("i8"))
+                    starts = int(start) + ends - lengths.astype("i8")
                     f.seek(bounds[0])
-                    for i in range(len(ids)):
-                        got = _unpack(f.read(bounds[i + 1] - bounds[i]), unpackers[foot["dictionary"]], foot["width"])
-                        if len(got) != 4 * int(lengths[i]):
-                            raise ValueError(f"{uri}: document {i} has another length than its index says")
-                        rows.append((None if none[i] else int(ids[i]), int(starts[i]), len(got) // 4, got))
-                        size += len(got)
-                        if size >= BATCH_BYTES:
-                            yield _frame(rows)
-                            rows, size = [], 0
-                    if rows:
-                        yield _frame(rows)
-
-    return mapped(shards.repartition(max(1, min(len(manifest), 10_000))), run, schema, "fasttok")
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"])
-    return out.assign(doc_id=ints(r[0] for r in rows))
+                    i = 0
+                    while i < len(ids):  # as many documents as a batch has room for, one at least
+                        j = max(i + 1, int(np.searchsorted(ends, ends[i] - int(lengths[i]) + BATCH_BYTES // 4, "right")))
+                        block, unpack = f.read(bounds[j] - bounds[i]), unpackers[foot["dictionary"]].decompress
+                        docs = [unpack(block[bounds[k] - bounds[i] : bounds[k + 1] - bounds[i]]) for k in range(i, j)]
+                        sizes = np.array([len(x) for x in docs]) // foot["width"]
+                        wrong = np.flatnonzero(sizes != lengths[i:j])
+                        if len(wrong):
+                            raise ValueError(f"{uri}: document {i + int(wrong[0])} has another length than its index says")
+                        data = np.frombuffer(b"".join(docs), f"<u{foot['width']}").astype("<u4")
+                        at = np.concatenate([[0], np.cumsum(4 * sizes)]).astype("<i4")
+                        binary = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(data)])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], mask=none[i:j] != 0), pa.array(starts[i:j]), pa.array(sizes.astype("i8")), binary], names=["doc_id", "start", "n_tokens", "ids"])
+                        i = j
+
+    return mapped_arrow(shards.repartition(max(1, min(len(manifest), 10_000))), run, schema, "fasttok")
 
 
 def digest(docs: DataFrame, vocab: str) -> DataFrame:

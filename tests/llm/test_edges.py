@@ -193,3 +193,24 @@ def test_known_words_are_looked_up_without_python(monkeypatch):
     monkeypatch.setattr(fasttok, "WORDS", len(m.after) + len(m.words) + 2)  # full: right without the cache, and no larger
     more = " ".join(f"q{i}x r{i}" for i in range(50)) + " zzyzx qwrtp"
     assert m.ids(more) == m.slow(more) and len(m.after) + len(m.words) <= fasttok.WORDS
+
+
+def test_many_texts_get_the_librarys_ids_and_each_word_is_encoded_once(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from larkspire.llm import fasttok
+
+    m = fasttok.ByteBpe(fasttok.vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    bits = ["word", "étés", "straße", "it's", "'ll", "'", "''", ",", ".", "\n", "\n\n", "\t", "\r", " ", " ", " ", "  ", "12", "3", "_", "__init__", "%%%", "×", "“", "<", "<|endoftext|>", "ª", "½", "漢字", "\x85", "\xa0", "\x00", "Don't", "x" * 60]
+    texts = [None, "", " ", "\n", "word ", "a.\nB, c.\n\nD", "x\n", *("".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(3000))]
+    for some in (pa.array(texts), pa.array(texts)[2:9], pa.array([None, ""]), pa.array([], pa.string())):
+        assert [x.tolist() for x in m.all_ids(some)] == [np.frombuffer(m.slow(t or ""), "<u4").tolist() for t in some.to_pylist()]
+    made, piece = [], m.piece
+    monkeypatch.setattr(m, "piece", lambda w: made.append(w) or piece(w))
+    monkeypatch.setattr(fasttok, "WORDS", 0)  # a full cache
+    some = [f"{i}x zzyzxq qwrtpq zzyzxq" for i in range(100)]
+    assert [x.tobytes() for x in m.all_ids(pa.array(some))] == [m.slow(t) for t in some]
+    assert made.count(" zzyzxq") == 1 and made.count(" qwrtpq") == 1
