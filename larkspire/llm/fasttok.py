@@ -138,7 +138,13 @@ class ByteBpe(_Model):
         plain = pc.invert(pc.match_substring_regex(texts, self._ODD))
         if pc.any(pc.match_substring(texts, "<")).as_py():
             plain = pc.and_(plain, pa.array([not self.marked(t) for t in texts.to_pylist()]))
-        cut = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
+        flat, ends = self._joined(pc.if_else(plain, texts, ""))
+        for i, easy in enumerate(plain.to_pylist()):
+            yield flat[ends[i] : ends[i + 1]] if easy else np.frombuffer(self.slow(texts[i].as_py()), "<u4")
+
+    def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain texts one after the other, and where each text's begin and end."""
+        cut = pc.split_pattern(texts, " ")
         starts, parts = cut.offsets.to_numpy(), cut.values.dictionary_encode()
         firsts, kinds, known = starts[:-1], parts.indices.to_numpy().copy(), self.after.get
         first = [self.spaceless(c) for c in cut.values.take(pa.array(firsts)).to_pylist()]
@@ -147,9 +153,7 @@ class ByteBpe(_Model):
         joined = pa.array(ids + first, pa.large_binary()).take(pa.array(kinds))
         _, ends, data = joined.buffers()
         ends = np.frombuffer(ends, "<i8", len(joined) + 1)[starts] // 4
-        flat = np.frombuffer(data or b"", "<u4", ends[-1])
-        for i, easy in enumerate(plain.to_pylist()):
-            yield flat[ends[i] : ends[i + 1]] if easy else np.frombuffer(self.slow(texts[i].as_py()), "<u4")
+        return np.frombuffer(data or b"", "<u4", ends[-1]), ends
 
     def spaceless(self, c: str) -> bytes:
         return self.words.get(c) or self._words(c, self.word) or self.chunk(c)

@@ -33,8 +33,8 @@ END_ID = 2
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 4000, 64 * 1024
 SHARD_BYTES = 64 << 20
 LEVEL = 3
-BATCH_BYTES = 4 << 20
-GATHERED_BYTES = 16 << 20
+#: Bytes of ids in a batch that is read, and of texts that are encoded together (one longer text is encoded alone).
+BATCH_BYTES, GATHERED_BYTES = 4 << 20, 8 << 20
 
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"
 
