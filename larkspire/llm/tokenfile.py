@@ -46,7 +46,7 @@ def train(docs: DataFrame, vocab: str, end_id: int = END_ID, text: str = "text")
     least = F.min(F.struct(h.alias("h"), F.substr(F.col(text), place, F.lit(SAMPLE_CHARS)).alias("t"))).alias("least")
     # A row for each hash bucket: tasks send what is left of their partial aggregates, the driver gets SAMPLE_DOCS rows.
     rows = docs.where(F.length(text) > 0).groupBy(F.pmod(F.xxhash64(text), F.lit(SAMPLE_DOCS))).agg(least).select("least.*").orderBy("h", "t").collect()
-    enc = fasttok.encoder(fasttok.ByteBpe, vocab)
+    enc = fasttok.ByteBpe(vocab)  # not one that is kept: what the driver keeps would go along with every task
     samples = [_pack(enc.ids(r["t"]) + struct.pack("<I", end_id), 2) for r in rows]
     samples = [s[i : i + 2048] for s in samples for i in range(0, len(s), 2048)]
     if sum(map(len, samples)) >= 8 * DICTIONARY_BYTES:

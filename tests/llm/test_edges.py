@@ -214,3 +214,15 @@ def test_many_texts_get_the_librarys_ids_and_each_word_is_encoded_once(monkeypat
     some = [f"{i}x zzyzxq qwrtpq zzyzxq" for i in range(100)]
     assert [x.tobytes() for x in m.all_ids(pa.array(some))] == [m.slow(t) for t in some]
     assert made.count(" zzyzxq") == 1 and made.count(" qwrtpq") == 1
+
+
+def test_the_drivers_tokenizer_does_not_go_along_with_tasks(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    from larkspire.llm import tokenfile
+
+    sent, mapped = [], tokenfile.mapped_arrow
+    monkeypatch.setattr(common, "_kept", {})
+    monkeypatch.setattr(tokenfile, "mapped_arrow", lambda df, run, schema, owner: sent.append(len(cloudpickle.dumps(common.in_worker(run, owner)))) or mapped(df, run, schema, owner))
+    assert tokenfile.digest(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), fasttok.vocabulary("byte_bpe_50k.json")).count() == 1
+    assert len(sent) == 2 and max(sent) < 1 << 17
